@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media
+from . import chat, jaccard, media, rules, secrets
 from .common import documents, shared_path
 
 
@@ -46,8 +46,105 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, weak parts only where complementary parts are near."""
+    return secrets.scan(documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH patterns(kind, name, pattern, grp, least) AS (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 0),
+  (1, 'access', 'AKIA[A-Z0-9]{14,}', 0, 0),
+  (2, 'hex', '[0-9a-f]{16,}', 0, 0),
+  (4, 'user', '(?i:user_?name|user_?id|login|client_?id|account)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.@-]+)', 1, 3),
+  (5, 'endpoint', '(?:https?://[A-Za-z0-9./_:?&=%-]+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b)', 0, 7)
+), texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), raw AS (
+  SELECT row, kind, least,
+    CASE kind WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]{14,}') WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]{16,}')
+      WHEN 4 THEN regexp_extract_all(text, '(?i:user_?name|user_?id|login|client_?id|account)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.@-]+)')
+      ELSE regexp_extract_all(text, '(?:https?://[A-Za-z0-9./_:?&=%-]+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b)') END AS matches,
+    CASE kind WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)
+      WHEN 4 THEN regexp_extract_all(text, '(?i:user_?name|user_?id|login|client_?id|account)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.@-]+)', 1) END AS vals,
+    CASE kind WHEN 0 THEN string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+      WHEN 1 THEN string_split_regex(text, 'AKIA[A-Z0-9]{14,}') WHEN 2 THEN string_split_regex(text, '[0-9a-f]{16,}')
+      WHEN 4 THEN string_split_regex(text, '(?i:user_?name|user_?id|login|client_?id|account)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.@-]+)')
+      ELSE string_split_regex(text, '(?:https?://[A-Za-z0-9./_:?&=%-]+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b)') END AS pieces
+  FROM texts, patterns WHERE regexp_matches(text, pattern)
+), one AS (
+  SELECT row, kind, least, i, length(pieces[i]) AS gap, length(matches[i]) AS n, length(coalesce(vals, matches)[i]) AS v
+  FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM raw)
+), placed AS (
+  SELECT row, CASE WHEN kind = 0 AND v < 12 THEN 3 ELSE kind END AS kind, v,
+    CASE WHEN kind = 0 AND v < 12 THEN 4 ELSE least END AS least, n,
+    sum(gap + n) OVER (PARTITION BY row, kind ORDER BY i) AS "end"
+  FROM one
+), spans AS (
+  SELECT row, kind, "end" - n AS start, "end" FROM placed WHERE v >= least
+), linked AS (
+  SELECT s.*, kind <= 2 OR EXISTS (
+    SELECT 1 FROM spans o WHERE o.row = s.row AND abs(o.start - s.start) <= 200
+      AND CASE WHEN s.kind = 3 THEN o.kind IN (1, 4, 5) ELSE o.kind IN (0, 2, 3) END) AS reported
+  FROM spans s
+), said AS (
+  SELECT row, kind, start, (['assign', 'access', 'hex', 'short_assign', 'user', 'endpoint'])[kind + 1] || ':' || start::BIGINT || ':' || "end"::BIGINT AS said
+  FROM linked WHERE reported
+)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind <= 2), '')) AS base_sha256,
+  coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans
+FROM texts LEFT JOIN said USING (row) GROUP BY row, doc_id
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, the base rule and the verdict of risk-controlled cutoffs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules.judged(documents(spark, sf_dir), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their 5-word shingles."""
+    return jaccard.link(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id
+    JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.other
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+  JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_media_columns": op2_media_columns,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+}
+ORACLE_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op3_secret_scan": OP3_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
