@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, media, rules, secrets
-from .common import documents, shared_path
+from . import chat, jaccard, langid, licenses, media, mixing, packing, ruleclf, rules, secrets, textstats
+from .common import documents, is_held_out, shared_path, written
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,12 +136,50 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learned outside the held-out quarter."""
+    docs = documents(spark, sf_dir)
+    samples = langid.training_texts(docs.where(~is_held_out()))
+    rows = docs.select("doc_id", "text", is_held_out().alias("held_out"))
+    return langid.identify(rows, samples).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 512 to 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text, with matched coverage and span."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text; learned outside the held-out quarter."""
+    stats = written(textstats.statistics(documents(spark, sf_dir)), "stats")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~is_held_out())
+    scored = ruleclf.scored(stats, ruleclf.fit(stats, labels))
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_media_columns": op2_media_columns,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
+    "op8_license_scan": op8_license_scan,
+    "op9_source_mix": op9_source_mix,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,

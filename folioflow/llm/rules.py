@@ -29,7 +29,7 @@ from .common import written
 from .textstats import statistics
 
 LENGTH_STRATA = (150, 600)
-CELLS = 64
+CELLS = 32
 RISK, DELTA = 0.02, 0.05
 
 
@@ -41,7 +41,6 @@ def measures() -> dict[str, Column]:
         "repeats": F.col("n_repeat_words") / words,
         "dup_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "upper": F.col("n_upper") / chars,
-        "digits": F.col("n_digits") / chars,
         "marks": F.least(F.col("n_marks") / words, F.lit(1.0)),
     }
 
