@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A joined side is broadcast only up to this many bytes, by its counted rows.
+BROADCAST_BYTES = 16 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -45,6 +48,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, to be broadcast if its counted rows are surely small enough,
+    else to be the hashed side of a shuffled join."""
+    return table.hint("broadcast" if table.count() * row_bytes <= most else "shuffle_hash")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

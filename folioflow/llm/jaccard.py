@@ -36,15 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 from .shingles import shingle_set
 
 SIZE = 5
 #: At most this many frequent shingles are ordered last (8 bytes each, sent to tasks).
 FREQUENT_MOST = 1 << 16
 FREQUENT_LEAST = 32
-#: Ids of texts to verify are broadcast up to this many bytes; beyond it the texts are shuffled.
-BROADCAST_BYTES = 16 << 20
 #: Shingles that a task counts at once.
 COUNT_BLOCK = 1 << 22
 
@@ -187,9 +185,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame
     ids = written(
         signed.select("doc_id", "cls").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")), "ids"
     )
-    small = ids.count() * 24 <= BROADCAST_BYTES
-    side = ids.select("id").hint("broadcast" if small else "shuffle_hash")
-    texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(sized(ids.select("id"), 24), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,3 +284,10 @@ def link(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """Keep of each component only the document with its smallest id; all columns stay."""
+    found = link(docs)
+    gone = written(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(sized(gone, 24), F.col("doc_id") == F.col("gone"), "left_anti")

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, word_count, written
+from .common import sized, whole_text, word_count, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -164,3 +164,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, depth: int =
         (copies() * F.col("size") + part).cast("long").alias("taken"),
         F.col("d.shard").alias("shard"), F.xxhash64("doc_id", F.lit(seed + 2)).alias("position"),
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, each as often as its taken words, in whole copies, round to.
+
+    Only the last document of a draw is taken in part; rounding keeps it whole or
+    leaves it out. Rows with one id share their copies. All columns stay.
+    """
+    plan = mix(docs, **options).groupBy("doc_id").agg(
+        F.rint(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("times")
+    )
+    plan = written(plan.where("times > 0").withColumnRenamed("doc_id", "id"), "plan")
+    rows = docs.join(sized(plan, 32), F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import sized, whole_text, written
 
 #: kind: (pattern, group holding the value, fewest characters of it, role, strong).
 #: Fixed patterns; assign keeps its open-ended value since a short match must still consume text.
@@ -57,12 +57,13 @@ def _found(text: Column, kind: str) -> Column:
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per span or, for a text without any, per text:
-    ``row, doc_id, kind, start, end, reported`` (kind null: no span)."""
+    ``row, doc_id, text_hash, kind, start, end, reported`` (kind null: no span)."""
     scanned = [k for k in NAMES if k != "short_assign"]  # shares the matches of assign
     text = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text().alias("text"))
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,n:int,v:int>>")
     found = F.flatten(F.array(*(F.coalesce(_found(F.col("text"), k), none) for k in scanned)))
-    rows = text.select("row", "doc_id", F.explode_outer(found).alias("m")).select("row", "doc_id", "m.*").repartition("row")
+    rows = text.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), F.explode_outer(found).alias("m"))
+    rows = rows.select("row", "doc_id", "text_hash", "m.*").repartition("row")
     along = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(along)).withColumn("start", F.col("end") - F.col("n"))
     assign, short = NAMES.index("assign"), NAMES.index("short_assign")
@@ -76,7 +77,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     is_secret = F.col("kind").isin([i for i, k in enumerate(NAMES) if KINDS[k][3] == "secret"])
     strong = F.col("kind").isin([i for i, k in enumerate(NAMES) if KINDS[k][4]])
     linked = F.when(is_secret, has["identifier"] | has["endpoint"]).otherwise(has["secret"])
-    return placed.select("row", "doc_id", "kind", "start", "end", (strong | linked).alias("reported"))
+    return placed.select("row", "doc_id", "text_hash", "kind", "start", "end", (strong | linked).alias("reported"))
 
 
 def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -96,13 +97,32 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[redacted]") -> DataFrame:
-    """Replace every strong span's value in ``text``; other columns stay as they are.
+def redact(docs: DataFrame, mark: str = "[redacted]", window: int = WINDOW) -> DataFrame:
+    """Replace every reported span in ``text`` by ``mark``; other columns stay as they are.
 
-    The keyword of an assignment stays, its value goes. Short assigned values
-    are left alone, as in the strong rule.
+    Overlapping spans become one. Only texts with a span are joined, by id and a
+    hash of the text, so equal rows get equal results.
     """
-    text = F.regexp_replace("text", f"({_KEYWORD}){_VALUE}" + "{12,}", f"$1{mark}")
-    for kind in ("access", "hex"):
-        text = F.regexp_replace(text, KINDS[kind][0], mark)
-    return docs.withColumn("text", text)
+    found = spans(docs, window).where("kind is not null and reported")
+    along = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opens = found.withColumn("opens", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    merged = (
+        opens.withColumn("part", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy("row", "doc_id", "text_hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        .groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.first("spans").alias("spans"))
+    )
+    text, n = F.col("text"), F.size("spans")
+    pieces = F.transform(
+        F.sequence(F.lit(0), n),
+        lambda i: F.substr(
+            text,
+            (F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"]) + 1).cast("int"),
+            (F.coalesce(F.get("spans", i)["start"], F.char_length(text)) - F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"])).cast("int"),
+        ),
+    )
+    joined = docs.join(
+        sized(written(merged, "secrets"), 200), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(whole_text()) == F.col("text_hash")), "left"
+    )
+    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), F.array_join(pieces, mark)).otherwise(text)).select(*docs.columns)
