@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A joined side is broadcast only up to this many bytes, by its counted rows.
 BROADCAST_BYTES = 16 << 20
 
+#: Arrow batches that Python steps take in are no larger; a worker holds a few of them.
+BATCH_BYTES = 4 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -54,6 +57,14 @@ def sized(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> Data
     return table.hint("broadcast" if table.count() * row_bytes <= most else "shuffle_hash")
 
 
+def small_batches(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns that a Python step reads, handed over in Arrow batches of a few MB."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.select(*columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

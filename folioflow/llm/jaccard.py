@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import sized, small_batches, written
 from .shingles import shingle_set
 
 SIZE = 5
@@ -44,7 +44,7 @@ SIZE = 5
 FREQUENT_MOST = 1 << 16
 FREQUENT_LEAST = 32
 #: Shingles that a task counts at once.
-COUNT_BLOCK = 1 << 22
+COUNT_BLOCK = 1 << 21
 
 
 def digest(tokens: np.ndarray, size: int) -> bytes:
@@ -55,6 +55,13 @@ def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
+def _members(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which tokens are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(tokens), bool)
+    return listed[np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)] == tokens
+
+
 def frequent_shingles(docs: DataFrame, most: int = FREQUENT_MOST, least: int = FREQUENT_LEAST) -> np.ndarray:
     """The most frequent shingles over distinct texts, at most ``most`` of them, sorted."""
 
@@ -79,7 +86,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT_MOST, least: int = F
         if held:
             yield counted()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = small_batches(docs, "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
     return np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -97,7 +104,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), SIZE)
                 n = len(tokens)
-                late = np.isin(tokens, frequent) if len(frequent) and n else np.zeros(n, bool)
+                late = _members(tokens, frequent)
                 prefix = np.concatenate([tokens[~late], tokens[late]])[: prefix_length(n)] if n else tokens
                 gid = int.from_bytes(digest(np.append(prefix, np.uint64(n)), 8), "little", signed=True)
                 sizes.append(n)
@@ -111,7 +118,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 names=["doc_id", "n", "cls", "gid", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, cls binary, gid long, prefix array<long>")
+    return small_batches(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n long, cls binary, gid long, prefix array<long>")
 
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +202,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame
                 names=["cls", "elements"],
             )
 
-    found = texts.mapInArrow(sets, "cls binary, elements array<long>").groupBy("cls").agg(F.first("elements").alias("elements"))
+    found = small_batches(texts, "text").mapInArrow(sets, "cls binary, elements array<long>").groupBy("cls").agg(F.first("elements").alias("elements"))
     found = written(found, "sets")
     both = (
         pairs.join(found.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a")

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 TRAIN_CHARS = 24_000
 DOC_CHARS = (200, 4_000)
 MOST_LANGUAGES = 32
@@ -210,4 +212,4 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(of, schema)
+    return small_batches(docs, *names).mapInArrow(of, schema)

@@ -43,6 +43,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from .common import small_batches
+
 WIDTH = 64
 MANIFEST = "_manifest.json"
 SCHEMA = "doc_id long, media binary, archive string, offset long, error string"
@@ -263,7 +265,7 @@ def store_texts(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     register(spark)
-    docs.select("doc_id", "text").write.format("media_archive").mode("append").save(path)
+    small_batches(docs, "doc_id", "text").write.format("media_archive").mode("append").save(path)
     return spark.read.format("media_archive").load(path)
 
 
@@ -292,4 +294,4 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return media.select("doc_id", "media", "error").mapInArrow(of, FEATURE_SCHEMA)
+    return small_batches(media, "doc_id", "media", "error").mapInArrow(of, FEATURE_SCHEMA)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens that a task packs at once.
@@ -184,4 +186,4 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS) -
         if done:
             yield rows(done)
 
-    return docs.select("doc_id", "text").mapInArrow(of, SCHEMA)
+    return small_batches(docs, "doc_id", "text").mapInArrow(of, SCHEMA)

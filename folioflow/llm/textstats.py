@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 FIELDS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct_words",
@@ -66,4 +68,4 @@ def statistics(docs: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"{x} long" for x in ("doc_id", *FIELDS))
-    return docs.select("doc_id", "text").mapInArrow(of, schema)
+    return small_batches(docs, "doc_id", "text").mapInArrow(of, schema)
