@@ -10,13 +10,15 @@ Documents link when 100 * |A and B| >= 75 * |A or B|, over sets of distinct
 2. Documents with equal sets form a class; classes with equal prefix and size
    form a group. Only groups are dealt out, one row per prefix element, and
    elements that a single group holds are dropped.
-3. Within each element's list, groups are paired with the next one by size and
-   with the first one: linearly many pairs. A pair stays if it shares so many
-   prefix elements that the sets could still overlap enough. Groups expand to
-   their classes, and pairs are verified on whole sets.
+3. Each group is paired with at most two others from its lists, those held by
+   most or nearest to it: linearly many pairs. Only pairs count that share so
+   many prefix elements that the sets could still overlap enough. Groups expand
+   to their classes, and pairs are verified on whole sets.
 4. Components of the verified links are found. Lists that still hold more than
-   one component are then joined in full between different components, filtered,
-   expanded and verified likewise; links inside a component can add nothing. So
+   one component are then joined in full between different components. Only
+   elements count that lie early enough in both sets, and a pair must share a
+   number of them; pairs are expanded and verified likewise. Links inside a
+   component can add nothing. So
    no link between different texts is lost, and large groups of near copies
    never make all their pairs.
 
@@ -123,66 +125,85 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token and group: each once, and only tokens of several groups."""
-    names = ["token", "gid", "n"]
+    names = ["token", "gid", "n", "pos"]
     last, last_shared = None, False  # the row before, and whether its token is shared
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, gid, n = (batch.column(c).to_numpy() for c in names)
+        rows = [batch.column(c).to_numpy() for c in names]
         if last is not None:
-            token, gid, n = (np.concatenate([[x], y]) for x, y in zip(last, (token, gid, n)))
+            rows = [np.concatenate([[x], y]) for x, y in zip(last, rows)]
+        token, gid = rows[:2]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-        token, gid, n = token[fresh], gid[fresh], n[fresh]
-        same = token[1:] == token[:-1]
-        shared = np.zeros(len(token), bool)
+        rows = [x[fresh] for x in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        shared = np.zeros(len(rows[0]), bool)
         shared[1:] |= same
         shared[:-1] |= same
         shared[0] |= last_shared
         keep = shared.copy()
         keep[-1] = False  # waits for the next batch
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, n)], names=names)
-        last, last_shared = (token[-1], gid[-1], n[-1]), bool(shared[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=names)
+        last, last_shared = [x[-1] for x in rows], bool(shared[-1])
     if last_shared:
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last], names=names)
 
 
 def shared_tokens(signed: DataFrame) -> DataFrame:
-    """``token, gid, n``: prefix elements that at least two groups hold."""
-    rows = signed.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid", "n")
-    return rows.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(_keep_shared, "token long, gid long, n long")
+    """``token, gid, n, pos``: prefix elements that at least two groups hold, with their place."""
+    rows = signed.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid", "n")
+    rows = rows.select("token", "gid", "n", "pos").repartition("token").sortWithinPartitions("token", "gid")
+    return rows.mapInArrow(_keep_shared, "token long, gid long, n long, pos int")
+
+
+def _overlap(n1: Column, n2: Column) -> Column:
+    """Fewest common elements with which sets of these sizes link."""
+    return F.ceil(3 * (n1 + n2) / 7)
 
 
 def _least_shared(n1: Column, n2: Column) -> Column:
     """Fewest shared prefix elements with which sets of these sizes can link."""
     rest = lambda n: F.ceil(0.75 * n) - 1
-    return F.ceil(3 * (n1 + n2) / 7) - F.greatest(rest(n1), rest(n2))
+    return F.greatest(_overlap(n1, n2) - F.greatest(rest(n1), rest(n2)), F.lit(1))
 
 
-def _plausible(pairs: DataFrame) -> DataFrame:
-    """Pairs of groups that share enough prefix elements, each once."""
-    n1, n2 = F.col("n1"), F.col("n2")
-    return pairs.groupBy("g1", "n1", "g2", "n2").agg(F.count("*").alias("c")).where(F.col("c") >= F.greatest(_least_shared(n1, n2), F.lit(1))).drop("c")
+def _some_shared(n1: Column, n2: Column) -> Column:
+    """A sixteenth of that: k. Linked sets share k of their first n - overlap + k elements,
+    as overlap - k common ones come after the k-th."""
+    return 1 + F.floor((_least_shared(n1, n2) - 1) / 16)
+
+
+def _reach(n: Column, m: Column) -> Column:
+    """How far into a set of n the first shared elements with a set of m can lie."""
+    return n - _overlap(n, m) + _some_shared(n, m)
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
     return (4 * a >= 3 * b) & (4 * b >= 3 * a)
 
 
-def chained(tokens: DataFrame) -> DataFrame:
-    """Group pairs from each list: with the next by size, and with the first."""
-    along = Window.partitionBy("token").orderBy("n", "gid")
-    before = F.struct(F.lag("gid").over(along).alias("g"), F.lag("n").over(along).alias("n"))
-    first = F.struct(F.first("gid").over(along).alias("g"), F.first("n").over(along).alias("n"))
-    rows = tokens.withColumns({"before": before, "first": first})
-    rows = rows.select("gid", "n", F.explode(F.array_distinct(F.array("before", "first"))).alias("o"))
-    rows = rows.where(F.col("o.g").isNotNull() & (F.col("o.g") != F.col("gid")) & _near_in_size(F.col("n"), F.col("o.n")))
-    low = F.col("o.g") < F.col("gid")
-    return _plausible(rows.select(
-        F.when(low, F.col("o.g")).otherwise(F.col("gid")).alias("g1"), F.when(low, F.col("o.n")).otherwise(F.col("n")).alias("n1"),
-        F.when(low, F.col("gid")).otherwise(F.col("o.g")).alias("g2"), F.when(low, F.col("n")).otherwise(F.col("o.n")).alias("n2"),
-    ))
+def nearest_leaders(tokens: DataFrame) -> DataFrame:
+    """At most two partners of each group: ``g1, n1, g2, n2``, linearly many.
+
+    A group is the more popular, the longer the lists that its prefix is in. In
+    each list it looks at the most popular group and at the next more popular
+    one; of all that are plausible it takes the most popular and the one with
+    which it shares most. A text and its many edited copies thus form a star.
+    """
+    in_list = F.count("*").over(Window.partitionBy("token"))
+    popular = tokens.withColumn("df", in_list).groupBy("gid", "n").agg((F.sum("df") / F.first("n")).alias("pop"))
+    rows = tokens.join(popular, ["gid", "n"])
+    along = Window.partitionBy("token").orderBy(F.desc("pop"), "gid", "n")
+    other = F.struct("pop", F.col("gid").alias("g"), F.col("n").alias("m"))
+    rows = rows.withColumns({"before": F.lag(other).over(along), "first": F.first(other).over(along)})
+    rows = rows.select("gid", "n", F.explode(F.array_distinct(F.array("before", "first"))).alias("o")).where("o is not null and o.g != gid")
+    rows = rows.select("gid", "n", "o.*").where(_near_in_size(F.col("n"), F.col("m")))
+    shared = rows.groupBy("gid", "n", "g", "m", "pop").agg(F.count("*").alias("c")).where(F.col("c") >= _least_shared(F.col("n"), F.col("m")))
+    best = shared.groupBy("gid", "n").agg(F.max(F.struct("pop", "g", "m")).alias("x"), F.max(F.struct("c", "g", "m")).alias("y"))
+    picked = F.explode(F.array_distinct(F.array(*(F.struct(f"{k}.g", f"{k}.m") for k in "xy"))))
+    return best.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), picked.alias("p")).select("g1", "n1", F.col("p.g").alias("g2"), F.col("p.m").alias("n2"))
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -249,14 +270,12 @@ def link(docs: DataFrame) -> DataFrame:
         signed.where("n > 0").groupBy("cls").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("id")), "classes"
     )
 
-    # Round one: linearly many pairs, between groups by one class of each, and along each group.
+    # Round one: linearly many pairs, between groups by one class of each, and within each group.
     heads = classes.groupBy("gid", "n").agg(F.min("cls").alias("cls"))
     head = lambda i, c: heads.select(F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("cls").alias(c))
-    across = chained(tokens).join(head(1, "a"), ["g1", "n1"]).join(head(2, "b"), ["g2", "n2"]).select("a", "b")
-    next_of = Window.partitionBy("gid", "n").orderBy("cls")
-    inside = classes.select(F.lag("cls").over(next_of).alias("a"), F.col("cls").alias("b")).where("a is not null")
+    across = nearest_leaders(tokens).join(head(1, "a"), ["g1", "n1"]).join(head(2, "b"), ["g2", "n2"]).select("a", "b")
     to_head = classes.join(heads.withColumnRenamed("cls", "a"), ["gid", "n"]).select("a", F.col("cls").alias("b")).where("a != b")
-    links = _verified(across.unionByName(inside).unionByName(to_head).distinct(), signed, docs)
+    links = _verified(across.unionByName(to_head).distinct(), signed, docs)
     labels = written(components(links), "labels")
 
     # Round two: what is left between different components, in full.
@@ -264,15 +283,34 @@ def link(docs: DataFrame) -> DataFrame:
         classes.join(labels, classes.cls == labels.node, "left").select("cls", "gid", "n", F.coalesce("label", "cls").alias("label")), "labelled"
     )
     parts = labelled.groupBy("gid", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    lists = tokens.join(parts, ["gid", "n"])
-    mixed = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("token")
-    lists = written(lists.join(mixed, "token", "left_semi"), "lists")
-    side = lambda i: lists.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "n", "low", "high")))
-    pairs = side(1).join(side(2), "token").where(
-        (F.col("gid1") < F.col("gid2")) & _near_in_size(F.col("n1"), F.col("n2"))
-        & ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
+
+    def mixed(lists: DataFrame) -> DataFrame:
+        """The lists that hold several components, with the smallest size in each."""
+        found = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min("n").alias("least"))
+        return lists.join(found.where("l != h").select("token", "least"), "token")
+
+    lists = mixed(tokens.join(parts, ["gid", "n"]))
+    smallest = F.greatest("least", F.ceil(0.75 * F.col("n")))
+    lists = lists.where(F.col("pos") <= _reach(F.col("n"), smallest)).drop("least")
+    lists = written(mixed(lists).drop("least"), "lists")
+    # Elements that the same groups hold make one list, so a pair meets once in it.
+    held_by = lists.groupBy("token").agg(
+        F.bit_xor(F.xxhash64("gid", "n")).alias("k1"), F.bit_xor(F.xxhash64("n", "gid")).alias("k2"), F.count("*").alias("k3")
     )
-    pairs = _plausible(pairs.select(F.col("gid1").alias("g1"), "n1", F.col("gid2").alias("g2"), "n2"))
+    lists = lists.join(held_by, "token").groupBy("k1", "k2", "k3", "gid", "n", "low", "high").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("token", "pos"))), lambda x: x["pos"]).alias("at"), F.min("pos").alias("pos")
+    )
+    keys = ["k1", "k2", "k3"]
+    side = lambda i: lists.select(*keys, *(F.col(c).alias(f"{c}{i}") for c in ("gid", "n", "at", "pos", "low", "high")))
+    n1, n2 = F.col("n1"), F.col("n2")
+    pairs = side(1).join(side(2), keys).where(
+        (F.col("gid1") < F.col("gid2")) & _near_in_size(n1, n2)
+        & (F.col("pos1") < _reach(n1, n2)) & (F.col("pos2") < _reach(n2, n1))
+        & ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
+    ).withColumns({"r1": _reach(n1, n2), "r2": _reach(n2, n1)})
+    early = F.size(F.filter(F.arrays_zip("at1", "at2"), lambda x: (x["at1"] < F.col("r1")) & (x["at2"] < F.col("r2"))))
+    pairs = pairs.groupBy(F.col("gid1").alias("g1"), "n1", F.col("gid2").alias("g2"), "n2").agg(F.sum(early).alias("c"))
+    pairs = pairs.where(F.col("c") >= _some_shared(n1, n2)).drop("c")
     own = parts.where("low != high").select(F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("gid").alias("g2"), F.col("n").alias("n2"))
     member = lambda i, c: labelled.select(F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
     rest = (
