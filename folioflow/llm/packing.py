@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ END_ID = 2
 #: Tokens that a task packs at once.
 BLOCK_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 15
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers, twice.
+CACHE_WORDS = 250_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long"
@@ -47,31 +48,77 @@ SCHEMA = (
 class WordTokenizer:
     """Token ids, as little-endian 32-bit bytes, of a tokenizer that drops white space.
 
-    White space always ends a token there, so words are looked up one by one and
-    only new ones are encoded.
+    White space always ends a token there and A-Z count as a-z, so lower-cased
+    words are looked up one by one. New ones are encoded together: a word of
+    letters ends at its token with the word-end suffix, others are set apart by a
+    mark, and one that ends in a letter and a single comma or full stop is put
+    together from two. Words are remembered in two generations of ``CACHE_WORDS``.
     """
 
+    MARK = "\x01"
+    SUFFIX = "</w>"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
-        self.encode.encode_special_tokens = True
+        self.encoder = Tokenizer.from_file(path)
+        self.encoder.encode_special_tokens = True
+        vocabulary = self.encoder.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for w, i in vocabulary.items() if w.endswith(self.SUFFIX)]] = True
+        self.mark = self._ids(self.MARK)
+        assert len(self.mark) == 1, "the mark must be one token"
+        self.ends = {p: self._ids(p.decode()).tobytes() for p in (b",", b".")}
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, words: list[str], ids: np.ndarray, start: list[int], end: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip([w.encode() for w in words], [raw[4 * a : 4 * b] for a, b in zip(start, end)]))
+
+    def _learn(self, words: set[bytes]) -> None:
+        ended = {w for w in words if w[-1:] in self.ends and w[-2:-1].isalpha()}
+        plain = [w.decode() for w in words - ended | {w[:-1] for w in ended} - self.known.keys()]
+        letters = [w for w in plain if w.isalpha() and (w.isascii() or w.lower().isalpha())]
+        marked = [w for w in set(plain).difference(letters) if self.MARK not in w]
+        if letters:
+            ids = self._ids(" ".join(letters))
+            cuts = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+            if len(cuts) == len(letters):
+                self._keep(letters, ids, [0, *cuts], cuts)
+            else:  # some word is more than one run of tokens
+                marked += letters
+        if marked:
+            ids = self._ids(f" {self.MARK} ".join(marked))
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist()
+            self._keep(marked, ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)])
+        for w in plain:
+            if self.MARK in w:
+                self.known[w.encode()] = self._ids(w).tobytes()
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.ends[w[-1:]]
 
     def texts(self, texts: list) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        fresh = list(new)
-        batch = self.encode.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        for w, e in zip(fresh, batch):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        split = [(t or "").encode().lower().split() for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        new = set().union(*split) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update({w: self.older[w] for w in again})
+        self._learn(new - again)
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its words serve later tasks too."""
+    return WordTokenizer(path)
+
+
 class Packer:
     """Packs documents ``(doc_id, ids)`` and gives pieces, a full window at a time."""
 
@@ -161,7 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS) -
     """One row per piece. ``tokenizer_path`` must exist on the executors."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 33, tiers)
         end = np.array([END_ID], "<u4").tobytes()
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -172,9 +219,9 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS) -
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
+            for at in range(0, len(ids), 512):
                 done = []
-                for doc_id, found in zip(ids[at : at + 256], tokenizer.texts(texts[at : at + 256])):
+                for doc_id, found in zip(ids[at : at + 512], tokenizer.texts(texts[at : at + 512])):
                     for window in packer.add(doc_id, found + end):
                         done += window
                     if packer.tokens >= BLOCK_TOKENS:
