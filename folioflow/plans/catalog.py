@@ -1,7 +1,439 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the driver's tables, with DuckDB SQL.
+
+No table holds comic pages, so conversations, documents and order lines stand in
+for pages, texts and boxes: a page is a conversation or an order, a balloon a
+turn or a line.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioflow.functions import geometry as g
+from folioflow.functions import profile, text as t
+from folioflow.operators import merge, order, runs
+from folioflow.plans import audit, translate
+from folioflow.sources import pages
+
+FLAGSHIP = "untranslated_audit"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "untranslated_audit"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each order line: ``page_id, pos, balloon_id, mask_id, bbox`` and the line's columns."""
+    x1, y1 = F.col("l_partkey") % 300, F.col("l_suppkey") % 50 + F.col("l_linenumber") * 12
+    box = g.box(*(c.cast("int") for c in (x1, y1, x1 + 20 + F.col("l_quantity").cast("int") * 4, y1 + 20 + F.col("l_partkey") % 60)))
+    return _read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").alias("balloon_id"),
+        F.col("l_linenumber").alias("mask_id"), box.alias("bbox"), "l_quantity", "l_returnflag", "l_linestatus", "l_partkey",
+    )
+
+
+BOXES = """
+boxes AS (
+  SELECT l_orderkey AS page_id, l_linenumber AS pos, x1, y1, x1 + 20 + l_quantity::INT * 4 AS x2, y1 + 20 + l_partkey % 60 AS y2,
+    l_quantity, l_returnflag, l_linestatus, l_partkey
+  FROM (SELECT *, l_partkey % 300 AS x1, l_suppkey % 50 + l_linenumber * 12 AS y1 FROM lineitem)
+)"""
+
+
+def _balloons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A balloon for each turn; the turn before stands in for its translation on every third conversation."""
+    turns = _read(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    translated = F.when(F.col("conv_id") % 3 == 0, F.col("text")).when(F.col("turn") % 5 == 4, F.lit("")).otherwise(before)
+    x = ((F.col("turn") * 37) % 90).cast("int")
+    return turns.select(
+        F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), F.col("text").alias("original"), translated.alias("translated"),
+        (F.col("turn") % 2 == 0).alias("ocr_suspect"), (F.char_length("text") > 700).alias("overflow"),
+        g.box(x, x, x + 180, x + 190).alias("bbox"), (1 / (1 + F.col("turn") % 3)).alias("size_ratio"),
+    )
+
+
+BALLOONS = r"""
+balloons AS (
+  SELECT conv_id AS page_id, turn AS pos, coalesce(text, '') AS original,
+    coalesce(CASE WHEN conv_id % 3 = 0 THEN text WHEN turn % 5 = 4 THEN '' ELSE lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END, '') AS translated,
+    turn % 2 = 0 AS ocr_suspect, length(text) > 700 AS overflow, (turn * 37) % 90 AS x1, 1 / (1 + turn % 3) AS size_ratio
+  FROM conversations
+), stripped AS (
+  SELECT * REPLACE (regexp_replace(original, '^\s+|\s+$', '', 'g') AS original, regexp_replace(translated, '^\s+|\s+$', '', 'g') AS translated) FROM balloons
+), pairs AS (
+  SELECT a.page_id, a.pos, b.pos AS other, greatest(180 - abs(a.x1 - b.x1), 0) * greatest(190 - abs(a.x1 - b.x1), 0) / (180 * 190) AS ratio,
+    lower(a.translated) = lower(b.translated) AS same_text
+  FROM stripped a JOIN stripped b ON a.page_id = b.page_id AND a.pos < b.pos AND a.translated != '' AND b.translated != ''
+), issues AS (
+  SELECT page_id, pos, 'to_transcribe' AS kind FROM stripped WHERE ocr_suspect AND translated = ''
+  UNION ALL SELECT page_id, pos, 'untranslated' FROM stripped WHERE original != '' AND original = translated AND len(regexp_extract_all(translated, '\S+')) > 1
+  UNION ALL SELECT page_id, pos, 'truncated' FROM stripped WHERE overflow AND translated != ''
+  UNION ALL SELECT page_id, pos, 'too_long' FROM stripped WHERE NOT (overflow AND translated != '') AND size_ratio < 0.75 AND original != '' AND translated != ''
+  UNION ALL SELECT page_id, pos, 'duplicate' FROM pairs WHERE ratio >= 0.8 AND (same_text OR ratio >= 0.65)
+)"""
+
+
+@query(f"""
+WITH {BALLOONS}
+SELECT page_id, (SELECT count(*) FROM balloons b WHERE b.page_id = p.page_id) AS balloons,
+  count(*) FILTER (kind = 'to_transcribe') AS to_transcribe, count(*) FILTER (kind = 'untranslated') AS untranslated,
+  count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (kind = 'too_long') AS too_long, count(*) FILTER (kind = 'duplicate') AS duplicate
+FROM (SELECT DISTINCT page_id FROM balloons) p LEFT JOIN issues USING (page_id) GROUP BY page_id
+""")
+def untranslated_audit(spark, sf_dir):
+    return audit.totals(_balloons(spark, sf_dir))
+
+
+@query(f"WITH {BALLOONS} SELECT page_id, pos, kind FROM issues")
+def audit_issues(spark, sf_dir):
+    return audit.issues(_balloons(spark, sf_dir)).select("page_id", "pos", "kind")
+
+
+@query()
+def audit_report(spark, sf_dir):
+    return audit.report(_balloons(spark, sf_dir))
+
+
+@query(r"""
+WITH said AS (
+  SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS batch, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text
+  FROM conversations WHERE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') != ''
+)
+SELECT conv_id, batch, count(*) AS n_lines, string_agg('[balloon ' || turn || '] ' || text, chr(10) ORDER BY turn) AS prompt FROM said GROUP BY conv_id, batch
+""")
+def prompt_batches(spark, sf_dir):
+    return translate.prompts(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0},
+  '\b(?:[a-z0-9-]+\.)+[a-z]{{2,}}(?:/[^\s]*)?\b|https?://[^\s]+|www\.[^\s]+', '', 'gi'),
+  '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}\b', '', 'g'), '\b\d{{3,}}[-\s]?\d{{3,}}[-\s]?\d{{3,}}\b', '', 'g'),
+  '\b(?:pag\.?\s*)?\d{{1,4}}\b', '', 'gi'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(f"SELECT page_id, {_CLEAN.format('url')} AS clean FROM pages")
+def clean_urls(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", t.clean(F.col("url")).alias("clean"))
+
+
+@query(f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def clean_text(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return docs.select("doc_id", t.clean(F.col("text")).alias("clean"))
+
+
+_SOUNDS = ", ".join(f"'{w}'" for w in t.SOUND_WORDS)
+_TRIPLES = "|".join(f"{c}{{3}}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@query(rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n\t]+')) AS word FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')
+), judged AS (
+  SELECT doc_id, upper(word) AS w FROM words
+)
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (w IN ({_SOUNDS}) OR regexp_matches(w, '^(?:{'|'.join(t.SOUND_WORDS)})!')
+  OR (length(w) <= 8 AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '{_TRIPLES}'))) AS n_sounds
+FROM judged GROUP BY doc_id
+""")
+def sound_effects(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))).alias("word"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(t.is_sound_effect(F.col("word"))).alias("n_sounds"))
+
+
+@query(r"""
+SELECT doc_id, regexp_matches(text, '[!?]{2,}') AS shout, regexp_matches(text, '\p{L}') AND NOT regexp_matches(text, '\p{Ll}') AS all_caps,
+  regexp_replace(text || '....', '\.{3,}', '…', 'g') AS ellipsis, length(text) > 250 AS overlong
+FROM documents
+""")
+def text_flags(spark, sf_dir):
+    text = F.col("text")
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", t.is_shout(text).alias("shout"), t.is_all_caps(text).alias("all_caps"),
+        t.normalize_ellipsis(F.concat(text, F.lit("...."))).alias("ellipsis"), t.is_overlong(text).alias("overlong"),
+    )
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS raw FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+bare AS (SELECT doc_id, raw, [lower(regexp_replace(x, '[^A-Za-z0-9_]', '', 'g')) FOR x IN raw] AS b FROM w)
+SELECT doc_id, coalesce(len([i FOR i IN range(1, len(raw)) IF b[i] = b[i + 1] AND b[i] != '' AND NOT regexp_matches(raw[i], '[,.;:!?…—-]$')
+  AND b[i] NOT IN ({", ".join(f"'{x}'" for x in t.REPEATABLE_WORDS)})]), 0) AS n_doubled FROM bare
+""")
+def doubled_words(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return docs.select("doc_id", F.size(t.doubled_words(F.col("text"))).cast("long").alias("n_doubled"))
+
+
+@query()
+def degenerate_zlib(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", t.zlib_ratio(F.col("text")).alias("ratio"))
+
+
+@query("""
+SELECT d.doc_id, sha256('English:Italian:' || d.text) AS key, b.item_id IS NOT NULL AS hit, b.item_id
+FROM documents d LEFT JOIN (SELECT min(item_id) AS item_id, text FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 7 = 0) GROUP BY text) b ON b.text = d.text
+""")
+def cache_key_lookup(spark, sf_dir):
+    key = t.cache_key(F.lit("English"), F.lit("Italian"), F.col("text"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    known = _read(spark, sf_dir, "benchmark").select("item_id", "text").union(docs.where("doc_id % 7 = 0"))
+    cache = known.withColumn("key", key).groupBy("key").agg(F.min("item_id").alias("translation"))
+    return merge.cache_lookup(docs.withColumn("key", key), cache).select("doc_id", "key", "hit", F.col("translation").alias("item_id"))
+
+
+@query(f"""
+WITH {BOXES}, banded AS (
+  SELECT *, count(*) OVER (PARTITION BY page_id) AS n,
+    round_even(((y1 + y2) / 2) / greatest(20, floor(0.6 * median(y2 - y1) OVER (PARTITION BY page_id))), 0) AS band, (x1 + x2) / 2 AS cx
+  FROM boxes
+)
+SELECT page_id, pos, CASE WHEN n > 1 THEN row_number() OVER (PARTITION BY page_id ORDER BY band, cx, pos) - 1 ELSE pos END AS balloon_id FROM banded
+""")
+def reading_order(spark, sf_dir):
+    return order.reading_order(_boxes(spark, sf_dir)).select("page_id", "pos", "balloon_id")
+
+
+@query(f"""
+WITH {BOXES}
+SELECT page_id, a_pos, b_pos, common / least(aa, ba) AS ratio, common / greatest(aa, ba) AS ratio_max, same_text FROM (
+  SELECT a.page_id, a.pos AS a_pos, b.pos AS b_pos, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba,
+    greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS common,
+    a.l_returnflag = b.l_returnflag AS same_text
+  FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.pos < b.pos)
+WHERE common / least(aa, ba) >= 0.8 AND (same_text OR common / greatest(aa, ba) >= 0.65)
+""")
+def bbox_duplicates(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).withColumn("translated", F.col("l_returnflag"))
+    return audit.duplicates(rows).select("page_id", "a_pos", "b_pos", "ratio", "ratio_max", "same_text")
+
+
+@query(f"""
+WITH {BOXES}
+SELECT page_id, pos, l_returnflag FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, l_returnflag ORDER BY l_linestatus != 'O', y1, pos) AS r FROM boxes) WHERE r = 1
+""")
+def group_collapse(spark, sf_dir):
+    rows = order.collapse_groups(_boxes(spark, sf_dir), "page_id", "l_returnflag", F.col("l_linestatus") == "O", ["bbox.y1", "pos"])
+    return rows.select("page_id", "pos", "l_returnflag")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_artifact(spark, sf_dir):
+    return merge.missing(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels"), ["doc_id"])
+
+
+_MASKS = f"""
+WITH {BOXES}, runs AS (SELECT page_id, pos AS mask_id, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM boxes),
+areas AS (SELECT page_id, mask_id, sum(x1 - x0) AS area FROM runs GROUP BY ALL),
+met AS (SELECT a.page_id, a.mask_id AS a_mask, b.mask_id AS b_mask, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS common
+  FROM runs a JOIN runs b ON a.page_id = b.page_id AND a.y = b.y AND a.mask_id != b.mask_id AND a.x0 < b.x1 AND b.x0 < a.x1 GROUP BY ALL)
+"""
+
+
+@query(_MASKS + "SELECT met.page_id, a_mask, b_mask, common::BIGINT AS common, common / area AS share FROM met JOIN areas ON areas.page_id = met.page_id AND areas.mask_id = a_mask")
+def mask_containment(spark, sf_dir):
+    return runs.contained(runs.from_boxes(_boxes(spark, sf_dir))).select("page_id", "a_mask", "b_mask", F.col("common").cast("long"), "share")
+
+
+@query(_MASKS + """SELECT page_id, a_mask, b_mask, common FROM (
+  SELECT met.page_id, a_mask, b_mask, common::BIGINT AS common, area, row_number() OVER (PARTITION BY met.page_id, a_mask ORDER BY common DESC, b_mask) AS r
+  FROM met JOIN areas ON areas.page_id = met.page_id AND areas.mask_id = a_mask WHERE a_mask % 2 = 1 AND b_mask % 2 = 0)
+WHERE r = 1 AND common >= 0.8 * area""")
+def best_overlap(spark, sf_dir):
+    masks = runs.from_boxes(_boxes(spark, sf_dir))
+    found = runs.best_overlap(masks.where("mask_id % 2 = 1"), masks.where("mask_id % 2 = 0"))
+    return found.select("page_id", "a_mask", "b_mask", F.col("common").cast("long").alias("common"))
+
+
+@query()
+def mask_dedupe(spark, sf_dir):
+    return runs.drop_contained(runs.from_boxes(_boxes(spark, sf_dir)))
+
+
+@query(f"""
+WITH {BOXES}, runs AS (SELECT page_id, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM boxes),
+marked AS (SELECT *, coalesce(x0 > max(x1) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS o FROM runs),
+numbered AS (SELECT *, sum(o) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS r FROM marked),
+merged AS (SELECT page_id, y, max(x1) - min(x0) AS w FROM numbered GROUP BY page_id, y, r)
+SELECT page_id, sum(w)::BIGINT AS area, count(*) AS n_runs FROM merged GROUP BY page_id
+""")
+def mask_union(spark, sf_dir):
+    merged = runs.union(runs.from_boxes(_boxes(spark, sf_dir)), ["page_id"])
+    return merged.groupBy("page_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"), F.count("*").alias("n_runs"))
+
+
+@query(f"""
+WITH {BOXES}, hits AS (
+  SELECT p.page_id, p.pos, b.pos AS bubble, row_number() OVER (PARTITION BY p.page_id, p.pos ORDER BY b.pos) AS r
+  FROM boxes p JOIN boxes b ON p.page_id = b.page_id AND p.pos % 2 = 1 AND b.pos % 2 = 0
+    AND (p.x1 + p.x2) // 2 >= b.x1 AND (p.x1 + p.x2) // 2 < b.x2 AND (p.y1 + p.y2) // 2 >= b.y1 AND (p.y1 + p.y2) // 2 < b.y2
+)
+SELECT page_id, pos, bubble, row_number() OVER (PARTITION BY page_id, bubble ORDER BY pos) = 1 AS claims FROM hits WHERE r = 1
+""")
+def point_in_mask(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    mid = lambda a, b: F.floor((F.col(f"bbox.{a}") + F.col(f"bbox.{b}")) / 2).cast("int")
+    points = boxes.where("pos % 2 = 1").select("page_id", "pos", mid("x1", "x2").alias("cx"), mid("y1", "y2").alias("cy"))
+    masks = runs.from_boxes(boxes.where("pos % 2 = 0")).withColumn("mask_pos", F.col("mask_id"))
+    return runs.assign_points(points, masks).select("page_id", "pos", F.col("mask_id").alias("bubble"), "claims")
+
+
+@query("""
+WITH w AS (SELECT vec_id, [abs(x * 100)::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+i AS (SELECT vec_id, [floor(x)::INT FOR x IN v] AS v FROM w)
+SELECT vec_id, [round_even(list_sum(v[greatest(k - 3, 1):least(k + 3, len(v))]) / len(v[greatest(k - 3, 1):least(k + 3, len(v))]), 0)::INT FOR k IN range(1, len(v) + 1)] AS smoothed FROM i
+""")
+def width_smooth(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select("vec_id", profile.smooth(_widths()).alias("smoothed"))
+
+
+def _widths():
+    return F.transform("embedding", lambda x: F.floor(F.abs(x * 100).cast("double")).cast("int"))
+
+
+@query()
+def width_shape(spark, sf_dir):
+    trimmed = profile.trim_taper(_widths())
+    return _read(spark, sf_dir, "embeddings").select("vec_id", trimmed["first"].alias("first"), trimmed["last"].alias("last"), profile.waist(_widths(), F.lit(0)).alias("waist"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS page_id, l_quantity, 0.6 * median(l_quantity) OVER (PARTITION BY l_orderkey) AS floor FROM lineitem)
+SELECT page_id, min(l_quantity) FILTER (l_quantity >= floor) AS uniform_size, count(*) FILTER (l_quantity < floor) AS n_free FROM f GROUP BY page_id
+""")
+def uniform_font(spark, sf_dir):
+    return order.uniform_size(_boxes(spark, sf_dir), "page_id", "l_quantity")
+
+
+@query("""
+WITH f AS (SELECT p_partkey AS pos, p_partkey % 3 = 0 AS b, p_partkey % 4 = 0 AS h, p_partkey % 10 = 0 AS avoid, p_partkey % 7 = 0 AS preferred FROM part WHERE p_partkey <= 50),
+w AS (SELECT p_partkey, p_size % 2 = 0 AS b, p_size % 3 = 0 AS h, p_size % 5 = 0 AS c FROM part),
+s AS (SELECT p_partkey, pos, greatest(-1, 3 * (w.b = f.b)::INT + 4 * (w.h = f.h)::INT + (w.c AND NOT f.h)::INT - 2 * (w.b AND NOT f.b)::INT - 3 * (w.h AND NOT f.h)::INT
+  - 10 * f.avoid::INT + 2 * (f.preferred AND NOT w.h)::INT) AS score FROM w, f)
+SELECT p_partkey, 'font' || pos AS font_path, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, pos) AS r FROM s) WHERE r = 1
+""")
+def font_match(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    wanted = part.select("p_partkey", (F.col("p_size") % 2 == 0).alias("is_bold"), (F.col("p_size") % 3 == 0).alias("is_handwritten"), (F.col("p_size") % 5 == 0).alias("is_all_caps"))
+    k = F.col("p_partkey")
+    fonts = part.where(k <= 50).select(k.alias("pos"), F.concat(F.lit("font"), k).alias("path"), (k % 3 == 0).alias("is_bold"), (k % 4 == 0).alias("is_handwritten"), (k % 10 == 0).alias("avoid"), (k % 7 == 0).alias("preferred"))
+    return merge.best_font(wanted, fonts, "p_partkey")
+
+
+@query("""
+WITH m AS (SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true)::INT AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM m)
+SELECT user_id, run, count(*) AS n_rows FROM r GROUP BY user_id, run HAVING count(*) >= 3
+""")
+def row_clusters(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    start = F.coalesce(F.col("ts") - F.col("previous.ts") > F.expr("INTERVAL 6 HOURS"), F.lit(True))
+    return order.row_clusters(events, "user_id", ["ts", "event_id"], start)
+
+
+_EXPORT = r"""
+SELECT conv_id, '=== ' || conv_id || ' ===' || chr(10) || string_agg('[' || turn || '] ORIGINALE: ' || replace(text, chr(10), ' ') || chr(10)
+  || '[' || turn || '] TRADOTTO: ' || replace(role, chr(10), ' '), chr(10) ORDER BY turn) || chr(10) AS exported FROM conversations GROUP BY conv_id
+"""
+
+
+@query(_EXPORT)
+def text_export(spark, sf_dir):
+    return pages.export_text(_read(spark, sf_dir, "conversations"), "conv_id", "turn", {"ORIGINALE": "text", "TRADOTTO": "role"})
+
+
+@query(r"SELECT conv_id, turn, replace(text, chr(10), ' ') AS text, role, text LIKE '%' || chr(10) || '%' AS changed FROM conversations")
+def import_merge(spark, sf_dir):
+    """Export, parse the lines again, and merge them: only line breaks change."""
+    turns = _read(spark, sf_dir, "conversations")
+    exported = pages.export_text(turns, "conv_id", "turn", {"ORIGINALE": "text", "TRADOTTO": "role"})
+    lines = exported.select("conv_id", F.posexplode(F.split("exported", "\n")).alias("i", "line"))
+    parsed = pages.parse_export(lines, "conv_id", "i", "line", {"ORIGINALE": "text", "TRADOTTO": "role"})
+    updates = parsed.select(F.col("page").cast("long").alias("conv_id"), F.col("balloon").cast("long").alias("turn"), "text", "role")
+    return merge.import_texts(turns, updates, ["conv_id", "turn"], ["text", "role"]).select("conv_id", "turn", "text", "role", "changed")
+
+
+@query("""
+SELECT o_custkey, bool_or(o_orderkey % 3 = 0 AND o_orderkey % 4 != 0) AS gained,
+  bool_or((CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE o_orderstatus END) != (CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END)) AS changed FROM orders GROUP BY o_custkey
+""")
+def diff_gain(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    old = orders.withColumn("text", F.when(F.col("o_orderkey") % 3 == 0, F.lit("-")).otherwise(F.col("o_orderstatus")))
+    new = orders.withColumn("text", F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.col("o_orderstatus")))
+    return merge.gained_text(old, new, "o_custkey", ["o_orderkey"], "text")
+
+
+@query("""
+WITH e AS (SELECT conv_id, turn, text, role FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'edited' ELSE text END AS text, CASE WHEN turn % 4 = 2 THEN 'styled' ELSE role END AS role FROM e WHERE turn % 5 != 4
+UNION ALL SELECT conv_id, 1000, 'new', 'user' FROM (SELECT DISTINCT conv_id FROM conversations)
+""")
+def fold_edits(spark, sf_dir):
+    """Edits as a log: two texts in a row, a style, a deletion and a new balloon."""
+    turns = _read(spark, sf_dir, "conversations")
+    edit = lambda rows, seq, op, text, role: rows.select("conv_id", "turn", F.lit(seq).alias("seq"), F.lit(op).alias("op"), text.cast("string").alias("text"), role.cast("string").alias("role"))
+    none = F.lit(None)
+    log = (
+        edit(turns.where("turn % 3 = 1"), 1, "set", F.lit("first"), none)
+        .unionByName(edit(turns.where("turn % 3 = 1"), 2, "set", F.lit("edited"), none))
+        .unionByName(edit(turns.where("turn % 4 = 2"), 3, "set", none, F.lit("styled")))
+        .unionByName(edit(turns.where("turn % 5 = 4"), 4, "delete", none, none))
+        .unionByName(edit(turns.select("conv_id").distinct().withColumn("turn", F.lit(1000).cast("long")), 5, "insert", F.lit("new"), F.lit("user")))
+    )
+    return merge.fold_edits(turns.select("conv_id", "turn", "text", "role"), log, ["conv_id", "turn"], ["text", "role"])
+
+
+@query(r"SELECT page_id, [x FOR x IN regexp_extract_all(html, '>([^<>]+)<', 1) IF regexp_replace(x, '^\s+|\s+$', '', 'g') != ''] AS texts FROM pages")
+def html_text(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", t.html_texts(F.col("html")).alias("texts"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
+def retain_20(spark, sf_dir):
+    return order.keep_newest(_read(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
+
+
+@query("""
+SELECT doc_id, greatest(trunc(length(text) * r * r)::INT, trunc(n_chars * 0.9)::INT, trunc(length(text) * 0.6)::INT) AS target
+FROM (SELECT *, (doc_id % 100) / 100 AS r FROM documents)
+""")
+def shorten_target(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", g.shortening_target(F.col("text"), F.col("text"), (F.col("doc_id") % 100) / 100).alias("target"))
+
+
+@query("""
+WITH k AS (SELECT p_brand, p_size // 8 AS bucket, count(*) AS n, avg(p_size) AS mean FROM part GROUP BY ALL)
+SELECT p_brand, arg_max(bucket, n * 100 - bucket) AS bucket, max(n) AS n, arg_max(mean, n * 100 - bucket) AS mean FROM k GROUP BY p_brand
+""")
+def dominant_bucket(spark, sf_dir):
+    counts = _read(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_size") / 8).alias("bucket")).agg(F.count("*").alias("n"), F.avg("p_size").alias("mean"))
+    rank = F.struct("n", -F.col("bucket"))
+    return counts.groupBy("p_brand").agg(F.max_by("bucket", rank).alias("bucket"), F.max("n").alias("n"), F.max_by("mean", rank).alias("mean"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN text = '' AND role = '' THEN 'discarded' WHEN role = '' THEN 'to translate' WHEN role = '-' THEN 'sound effect' ELSE 'ok' END AS status
+FROM (SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN '-' ELSE role END AS role FROM conversations)
+""")
+def review_status(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.lit("-")).otherwise(F.col("role"))
+    return turns.select("conv_id", "turn", t.review_status(F.col("text"), said).alias("status"))
