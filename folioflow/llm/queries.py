@@ -11,9 +11,9 @@ from .common import documents, is_held_out, shared_path, written
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, each row a ``message`` event, plus conversation -1."""
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
-        "conv_id long, turn long, role string, text string",
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') "
+        "AS t(conv_id, turn, role, text)"
     )
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     events = turns.select("conv_id", "turn", "role", "text").unionByName(extra).select(
