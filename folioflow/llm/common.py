@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 #: Arrow batches that Python steps take in are no larger; a worker holds a few of them.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -65,6 +68,30 @@ def small_batches(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+def map_batches(df: DataFrame, step: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over small batches; a worker gives its free memory back after each task."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return small_batches(df, *df.columns).mapInArrow(tidy, schema)
+
+
+_model: dict = {}
+
+
+def worker_model(key: tuple, build: Callable):
+    """What a Python worker builds once and keeps for later tasks; only the latest is kept."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = build()
+    return _model[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, small_batches, written
+from .common import sized, map_batches, written
 from .shingles import shingle_set
 
 SIZE = 5
@@ -46,7 +46,7 @@ SIZE = 5
 FREQUENT_MOST = 1 << 16
 FREQUENT_LEAST = 32
 #: Shingles that a task counts at once.
-COUNT_BLOCK = 1 << 21
+COUNT_BLOCK = 1 << 20
 
 
 def digest(tokens: np.ndarray, size: int) -> bytes:
@@ -88,7 +88,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT_MOST, least: int = F
         if held:
             yield counted()
 
-    counts = small_batches(docs, "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select("text"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
     return np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 names=["doc_id", "n", "cls", "gid", "prefix"],
             )
 
-    return small_batches(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n long, cls binary, gid long, prefix array<long>")
+    return map_batches(docs.select("doc_id", "text"), sign, "doc_id long, n long, cls binary, gid long, prefix array<long>")
 
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def shared_tokens(signed: DataFrame) -> DataFrame:
     """``token, gid, n, pos``: prefix elements that at least two groups hold, with their place."""
     rows = signed.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid", "n")
     rows = rows.select("token", "gid", "n", "pos").repartition("token").sortWithinPartitions("token", "gid")
-    return rows.mapInArrow(_keep_shared, "token long, gid long, n long, pos int")
+    return map_batches(rows, _keep_shared, "token long, gid long, n long, pos int")
 
 
 def _overlap(n1: Column, n2: Column) -> Column:
@@ -206,8 +206,22 @@ def nearest_leaders(tokens: DataFrame) -> DataFrame:
     return best.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), picked.alias("p")).select("g1", "n1", F.col("p.g").alias("g2"), F.col("p.m").alias("n2"))
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of class pairs ``a, b``, those whose whole sets are similar enough."""
+def _joined(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of both their sets."""
+    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _linked(common: Column, n1: Column, n2: Column) -> Column:
+    return 100 * common >= 75 * (n1 + n2 - common)
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, screen: bool = False) -> DataFrame:
+    """Of class pairs ``a, b``, those whose whole sets are similar enough.
+
+    With ``screen``, where few will be, 16 bits of each element tell first for
+    most pairs that too little can be common: they never understate it.
+    """
     pairs = written(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     ids = written(
@@ -223,15 +237,17 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame
                 names=["cls", "elements"],
             )
 
-    found = small_batches(texts, "text").mapInArrow(sets, "cls binary, elements array<long>").groupBy("cls").agg(F.first("elements").alias("elements"))
-    found = written(found, "sets")
-    both = (
-        pairs.join(found.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a")
-        .join(found.select(F.col("cls").alias("b"), F.col("elements").alias("eb")), "b")
-    )
-    common = F.size(F.array_intersect("ea", "eb"))
-    union = F.size("ea") + F.size("eb") - common
-    return written(both.where(100 * common >= 75 * union).select("a", "b"), "links")
+    found = map_batches(texts.select("text"), sets, "cls binary, elements array<long>").groupBy("cls").agg(F.first("elements").alias("elements"))
+    brief = F.array_distinct(F.transform("elements", lambda x: ((x.bitwiseAND(65535)) - 32768).cast("short")))
+    found = written(found.withColumns({"n": F.size("elements"), "brief": brief}), "sets")
+    if screen:
+        lost = F.least(*(F.col(f"n_{c}") - F.size(f"brief_{c}") for c in "ab"))
+        most = F.size(F.array_intersect("brief_a", "brief_b")) + lost
+        near = _joined(pairs, found, "n", "brief").where(_linked(F.least(most, "n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+        pairs = written(near.select("a", "b"), "screened")
+    common = F.size(F.array_intersect("elements_a", "elements_b"))
+    both = _joined(pairs, found, "n", "elements").where(_linked(common, F.col("n_a"), F.col("n_b")))
+    return written(both.select("a", "b"), "links")
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -317,7 +333,7 @@ def link(docs: DataFrame) -> DataFrame:
         pairs.unionByName(own).join(member(1, "a"), ["g1", "n1"]).join(member(2, "b"), ["g2", "n2"])
         .where("la != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    more = _verified(rest.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), signed, docs)
+    more = _verified(rest.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), signed, docs, screen=True)
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
 

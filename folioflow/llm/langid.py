@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import map_batches, worker_model
 
 TRAIN_CHARS = 24_000
 DOC_CHARS = (200, 4_000)
@@ -118,8 +118,7 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=2)
-def _model(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _build(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names, symbol of each code point, all tables one after another, their first rows, bits a phrase."""
     texts = {k: _letters(v) for k, v in samples}
     counts = Counter()
@@ -165,7 +164,7 @@ def predict_batch(texts: list, samples: tuple) -> tuple[list, list]:
     """Language and score of each text."""
     if not samples:
         return ["und"] * len(texts), [0.0] * len(texts)
-    names, symbol, tables, first, bits = _model(samples)
+    names, symbol, tables, first, bits = worker_model(("languages", samples), lambda: _build(samples))
     labels, scores = ["und"] * len(texts), [0.0] * len(texts)
     rows = [symbol[_letters(t)] if t else np.zeros(0, np.uint8) for t in texts]
     owner = np.repeat(np.arange(len(rows)), [-(-len(r) // BLOCK) for r in rows])
@@ -212,4 +211,4 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return small_batches(docs, *names).mapInArrow(of, schema)
+    return map_batches(docs, of, schema)

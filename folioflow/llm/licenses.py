@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import map_batches
 from .shingles import gram_hashes, word_hashes
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 2, 8, 0.8
@@ -171,4 +171,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return small_batches(docs, "doc_id", "text").mapInArrow(of, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), of, SCHEMA)

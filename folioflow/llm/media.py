@@ -43,7 +43,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import small_batches
+from .common import map_batches, small_batches
 
 WIDTH = 64
 MANIFEST = "_manifest.json"
@@ -294,4 +294,4 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return small_batches(media, "doc_id", "media", "error").mapInArrow(of, FEATURE_SCHEMA)
+    return map_batches(media.select("doc_id", "media", "error"), of, FEATURE_SCHEMA)

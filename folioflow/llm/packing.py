@@ -23,14 +23,13 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import map_batches, worker_model
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -113,12 +112,6 @@ class WordTokenizer:
         return [b"".join(map(look, words)) for words in split]
 
 
-@lru_cache(maxsize=1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that its words serve later tasks too."""
-    return WordTokenizer(path)
-
-
 class Packer:
     """Packs documents ``(doc_id, ids)`` and gives pieces, a full window at a time."""
 
@@ -208,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS) -
     """One row per piece. ``tokenizer_path`` must exist on the executors."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(tokenizer_path)
+        tokenizer = worker_model(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         packer = Packer(TaskContext.get().partitionId() << 33, tiers)
         end = np.array([END_ID], "<u4").tobytes()
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -233,4 +226,4 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS) -
         if done:
             yield rows(done)
 
-    return small_batches(docs, "doc_id", "text").mapInArrow(of, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), of, SCHEMA)

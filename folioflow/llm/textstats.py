@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import map_batches
 
 FIELDS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -68,4 +68,4 @@ def statistics(docs: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"{x} long" for x in ("doc_id", *FIELDS))
-    return small_batches(docs, "doc_id", "text").mapInArrow(of, schema)
+    return map_batches(docs.select("doc_id", "text"), of, schema)
