@@ -22,11 +22,11 @@ REPEATABLE_WORDS = (
 ).split()
 #: Language names in cache keys.
 CACHE_LANGUAGES = {"en": "English", "fr": "French", "it": "Italian"}
-#: Fixed patterns, applied in this order by ``clean``.
-URL = r"(?i)\b(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?:/[^\s]*)?\b|https?://[^\s]+|www\.[^\s]+"
-EMAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
-PHONE = r"\b\d{3,}[-\s]?\d{3,}[-\s]?\d{3,}\b"
-PAGE_NUMBER = r"(?i)\b(?:pag\.?\s*)?\d{1,4}\b"
+#: Fixed patterns, applied in this order by ``clean``; word borders are those of Unicode.
+URL = r"(?iU)\b(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?:/[^\s]*)?\b|https?://[^\s]+|www\.[^\s]+"
+EMAIL = r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
+PHONE = r"(?U)\b\d{3,}[-\s]?\d{3,}[-\s]?\d{3,}\b"
+PAGE_NUMBER = r"(?iU)\b(?:pag\.?\s*)?\d{1,4}\b"
 
 
 def strip(text: Column) -> Column:

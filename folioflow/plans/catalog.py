@@ -130,10 +130,9 @@ def clean_urls(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", t.clean(F.col("url")).alias("clean"))
 
 
-@query(f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents")
 def clean_text(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", t.clean(F.col("text")).alias("clean"))
+    return _read(spark, sf_dir, "documents").select("doc_id", t.clean(F.col("text")).alias("clean"))
 
 
 _SOUNDS = ", ".join(f"'{w}'" for w in t.SOUND_WORDS)
@@ -142,7 +141,7 @@ _TRIPLES = "|".join(f"{c}{{3}}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 @query(rf"""
 WITH words AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n\t]+')) AS word FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n\t]+')) AS word FROM documents
 ), judged AS (
   SELECT doc_id, upper(word) AS w FROM words
 )
@@ -151,8 +150,7 @@ SELECT doc_id, count(*) AS n_words, count(*) FILTER (w IN ({_SOUNDS}) OR regexp_
 FROM judged GROUP BY doc_id
 """)
 def sound_effects(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))).alias("word"))
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))).alias("word"))
     return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(t.is_sound_effect(F.col("word"))).alias("n_sounds"))
 
 
@@ -170,14 +168,13 @@ def text_flags(spark, sf_dir):
 
 
 @query(rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS raw FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
-bare AS (SELECT doc_id, raw, [lower(regexp_replace(x, '[^A-Za-z0-9_]', '', 'g')) FOR x IN raw] AS b FROM w)
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS raw FROM documents),
+bare AS (SELECT doc_id, raw, [lower(regexp_replace(x, '[^\p{{L}}\p{{M}}\p{{N}}_]', '', 'g')) FOR x IN raw] AS b FROM w)
 SELECT doc_id, coalesce(len([i FOR i IN range(1, len(raw)) IF b[i] = b[i + 1] AND b[i] != '' AND NOT regexp_matches(raw[i], '[,.;:!?…—-]$')
   AND b[i] NOT IN ({", ".join(f"'{x}'" for x in t.REPEATABLE_WORDS)})]), 0) AS n_doubled FROM bare
 """)
 def doubled_words(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", F.size(t.doubled_words(F.col("text"))).cast("long").alias("n_doubled"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(t.doubled_words(F.col("text"))).cast("long").alias("n_doubled"))
 
 
 @query()
