@@ -92,6 +92,14 @@ def worker_model(key: tuple, build: Callable):
     return _model[key]
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, map_batches, written
+from .common import fresh, map_batches, sized, written
 from .shingles import shingle_set
 
 SIZE = 5
@@ -349,6 +349,6 @@ def link(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Keep of each component only the document with its smallest id; all columns stay."""
-    found = link(docs)
-    gone = written(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(sized(gone, 24), F.col("doc_id") == F.col("gone"), "left_anti")
+    found, gone = link(docs), fresh("gone", docs)
+    others = written(found.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return docs.join(sized(others, 24), F.col("doc_id") == F.col(gone), "left_anti")

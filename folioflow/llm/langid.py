@@ -191,7 +191,8 @@ def predict_batch(texts: list, samples: tuple) -> tuple[list, list]:
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to ``docs``, whose columns all stay."""
+    """Adds ``lang_pred`` and ``score`` to ``docs``; other columns all stay, those of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     frozen = tuple(sorted(samples.items()))
     names = docs.columns
 

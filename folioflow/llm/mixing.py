@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, whole_text, word_count, written
+from .common import fresh, sized, whole_text, word_count, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -172,9 +172,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Only the last document of a draw is taken in part; rounding keeps it whole or
     leaves it out. Rows with one id share their copies. All columns stay.
     """
-    plan = mix(docs, **options).groupBy("doc_id").agg(
-        F.rint(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("times")
+    key, times, copy = (fresh(c, docs) for c in ("id", "times", "copy"))
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(
+        F.rint(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(times)
     )
-    plan = written(plan.where("times > 0").withColumnRenamed("doc_id", "id"), "plan")
-    rows = docs.join(sized(plan, 32), F.col("doc_id").eqNullSafe(F.col("id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    plan = written(plan.where(F.col(times) > 0), "plan")
+    rows = docs.join(sized(plan, 32), F.col("doc_id").eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

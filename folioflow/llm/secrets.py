@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, whole_text, written
+from .common import fresh, sized, whole_text, written
 
 #: kind: (pattern, group holding the value, fewest characters of it, role, strong).
 #: Fixed patterns; assign keeps its open-ended value since a short match must still consume text.
@@ -103,6 +103,7 @@ def redact(docs: DataFrame, mark: str = "[redacted]", window: int = WINDOW) -> D
     Overlapping spans become one. Only texts with a span are joined, by id and a
     hash of the text, so equal rows get equal results.
     """
+    key, hashed, cuts = (fresh(c, docs) for c in ("id", "text_hash", "spans"))
     found = spans(docs, window).where("kind is not null and reported")
     along = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -111,18 +112,18 @@ def redact(docs: DataFrame, mark: str = "[redacted]", window: int = WINDOW) -> D
         opens.withColumn("part", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .groupBy("row", "doc_id", "text_hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-        .groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.first("spans").alias("spans"))
+        .groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).agg(F.first("spans").alias(cuts))
     )
-    text, n = F.col("text"), F.size("spans")
+    text, n = F.col("text"), F.size(cuts)
     pieces = F.transform(
         F.sequence(F.lit(0), n),
         lambda i: F.substr(
             text,
-            (F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"]) + 1).cast("int"),
-            (F.coalesce(F.get("spans", i)["start"], F.char_length(text)) - F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"])).cast("int"),
+            (F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]) + 1).cast("int"),
+            (F.coalesce(F.get(cuts, i)["start"], F.char_length(text)) - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])).cast("int"),
         ),
     )
     joined = docs.join(
-        sized(written(merged, "secrets"), 200), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(whole_text()) == F.col("text_hash")), "left"
+        sized(written(merged, "secrets"), 200), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(whole_text()) == F.col(hashed)), "left"
     )
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), F.array_join(pieces, mark)).otherwise(text)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(cuts).isNotNull(), F.array_join(pieces, mark)).otherwise(text)).select(*docs.columns)
