@@ -143,7 +143,7 @@ _TRIPLES = "|".join(f"{c}{{3}}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n\t]+')) AS word FROM documents
 ), judged AS (
-  SELECT doc_id, upper(word) AS w FROM words
+  SELECT doc_id, upper(replace(word, 'ß', 'SS')) AS w FROM words -- full case mapping
 )
 SELECT doc_id, count(*) AS n_words, count(*) FILTER (w IN ({_SOUNDS}) OR regexp_matches(w, '^(?:{'|'.join(t.SOUND_WORDS)})!')
   OR (length(w) <= 8 AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '{_TRIPLES}'))) AS n_sounds
