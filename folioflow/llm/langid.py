@@ -3,17 +3,21 @@
 For every language a suffix automaton of a bounded training text gives, from any
 position of a text, the longest match with the training text. A text is parsed
 greedily into such longest matches; the language whose automaton needs the
-fewest phrases, normalised by log2 of its training length, wins.
+fewest phrases, normalised by log2 of its training length, wins. A letter that
+the language's training text lacks costs its spelling besides, so that a language
+of few training letters does not win by its cheap phrases.
 
 Texts are parsed in blocks of ``BLOCK`` characters, so that all blocks of a batch
-and all languages advance together as numpy lanes through dense transition
+and many languages advance together as numpy lanes through packed transition
 tables; a block border ends a phrase in every language alike. Whole texts are
 parsed. Characters are lower-cased; runs of anything but letters are one space.
+Every letter of any training text is told apart.
 
-Training: distinct labelled texts of ``DOC_CHARS`` length, in the order of a hash
-of the text, until ``TRAIN_CHARS`` characters per language are reached; at most
-``MOST_LANGUAGES`` languages, the most frequent first. These are the only rows
-that reach the driver.
+Training: every label is learned, from distinct texts with a letter, of any length,
+until ``TRAIN_CHARS`` characters are reached. Texts are cut into pieces of ``PIECE``
+characters; first come the first pieces of texts of ``SHORT`` characters or more,
+then their second pieces and so on, then shorter texts; within these in the order
+of a hash of the text. These are the only rows that reach the driver.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
 ties go to the language first in code-point order; without any training text all
@@ -23,7 +27,6 @@ tables give no rows; other columns are not read in predictions.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,11 +39,10 @@ from pyspark.sql import types as T
 from .common import map_batches, worker_model
 
 TRAIN_CHARS = 24_000
-DOC_CHARS = (200, 4_000)
-MOST_LANGUAGES = 32
-#: Symbols kept apart: the training texts' most frequent letters; others are unknown.
-ALPHABET = 126
+SHORT, PIECE = 200, 4_000
 BLOCK = 512
+#: Languages that are parsed at once.
+TOGETHER = 64
 #: Letters that are parsed at once.
 LANES = 1 << 22
 SHARPNESS = 8.0
@@ -48,18 +50,30 @@ SHARPNESS = 8.0
 
 def training_texts(docs: DataFrame, chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Training text of each language, from ``text`` and ``lang`` of ``docs``."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    fit = known.where(F.char_length("text").between(*DOC_CHARS))
-    counts = fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    # About four times the rows needed pass this filter; what remains is bounded.
-    wanted = 4 * chars // DOC_CHARS[0]
-    shares = {r["lang"]: min(1.0, wanted / r["n"]) for r in counts.collect()}
-    if not shares:
+    u = F.xxhash64("text").bitwiseAND((1 << 63) - 1)
+    fit = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", u.alias("u"), F.char_length("text").alias("n"))
+    # Pieces are taken step by step; a step holds those of one rank whose hashes have the same number of bits.
+    most = -(-chars // PIECE)
+    rank = F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.ceil(F.col("n") / PIECE).cast("int")) - 1))
+    step = F.when(F.col("n") < SHORT, most).otherwise(F.col("piece")) * 64 + F.ceil(F.log2(F.col("u") + 1.0)).cast("int")
+    size = F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE)
+    cut = lambda rows: rows.withColumn("piece", rank).withColumns({"step": step, "size": size})
+    sizes = cut(fit.select("lang", "u", "n")).groupBy("lang", "step").agg(F.sum("size").alias("size"))
+    # Up to its last step a language has the characters wanted, or all it has.
+    last: dict[str, int] = {}
+    have: dict[str, int] = {}
+    for r in sorted(sizes.collect(), key=lambda r: r["step"]):
+        if have.get(r["lang"], 0) < chars:
+            last[r["lang"]] = r["step"]
+            have[r["lang"]] = have.get(r["lang"], 0) + r["size"]
+    if not last:
         return {}
-    share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("lang"))
-    some = fit.where(F.col("lang").isin(*shares)).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "h"])
-    upto = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = some.withColumn("before", F.coalesce(F.sum(F.char_length("text")).over(upto), F.lit(0))).where(F.col("before") < chars)
+    lasts = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last int")
+    some = cut(fit.join(F.broadcast(lasts), "lang")).where("step <= last").select(
+        "lang", "u", "piece", "step", "size", F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("text")
+    ).dropDuplicates(["lang", "u", "piece"])
+    upto = Window.partitionBy("lang").orderBy("step", "u").rowsBetween(Window.unboundedPreceding, -1)
+    rows = some.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("before") < chars)
     texts: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["before"])):
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -84,8 +98,8 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
     return _letter_table()[points]
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Dense transitions of the automaton of all factors of ``symbols``; -1: none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all factors of ``symbols``."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -111,79 +125,110 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    table = np.full((len(follow), alphabet), -1, np.int32)
-    for state, edges in enumerate(follow):
-        for s, to in edges.items():
-            table[state, s] = to
-    return table
+    return follow
 
 
-def _build(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, symbol of each code point, all tables one after another, their first rows, bits a phrase."""
+def packed(follow: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``base, owner, to``: the transition of a state by a symbol lies in slot ``base[state] + symbol``,
+    modulo the size (a power of two), if that slot's owner is the state; else there is none."""
+    size = 1 << max(2 * sum(map(len, follow)), *follow[0]).bit_length()
+    order = sorted(range(len(follow)), key=lambda x: -len(follow[x]))
+    while True:
+        owner, to, base, at = [-1] * size, [0] * size, [0] * len(follow), 1
+        for state in order:
+            edges, tries = follow[state], 0
+            while tries < size and any(owner[at + s & size - 1] >= 0 for s in edges):
+                at, tries = (at * 5 + 1) & size - 1, tries + 1  # visits all places
+            if tries == size:
+                break
+            base[state] = at
+            for s, goal in edges.items():
+                owner[at + s & size - 1], to[at + s & size - 1] = state, goal
+        else:
+            break
+        size *= 2
+    return np.array(base, np.int32), np.array(owner, np.int32), np.array(to, np.int32)
+
+
+class Tables:
+    """Packed tables of some languages one after another; each language's size is kept."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], symbols: int):
+        parts = [packed(a) for a in automata]
+        states, slots = [len(p[0]) for p in parts], [len(p[1]) for p in parts]
+        self.first = np.cumsum([0, *states[:-1]]).astype(np.int32)
+        self.start = np.cumsum([0, *slots[:-1]]).astype(np.int64)
+        self.mask = np.array(slots, np.int64) - 1
+        self.base = np.concatenate([p[0] for p in parts])
+        self.owner = np.concatenate([np.where(p[1] < 0, -1, p[1] + f) for p, f in zip(parts, self.first)]).astype(np.int32)
+        self.to = np.concatenate([p[2] + f for p, f in zip(parts, self.first)]).astype(np.int32)
+        # Where a phrase that begins with a symbol leads; a symbol that a language lacks stays at the start.
+        root = self.follow(self.first[None, :], np.arange(symbols))
+        self.lacks, self.again = root < 0, np.where(root < 0, self.first[None, :], root)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states, -1 for none. A row for each symbol, a column for each language."""
+        slot = (self.base[state] + symbol[:, None] & self.mask) + self.start
+        return np.where(self.owner[slot] == state, self.to[slot], -1)
+
+
+def _build(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, list[Tables], np.ndarray, float]:
+    """Names, symbol of each code point, tables of ``TOGETHER`` languages each, bits a phrase and a spelled letter."""
     texts = {k: _letters(v) for k, v in samples}
-    counts = Counter()
-    for v in texts.values():
-        counts.update(dict(zip(*(x.tolist() for x in np.unique(v, return_counts=True)))))
-    symbol = np.zeros(0x110000, np.uint8)  # 0: unknown
-    for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
-        symbol[c] = i + 1
-    width = int(symbol.max()) + 1
-    tables, first, at = [], [], 0
-    for v in texts.values():
-        codes = symbol[v]
-        table = suffix_automaton(codes[codes > 0].tolist(), width)
-        tables.append(np.where(table >= 0, table + at, -1).astype(np.int32))
-        first.append(at)
-        at += len(table)
+    symbol = np.zeros(0x110000, np.int32)  # 0: unknown
+    known = np.unique(np.concatenate(list(texts.values())))
+    symbol[known] = np.arange(1, len(known) + 1)
+    automata = [suffix_automaton(symbol[v].tolist()) for v in texts.values()]
     bits = np.log2([max(2, len(v)) for v in texts.values()])
-    return list(texts), symbol, np.concatenate(tables), np.array(first, np.int32), bits
+    return list(texts), symbol, [Tables(automata[i : i + TOGETHER], len(known) + 1) for i in range(0, len(automata), TOGETHER)], bits, float(np.log2(len(known) + 1))
 
 
-def phrases(blocks: np.ndarray, tables: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Phrases of each block in each language. ``blocks``: symbols, 255 after a block's end;
+def phrases(blocks: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases, and letters new to it, of each block in each language. ``blocks``: symbols, -1 after a block's end;
     rows in falling order of their length."""
-    n, count = len(blocks), np.zeros((len(blocks), len(first)), np.int64)
+    n, first = len(blocks), tables.first
+    count, new = np.zeros((2, n, len(first)), np.int64)
     state = np.repeat(first[None, :], n, axis=0)
-    alive = (blocks != 255).sum(axis=0)
-    width = tables.shape[1]
-    flat = tables.ravel()
+    alive = (blocks >= 0).sum(axis=0)
     for i in range(blocks.shape[1]):
         k = alive[i]
         if not k:
             break
-        s = blocks[:k, i].astype(np.int64)[:, None]
-        to = flat[state[:k].astype(np.int64) * width + s]
+        s = blocks[:k, i]
+        to = tables.follow(state[:k], s)
         ends = to < 0
-        again = flat[first[None, :].astype(np.int64) * width + s]  # a new phrase begins with this letter
-        state[:k] = np.where(ends, np.where(again < 0, first[None, :], again), to)
+        state[:k] = np.where(ends, tables.again[s], to)  # a new phrase begins with this letter
         count[:k] += ends
-    return count + 1
+        new[:k] += tables.lacks[s]
+    return count + 1, new
 
 
 def predict_batch(texts: list, samples: tuple) -> tuple[list, list]:
     """Language and score of each text."""
     if not samples:
         return ["und"] * len(texts), [0.0] * len(texts)
-    names, symbol, tables, first, bits = worker_model(("languages", samples), lambda: _build(samples))
+    names, symbol, tables, bits, spelled = worker_model(("languages", samples), lambda: _build(samples))
     labels, scores = ["und"] * len(texts), [0.0] * len(texts)
-    rows = [symbol[_letters(t)] if t else np.zeros(0, np.uint8) for t in texts]
+    rows = [symbol[_letters(t)] if t else np.zeros(0, np.int32) for t in texts]
     owner = np.repeat(np.arange(len(rows)), [-(-len(r) // BLOCK) for r in rows])
     if not len(owner):
         return labels, scores
-    blocks = np.full((len(owner), BLOCK), 255, np.uint8)
+    blocks = np.full((len(owner), BLOCK), -1, np.int32)
     at = 0
     for r in rows:
         n = -(-len(r) // BLOCK)
         blocks.reshape(-1)[at * BLOCK : at * BLOCK + len(r)] = r
         at += n
-    order = np.argsort(-(blocks != 255).sum(axis=1), kind="stable")
-    counts = np.zeros((len(owner), len(first)), np.int64)
-    counts[order] = phrases(blocks[order], tables, first)
-    total = np.zeros((len(rows), len(first)))
-    np.add.at(total, owner, counts)
+    order = np.argsort(-(blocks >= 0).sum(axis=1), kind="stable")
+    blocks = blocks[order]
+    costs = np.zeros((len(owner), len(names)))
+    count, new = (np.concatenate(x, axis=1) for x in zip(*(phrases(blocks, t) for t in tables)))
+    costs[order] = count * bits + new * spelled
+    total = np.zeros((len(rows), len(names)))
+    np.add.at(total, owner, costs)
     for i, t in enumerate(texts):
         if t and any(map(str.isalpha, t)):
-            cost = total[i] * bits / len(rows[i])
+            cost = total[i] / len(rows[i])
             weight = np.exp(-SHARPNESS * (cost - cost.min()))
             best = int(cost.argmin())
             labels[i], scores[i] = names[best], float(weight[best] / weight.sum())

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,23 @@ def test_classifier(docs, none, labels):
         assert len(found) == len(ROWS) and all(0 <= r["score"] <= 1 for r in found)
     empty = textstats.statistics(none)
     assert ruleclf.scored(empty, ruleclf.fit(empty, labels)).count() == 0
+
+
+def test_language_learns_every_label(spark):
+    def words(lang, n):  # a language's own 30 letters, words of 1 to 6 of them
+        draw = random.Random(1000 * lang + n)
+        return " ".join("".join(chr(0x4E00 + 30 * lang + draw.randrange(30)) for _ in range(draw.randint(1, 6))) for _ in range(n))
+
+    # 40 languages of 1,200 letters; 38 has only titles, 39 only a book.
+    texts = [(f"l{k:02}", words(k, 100 + i)) for k in range(38) for i in range(4)]
+    texts += [("l38", words(38, 1 + i)) for i in range(30)] + [("l39", words(39, 4_000)), ("l40", "!"), (None, words(7, 90))]
+    samples = langid.training_texts(spark.createDataFrame(texts, "lang string, text string"))
+    assert sorted(samples) == [f"l{k:02}" for k in range(40)]
+    assert len(samples["l39"]) > 12_000 and sum(x == "\n" for x in samples["l38"]) == 29
+    labels, _ = langid.predict_batch([words(k, 50) for k in range(40)], tuple(sorted(samples.items())))
+    assert labels == [f"l{k:02}" for k in range(40)]
+
+
+def test_language_of_few_training_letters_does_not_win():
+    english = "the cat sat on the mat and the dog lay by the fire while the rain fell on the roof " * 20
+    assert langid.predict_batch(["the dog sat by the fire"], (("en", english), ("ok", "o")))[0] == ["en"]
