@@ -58,7 +58,7 @@ def training_texts(docs: DataFrame, chars: int = TRAIN_CHARS) -> dict[str, str]:
     step = F.when(F.col("n") < SHORT, most).otherwise(F.col("piece")) * 64 + F.ceil(F.log2(F.col("u") + 1.0)).cast("int")
     size = F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE)
     cut = lambda rows: rows.withColumn("piece", rank).withColumns({"step": step, "size": size})
-    sizes = cut(fit.select("lang", "u", "n")).groupBy("lang", "step").agg(F.sum("size").alias("size"))
+    sizes = cut(fit.select("lang", "u", "n").distinct()).groupBy("lang", "step").agg(F.sum("size").alias("size"))
     # Up to its last step a language has the characters wanted, or all it has.
     last: dict[str, int] = {}
     have: dict[str, int] = {}

@@ -141,3 +141,10 @@ def test_language_learns_every_label(spark):
 def test_language_of_few_training_letters_does_not_win():
     english = "the cat sat on the mat and the dog lay by the fire while the rain fell on the roof " * 20
     assert langid.predict_batch(["the dog sat by the fire"], (("en", english), ("ok", "o")))[0] == ["en"]
+
+
+def test_language_training_counts_texts_once(spark):
+    rare = spark.range(300).select(F.lit("rare").alias("lang"), F.concat(F.lit("some words of text number "), F.col("id"), F.lit(" and more" * 25)).alias("text"))
+    hot = spark.range(200_000).select(F.lit("rare").alias("lang"), F.concat(F.lit("one of the texts that all have " * 7), F.col("id") % 64).alias("text"))
+    samples = langid.training_texts(rare.union(hot))
+    assert len(samples["rare"]) >= langid.TRAIN_CHARS and len(set(samples["rare"].split("\n"))) == samples["rare"].count("\n") + 1
