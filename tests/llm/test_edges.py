@@ -148,3 +148,27 @@ def test_language_training_counts_texts_once(spark):
     hot = spark.range(200_000).select(F.lit("rare").alias("lang"), F.concat(F.lit("one of the texts that all have " * 7), F.col("id") % 64).alias("text"))
     samples = langid.training_texts(rare.union(hot))
     assert len(samples["rare"]) >= langid.TRAIN_CHARS and len(set(samples["rare"].split("\n"))) == samples["rare"].count("\n") + 1
+
+
+def test_licenses_full_edited_and_by_version():
+    held = tuple(sorted(licenses.TEMPLATES.items()))
+    found = lambda text: [(x[0], x[5]) for x in licenses.matches(text, held)]
+    for name in ("MIT-text", "ISC", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0-text", "Unlicense-text", "Apache-2.0-text", "GPL-2-text", "GPL-3-text", "AGPL-3-text", "LGPL-2.1-text"):
+        text = LONG[:900] + " " + licenses.TEMPLATES[name] + " " + LONG[:900]
+        (match,) = licenses.matches(text, held)
+        assert match[0] == name and match[5] == 1 and licenses._WORDS.findall(text[match[1] : match[2]]) == licenses._WORDS.findall(licenses.TEMPLATES[name])
+    # Every 20th word replaced, and twelve words put in three times.
+    words = licenses.TEMPLATES["GPL-3-text"].split()
+    words[::20] = ["edited"] * len(words[::20])
+    for at in (3000, 2000, 1000):
+        words[at:at] = ["inserted"] * 12
+    assert [x for x, _ in found(" ".join(words))] == ["GPL-3-text"]
+    notice = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+        "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    )
+    names = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
+    for short, version in (("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3")):
+        assert found(notice.format(names[short], version)) == [(f"{short}-{version}-or-later-grant", 1)]
+    unversioned = notice[: notice.index(", either")]
+    assert [found(unversioned.format(names[k])) for k in names] == [[(f"{k}-notice", 1)] for k in names]
