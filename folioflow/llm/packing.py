@@ -60,8 +60,10 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.plain.get_added_tokens_decoder().values()]
+        self.loose = not all("|" in a for a in self.added)  # else texts without a bar hold none
         vocabulary = self.encoder.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for w, i in vocabulary.items() if w.endswith(self.SUFFIX)]] = True
@@ -101,6 +103,15 @@ class WordTokenizer:
             self.known[w] = self.known[w[:-1]] + self.ends[w[-1:]]
 
     def texts(self, texts: list) -> list[bytes]:
+        out = self._by_words(texts)
+        for i, t in enumerate(texts):
+            if t and "|" in t or t and self.loose:
+                lowered = t.lower()
+                if any(a in lowered for a in self.added):
+                    out[i] = np.array(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _by_words(self, texts: list) -> list[bytes]:
         split = [(t or "").encode().lower().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,12 @@ def test_licenses_full_edited_and_by_version():
         assert found(notice.format(names[short], version)) == [(f"{short}-{version}-or-later-grant", 1)]
     unversioned = notice[: notice.index(", either")]
     assert [found(unversioned.format(names[k])) for k in names] == [[(f"{k}-notice", 1)] for k in names]
+
+
+def test_packing_quoted_special_tokens():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    texts = ["a text that quotes <|endoftext|> in it", "<|startoftext|>", "Glued<|EndOfText|>on", "a | b", "no token", None]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordTokenizer(path).texts(texts)]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
