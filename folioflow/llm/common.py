@@ -26,12 +26,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in local tests) a temporary folder is
+    Only a local session, as in tests, may have none; a temporary folder is then
     made, once per application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="folioflow-")
@@ -54,10 +56,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Remove a table of ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def sized(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """A written table, to be broadcast if its counted rows are surely small enough,
-    else to be the hashed side of a shuffled join."""
-    return table.hint("broadcast" if table.count() * row_bytes <= most else "shuffle_hash")
+    else to be merged after a sort, which holds no partition in memory."""
+    return table.hint("broadcast" if table.count() * row_bytes <= most else "merge")
 
 
 def small_batches(df: DataFrame, *columns: str) -> DataFrame:

@@ -3,24 +3,25 @@
 Documents link when 100 * |A and B| >= 75 * |A or B|, over sets of distinct
 5-word shingles (64-bit hashes). The join is exact over these sets:
 
-1. Shingles are ordered, frequent ones last, the rest by hash. Two linked sets
-   must share an element among their first n - ceil(3n/4) + 1, their prefixes.
-   Which shingles count as frequent is only a matter of speed: a list of bounded
-   length, from counts summed over all partitions.
-2. Documents with equal sets form a class; classes with equal prefix and size
-   form a group. Only groups are dealt out, one row per prefix element, and
-   elements that a single group holds are dropped.
-3. Each group is paired with at most two others from its lists, those held by
-   most or nearest to it: linearly many pairs. Only pairs count that share so
-   many prefix elements that the sets could still overlap enough. Groups expand
-   to their classes, and pairs are verified on whole sets.
-4. Components of the verified links are found. Lists that still hold more than
-   one component are then joined in full between different components. Only
-   elements count that lie early enough in both sets, and a pair must share a
-   number of them; pairs are expanded and verified likewise. Links inside a
-   component can add nothing. So
-   no link between different texts is lost, and large groups of near copies
-   never make all their pairs.
+1. Documents with equal sets form a class. Each class is dealt out by a third of
+   its elements, those of smallest hash. Linked sets share a known part of these
+   (``least_close``), so only classes that do with any others are *close*; they
+   are few unless the corpus is full of copies. Only hashes are shuffled.
+2. The elements of close classes are counted, and ordered by count, rare ones
+   first. Linked sets must share an element among their first
+   n - ceil(3n/4) + 1, their prefixes. Elements that one class alone holds come
+   first and meet nobody, so most close classes need no list at all.
+3. Classes of equal size and equal prefix (but for elements held by them alone)
+   form a group. Groups that share a prefix element make a list; of elements that
+   the same groups hold only the first is kept, as no other can make a pair earlier.
+4. In rounds, each group is paired in its lists with the most central class of
+   another component, linearly many pairs; pairs are verified on whole sets, and
+   linked components become one. When a round links nothing more, the
+   lists that still hold several components are joined in full between different
+   components, for pairs whose shared element lies early enough in both sets to
+   leave room for the overlap. Group pairs expand to their members, and these are
+   verified. Links inside a component can add nothing, so no link between
+   different texts is lost, and large groups of near copies never make all pairs.
 
 Defined results: null or empty texts and texts without words have an empty set
 and stand alone; equal texts share a class; rows with one id count as one
@@ -35,180 +36,204 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, sized, written
+from .common import dropped, fresh, map_batches, sized, whole_text, written
 from .shingles import shingle_set
 
 SIZE = 5
-#: At most this many frequent shingles are ordered last (8 bytes each, sent to tasks).
-FREQUENT_MOST = 1 << 16
-FREQUENT_LEAST = 32
-#: Shingles that a task counts at once.
-COUNT_BLOCK = 1 << 20
+#: Most rounds of pairs with central classes; whatever they leave is joined in full.
+ROUNDS = 8
+#: Copies of a class's row in the last join, so that no class is one task's.
+SALTS = 16
 
 
 def digest(tokens: np.ndarray, size: int) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=size).digest()
 
 
-def prefix_length(n):
-    return n - (3 * n + 3) // 4 + 1
+def dealt_out(n: int) -> int:
+    """How many elements of a set are dealt out first: its prefix and a tenth more."""
+    return min(n, n - (3 * n + 3) // 4 + 1 + n // 10)
 
 
-def _members(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Which tokens are in a sorted list."""
-    if not len(listed):
-        return np.zeros(len(tokens), bool)
-    return listed[np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)] == tokens
+def least_close(n: Column) -> Column:
+    """Fewest of these that a linked set has among its own: a prefix holds one, each further element one more,
+    but for one where the tenths of the two sizes differ."""
+    return F.greatest(F.floor(n / 10), F.lit(1))
 
 
-def frequent_shingles(docs: DataFrame, most: int = FREQUENT_MOST, least: int = FREQUENT_LEAST) -> np.ndarray:
-    """The most frequent shingles over distinct texts, at most ``most`` of them, sorted."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n, cls, key, early`` of each row.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, size = [], set(), 0
-
-        def counted() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
-
-        for batch in batches:
-            for text in batch.column("text"):
-                tokens = shingle_set(text.as_py(), SIZE)
-                if len(tokens) and (key := digest(tokens, 16)) not in seen:
-                    seen.add(key)
-                    held.append(tokens)
-                    size += len(tokens)
-                    if size >= COUNT_BLOCK:
-                        yield counted()
-                        held, seen, size = [], set(), 0
-        if held:
-            yield counted()
-
-    counts = map_batches(docs.select("text"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
-    return np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
-
-
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, cls, gid, prefix`` of each document.
-
-    ``cls`` is a digest of the set, ``gid`` one of prefix and size. The prefix is
-    given once for each group and batch.
+    ``cls`` is a digest of the set, ``key`` its first half, ``early`` the elements
+    to deal out, given once for each class and task.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            sizes, classes, groups, prefixes, seen = [], [], [], [], set()
+            sizes, classes, early = [], [], []
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), SIZE)
-                n = len(tokens)
-                late = _members(tokens, frequent)
-                prefix = np.concatenate([tokens[~late], tokens[late]])[: prefix_length(n)] if n else tokens
-                gid = int.from_bytes(digest(np.append(prefix, np.uint64(n)), 8), "little", signed=True)
-                sizes.append(n)
-                classes.append(digest(tokens, 16))
-                groups.append(gid)
-                prefixes.append(None if not n or gid in seen else prefix.view(np.int64))
-                seen.add(gid)
+                cls = digest(tokens, 16)
+                sizes.append(len(tokens))
+                classes.append(cls)
+                early.append(None if not len(tokens) or cls in seen else tokens[: dealt_out(len(tokens))].view(np.int64))
+                seen.add(cls)
+            keys = [int.from_bytes(c[:8], "little", signed=True) for c in classes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "gid", "prefix"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes, pa.int64()),
+                 pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), pa.array(early, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "cls", "key", "early"],
             )
 
-    return map_batches(docs.select("doc_id", "text"), sign, "doc_id long, n long, cls binary, gid long, prefix array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("text_hash"))
+    return map_batches(rows, sign, "doc_id long, text_hash long, n long, cls binary, key long, early array<long>")
 
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and group: each once, and only tokens of several groups."""
-    names = ["token", "gid", "n", "pos"]
+    """Of rows sorted by token and key: the keys of tokens that several keys hold, each pair once."""
     last, last_shared = None, False  # the row before, and whether its token is shared
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(c).to_numpy() for c in names]
+        token, key = (batch.column(c).to_numpy() for c in ("token", "key"))
         if last is not None:
-            rows = [np.concatenate([[x], y]) for x, y in zip(last, rows)]
-        token, gid = rows[:2]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-        rows = [x[fresh] for x in rows]
-        same = rows[0][1:] == rows[0][:-1]
-        shared = np.zeros(len(rows[0]), bool)
+            token, key = np.concatenate([[last[0]], token]), np.concatenate([[last[1]], key])
+        once = np.ones(len(token), bool)
+        once[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+        token, key = token[once], key[once]
+        same = token[1:] == token[:-1]
+        shared = np.zeros(len(token), bool)
         shared[1:] |= same
         shared[:-1] |= same
         shared[0] |= last_shared
-        keep = shared.copy()
-        keep[-1] = False  # waits for the next batch
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=names)
-        last, last_shared = [x[-1] for x in rows], bool(shared[-1])
+        if shared[:-1].any():  # the last row waits for the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][shared[:-1]])], names=["key"])
+        last, last_shared = (token[-1], key[-1]), bool(shared[-1])
     if last_shared:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([last[1]])], names=["key"])
 
 
-def shared_tokens(signed: DataFrame) -> DataFrame:
-    """``token, gid, n, pos``: prefix elements that at least two groups hold, with their place."""
-    rows = signed.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid", "n")
-    rows = rows.select("token", "gid", "n", "pos").repartition("token").sortWithinPartitions("token", "gid")
-    return map_batches(rows, _keep_shared, "token long, gid long, n long, pos int")
+def close_classes(signed: DataFrame) -> DataFrame:
+    """``cls, id`` of the classes that share enough of their dealt elements to be linked to any other."""
+    rows = signed.where("early is not null").select(F.explode("early").alias("token"), "key")
+    rows = rows.repartition("token").sortWithinPartitions("token", "key")
+    shared = map_batches(rows, _keep_shared, "key long").groupBy("key").agg(F.count("*").alias("c"))
+    classes = signed.where("n > 0").groupBy("cls").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("id"))
+    return classes.join(shared, "key").where(F.col("c") >= least_close(F.col("n"))).select("cls", "id")
 
 
-def _overlap(n1: Column, n2: Column) -> Column:
-    """Fewest common elements with which sets of these sizes link."""
-    return F.ceil(3 * (n1 + n2) / 7)
+def close_sets(docs: DataFrame, close: DataFrame) -> DataFrame:
+    """``cls, n, elements`` of the close classes."""
+    texts = docs.select("doc_id", "text").join(
+        sized(close.select("id").distinct(), 24), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"
+    )
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), SIZE) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest(x, 16) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
+                names=["cls", "elements"],
+            )
 
+    found = map_batches(texts.select("text"), sets, "cls binary, elements array<long>")
+    found = found.join(sized(close.select("cls"), 40), "cls", "left_semi")
+    return found.groupBy("cls").agg(F.first("elements").alias("elements")).select("cls", F.size("elements").cast("long").alias("n"), "elements")
 
-def _least_shared(n1: Column, n2: Column) -> Column:
-    """Fewest shared prefix elements with which sets of these sizes can link."""
-    rest = lambda n: F.ceil(0.75 * n) - 1
-    return F.greatest(_overlap(n1, n2) - F.greatest(rest(n1), rest(n2)), F.lit(1))
 
+def prefixes(sets: DataFrame) -> DataFrame:
+    """``rid, n, own, central, lead`` of the sets whose prefix has an element of another set.
+
+    ``own``: elements of the set alone, which come first; ``lead``: the rest of the
+    prefix, as (count, element); ``central``: how often the set's elements occur.
+    """
+    rows = sets.select(F.explode("elements").alias("token"), "rid", "n")
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    found = rows.join(counts, "token").groupBy("rid", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"), (F.sum("df") / F.first("n")).alias("central")
+    )
+    own = F.col("n") - F.size("shared")
+    take = F.col("n") - F.ceil(0.75 * F.col("n")) + 1 - own
+    return found.where(take > 0).select("rid", "n", own.alias("own"), "central", F.slice("shared", 1, take.cast("int")).alias("lead"))
 
-def _some_shared(n1: Column, n2: Column) -> Column:
-    """A sixteenth of that: k. Linked sets share k of their first n - overlap + k elements,
-    as overlap - k common ones come after the k-th."""
-    return 1 + F.floor((_least_shared(n1, n2) - 1) / 16)
 
+def group_lists(members: DataFrame) -> DataFrame:
+    """``key, grp, n, pos``: lists of groups that share a prefix element, with its place; and each group as a list.
 
-def _reach(n: Column, m: Column) -> Column:
-    """How far into a set of n the first shared elements with a set of m can lie."""
-    return n - _overlap(n, m) + _some_shared(n, m)
+    An element after another one that the same groups hold is left out.
+    """
+    groups = members.groupBy("grp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("lead").alias("lead"), F.count("*").alias("size"))
+    rows = groups.select("grp", "n", "own", F.posexplode("lead").alias("i", "e")).select("grp", "n", (F.col("own") + F.col("i")).alias("pos"), "e")
+    holders = rows.groupBy("e").agg(
+        F.bit_xor(F.xxhash64("grp")).alias("h1"), F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("h2"), F.count("*").alias("h3")
+    ).where("h3 > 1")
+    firsts = holders.groupBy("h1", "h2", "h3").agg(F.min("e").alias("e"))
+    lists = rows.join(firsts.select("e"), "e").select(F.col("e.token").cast("string").alias("key"), "grp", "n", "pos")
+    return lists.unionByName(groups.where("size > 1").select(F.concat(F.lit("g"), "grp").alias("key"), "grp", "n", F.lit(0).cast("long").alias("pos")))
+
+
+def _overlap(n1: Column, n2: Column) -> Column:
+    """Fewest common elements with which sets of these sizes link."""
+    return F.ceil(3 * (n1 + n2) / 7)
 
 
-def _near_in_size(a: Column, b: Column) -> Column:
-    return (4 * a >= 3 * b) & (4 * b >= 3 * a)
+def _can_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
+    """Whether sets of these sizes whose first common element has these places can still link."""
+    near = (4 * n1 >= 3 * n2) & (4 * n2 >= 3 * n1)
+    return near & (pos1 <= n1 - _overlap(n1, n2)) & (pos2 <= n2 - _overlap(n1, n2))
 
 
-def nearest_leaders(tokens: DataFrame) -> DataFrame:
-    """At most two partners of each group: ``g1, n1, g2, n2``, linearly many.
+def open_rows(lists: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, grp, n, pos, label, rep, central``: the lists that hold several components, a row for each group and
+    component, with the most central class of these. Rows too late in their set for any other of the list are left out."""
+    parts = members.join(labels, "rid").groupBy("grp", "label").agg(F.max(F.struct("central", "rid")).alias("top"))
+    rows = lists.join(parts, "grp").select("key", "grp", "n", "pos", "label", F.col("top.rid").alias("rep"), F.col("top.central").alias("central"))
+    for _ in range(2):
+        seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low != high")
+        smallest = F.greatest("least", F.ceil(0.75 * F.col("n")))
+        rows = rows.join(seen.select("key", "least"), "key").where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).drop("least")
+    return rows
 
-    A group is the more popular, the longer the lists that its prefix is in. In
-    each list it looks at the most popular group and at the next more popular
-    one; of all that are plausible it takes the most popular and the one with
-    which it shares most. A text and its many edited copies thus form a star.
+
+def central_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """``a, b``: at most two partners of each group and component: linearly many.
+
+    In each list a row looks at the most central class of another component; of all
+    it sees it takes the most central, and the one with which it shares most lists.
     """
-    in_list = F.count("*").over(Window.partitionBy("token"))
-    popular = tokens.withColumn("df", in_list).groupBy("gid", "n").agg((F.sum("df") / F.first("n")).alias("pop"))
-    rows = tokens.join(popular, ["gid", "n"])
-    along = Window.partitionBy("token").orderBy(F.desc("pop"), "gid", "n")
-    other = F.struct("pop", F.col("gid").alias("g"), F.col("n").alias("m"))
-    rows = rows.withColumns({"before": F.lag(other).over(along), "first": F.first(other).over(along)})
-    rows = rows.select("gid", "n", F.explode(F.array_distinct(F.array("before", "first"))).alias("o")).where("o is not null and o.g != gid")
-    rows = rows.select("gid", "n", "o.*").where(_near_in_size(F.col("n"), F.col("m")))
-    shared = rows.groupBy("gid", "n", "g", "m", "pop").agg(F.count("*").alias("c")).where(F.col("c") >= _least_shared(F.col("n"), F.col("m")))
-    best = shared.groupBy("gid", "n").agg(F.max(F.struct("pop", "g", "m")).alias("x"), F.max(F.struct("c", "g", "m")).alias("y"))
-    picked = F.explode(F.array_distinct(F.array(*(F.struct(f"{k}.g", f"{k}.m") for k in "xy"))))
-    return best.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), picked.alias("p")).select("g1", "n1", F.col("p.g").alias("g2"), F.col("p.m").alias("n2"))
+    tops = rows.groupBy("key", "label").agg(F.max(F.struct("central", "rep", "n", "pos")).alias("t"))
+    first = tops.groupBy("key").agg(F.max(F.struct("t", "label")).alias("t1"))
+    second = tops.join(first, "key").where(F.col("label") != F.col("t1.label")).groupBy("key").agg(F.first("t1").alias("t1"), F.max("t").alias("t2"))
+    seen = rows.join(second, "key").withColumn("o", F.when(F.col("label") != F.col("t1.label"), F.col("t1.t")).otherwise(F.col("t2")))
+    seen = seen.where(_can_link(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    pairs = seen.groupBy(F.col("rep").alias("a"), F.col("o.rep").alias("b"), F.col("o.central").alias("central")).agg(F.count("*").alias("c"))
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("central", "c", "b")).alias("x"), F.max_by("b", F.struct("c", "central", "b")).alias("y"))
+    return best.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+
+
+def remaining_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of classes of different components that can link by their place in a list."""
+    side = lambda i: rows.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("grp", "n", "pos", "label")))
+    met = side(1).join(side(2), "key").where(
+        (F.col("label1") < F.col("label2")) & _can_link(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"))
+    )
+    pairs = met.select("grp1", "label1", "grp2", "label2").distinct()
+    known = members.join(labels, "rid")
+    expand = lambda i, c: known.select(F.col("grp").alias(f"grp{i}"), F.col("label").alias(f"label{i}"), F.col("rid").alias(c))
+    return pairs.join(expand(1, "a"), ["grp1", "label1"]).join(expand(2, "b"), ["grp2", "label2"]).select("a", "b")
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """Pairs with columns of both their sets."""
-    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+    needed = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    some = sets.join(needed, "rid", "left_semi")
+    side = lambda c: some.select(F.col("rid").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
@@ -216,38 +241,20 @@ def _linked(common: Column, n1: Column, n2: Column) -> Column:
     return 100 * common >= 75 * (n1 + n2 - common)
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, screen: bool = False) -> DataFrame:
-    """Of class pairs ``a, b``, those whose whole sets are similar enough.
+def verified(pairs: DataFrame, sets: DataFrame, screen: bool = False) -> DataFrame:
+    """Of written pairs ``a, b``, those whose whole sets are similar enough.
 
     With ``screen``, where few will be, 16 bits of each element tell first for
     most pairs that too little can be common: they never understate it.
     """
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = written(
-        signed.select("doc_id", "cls").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")), "ids"
-    )
-    texts = docs.select("doc_id", "text").join(sized(ids.select("id"), 24), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), SIZE) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digest(x, 16) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
-                names=["cls", "elements"],
-            )
-
-    found = map_batches(texts.select("text"), sets, "cls binary, elements array<long>").groupBy("cls").agg(F.first("elements").alias("elements"))
-    brief = F.array_distinct(F.transform("elements", lambda x: ((x.bitwiseAND(65535)) - 32768).cast("short")))
-    found = written(found.withColumns({"n": F.size("elements"), "brief": brief}), "sets")
     if screen:
+        brief = F.array_distinct(F.transform("elements", lambda x: (x.bitwiseAND(65535) - 32768).cast("short")))
         lost = F.least(*(F.col(f"n_{c}") - F.size(f"brief_{c}") for c in "ab"))
         most = F.size(F.array_intersect("brief_a", "brief_b")) + lost
-        near = _joined(pairs, found, "n", "brief").where(_linked(F.least(most, "n_a", "n_b"), F.col("n_a"), F.col("n_b")))
-        pairs = written(near.select("a", "b"), "screened")
+        near = _joined(pairs, sets.withColumn("brief", brief), "n", "brief")
+        pairs = written(near.where(_linked(F.least(most, "n_a", "n_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"), "screened")
     common = F.size(F.array_intersect("elements_a", "elements_b"))
-    both = _joined(pairs, found, "n", "elements").where(_linked(common, F.col("n_a"), F.col("n_b")))
-    return written(both.select("a", "b"), "links")
+    return _joined(pairs, sets, "n", "elements").where(_linked(common, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -259,11 +266,14 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     row count and a checksum reach the driver. A hot node's neighbours meet in a
     plain join, which Spark can split, never in one group.
     """
-    edges, mark = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), None
+    edges, mark, old = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), None, None
     for _ in range(most_rounds):
         edges = written(edges, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        if old is not None:
+            dropped(old)
+        old = edges
+        if tuple(now) == mark or not now[0]:
             break
         mark = tuple(now)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -278,77 +288,87 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after components that a link connects have become one."""
+    of = lambda c: labels.select(F.col("rid").alias(c), F.col("label").alias(f"l{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = components(edges)
+    joined = labels.join(found, labels.label == found.node, "left")
+    return written(joined.select("rid", F.coalesce(found.label, labels.label).alias("label")), "labels")
+
+
+def class_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``cls, label`` of the close classes; classes of one component have one label."""
+    close = written(close_classes(signed), "close")
+    none = close.sparkSession.createDataFrame([], "cls binary, label long")
+    if close.isEmpty():
+        return none
+    sets = written(close_sets(docs, close).withColumn("rid", F.monotonically_increasing_id()), "sets")
+    grp = F.sha2(F.concat_ws(",", "n", "own", F.array_join(F.transform("lead", lambda e: e["token"].cast("string")), ",")), 256)
+    members = written(prefixes(sets).withColumn("grp", grp), "members")
+    if members.isEmpty():
+        return none
+    lists = written(group_lists(members), "lists")
+    members = members.select("rid", "grp", "central")
+    labels, tried = members.select("rid", F.col("rid").alias("label")), None
+    for _ in range(ROUNDS):
+        pairs = written(central_pairs(open_rows(lists, members, labels), tried), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = written(verified(pairs, sets), "links")
+        if links.isEmpty():
+            break
+        labels = merged(labels, links)
+    rest = written(remaining_pairs(written(open_rows(lists, members, labels), "open"), members, labels), "rest")
+    links = written(verified(rest, sets, screen=True), "links")
+    if not links.isEmpty():
+        labels = merged(labels, links)
+    return sets.select("rid", "cls").join(labels, "rid").select("cls", "label")
+
+
+def linked_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, n, cls`` of each row; and ``cls, top`` of each class with words: the smallest
+    (null last, id, text hash) of its component."""
+    signed = written(signatures(docs), "signed")
+    labels = written(class_labels(docs, signed), "class_labels")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash"))
+    classes = signed.where("n > 0").groupBy("cls").agg(row.alias("top"), F.count("*").alias("rows"))
+    named = written(classes.join(labels, "cls", "left"), "classes")
+    best = named.where("label is not null").groupBy("label").agg(F.min("top").alias("best"), F.sum("rows").alias("all_rows"))
+    tops = named.join(best, "label", "left").select("cls", F.coalesce("best", "top").alias("top"), F.coalesce("all_rows", "rows").alias("rows"))
+    return signed.select("doc_id", "text_hash", "n", "cls"), tops.where("rows > 1").drop("rows")
+
+
+def _with_tops(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """Rows with the ``top`` of their class; null where no other row is linked. A hot class is spread over ``SALTS`` keys."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    return salted.join(tops.select("*", salt), ["cls", "salt"], "left").drop("salt")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    signed = written(signatures(docs, frequent_shingles(docs)), "signed")
-    tokens = written(shared_tokens(signed), "tokens")
-    classes = written(
-        signed.where("n > 0").groupBy("cls").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("id")), "classes"
-    )
-
-    # Round one: linearly many pairs, between groups by one class of each, and within each group.
-    heads = classes.groupBy("gid", "n").agg(F.min("cls").alias("cls"))
-    head = lambda i, c: heads.select(F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("cls").alias(c))
-    across = nearest_leaders(tokens).join(head(1, "a"), ["g1", "n1"]).join(head(2, "b"), ["g2", "n2"]).select("a", "b")
-    to_head = classes.join(heads.withColumnRenamed("cls", "a"), ["gid", "n"]).select("a", F.col("cls").alias("b")).where("a != b")
-    links = _verified(across.unionByName(to_head).distinct(), signed, docs)
-    labels = written(components(links), "labels")
-
-    # Round two: what is left between different components, in full.
-    labelled = written(
-        classes.join(labels, classes.cls == labels.node, "left").select("cls", "gid", "n", F.coalesce("label", "cls").alias("label")), "labelled"
-    )
-    parts = labelled.groupBy("gid", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-
-    def mixed(lists: DataFrame) -> DataFrame:
-        """The lists that hold several components, with the smallest size in each."""
-        found = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min("n").alias("least"))
-        return lists.join(found.where("l != h").select("token", "least"), "token")
-
-    lists = mixed(tokens.join(parts, ["gid", "n"]))
-    smallest = F.greatest("least", F.ceil(0.75 * F.col("n")))
-    lists = lists.where(F.col("pos") <= _reach(F.col("n"), smallest)).drop("least")
-    lists = written(mixed(lists).drop("least"), "lists")
-    # Elements that the same groups hold make one list, so a pair meets once in it.
-    held_by = lists.groupBy("token").agg(
-        F.bit_xor(F.xxhash64("gid", "n")).alias("k1"), F.bit_xor(F.xxhash64("n", "gid")).alias("k2"), F.count("*").alias("k3")
-    )
-    lists = lists.join(held_by, "token").groupBy("k1", "k2", "k3", "gid", "n", "low", "high").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("token", "pos"))), lambda x: x["pos"]).alias("at"), F.min("pos").alias("pos")
-    )
-    keys = ["k1", "k2", "k3"]
-    side = lambda i: lists.select(*keys, *(F.col(c).alias(f"{c}{i}") for c in ("gid", "n", "at", "pos", "low", "high")))
-    n1, n2 = F.col("n1"), F.col("n2")
-    pairs = side(1).join(side(2), keys).where(
-        (F.col("gid1") < F.col("gid2")) & _near_in_size(n1, n2)
-        & (F.col("pos1") < _reach(n1, n2)) & (F.col("pos2") < _reach(n2, n1))
-        & ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
-    ).withColumns({"r1": _reach(n1, n2), "r2": _reach(n2, n1)})
-    early = F.size(F.filter(F.arrays_zip("at1", "at2"), lambda x: (x["at1"] < F.col("r1")) & (x["at2"] < F.col("r2"))))
-    pairs = pairs.groupBy(F.col("gid1").alias("g1"), "n1", F.col("gid2").alias("g2"), "n2").agg(F.sum(early).alias("c"))
-    pairs = pairs.where(F.col("c") >= _some_shared(n1, n2)).drop("c")
-    own = parts.where("low != high").select(F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("gid").alias("g2"), F.col("n").alias("n2"))
-    member = lambda i, c: labelled.select(F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
-    rest = (
-        pairs.unionByName(own).join(member(1, "a"), ["g1", "n1"]).join(member(2, "b"), ["g2", "n2"])
-        .where("la != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    more = _verified(rest.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), signed, docs, screen=True)
-    if not more.isEmpty():
-        labels = written(components(links.unionByName(more)), "labels")
-
-    # The smallest id of each component, by class and then by document.
-    named = classes.join(labels, classes.cls == labels.node, "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
-    named = written(named, "named")
-    lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_class = named.join(lowest, "label").select("cls", "component_id")
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    rows, tops = linked_rows(docs)
+    return _with_tops(rows, tops).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("top.doc_id", "doc_id").alias("component_id")
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Keep of each component only the document with its smallest id; all columns stay."""
-    found, gone = link(docs), fresh("gone", docs)
-    others = written(found.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
-    return docs.join(sized(others, 24), F.col("doc_id") == F.col(gone), "left_anti")
+    """Keep one row of each component, the first by id (null last) and a hash of its text; all columns stay.
+
+    Texts without words are linked with nothing, so all their rows stay.
+    """
+    key, hashed = fresh("id", docs), fresh("text_hash", docs)
+    rows, tops = linked_rows(docs)
+    same = (F.col("doc_id").eqNullSafe(F.col("top.doc_id"))) & (F.col("text_hash") == F.col("top.text_hash"))
+    found = _with_tops(rows, tops).where("top is not null").groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).agg(
+        F.bool_or(same).alias("first"), F.count("*").alias("rows")
+    )
+    found = written(found, "linked")
+    matches = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(whole_text()) == F.col(hashed))
+    kept = docs.join(sized(found.where("not first or rows > 1").select(key, hashed), 40), matches, "left_anti")
+    again = found.where("first and rows > 1").select(key, hashed)  # rows that the table holds several times: one stays
+    if again.isEmpty():
+        return kept
+    once = docs.join(sized(again, 40), matches).dropDuplicates([key, hashed]).select(*docs.columns)
+    return kept.unionByName(once)

@@ -79,7 +79,7 @@ def test_jaccard(docs, none):
     assert {(1, 0, 1), (2, 0, 2), (6, 0, 6), (3, 8, 3), (4, 1, 4), (5, 1, 4), (7, 1, 7), (None, 1, None)} == found
     kept = jaccard.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "4", "6", "7", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "6", "7", "None"])
     assert jaccard.link(none).count() == jaccard.deduplicated(none).count() == 0
 
 
@@ -182,3 +182,47 @@ def test_packing_quoted_special_tokens():
     texts = ["a text that quotes <|endoftext|> in it", "<|startoftext|>", "Glued<|EndOfText|>on", "a | b", "no token", None]
     got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordTokenizer(path).texts(texts)]
     assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_jaccard_one_row_of_each_component(spark):
+    """Rows decide, not ids: an id with two texts loses only the one that has a copy."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    schema = "doc_id long, text string"
+    kept = lambda rows: sorted((str(r["doc_id"]), r["text"]) for r in jaccard.deduplicated(spark.createDataFrame(rows, schema)).collect())
+    assert kept([(2, a), (4, a), (4, b)]) == [("2", a), ("4", b)]
+    assert kept([(2, a), (2, a), (None, a), (9, b)]) == [("2", a), ("9", b)]
+    assert kept([(None, a), (None, a), (None, b)]) == [("None", a), ("None", b)]
+    assert len(kept([(1, ""), (1, ""), (2, "")])) == 3
+
+
+def test_jaccard_clusters_against_brute_force(spark):
+    """Chains of edited copies, heavily edited ones, subsets, and passages that unlike texts share."""
+    draw = random.Random(5)
+    words = lambda n: [f"w{draw.randrange(10_000)}" for _ in range(n)]
+    passage, texts = words(60), []
+    for _ in range(6):
+        base = words(draw.choice([3, 8, 40, 200]))
+        texts.append(base)
+        for _ in range(30):
+            copy = list(draw.choice(texts[-5:]))
+            for _ in range(draw.randrange(1 + len(copy) // 30)):
+                copy[draw.randrange(len(copy))] = draw.choice(["x", "y", words(1)[0]])
+            texts.append(copy if draw.random() < 0.8 else copy[: max(1, int(len(copy) * draw.uniform(0.6, 1)))])
+    texts += [words(draw.randrange(1, 90)) + passage + words(draw.randrange(1, 90)) for _ in range(60)]
+    draw.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if 100 * common >= 75 * (len(a) + len(sets[j]) - common):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.link(rows).collect()} == {(i, find(i)) for i in range(len(sets))}

@@ -142,7 +142,6 @@ def test_packing(spark, sf, docs):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
     encode = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    encode.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows(spark, sf, "op7_packing"):
         pieces[r["doc_id"]].append(r)
