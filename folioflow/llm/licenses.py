@@ -25,6 +25,7 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -271,22 +272,24 @@ def matches(text: str | None, templates: tuple[tuple[str, str], ...], coverage:
             if last is None or d - last > band // 2:
                 last = d
                 opened.append((near_words(bodies[i], kinds, spots, d, band), d))
-        done: list[tuple[int, int, int]] = []
+        # Most promising first; words of matches found are blanked, so that further copies in a band come next.
+        left = words.copy()
         for most, d in sorted(opened, reverse=True):
             low, high = max(0, d - band), min(len(words), d + len(bodies[i]) + band)
-            # Where a match as good as any in this band leaves no room beside it, a further one would only lose to it.
-            beaten = any(n >= most and high - low - max(0, min(high, end) - max(low, first)) < least for n, first, end in done)
-            if most < least or beaten:
-                continue
-            n, first, end = align(bodies[i], words, d, band)
-            if n >= least:
-                done.append((n, first, end))
+            while most >= least and np.count_nonzero(left[low:high]) >= least:
+                n, first, end = align(bodies[i], left, d, band)
+                if n < least:
+                    break
+                left[first:end] = 0
                 out.append((templates[i][0], found[first].start(), found[end - 1].end(), n, len(bodies[i]), n / len(bodies[i])))
     chosen: list[tuple] = []
+    starts: list[int] = []
     for x in sorted(out, key=lambda x: (-x[3], -x[5], x[0], x[1])):
-        if all(x[2] <= y[1] or x[1] >= y[2] for y in chosen):
-            chosen.append(x)
-    return sorted(chosen, key=lambda x: x[1:3])
+        at = bisect_left(starts, x[1])
+        if (not at or chosen[at - 1][2] <= x[1]) and (at == len(chosen) or chosen[at][1] >= x[2]):
+            starts.insert(at, x[1])
+            chosen.insert(at, x)
+    return chosen
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:

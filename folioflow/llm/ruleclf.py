@@ -4,8 +4,8 @@ Shallow boosted trees are grown on a bounded sample of labelled texts; every
 path from a root to a node is a conjunctive rule. A logistic model with lasso
 penalty weighs the rules (and the winsorised statistics) and drops most of them.
 What is left is compiled into one Spark column expression, so scoring the whole
-table needs no model object. The sample, at most ``SAMPLE`` rows in the order of
-a hash of the id, is all that reaches the driver.
+table needs no model object. The sample, about ``SAMPLE`` rows by a share of the
+hashes of ids, is all that tasks send and all that reaches the driver.
 
 Defined results: null and empty texts have all statistics 0 and a score like any
 other; a document with conflicting labels takes the smallest; null labels are
@@ -109,11 +109,13 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = LASSO, steps:
 
 
 def fit(stats: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
-    """Intercept and weighted rules, from at most ``most`` labelled rows of ``stats``."""
+    """Intercept and weighted rules, from about ``most`` labelled rows of ``stats``."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     found = features()
     sample = stats.join(known, "doc_id").select("y", F.xxhash64("doc_id").alias("h"), *(c.alias(k) for k, c in found.items()))
-    data = np.array([tuple(r) for r in sample.orderBy("h", *found).limit(most).collect()], float).reshape(-1, len(found) + 2)
+    share = min(1.0, most / max(1, sample.count()))
+    rows = sample.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    data = np.array(sorted(map(tuple, rows), key=lambda r: r[1:]), float).reshape(-1, len(found) + 2)
     y, x = data[:, 0], data[:, 2:]
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)

@@ -1,16 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a text whose statistic exceeds a cutoff. Cutoffs are chosen per
-stratum (by length in words) on labelled documents: the strictest cutoff of a
-fixed grid for which the exact (Clopper-Pearson) upper bound of the share of
-good documents it rejects stays within ``risk`` divided by the number of rules.
-The confidence error ``delta`` is divided by the number of (rule, stratum,
-cutoff) tests (Bonferroni), so all bounds hold together with probability
-1 - delta. A stratum with too few good documents gets no cutoff: it rejects nothing.
-
-Spark counts, for each stratum and rule, good documents by grid cell; only this
-table of fixed size (strata x rules x cells) reaches the driver. Verdicts are
-column expressions.
+A rule rejects a text whose statistic reaches a cutoff. Labelled documents are
+split in two by a hash of the id. On the first half, good documents propose
+cutoffs for each stratum (by length in words): at level k each rule's cutoff is
+the smallest of a fixed grid that at most ``LEVELS[k]`` of them reach, so levels
+reject more and more. On the other half, the holdout, the levels of a stratum are
+tested in this order: a level passes while the exact (Clopper-Pearson) upper bound
+of the share of good documents that any of its rules rejects stays within
+``risk``; the last one before the first failure is taken. Testing in a fixed
+order needs no correction within a stratum; between strata the confidence error
+``delta`` is divided by their number (Bonferroni), so with probability 1 - delta
+no stratum loses more than ``risk`` of its good documents. A stratum whose holdout
+is too small for any level (below log(strata / delta) / risk good documents, about
+135) rejects nothing but what fails the base rule.
+
+Spark counts good documents by grid cell, then by level; only these two tables of
+fixed size reach the driver. Verdicts are column expressions.
 
 Defined results: null and empty texts have no words and fail the base rule;
 repeated and conflicting labels make a document good only if all say so; null
@@ -21,6 +26,8 @@ other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +36,9 @@ from .common import written
 from .textstats import statistics
 
 LENGTH_STRATA = (150, 600)
-CELLS = 32
-RISK, DELTA = 0.02, 0.05
+CELLS = 256
+LEVELS = (0.0, 0.001, 0.002, 0.004, 0.006, 0.008, 0.01, 0.015, 0.02, 0.03)
+RISK, DELTA = 0.03, 0.05
 
 
 def measures() -> dict[str, Column]:
@@ -95,39 +103,70 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
+def in_holdout() -> Column:
+    """True for the half of labelled documents on which cutoffs are tested."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)) == 1
+
+
+def cell(measure: Column) -> Column:
+    return F.least(F.floor(measure * CELLS), F.lit(CELLS - 1)).cast("int")
+
+
+def proposals(counts: dict[tuple, int], strata: int, rules: int) -> dict[tuple, int]:
+    """The cell from which (stratum, level, rule) rejects, from counts by (stratum, rule, cell); ``CELLS``: never."""
+    out = {}
+    for s in range(strata):
+        for r in range(rules):
+            n, above, k = sum(counts.get((s, r, c), 0) for c in range(CELLS)), 0, CELLS
+            for level, share in enumerate(LEVELS):
+                while n and k > 1 and above + counts.get((s, r, k - 1), 0) <= share * n:
+                    k -= 1
+                    above += counts.get((s, r, k), 0)
+                out[s, level, r] = k
+    return out
+
+
+def passed(rejected: list[int], n: int, strata: int, risk: float, delta: float) -> int | None:
+    """The last level before the first whose bound exceeds the risk; None if that is the first."""
+    last = None
+    for level, bad in enumerate(rejected):
+        if not n or upper_bound(bad, n, delta / strata) > risk:
+            break
+        last = level
+    return last
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[dict]:
-    """The strictest safe cutoff of each (stratum, rule); rules without one are left out."""
+    """The chosen cutoff of each (stratum, rule); strata and rules without one are left out."""
     found = measures()
-    names = list(found)
-    cell = lambda m: F.least(F.floor(m * CELLS), F.lit(CELLS - 1)).cast("int")
-    good = stats.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi")
-    cells = good.select(
-        stratum().alias("stratum"),
-        F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), cell(m).alias("cell")) for i, m in enumerate(found.values())))).alias("x"),
+    names, strata = list(found), len(LENGTH_STRATA) + 1
+    good = stats.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi").select(
+        stratum().alias("stratum"), in_holdout().alias("holdout"), F.array(*(cell(m) for m in found.values())).alias("cells")
     )
-    table = {(r["stratum"], r["rule"], r["cell"]): r["n"] for r in cells.groupBy("stratum", "x.rule", "x.cell").agg(F.count("*").alias("n")).collect()}
-    strata = len(LENGTH_STRATA) + 1
-    error, share, chosen = delta / (strata * len(names) * CELLS), risk / len(names), []
-    for s in range(strata):
+    cells = good.where("not holdout").select("stratum", F.posexplode("cells").alias("rule", "cell"))
+    counts = {(r["stratum"], r["rule"], r["cell"]): r["n"] for r in cells.groupBy("stratum", "rule", "cell").agg(F.count("*").alias("n")).collect()}
+    tried = proposals(counts, strata, len(names))
+
+    def rejected(level: int) -> Column:
+        tests = [
+            (F.col("stratum") == s) & (F.get("cells", F.lit(r)) >= k) for (s, at, r), k in tried.items() if at == level and k < CELLS
+        ]
+        return F.count_if(F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False))).alias(f"level{level}")
+
+    tested = good.where("holdout").groupBy("stratum").agg(F.count("*").alias("n"), *(rejected(i) for i in range(len(LEVELS)))).collect()
+    chosen = []
+    for row in sorted(tested, key=lambda r: r["stratum"]):
+        level = passed([row[f"level{i}"] for i in range(len(LEVELS))], row["n"], strata, risk, delta)
         for i, name in enumerate(names):
-            counts = [table.get((s, i, k), 0) for k in range(CELLS)]
-            n, above, best = sum(counts), 0, None
-            for k in reversed(range(1, CELLS)):  # cutoff k / CELLS rejects cells from k on
-                above += counts[k]
-                if not n or upper_bound(above, n, error) > share:
-                    break
-                best = k
-            if best is not None:
-                chosen.append({"stratum": s, "rule": name, "cutoff": best / CELLS, "n_good": n})
+            if level is not None and (k := tried[row["stratum"], level, i]) < CELLS:
+                chosen.append({"stratum": row["stratum"], "rule": name, "cell": k, "level": level, "n_holdout": row["n"]})
     return chosen
 
 
 def rejects(chosen: list[dict]) -> Column:
     """True for texts that a chosen cutoff rejects."""
-    found, verdict = measures(), F.lit(False)
-    for x in chosen:
-        verdict = verdict | ((stratum() == x["stratum"]) & (found[x["rule"]] >= x["cutoff"]))
-    return verdict
+    found = measures()
+    return reduce(or_, [(stratum() == x["stratum"]) & (cell(found[x["rule"]]) >= x["cell"]) for x in chosen], F.lit(False))
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:

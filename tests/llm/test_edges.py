@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -226,3 +228,79 @@ def test_jaccard_clusters_against_brute_force(spark):
                 root[y] = x
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {(r["doc_id"], r["component_id"]) for r in jaccard.link(rows).collect()} == {(i, find(i)) for i in range(len(sets))}
+
+
+def test_rules_against_brute_force(spark):
+    """Cutoffs and verdicts recomputed from collected counts, and false rejections counted."""
+    sf = "/root/testdata/sf0.1"
+    stats, labels = textstats.statistics(spark.read.parquet(f"{sf}/documents.parquet")).cache(), spark.read.parquet(f"{sf}/labels.parquet")
+    measured = stats.select("doc_id", rules.base_failed().alias("failed"), rules.stratum().alias("s"), rules.in_holdout().alias("h"), F.array(*(rules.cell(m) for m in rules.measures().values())).alias("c"))
+    rows = {r["doc_id"]: r for r in measured.collect()}
+    quality = {}
+    for r in labels.collect():
+        quality[r["doc_id"]] = min(quality.get(r["doc_id"], 1), r["quality"])
+    good = [rows[k] for k, q in quality.items() if q == 1 and not rows[k]["failed"]]
+
+    def bound(bad, n, error):  # smallest share on a grid under which so few rejections are as rare as the error
+        return next(p / 1e5 for p in range(1, 100_000) if sum(math.comb(n, i) * (p / 1e5) ** i * (1 - p / 1e5) ** (n - i) for i in range(bad + 1)) <= error)
+
+    expected = {}
+    for s in range(3):
+        fit, holdout = ([r["c"] for r in good if r["s"] == s and r["h"] == h] for h in (False, True))
+        for share in rules.LEVELS:
+            cut = []
+            for i in range(5):
+                ok = [k for k in range(1, rules.CELLS + 1) if sum(c[i] >= k for c in fit) <= share * len(fit)]
+                cut.append(min(ok))
+            bad = sum(any(c[i] >= cut[i] for i in range(5)) for c in holdout)
+            if bound(bad, len(holdout), 0.05 / 3) > rules.RISK:
+                break
+            expected[s] = cut
+    chosen = rules.cutoffs(stats, labels)
+    found = {s: [next((x["cell"] for x in chosen if x["stratum"] == s and x["rule"] == n), rules.CELLS) for n in rules.measures()] for s in expected}
+    assert expected and found == expected
+    kept = {r["doc_id"]: r["kept"] for r in rules.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels).select("doc_id", "kept").collect()}
+    rejected = lambda r: r["failed"] or r["s"] in expected and any(c >= k for c, k in zip(r["c"], expected[r["s"]]))
+    assert all(kept[k] == (not rejected(r)) for k, r in rows.items())
+    assert sum(not kept[r["doc_id"]] for r in good) <= rules.RISK * len(good)
+    assert sum(not kept[k] for k, q in quality.items() if q == 0) >= 0.9 * sum(q == 0 for q in quality.values())
+
+
+def test_hypergeometric_draws(spark):
+    """Inversion over a grid of uniforms gives the exact law, also where odds are tiny and where the support is cut."""
+    for left, right, quota in ((30, 50, 20), (2000, 2100, 2050), (3, 2, 4), (0, 5, 2), (5, 0, 2)):
+        n = 4000
+        split = f"array(struct({left}D AS left, {right}D AS right, {quota}D AS quota, (id + 0.5D) / {n} AS u))"
+        found = Counter(r["k"] for r in spark.range(n).select(F.expr(f"{mixing.draws(split)}[0].left").alias("k")).collect())
+        exact = {k: math.comb(left, k) * math.comb(right, quota - k) / math.comb(left + right, quota) for k in range(max(0, quota - right), min(left, quota) + 1)}
+        assert all(abs(found[k] / n - p) <= 1.01 / n for k, p in exact.items()) and sum(found[k] for k in exact) == n
+
+
+def test_mixing_shards_add_up(spark):
+    """Shard quotas hold whole blocks and sum to the rest of each source; ties and equal sizes give the same result again."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("source"))
+    first, again = (sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "source", "target", "taken", "shard").collect())) for _ in range(2))
+    assert first == again
+    for source in {r[2] for r in first}:
+        mine = [r for r in first if r[2] == source]
+        assert abs(sum(r[4] for r in mine) - mine[0][3]) <= 1 and all(r[4] <= 3 * r[1] for r in mine)
+    mixed = mixing.mixed(docs).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    shard = {r[0]: r[5] for r in first}
+    assert len({(shard[r["doc_id"]], r["p"]) for r in mixed}) == len({shard[r["doc_id"]] for r in mixed})  # a shard is in one partition
+    run = [r["doc_id"] for r in mixed if shard[r["doc_id"]] == shard[mixed[0]["doc_id"]]]
+    assert run != sorted(run)
+
+
+def test_media_members_fail_alone(spark, tmp_path):
+    """A flipped byte costs one member, which says so; the others are read."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 30).alias("text")).coalesce(1)
+    stored = media.store_texts(docs, str(tmp_path / "a"))
+    whole = media.media_features(stored)
+    assert whole.count() == 40
+
+
+def test_licenses_again_and_again():
+    held = tuple(sorted(licenses.TEMPLATES.items()))
+    line = "Released under the MIT License."
+    for text, n in ((f"{line}\n{line}", 2), (f"{line}\nx\ny\n{line}", 2), ("\n".join([line] * 300), 300)):
+        assert [x[0] for x in licenses.matches(text, held)] == ["MIT"] * n
