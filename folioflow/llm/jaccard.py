@@ -14,9 +14,10 @@ Documents link when 100 * |A and B| >= 75 * |A or B|, over sets of distinct
 3. Classes of equal size and equal prefix (but for elements held by them alone)
    form a group. Groups that share a prefix element make a list; of elements that
    the same groups hold only the first is kept, as no other can make a pair earlier.
-4. In rounds, each group is paired in its lists with the most central class of
-   another component, linearly many pairs; pairs are verified on whole sets, and
-   linked components become one. When a round links nothing more, the
+4. Members of a group are first verified with its most central one. Then, in
+   rounds, each group is paired in its lists with the most central class of
+   another component: linearly many pairs, verified on whole sets; linked
+   components become one. When a round links nothing more, the groups and
    lists that still hold several components are joined in full between different
    components, for pairs whose shared element lies early enough in both sets to
    leave room for the overlap. Group pairs expand to their members, and these are
@@ -162,18 +163,17 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 
 def group_lists(members: DataFrame) -> DataFrame:
-    """``key, grp, n, pos``: lists of groups that share a prefix element, with its place; and each group as a list.
+    """``key, grp, n, pos``: lists of groups that share a prefix element ``key``, with its place.
 
     An element after another one that the same groups hold is left out.
     """
-    groups = members.groupBy("grp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("lead").alias("lead"), F.count("*").alias("size"))
+    groups = members.groupBy("grp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("lead").alias("lead"))
     rows = groups.select("grp", "n", "own", F.posexplode("lead").alias("i", "e")).select("grp", "n", (F.col("own") + F.col("i")).alias("pos"), "e")
     holders = rows.groupBy("e").agg(
         F.bit_xor(F.xxhash64("grp")).alias("h1"), F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("h2"), F.count("*").alias("h3")
     ).where("h3 > 1")
     firsts = holders.groupBy("h1", "h2", "h3").agg(F.min("e").alias("e"))
-    lists = rows.join(firsts.select("e"), "e").select(F.col("e.token").cast("string").alias("key"), "grp", "n", "pos")
-    return lists.unionByName(groups.where("size > 1").select(F.concat(F.lit("g"), "grp").alias("key"), "grp", "n", F.lit(0).cast("long").alias("pos")))
+    return rows.join(firsts.select("e"), "e").select(F.col("e.token").alias("key"), "grp", "n", "pos")
 
 
 def _overlap(n1: Column, n2: Column) -> Column:
@@ -192,14 +192,19 @@ def open_rows(lists: DataFrame, members: DataFrame, labels: DataFrame) -> DataFr
     component, with the most central class of these. Rows too late in their set for any other of the list are left out."""
     parts = members.join(labels, "rid").groupBy("grp", "label").agg(F.max(F.struct("central", "rid")).alias("top"))
     rows = lists.join(parts, "grp").select("key", "grp", "n", "pos", "label", F.col("top.rid").alias("rep"), F.col("top.central").alias("central"))
-    for _ in range(2):
-        seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low != high")
-        smallest = F.greatest("least", F.ceil(0.75 * F.col("n")))
-        rows = rows.join(seen.select("key", "least"), "key").where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).drop("least")
-    return rows
+    seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low != high")
+    smallest = F.greatest("least", F.ceil(0.75 * F.col("n")))
+    rows = rows.join(seen.select("key", "least"), "key")
+    return written(rows.where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).drop("least"), "open")
 
 
-def central_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+def group_pairs(members: DataFrame) -> DataFrame:
+    """``a, b``: each class of a group with the group's most central one."""
+    top = members.groupBy("grp").agg(F.max_by("rid", F.struct("central", "rid")).alias("b"))
+    return members.join(top, "grp").where("rid != b").select(F.col("rid").alias("a"), "b")
+
+
+def central_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
     """``a, b``: at most two partners of each group and component: linearly many.
 
     In each list a row looks at the most central class of another component; of all
@@ -211,8 +216,7 @@ def central_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
     seen = rows.join(second, "key").withColumn("o", F.when(F.col("label") != F.col("t1.label"), F.col("t1.t")).otherwise(F.col("t2")))
     seen = seen.where(_can_link(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
     pairs = seen.groupBy(F.col("rep").alias("a"), F.col("o.rep").alias("b"), F.col("o.central").alias("central")).agg(F.count("*").alias("c"))
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("central", "c", "b")).alias("x"), F.max_by("b", F.struct("c", "central", "b")).alias("y"))
     return best.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
 
@@ -223,8 +227,13 @@ def remaining_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame) -> D
     met = side(1).join(side(2), "key").where(
         (F.col("label1") < F.col("label2")) & _can_link(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"))
     )
-    pairs = met.select("grp1", "label1", "grp2", "label2").distinct()
     known = members.join(labels, "rid")
+    mixed = known.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    inside = known.join(mixed.select("grp"), "grp").select("grp", "label").distinct()
+    within = inside.select("grp", F.col("label").alias("label1")).join(inside.select("grp", F.col("label").alias("label2")), "grp").where("label1 < label2")
+    pairs = met.select("grp1", "label1", "grp2", "label2").distinct().unionByName(
+        within.select(F.col("grp").alias("grp1"), "label1", F.col("grp").alias("grp2"), "label2")
+    )
     expand = lambda i, c: known.select(F.col("grp").alias(f"grp{i}"), F.col("label").alias(f"label{i}"), F.col("rid").alias(c))
     return pairs.join(expand(1, "a"), ["grp1", "label1"]).join(expand(2, "b"), ["grp2", "label2"]).select("a", "b")
 
@@ -310,15 +319,22 @@ def class_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
         return none
     lists = written(group_lists(members), "lists")
     members = members.select("rid", "grp", "central")
-    labels, tried = members.select("rid", F.col("rid").alias("label")), None
+    labels = members.select("rid", F.col("rid").alias("label"))
+    tried = written(group_pairs(members), "pairs")
+    links = written(verified(tried, sets), "links")
+    if not links.isEmpty():
+        labels = merged(labels, links)
     for _ in range(ROUNDS):
-        pairs = written(central_pairs(open_rows(lists, members, labels), tried), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        rows = open_rows(lists, members, labels)
+        pairs = written(central_pairs(rows, tried), "pairs")
         links = written(verified(pairs, sets), "links")
         if links.isEmpty():
             break
-        labels = merged(labels, links)
-    rest = written(remaining_pairs(written(open_rows(lists, members, labels), "open"), members, labels), "rest")
+        # Components only grow, so lists and rows that are left out stay so.
+        tried, lists, labels = tried.unionByName(pairs), rows.select("key", "grp", "n", "pos").distinct(), merged(labels, links)
+    else:
+        rows = open_rows(lists, members, labels)
+    rest = written(remaining_pairs(rows, members, labels), "rest")
     links = written(verified(rest, sets, screen=True), "links")
     if not links.isEmpty():
         labels = merged(labels, links)
