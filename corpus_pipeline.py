@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
 and read again as the next one's ``docs``. All but the last return the columns
 of ``documents``.
+
+Defined results: null texts and texts without a letter go in the first stage;
+repeated rows and copies become one row in the second, the first by id (null
+last); null ids and null sources stay, a null source is a source of its own in
+the mix; very long texts are handled whole; an empty table gives no rows; extra
+columns, also such with the names of operators' own, are carried through.
 """
 
 from __future__ import annotations
@@ -15,9 +21,13 @@ from folioflow.llm.common import documents, is_held_out, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any language (no letter at all)."""
+    """Reject documents without any language: null texts and those without a letter.
+
+    Where no language can be learned, texts with letters stay.
+    """
     samples = langid.training_texts(docs.where(~is_held_out()))
-    return langid.identify(docs, samples).where("lang_pred != 'und'").select(*docs.columns)
+    spoken = (F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")
+    return langid.identify(docs, samples).where(spoken).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
