@@ -9,17 +9,20 @@ from pyspark.sql import types as T
 
 #: Words that name a sound.
 SOUND_WORDS = (
-    "BOOM BAM POW CRASH BANG WHAM ZAP ZING KABOOM KAPOW BLAM KA-BOOM KA-POW SMASH THUD THUMP CLUNK CLANK RATTLE "
-    "SHAKE CLANG RING DING DONG BONG BONK SWOOSH WHOOSH VROOM SNAP CRACK POP SPLAT SPLASH DRIP DROP ROAR GROWL HISS "
-    "BUZZ WHIR CRUNCH CHOMP MUNCH SLURP GULP FIZZ BOING AH OH EH UH HUH HA HEH HEE EEK GASP PANT WHEE ZZZ ZZ Z "
-    "SCREAM SHOUT YELL WHISPER MUMBLE SIGH SNIFF COUGH SNEEZE GRUNT"
-).split()
+    "BOOM", "BAM", "POW", "CRASH", "BANG", "WHAM", "ZAP", "ZING", "KABOOM", "KAPOW", "BLAM", "KA-BOOM",
+    "KA-POW", "SMASH", "THUD", "THUMP", "CLUNK", "CLANK", "RATTLE", "SHAKE", "CLANG", "RING", "DING", "DONG",
+    "BONG", "BONK", "SWOOSH", "WHOOSH", "VROOM", "SNAP", "CRACK", "POP", "SPLAT", "SPLASH", "DRIP", "DROP",
+    "ROAR", "GROWL", "HISS", "BUZZ", "WHIR", "CRUNCH", "CHOMP", "MUNCH", "SLURP", "GULP", "FIZZ", "BOING",
+    "AH", "OH", "EH", "UH", "HUH", "HA", "HEH", "HEE", "EEK", "GASP", "PANT", "WHEE", "ZZZ", "ZZ", "Z",
+    "SCREAM", "SHOUT", "YELL", "WHISPER", "MUMBLE", "SIGH", "SNIFF", "COUGH", "SNEEZE", "GRUNT",
+)
 #: Words that may be said twice in a row.
 REPEATABLE_WORDS = (
-    "yes no yeah nope hey hi ok okay oh ah ha ho wow please stop wait help run come go now never more very so well "
-    "hello bye sorry si ehi ciao dai presto aiuto forza basta fermo ferma vai corri subito mai piu molto certo "
-    "davvero scusa grazie"
-).split()
+    "yes", "no", "yeah", "nope", "hey", "hi", "ok", "okay", "oh", "ah", "ha", "ho", "wow", "please", "stop",
+    "wait", "help", "run", "come", "go", "now", "never", "more", "very", "so", "well", "hello", "bye",
+    "sorry", "si", "ehi", "ciao", "dai", "presto", "aiuto", "forza", "basta", "fermo", "ferma", "vai",
+    "corri", "subito", "mai", "piu", "molto", "certo", "davvero", "scusa", "grazie",
+)
 #: Language names in cache keys.
 CACHE_LANGUAGES = {"en": "English", "fr": "French", "it": "Italian"}
 #: Fixed patterns, applied in this order by ``clean``; word borders are those of Unicode.
@@ -27,23 +30,25 @@ URL = r"(?iU)\b(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?:/[^\s]*)?\b|https?://[^\s]+|ww
 EMAIL = r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 PHONE = r"(?U)\b\d{3,}[-\s]?\d{3,}[-\s]?\d{3,}\b"
 PAGE_NUMBER = r"(?iU)\b(?:pag\.?\s*)?\d{1,4}\b"
+#: White space of any script, and the four separators below it.
+WHITE = r"[\s\x1C-\x1F]"
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"(?U)^{WHITE}+|{WHITE}+$", "")
 
 
 def words(text: Column) -> Column:
     """Words between white space; none for a blank text."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"(?U){WHITE}+"), lambda w: w != "")
 
 
 def clean(text: Column) -> Column:
     """Drop addresses, phone numbers and page numbers, and collapse white space."""
     for pattern in (URL, EMAIL, PHONE, PAGE_NUMBER):
         text = F.regexp_replace(text, pattern, "")
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, f"(?U){WHITE}+", " "))
 
 
 def is_sound_effect(text: Column) -> Column:
@@ -52,8 +57,8 @@ def is_sound_effect(text: Column) -> Column:
     A null or empty text counts as one.
     """
     said = F.upper(strip(text))
-    named = said.isin(SOUND_WORDS) | said.rlike(f"^(?:{'|'.join(SOUND_WORDS)})!")
-    stretched = is_all_caps(said) & (F.char_length(said) <= 8) & said.rlike(r"([A-Z])\1{2,}")
+    named = said.isin(*SOUND_WORDS) | said.rlike(f"^(?:{'|'.join(SOUND_WORDS)})!")
+    stretched = ~said.rlike(r"[\p{Ll}\p{Lt}]") & (F.char_length(said) <= 8) & said.rlike(r"([A-Z])\1{2,}")
     return F.coalesce((text == "") | named | stretched, F.lit(True))
 
 
@@ -66,8 +71,8 @@ def normalize_ellipsis(text: Column) -> Column:
 
 
 def is_all_caps(text: Column) -> Column:
-    """Some letter, and none in lower case."""
-    return text.rlike(r"\p{L}") & ~text.rlike(r"\p{Ll}")
+    """Some letter, and all of them upper case; letters without case are not."""
+    return text.rlike(r"\p{L}") & ~text.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")
 
 
 def doubled_words(text: Column) -> Column:
@@ -78,7 +83,7 @@ def doubled_words(text: Column) -> Column:
     pairs = F.zip_with(F.slice(found, 1, rest), F.slice(found, 2, rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     doubled = F.filter(
         pairs,
-        lambda p: (bare(p["a"]) == bare(p["b"])) & (bare(p["a"]) != "") & ~p["a"].rlike(r"[,.;:!?…—-]$") & ~bare(p["a"]).isin(REPEATABLE_WORDS),
+        lambda p: (bare(p["a"]) == bare(p["b"])) & (bare(p["a"]) != "") & ~p["a"].rlike(r"[,.;:!?…—-]$") & ~bare(p["a"]).isin(*REPEATABLE_WORDS),
     )
     return F.transform(doubled, lambda p: bare(p["a"]))
 

@@ -16,6 +16,23 @@ def from_boxes(boxes: DataFrame, page: str = "page_id", mask: str = "mask_id") -
     return boxes.where("bbox.x2 > bbox.x1 and bbox.y2 > bbox.y1").select(page, mask, y.alias("y"), F.col("bbox.x1").alias("x0"), F.col("bbox.x2").alias("x1"))
 
 
+def bands(masks: DataFrame, page: str = "page_id", mask: str = "mask_id") -> DataFrame:
+    """Masks as bands ``y0, y1, x0, x1``: equal runs of successive rows become one. Bands pass through."""
+    if "y" not in masks.columns:
+        return masks.select(page, mask, "y0", "y1", "x0", "x1")
+    along = Window.partitionBy(page, mask, "x0", "x1").orderBy("y")
+    numbered = masks.select(page, mask, "y", "x0", "x1").distinct().withColumn("island", F.col("y") - F.row_number().over(along))
+    return numbered.groupBy(page, mask, "x0", "x1", "island").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).drop("island")
+
+
+def bands_from_boxes(boxes: DataFrame, page: str = "page_id", mask: str = "mask_id") -> DataFrame:
+    """Filled boxes, each one band."""
+    b = F.col("bbox")
+    return boxes.where("bbox.x2 > bbox.x1 and bbox.y2 > bbox.y1").select(
+        page, mask, b["y1"].alias("y0"), b["y2"].alias("y1"), b["x1"].alias("x0"), b["x2"].alias("x1")
+    )
+
+
 def measure(runs: DataFrame, page: str = "page_id", mask: str = "mask_id") -> DataFrame:
     """Area and bounding box of each mask."""
     return runs.groupBy(page, mask).agg(
@@ -26,19 +43,30 @@ def measure(runs: DataFrame, page: str = "page_id", mask: str = "mask_id") -> Da
 
 def union(runs: DataFrame, by: list) -> DataFrame:
     """Merged runs of all masks of a key: overlapping or touching runs become one."""
-    along = Window.partitionBy(*by, "y").orderBy("x0", "x1")
+    order = ["x0", "x1", *(["mask_id"] if "mask_id" in runs.columns else [])]
+    along = Window.partitionBy(*by, "y").orderBy(*order)
     reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.withColumn("opens", F.coalesce(F.col("x0") > reach, F.lit(True)).cast("int"))
     numbered = marked.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
 
 
-def overlaps(a: DataFrame, b: DataFrame, page: str = "page_id") -> DataFrame:
-    """Common area of masks of ``a`` and ``b`` on one page: ``page, a_mask, b_mask, common``."""
-    left = a.select(page, "y", F.col("mask_id").alias("a_mask"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    right = b.select(page, "y", F.col("mask_id").alias("b_mask"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    met = left.join(right, [page, "y"]).where("a0 < b1 and b0 < a1")
-    return met.groupBy(page, "a_mask", "b_mask").agg(F.sum(F.least("a1", "b1") - F.greatest("a0", "b0")).alias("common"))
+def _placed(masks: DataFrame, side: str, page: str) -> DataFrame:
+    """Bands of one side, by page, with the area of their mask."""
+    rows = bands(masks, page).repartition(page)
+    area = F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).over(Window.partitionBy(page, "mask_id"))
+    return rows.select(page, F.col("mask_id").alias(f"{side}_mask"), *(F.col(c).alias(f"{side}_{c}") for c in ("y0", "y1", "x0", "x1")), area.alias(f"{side}_area"))
+
+
+def overlaps(a: DataFrame, b: DataFrame, page: str = "page_id", once: bool = False) -> DataFrame:
+    """Common area of masks of ``a`` and ``b`` on one page: ``page, a_mask, b_mask, a_area, b_area, common``.
+
+    Masks meet as bands, one shuffle by page in all. ``once``: only pairs in rising order of their ids.
+    """
+    test = "a_y0 < b_y1 and b_y0 < a_y1 and a_x0 < b_x1 and b_x0 < a_x1" + (" and a_mask < b_mask" if once else "")
+    met = _placed(a, "a", page).join(_placed(b, "b", page), page).where(test)
+    side = lambda c: F.least(f"a_{c}1", f"b_{c}1") - F.greatest(f"a_{c}0", f"b_{c}0")
+    return met.groupBy(page, "a_mask", "b_mask", "a_area", "b_area").agg(F.sum(side("y") * side("x")).alias("common"))
 
 
 def difference(a: DataFrame, b: DataFrame, page: str = "page_id") -> DataFrame:
@@ -78,21 +106,19 @@ def assign_points(points: DataFrame, runs: DataFrame, page: str = "page_id") ->
 
 def best_overlap(texts: DataFrame, bubbles: DataFrame, least: float = 0.8, page: str = "page_id") -> DataFrame:
     """The bubble that holds most of each text mask, if it holds ``least`` of it."""
-    areas = measure(texts, page).select(page, F.col("mask_id").alias("a_mask"), "area")
     best = Window.partitionBy(page, "a_mask").orderBy(F.desc("common"), "b_mask")
     top = overlaps(texts, bubbles, page).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
-    return top.join(areas, [page, "a_mask"]).where(F.col("common") >= least * F.col("area"))
+    return top.where(F.col("common") >= least * F.col("a_area"))
 
 
-def contained(runs: DataFrame, page: str = "page_id") -> DataFrame:
-    """For each pair of masks of a page, the share of the first that lies in the second."""
-    areas = measure(runs, page).select(page, "mask_id", "area")
-    met = overlaps(runs, runs, page).where("a_mask != b_mask")
-    return (
-        met.join(areas.select(page, F.col("mask_id").alias("a_mask"), F.col("area").alias("a_area")), [page, "a_mask"])
-        .join(areas.select(page, F.col("mask_id").alias("b_mask"), F.col("area").alias("b_area")), [page, "b_mask"])
-        .withColumn("share", F.col("common") / F.col("a_area"))
-    )
+def contained(masks: DataFrame, page: str = "page_id") -> DataFrame:
+    """For each pair of masks of a page that meet, the share of the first that lies in the second."""
+    both = F.explode(F.array(
+        F.struct("a_mask", "b_mask", "a_area", "b_area"),
+        F.struct(F.col("b_mask").alias("a_mask"), F.col("a_mask").alias("b_mask"), F.col("b_area").alias("a_area"), F.col("a_area").alias("b_area")),
+    ))
+    pairs = overlaps(masks, masks, page, once=True).select(page, both.alias("p"), "common").select(page, "p.*", "common")
+    return pairs.withColumn("share", F.col("common") / F.col("a_area"))
 
 
 def drop_contained(runs: DataFrame, least: float = 0.8, page: str = "page_id") -> DataFrame:

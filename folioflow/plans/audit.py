@@ -74,3 +74,31 @@ def report(rows: DataFrame, page: str = "page_id") -> DataFrame:
     return issues(rows, page).groupBy(page).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind", line.alias("line")))), lambda x: x["line"]), "\n").alias("report")
     )
+
+
+def incomplete_pages(pages: DataFrame, translated: DataFrame, cleaned: DataFrame, rendered: DataFrame | None = None, page: str = "page_id") -> DataFrame:
+    """``page, kind``: pages without an artefact. One that was never translated is not asked for the others;
+    without an output folder (``rendered`` None) no page lacks its rendering."""
+    has = lambda found, name: found.select(page).distinct().withColumn(name, F.lit(True))
+    rows = pages.select(page).distinct().join(has(translated, "_t"), page, "left").join(has(cleaned, "_c"), page, "left")
+    rows = rows.join(has(rendered, "_r"), page, "left") if rendered is not None else rows.withColumn("_r", F.lit(True))
+    lacks = lambda name, kind: F.when(F.col(name).isNull(), F.lit(kind))
+    later = F.array_compact(F.array(lacks("_c", "missing_cleaned"), lacks("_r", "missing_render")))
+    return rows.select(page, F.explode(F.when(F.col("_t").isNull(), F.array(F.lit("missing_translated"))).otherwise(later)).alias("kind"))
+
+
+def grand_totals(rows: DataFrame, incomplete: DataFrame, page: str = "page_id") -> DataFrame:
+    """One row: balloons, problems by kind, incomplete stages, and ``problems``, the sum of all but balloons."""
+    kinds = ("to_transcribe", "untranslated", "truncated", "too_long", "duplicate")
+    found = issues(rows, page).select("kind").unionByName(incomplete.select(F.lit("incomplete").alias("kind")))
+    found = found.unionByName(rows.select(F.lit("balloon").alias("kind")))
+    counts = found.agg(F.count_if(F.col("kind") == "balloon").alias("balloons"), *(F.count_if(F.col("kind") == k).alias(k) for k in (*kinds, "incomplete")))
+    return counts.withColumn("problems", sum((F.col(k) for k in (*kinds, "incomplete")), F.lit(0)))
+
+
+def totals_line(totals: DataFrame) -> DataFrame:
+    """The report's last line, from ``grand_totals``."""
+    shown = ("untranslated", "to_transcribe", "truncated", "too_long", "duplicate", "incomplete")
+    said = F.concat_ws(", ", *(F.concat(F.col(k).cast("string"), F.lit(f" {k}")) for k in shown))
+    some = F.concat(F.lit("Totals: "), said, F.lit(" (of "), F.col("balloons").cast("string"), F.lit(" balloons)"))
+    return totals.select(F.when(F.col("problems") == 0, F.concat(F.lit("No problem in "), F.col("balloons").cast("string"), F.lit(" balloons."))).otherwise(some).alias("line"))

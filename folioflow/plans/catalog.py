@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as g
-from folioflow.functions import profile, text as t
-from folioflow.operators import merge, order, runs
+from folioflow.functions import predicates, profile, text as t
+from folioflow.operators import edits, merge, order, runs
 from folioflow.plans import audit, translate
 from folioflow.sources import pages
 
@@ -155,7 +155,7 @@ def sound_effects(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, regexp_matches(text, '[!?]{2,}') AS shout, regexp_matches(text, '\p{L}') AND NOT regexp_matches(text, '\p{Ll}') AS all_caps,
+SELECT doc_id, regexp_matches(text, '[!?]{2,}') AS shout, regexp_matches(text, '\p{L}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') AS all_caps,
   regexp_replace(text || '....', '\.{3,}', '…', 'g') AS ellipsis, length(text) > 250 AS overlong
 FROM documents
 """)
@@ -184,12 +184,13 @@ def degenerate_zlib(spark, sf_dir):
 
 @query("""
 SELECT d.doc_id, sha256('English:Italian:' || d.text) AS key, b.item_id IS NOT NULL AS hit, b.item_id
-FROM documents d LEFT JOIN (SELECT min(item_id) AS item_id, text FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 7 = 0) GROUP BY text) b ON b.text = d.text
+FROM documents d LEFT JOIN (SELECT min(item_id) AS item_id, text FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE lang = 'en') GROUP BY text) b ON b.text = d.text
 """)
 def cache_key_lookup(spark, sf_dir):
     key = t.cache_key(F.lit("English"), F.lit("Italian"), F.col("text"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    known = _read(spark, sf_dir, "benchmark").select("item_id", "text").union(docs.where("doc_id % 7 = 0"))
+    whole = _read(spark, sf_dir, "documents")
+    docs = whole.select("doc_id", "text")
+    known = _read(spark, sf_dir, "benchmark").select("item_id", "text").union(whole.where("lang = 'en'").select("doc_id", "text"))
     cache = known.withColumn("key", key).groupBy("key").agg(F.min("item_id").alias("translation"))
     return merge.cache_lookup(docs.withColumn("key", key), cache).select("doc_id", "key", "hit", F.col("translation").alias("item_id"))
 
@@ -245,7 +246,7 @@ met AS (SELECT a.page_id, a.mask_id AS a_mask, b.mask_id AS b_mask, sum(least(a.
 
 @query(_MASKS + "SELECT met.page_id, a_mask, b_mask, common::BIGINT AS common, common / area AS share FROM met JOIN areas ON areas.page_id = met.page_id AND areas.mask_id = a_mask")
 def mask_containment(spark, sf_dir):
-    return runs.contained(runs.from_boxes(_boxes(spark, sf_dir))).select("page_id", "a_mask", "b_mask", F.col("common").cast("long"), "share")
+    return runs.contained(runs.bands_from_boxes(_boxes(spark, sf_dir))).select("page_id", "a_mask", "b_mask", F.col("common").cast("long"), "share")
 
 
 @query(_MASKS + """SELECT page_id, a_mask, b_mask, common FROM (
@@ -253,20 +254,20 @@ def mask_containment(spark, sf_dir):
   FROM met JOIN areas ON areas.page_id = met.page_id AND areas.mask_id = a_mask WHERE a_mask % 2 = 1 AND b_mask % 2 = 0)
 WHERE r = 1 AND common >= 0.8 * area""")
 def best_overlap(spark, sf_dir):
-    masks = runs.from_boxes(_boxes(spark, sf_dir))
+    masks = runs.bands_from_boxes(_boxes(spark, sf_dir))
     found = runs.best_overlap(masks.where("mask_id % 2 = 1"), masks.where("mask_id % 2 = 0"))
     return found.select("page_id", "a_mask", "b_mask", F.col("common").cast("long").alias("common"))
 
 
 @query()
 def mask_dedupe(spark, sf_dir):
-    return runs.drop_contained(runs.from_boxes(_boxes(spark, sf_dir)))
+    return runs.drop_contained(runs.bands_from_boxes(_boxes(spark, sf_dir)))
 
 
 @query(f"""
-WITH {BOXES}, runs AS (SELECT page_id, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM boxes),
-marked AS (SELECT *, coalesce(x0 > max(x1) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS o FROM runs),
-numbered AS (SELECT *, sum(o) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS r FROM marked),
+WITH {BOXES}, runs AS (SELECT page_id, pos, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM boxes),
+marked AS (SELECT *, coalesce(x0 > max(x1) OVER (PARTITION BY page_id, y ORDER BY x0, x1, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS o FROM runs),
+numbered AS (SELECT *, sum(o) OVER (PARTITION BY page_id, y ORDER BY x0, x1, pos ROWS UNBOUNDED PRECEDING) AS r FROM marked),
 merged AS (SELECT page_id, y, max(x1) - min(x0) AS w FROM numbered GROUP BY page_id, y, r)
 SELECT page_id, sum(w)::BIGINT AS area, count(*) AS n_runs FROM merged GROUP BY page_id
 """)
@@ -319,17 +320,19 @@ def uniform_font(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT p_partkey AS pos, p_partkey % 3 = 0 AS b, p_partkey % 4 = 0 AS h, p_partkey % 10 = 0 AS avoid, p_partkey % 7 = 0 AS preferred FROM part WHERE p_partkey <= 50),
+WITH f AS (SELECT p_partkey AS pos, p_partkey % 3 = 0 AS b, p_partkey % 4 = 0 AS h, p_partkey % 10 = 0 AS avoid, p_partkey % 7 = 0 AS preferred FROM part),
 w AS (SELECT p_partkey, p_size % 2 = 0 AS b, p_size % 3 = 0 AS h, p_size % 5 = 0 AS c FROM part),
-s AS (SELECT p_partkey, pos, greatest(-1, 3 * (w.b = f.b)::INT + 4 * (w.h = f.h)::INT + (w.c AND NOT f.h)::INT - 2 * (w.b AND NOT f.b)::INT - 3 * (w.h AND NOT f.h)::INT
-  - 10 * f.avoid::INT + 2 * (f.preferred AND NOT w.h)::INT) AS score FROM w, f)
-SELECT p_partkey, 'font' || pos AS font_path, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, pos) AS r FROM s) WHERE r = 1
+kinds AS (SELECT DISTINCT b, h, c FROM w),
+s AS (SELECT w.b AS kb, w.h AS kh, w.c AS kc, pos, greatest(-1, 3 * (w.b = f.b)::INT + 4 * (w.h = f.h)::INT + (w.c AND NOT f.h)::INT - 2 * (w.b AND NOT f.b)::INT - 3 * (w.h AND NOT f.h)::INT
+  - 10 * f.avoid::INT + 2 * (f.preferred AND NOT w.h)::INT) AS score FROM kinds w, f),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb, kh, kc ORDER BY score DESC, pos) AS r FROM s) WHERE r = 1)
+SELECT p_partkey, 'font' || pos AS font_path, score FROM w JOIN best ON kb = b AND kh = h AND kc = c
 """)
 def font_match(spark, sf_dir):
     part = _read(spark, sf_dir, "part")
     wanted = part.select("p_partkey", (F.col("p_size") % 2 == 0).alias("is_bold"), (F.col("p_size") % 3 == 0).alias("is_handwritten"), (F.col("p_size") % 5 == 0).alias("is_all_caps"))
     k = F.col("p_partkey")
-    fonts = part.where(k <= 50).select(k.alias("pos"), F.concat(F.lit("font"), k).alias("path"), (k % 3 == 0).alias("is_bold"), (k % 4 == 0).alias("is_handwritten"), (k % 10 == 0).alias("avoid"), (k % 7 == 0).alias("preferred"))
+    fonts = part.select(k.alias("pos"), F.concat(F.lit("font"), k).alias("path"), (k % 3 == 0).alias("is_bold"), (k % 4 == 0).alias("is_handwritten"), (k % 10 == 0).alias("avoid"), (k % 7 == 0).alias("preferred"))
     return merge.best_font(wanted, fonts, "p_partkey")
 
 
@@ -434,3 +437,100 @@ def review_status(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations")
     said = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.lit("-")).otherwise(F.col("role"))
     return turns.select("conv_id", "turn", t.review_status(F.col("text"), said).alias("status"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM labels) AS t, n_chars > 500 AS c, lang = 'en' AS r FROM documents)
+SELECT doc_id AS page_id, 'missing_translated' AS kind FROM d WHERE NOT t
+UNION ALL SELECT doc_id, 'missing_cleaned' FROM d WHERE t AND NOT coalesce(c, false) UNION ALL SELECT doc_id, 'missing_render' FROM d WHERE t AND NOT coalesce(r, false)
+""")
+def incomplete_pages(spark, sf_dir):
+    """Documents as pages: labelled ones are translated, long ones cleaned, English ones rendered."""
+    docs = _read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page_id")
+    translated = _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "page_id")
+    return audit.incomplete_pages(docs, translated, docs.where("n_chars > 500"), docs.where("lang = 'en'"))
+
+
+@query(f"""
+WITH {BALLOONS}, n AS (SELECT count(*) AS balloons FROM balloons), gaps AS (SELECT count(DISTINCT page_id) AS incomplete FROM balloons WHERE page_id % 7 = 3)
+SELECT balloons, count(*) FILTER (kind = 'to_transcribe') AS to_transcribe, count(*) FILTER (kind = 'untranslated') AS untranslated,
+  count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (kind = 'too_long') AS too_long, count(*) FILTER (kind = 'duplicate') AS duplicate,
+  incomplete, count(kind) + incomplete AS problems
+FROM n, gaps LEFT JOIN issues ON true GROUP BY balloons, incomplete
+""")
+def audit_totals(spark, sf_dir):
+    """Totals of all pages; every seventh conversation is a page that was never cleaned."""
+    rows = _balloons(spark, sf_dir)
+    return audit.grand_totals(rows, audit.incomplete_pages(rows, rows, rows.where("page_id % 7 != 3")))
+
+
+@query(f"""
+WITH {BOXES}, kept AS (SELECT * FROM boxes WHERE l_returnflag != 'A')
+SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS balloon_id FROM kept
+""")
+def renumbered(spark, sf_dir):
+    return edits.renumber(_boxes(spark, sf_dir).where("l_returnflag != 'A'")).select("page_id", "pos", "balloon_id")
+
+
+@query(f"""
+WITH {BOXES}, m AS (
+  SELECT *, l_returnflag = 'R' AS chosen, max(pos) OVER (PARTITION BY page_id) + row_number() OVER (PARTITION BY page_id, l_returnflag = 'R' ORDER BY pos, x1, y1, x2, y2) AS fresh,
+    y2 - y1 >= x2 - x1 AS tall, round_even((x1 + x2) / 2, 0)::INT AS mx, round_even((y1 + y2) / 2, 0)::INT AS my FROM boxes)
+SELECT page_id, pos, 0 AS part, pos AS balloon_id, x1, y1, CASE WHEN chosen AND NOT tall THEN mx ELSE x2 END AS x2, CASE WHEN chosen AND tall THEN my ELSE y2 END AS y2 FROM m
+UNION ALL SELECT page_id, pos, 1, fresh, CASE WHEN tall THEN x1 ELSE mx END, CASE WHEN tall THEN my ELSE y1 END, x2, y2 FROM m WHERE chosen
+""")
+def split_boxes(spark, sf_dir):
+    """Returned lines as balloons to split in two."""
+    found = edits.split_in_two(_boxes(spark, sf_dir), F.col("l_returnflag") == "R", [], order=("pos", "bbox"))
+    return found.select("page_id", "pos", "part", "balloon_id", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2")
+
+
+@query("""
+SELECT page_id, pos, mask_path FROM (SELECT l_orderkey AS page_id, l_linenumber AS pos, l_partkey::VARCHAR AS mask_path,
+  row_number() OVER (PARTITION BY l_orderkey, CASE WHEN l_returnflag = 'R' THEN l_linestatus ELSE l_partkey::VARCHAR END ORDER BY l_linenumber, l_partkey::VARCHAR) AS r FROM lineitem) WHERE r = 1
+""")
+def first_masks(spark, sf_dir):
+    """Lines with part numbers as masks; returned ones are halves of their status's mask."""
+    rows = _boxes(spark, sf_dir).withColumns({
+        "mask_path": F.col("l_partkey").cast("string"), "parent_mask_path": F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")),
+    })
+    return edits.first_masks(rows, order=("pos", "mask_path")).select("page_id", "pos", "mask_path")
+
+
+@query(r"""
+WITH taught AS (SELECT sha256('English:Italian:' || o) AS key, arg_max(s, turn * 1000000 + conv_id) AS translation FROM (
+  SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS o, regexp_replace(coalesce(role, ''), '^\s+|\s+$', '', 'g') AS s FROM conversations)
+  WHERE o != '' AND s != '' GROUP BY o)
+SELECT key, translation FROM taught
+UNION ALL SELECT key, translation FROM (SELECT sha256('English:Italian:' || text) AS key, min(item_id)::VARCHAR AS translation FROM benchmark GROUP BY text) b WHERE key NOT IN (SELECT key FROM taught)
+""")
+def remembered(spark, sf_dir):
+    """Roles of turns as a person's translations, put into a cache of benchmark texts."""
+    key = t.cache_key(F.lit("English"), F.lit("Italian"), F.col("text"))
+    cache = _read(spark, sf_dir, "benchmark").groupBy(key.alias("key")).agg(F.min("item_id").cast("string").alias("translation"))
+    turns = _read(spark, sf_dir, "conversations")
+    taught = turns.select((F.col("turn") * 1000000 + F.col("conv_id")).alias("seq"), F.col("text").alias("original"), F.col("role").alias("translated"))
+    return translate.remembered(cache, taught, "English", "Italian")
+
+
+@query(r"""
+SELECT count(DISTINCT conv_id) + (SELECT count(DISTINCT page_id) FROM pages) AS pages, (SELECT count(DISTINCT page_id) FROM pages) AS failed_pages,
+  count(*) AS balloons, count(*) FILTER (regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') = '') AS blank_balloons FROM conversations
+""")
+def reading_stats(spark, sf_dir):
+    """Conversations as pages read, web pages as pages that failed."""
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("text").alias("original"))
+    return edits.reading_stats(rows, _read(spark, sf_dir, "pages"))
+
+
+@query("""
+SELECT c_custkey, coalesce(trunc(c_acctbal)::INT, 0) AS n, CASE WHEN c_acctbal < 128 THEN 'white' ELSE 'black' END AS ink, c_mktsegment != '-' AS valid
+FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE c_mktsegment END AS c_mktsegment FROM customer) WHERE c_acctbal >= 1
+""")
+def balloon_predicates(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer").where("c_acctbal >= 1")
+    said = F.when(F.col("c_custkey") % 4 == 0, F.lit("-")).otherwise(F.col("c_mktsegment"))
+    return rows.select(
+        "c_custkey", predicates.positive_number(F.col("c_acctbal").cast("string")).alias("n"),
+        predicates.ink_color(F.col("c_acctbal")).alias("ink"), predicates.is_valid_text(said).alias("valid"),
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from hashlib import sha1
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,29 @@ def glossary_section(glossary: Column) -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
 
 
+def glossary_fingerprint(glossary: dict) -> str:
+    """What a glossary adds to cache keys: a mark and eight hex digits of its sorted JSON; empty without one."""
+    if not glossary:
+        return ""
+    return "\0" + sha1(json.dumps(glossary, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:8]
+
+
+def with_glossary(pages: DataFrame, glossaries: DataFrame) -> DataFrame:
+    """Adds the ``glossary`` of each page's comic; null where there is none. One row for each comic is a small table."""
+    return pages.join(glossaries.select("comic", "glossary"), "comic", "left")
+
+
+def remembered(cache: DataFrame, edits: DataFrame, source: str, target: str, fingerprint: str = "") -> DataFrame:
+    """The cache with a person's translations in place of what it held: the last by ``seq`` of each text.
+
+    ``edits``: ``seq, original, translated``; rows with either side blank teach nothing.
+    """
+    original, said = (t.strip(F.coalesce(c, F.lit(""))) for c in ("original", "translated"))
+    key = t.cache_key(F.lit(source), F.lit(target), F.concat(original, F.lit(fingerprint)))
+    taught = edits.where((original != "") & (said != "")).select(key.alias("key"), said.alias("translation"), "seq")
+    return merge.upsert(cache, taught.groupBy("key").agg(F.max_by("translation", "seq").alias("translation")), ["key"])
+
+
 def prompts(rows: DataFrame, page: str, pos: str, text: str, size: int = 10) -> DataFrame:
     """One prompt text for each batch of ``size`` rows with text of a page."""
     said = rows.where(t.strip(F.coalesce(text, F.lit(""))) != "")
@@ -54,7 +79,8 @@ def translate(rows: DataFrame, cache: DataFrame, client: Callable[[str], str], s
             yield batch[[page]].assign(reply=[client(p) for p in batch["prompt"]])
 
     replies = prompt.mapInPandas(call, f"{page} {dict(rows.dtypes)[page]}, reply string")
-    answers = replies.select(page, F.explode(t.tagged_lines(F.col("reply"))).alias("a")).groupBy(page, F.col("a.id").alias("pos")).agg(F.last("a.text").alias("answer"))
+    tagged = replies.select(page, F.posexplode(t.tagged_lines(F.col("reply"))).alias("line", "a"))
+    answers = tagged.groupBy(page, F.col("a.id").alias("pos")).agg(F.max_by("a.text", "line").alias("answer"))  # the last of a reply's repeats
     done = looked.join(answers, [page, "pos"], "left").select(page, "pos", "key", "hit", F.coalesce("translation", "answer").alias("translated"))
     gained = done.where(~F.col("hit") & F.col("translated").isNotNull()).select("key", F.col("translated").alias("translation")).dropDuplicates(["key"])
     return merge.attach(rows.drop("translated"), done, [page, "pos"], "translated"), gained
