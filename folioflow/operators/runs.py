@@ -124,18 +124,13 @@ def contained(masks: DataFrame, page: str = "page_id") -> DataFrame:
 def drop_contained(runs: DataFrame, least: float = 0.8, page: str = "page_id") -> DataFrame:
     """Masks left after dropping, one after another, those that a kept larger one holds.
 
-    Pairs are found by joins; only the pairs of one page meet in a task. A dropped
+    Pairs are found by joins; those of one page are folded in list order. A dropped
     mask cannot absorb another; of an equal pair the later one stays.
     """
     pairs = contained(runs, page).where(F.col("share") >= least).where("b_area >= a_area")
-
-    def keep(group):
-        gone = set()
-        for r in group.sort_values(["a_mask", "b_mask"]).itertuples():
-            if r.a_mask not in gone and r.b_mask not in gone:
-                gone.add(r.a_mask)
-        return group.loc[group.a_mask.isin(gone), [page, "a_mask"]].drop_duplicates()
-
-    kinds = dict(runs.dtypes)
-    gone = pairs.groupBy(page).applyInPandas(keep, f"{page} {kinds[page]}, a_mask {kinds['mask_id']}")
+    none = F.array().cast(f"array<{dict(runs.dtypes)['mask_id']}>")
+    kept = lambda gone, p: ~F.array_contains(gone, p["a_mask"]) & ~F.array_contains(gone, p["b_mask"])
+    fold = F.aggregate("pairs", none, lambda gone, p: F.when(kept(gone, p), F.array_append(gone, p["a_mask"])).otherwise(gone))
+    by_page = pairs.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("a_mask", "b_mask"))).alias("pairs"))
+    gone = by_page.select(page, F.explode(fold).alias("a_mask"))
     return runs.select(page, "mask_id").distinct().join(gone.withColumnRenamed("a_mask", "mask_id"), [page, "mask_id"], "left_anti")
