@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zipfile
 from collections import Counter
 
 import numpy as np
@@ -295,8 +296,15 @@ def test_media_members_fail_alone(spark, tmp_path):
     """A flipped byte costs one member, which says so; the others are read."""
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 30).alias("text")).coalesce(1)
     stored = media.store_texts(docs, str(tmp_path / "a"))
-    whole = media.media_features(stored)
-    assert whole.count() == 40
+    assert stored.where("error is null").count() == 40
+    (archive,) = (f for f in (tmp_path / "a").rglob("*") if zipfile.is_zipfile(f))
+    member = zipfile.ZipFile(archive).infolist()[7]
+    data = bytearray(archive.read_bytes())
+    data[member.header_offset + 30 + len(member.filename) + member.compress_size // 2] ^= 0xFF
+    archive.write_bytes(data)
+    found = stored.collect()
+    assert len(found) == 40 and sum(r["error"] is not None for r in found) == 1
+    assert all((r["media"] is None) == (r["error"] is not None) for r in found)
 
 
 def test_licenses_again_and_again():
