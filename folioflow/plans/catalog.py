@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as g
-from folioflow.functions import predicates, profile, text as t
+from folioflow.functions import layout, predicates, profile, text as t
 from folioflow.operators import edits, merge, order, runs
-from folioflow.plans import audit, translate
+from folioflow.plans import audit, fitting, translate
 from folioflow.sources import pages
 
 FLAGSHIP = "untranslated_audit"
@@ -534,3 +534,56 @@ def balloon_predicates(spark, sf_dir):
         "c_custkey", predicates.positive_number(F.col("c_acctbal").cast("string")).alias("n"),
         predicates.ink_color(F.col("c_acctbal")).alias("ink"), predicates.is_valid_text(said).alias("valid"),
     )
+
+
+#: Advance widths for the queries: some narrow and some wide letters, the space, the rest as ``layout.WIDE``.
+ADVANCES = {" ": 300} | dict.fromkeys("fijlt", 300) | dict.fromkeys("mwMW", 850)
+_UNITS = r"""
+said AS (
+  SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS words FROM conversations
+), ruled AS (
+  SELECT *, [600 * length(w) - 300 * length(regexp_replace(w, '[^fijlt]', '', 'g')) + 250 * length(regexp_replace(w, '[^mwMW]', '', 'g')) FOR w IN words] AS u FROM said
+)"""
+
+
+@query(rf"""
+WITH RECURSIVE {_UNITS}, steps AS (
+  SELECT conv_id, turn, words, u, 1 AS i, u[1] AS used, words[1] AS wrapped FROM ruled WHERE len(u) > 0
+  UNION ALL
+  SELECT conv_id, turn, words, u, i + 1, CASE WHEN used + 300 + u[i + 1] <= 15000 THEN used + 300 + u[i + 1] ELSE u[i + 1] END,
+    wrapped || CASE WHEN used + 300 + u[i + 1] <= 15000 THEN ' ' ELSE chr(10) END || words[i + 1] FROM steps WHERE i < len(u)
+)
+SELECT conv_id, turn, coalesce(wrapped, '') AS wrapped FROM said LEFT JOIN (SELECT conv_id, turn, wrapped FROM steps WHERE i = len(u)) USING (conv_id, turn)
+""")
+def wrap_greedy(spark, sf_dir):
+    lines = layout.wrap(F.col("text"), ADVANCES, F.lit(180), F.lit(12))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(lines, "\n").alias("wrapped"))
+
+
+@query(rf"""
+WITH RECURSIVE {_UNITS}, sizes AS (SELECT unnest(range(8, 25)) AS size), steps AS (
+  SELECT conv_id, turn, u, size, 60000 // size AS room, 1 AS i, u[1] AS used, 1 AS n FROM ruled, sizes WHERE len(u) > 0 AND list_max(u) <= 60000 // size
+  UNION ALL
+  SELECT conv_id, turn, u, size, room, i + 1, CASE WHEN used + 300 + u[i + 1] <= room THEN used + 300 + u[i + 1] ELSE u[i + 1] END,
+    n + (used + 300 + u[i + 1] > room)::INT FROM steps WHERE i < len(u)
+), fitting AS (
+  SELECT conv_id, turn, max(size) AS size FROM steps WHERE i = len(u) AND size::DOUBLE * 1.15::DOUBLE * n <= 120 GROUP BY conv_id, turn
+)
+SELECT conv_id, turn, CASE WHEN len(words) = 0 THEN 24 ELSE size END AS size FROM said LEFT JOIN fitting USING (conv_id, turn)
+""")
+def fit_box(spark, sf_dir):
+    widths = layout.units(layout.words(F.col("text")), ADVANCES)
+    size = layout.fit_size(widths, ADVANCES[" "], F.lit(60), F.lit(120), 8, 24, 1.15)
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", size.alias("size"))
+
+
+@query()
+def laid_out(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return layout.fit_box(turns, "text", F.lit(180), F.lit(190), ADVANCES, 8, 24).drop("text")
+
+
+@query()
+def shorten_loop(spark, sf_dir):
+    first_half = lambda said, target, original: said[: max(target, len(original) // 2 + 1)]
+    return fitting.shorten(_balloons(spark, sf_dir), first_half, ADVANCES).select("page_id", "pos", "translated", "shortened")
