@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as g
 from folioflow.functions import layout, predicates, profile, text as t
-from folioflow.operators import edits, merge, order, runs
+from folioflow.operators import edits, masks, merge, order, runs
 from folioflow.plans import audit, fitting, translate
 from folioflow.sources import pages
 
@@ -265,7 +265,7 @@ def mask_dedupe(spark, sf_dir):
 
 
 @query(f"""
-WITH {BOXES}, runs AS (SELECT page_id, pos, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM boxes),
+WITH {BOXES}, runs AS (SELECT DISTINCT page_id, pos, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM boxes), -- equal rows would tie in the windows
 marked AS (SELECT *, coalesce(x0 > max(x1) OVER (PARTITION BY page_id, y ORDER BY x0, x1, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS o FROM runs),
 numbered AS (SELECT *, sum(o) OVER (PARTITION BY page_id, y ORDER BY x0, x1, pos ROWS UNBOUNDED PRECEDING) AS r FROM marked),
 merged AS (SELECT page_id, y, max(x1) - min(x0) AS w FROM numbered GROUP BY page_id, y, r)
@@ -587,3 +587,53 @@ def laid_out(spark, sf_dir):
 def shorten_loop(spark, sf_dir):
     first_half = lambda said, target, original: said[: max(target, len(original) // 2 + 1)]
     return fitting.shorten(_balloons(spark, sf_dir), first_half, ADVANCES).select("page_id", "pos", "translated", "shortened")
+
+
+@query(f"""
+WITH {BOXES}
+SELECT DISTINCT page_id, x1 || '-' || y1 || '-' || x2 || '-' || y2 AS mask_id,
+  ((x2 - x1 + 4) * (y2 - y1 + 4))::BIGINT AS grown, ((x2 - x1 - 4) * (y2 - y1 - 4))::BIGINT AS shrunk, ((x2 - x1) * (y2 - y1))::BIGINT AS closed FROM boxes
+""")
+def mask_morphology(spark, sf_dir):
+    corners = F.concat_ws("-", *(F.col(f"bbox.{c}") for c in ("x1", "y1", "x2", "y2")))  # lines of an order may share a number
+    boxes = runs.from_boxes(_boxes(spark, sf_dir).withColumn("mask_id", corners))
+    kinds = {"grown": masks.dilate(boxes, 2), "shrunk": masks.erode(boxes, 2), "closed": masks.close(boxes, 2)}
+    marked = [m.withColumn("kind", F.lit(k)) for k, m in kinds.items()]
+    every = marked[0].unionByName(marked[1]).unionByName(marked[2])
+    size = (F.col("x1") - F.col("x0")).cast("long")
+    return every.groupBy("page_id", "mask_id").agg(*(F.sum(F.when(F.col("kind") == k, size)).alias(k) for k in kinds))
+
+
+@query(f"""
+WITH {BOXES}, cover AS (
+  SELECT DISTINCT a.page_id, a.pos, unnest(range(b.y1 - 3, b.y2 + 3)) AS y, b.x1 - 3 AS x0, b.x2 + 3 AS x1 FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.pos != b.pos
+), marked AS (
+  SELECT *, coalesce(x0 > max(x1) OVER (PARTITION BY page_id, pos, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS o FROM cover
+), numbered AS (
+  SELECT *, sum(o) OVER (PARTITION BY page_id, pos, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS r FROM marked
+), merged AS (
+  SELECT page_id, pos, max(x1) - min(x0) AS w FROM numbered GROUP BY page_id, pos, y, r
+)
+SELECT page_id, pos AS mask_id, sum(w)::BIGINT AS area FROM merged GROUP BY page_id, pos
+""")
+def neighbour_area(spark, sf_dir):
+    near = masks.neighbour_runs(runs.bands_from_boxes(_boxes(spark, sf_dir)))
+    return near.groupBy("page_id", "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"))
+
+
+@query(f"""
+WITH {BOXES}, p AS (SELECT DISTINCT page_id, pos, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy FROM boxes),
+met AS (SELECT DISTINCT b.page_id, b.pos AS mask_id, p.pos, cx, cy FROM boxes b JOIN p ON p.page_id = b.page_id AND cx >= x1 AND cx < x2 AND cy >= y1 AND cy < y2)
+SELECT page_id, mask_id, count(*) AS n_seeds, string_agg(pos, ',' ORDER BY pos) AS seeds FROM met GROUP BY page_id, mask_id
+""")
+def seeds_in_masks(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    mid = lambda a, b: (F.col(f"bbox.{a}") + F.col(f"bbox.{b}")) / 2
+    found = masks.seeds(boxes.select("page_id", "pos", mid("x1", "x2").alias("cx"), mid("y1", "y2").alias("cy")), runs.from_boxes(boxes))
+    return found.select("page_id", "mask_id", F.size("seeds").cast("long").alias("n_seeds"), F.array_join(F.transform("seeds", lambda x: x["pos"].cast("string")), ",").alias("seeds"))
+
+
+@query()
+def subtracted_masks(spark, sf_dir):
+    left = masks.subtract_overlaps(runs.from_boxes(_boxes(spark, sf_dir)))
+    return runs.measure(left)
