@@ -44,12 +44,15 @@ def parse_range(text: str, style: str = "web") -> tuple[int, int | None]:
     """A page range as (start, end), from 0, end exclusive.
 
     ``web``: "n" is the first n pages, "a-b" counts from 0; ``desktop``: "n" is that
-    page, "a-b" counts from 1 and includes b.
+    page, "a-b" counts from 1 and includes b; ``export``: as ``desktop``, and either end
+    of "a-b" may be left out.
     """
     text = text.strip()
     if not text:
         return 0, None
     first, dash, last = text.partition("-")
+    if style == "export" and dash:
+        return max(0, int(first) - 1) if first else 0, int(last) if last else None
     if style == "web":
         return (int(first), int(last)) if dash else (0, int(first))
     return (max(0, int(first) - 1), int(last)) if dash else (int(first) - 1, int(first))
