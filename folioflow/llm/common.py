@@ -20,6 +20,9 @@ BROADCAST_BYTES = 16 << 20
 #: Arrow batches that Python steps take in are no larger; a worker holds a few of them.
 BATCH_BYTES = 2 << 20
 
+#: A table of at most that many rows is written by one task, if this is known beforehand.
+TASK_ROWS = 1 << 15
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -45,12 +48,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/folio-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of ``df``.
+    ``rows``, where it is known, is a number that the rows of ``df`` surely do not
+    exceed: no more tasks than one for each ``task_rows`` of it then write a file.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // task_rows + 1)
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -48,6 +48,8 @@ SIZE = 5
 ROUNDS = 8
 #: Copies of a class's row in the last join, so that no class is one task's.
 SALTS = 16
+#: Pairs that one task verifies where there are few; a pair brings two whole sets.
+TASK_PAIRS = 512
 
 
 def digest(tokens: np.ndarray, size: int) -> bytes:
@@ -187,15 +189,16 @@ def _can_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
     return near & (pos1 <= n1 - _overlap(n1, n2)) & (pos2 <= n2 - _overlap(n1, n2))
 
 
-def open_rows(lists: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def open_rows(lists: DataFrame, members: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
     """``key, grp, n, pos, label, rep, central``: the lists that hold several components, a row for each group and
-    component, with the most central class of these. Rows too late in their set for any other of the list are left out."""
+    component, with the most central class of these. Rows too late in their set for any other of the list are left out. ``most``: rows of the round before, if any,
+    which this one cannot exceed."""
     parts = members.join(labels, "rid").groupBy("grp", "label").agg(F.max(F.struct("central", "rid")).alias("top"))
     rows = lists.join(parts, "grp").select("key", "grp", "n", "pos", "label", F.col("top.rid").alias("rep"), F.col("top.central").alias("central"))
     seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low != high")
     smallest = F.greatest("least", F.ceil(0.75 * F.col("n")))
     rows = rows.join(seen.select("key", "least"), "key")
-    return written(rows.where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).drop("least"), "open")
+    return written(rows.where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).drop("least"), "open", most)
 
 
 def group_pairs(members: DataFrame) -> DataFrame:
@@ -251,19 +254,21 @@ def _linked(common: Column, n1: Column, n2: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, screen: bool = False) -> DataFrame:
-    """Of written pairs ``a, b``, those whose whole sets are similar enough.
+    """Of written pairs ``a, b``, those whose whole sets are similar enough; written.
 
     With ``screen``, where few will be, 16 bits of each element tell first for
     most pairs that too little can be common: they never understate it.
     """
+    most = pairs.count()
     if screen:
         brief = F.array_distinct(F.transform("elements", lambda x: (x.bitwiseAND(65535) - 32768).cast("short")))
         lost = F.least(*(F.col(f"n_{c}") - F.size(f"brief_{c}") for c in "ab"))
-        most = F.size(F.array_intersect("brief_a", "brief_b")) + lost
+        common = F.size(F.array_intersect("brief_a", "brief_b")) + lost
         near = _joined(pairs, sets.withColumn("brief", brief), "n", "brief")
-        pairs = written(near.where(_linked(F.least(most, "n_a", "n_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"), "screened")
+        pairs = written(near.where(_linked(F.least(common, "n_a", "n_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"), "screened", most, TASK_PAIRS)
     common = F.size(F.array_intersect("elements_a", "elements_b"))
-    return _joined(pairs, sets, "n", "elements").where(_linked(common, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    linked = _joined(pairs, sets, "n", "elements").where(_linked(common, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return written(linked, "links", most, TASK_PAIRS)
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -275,16 +280,17 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     row count and a checksum reach the driver. A hot node's neighbours meet in a
     plain join, which Spark can split, never in one group.
     """
-    edges, mark, old = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), None, None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    most, mark, old = links.count(), None, None
     for _ in range(most_rounds):
-        edges = written(edges, "edges")
+        edges = written(edges, "edges", most)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if old is not None:
             dropped(old)
         old = edges
         if tuple(now) == mark or not now[0]:
             break
-        mark = tuple(now)
+        mark, most = tuple(now), 2 * now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -300,15 +306,15 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after components that a link connects have become one."""
     of = lambda c: labels.select(F.col("rid").alias(c), F.col("label").alias(f"l{c}"))
-    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    edges = written(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), "joined", links.count())
     found = components(edges)
     joined = labels.join(found, labels.label == found.node, "left")
-    return written(joined.select("rid", F.coalesce(found.label, labels.label).alias("label")), "labels")
+    return written(joined.select("rid", F.coalesce(found.label, labels.label).alias("label")), "labels", labels.count())
 
 
 def class_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``cls, label`` of the close classes; classes of one component have one label."""
-    close = written(close_classes(signed), "close")
+    close = written(close_classes(signed), "close", signed.count())
     none = close.sparkSession.createDataFrame([], "cls binary, label long")
     if close.isEmpty():
         return none
@@ -320,22 +326,24 @@ def class_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
     lists = written(group_lists(members), "lists")
     members = members.select("rid", "grp", "central")
     labels = members.select("rid", F.col("rid").alias("label"))
-    tried = written(group_pairs(members), "pairs")
-    links = written(verified(tried, sets), "links")
+    tried = written(group_pairs(members), "pairs", members.count())
+    links = verified(tried, sets)
     if not links.isEmpty():
         labels = merged(labels, links)
+    most = None
     for _ in range(ROUNDS):
-        rows = open_rows(lists, members, labels)
-        pairs = written(central_pairs(rows, tried), "pairs")
-        links = written(verified(pairs, sets), "links")
+        rows = open_rows(lists, members, labels, most)
+        most = rows.count()
+        pairs = written(central_pairs(rows, tried), "pairs", 2 * most)
+        links = verified(pairs, sets)
         if links.isEmpty():
             break
         # Components only grow, so lists and rows that are left out stay so.
         tried, lists, labels = tried.unionByName(pairs), rows.select("key", "grp", "n", "pos").distinct(), merged(labels, links)
     else:
-        rows = open_rows(lists, members, labels)
+        rows = open_rows(lists, members, labels, most)
     rest = written(remaining_pairs(rows, members, labels), "rest")
-    links = written(verified(rest, sets, screen=True), "links")
+    links = verified(rest, sets, screen=True)
     if not links.isEmpty():
         labels = merged(labels, links)
     return sets.select("rid", "cls").join(labels, "rid").select("cls", "label")
@@ -345,10 +353,10 @@ def linked_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_hash, n, cls`` of each row; and ``cls, top`` of each class with words: the smallest
     (null last, id, text hash) of its component."""
     signed = written(signatures(docs), "signed")
-    labels = written(class_labels(docs, signed), "class_labels")
+    labels = written(class_labels(docs, signed), "class_labels", signed.count())
     row = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash"))
     classes = signed.where("n > 0").groupBy("cls").agg(row.alias("top"), F.count("*").alias("rows"))
-    named = written(classes.join(labels, "cls", "left"), "classes")
+    named = written(classes.join(labels, "cls", "left"), "classes", signed.count())
     best = named.where("label is not null").groupBy("label").agg(F.min("top").alias("best"), F.sum("rows").alias("all_rows"))
     tops = named.join(best, "label", "left").select("cls", F.coalesce("best", "top").alias("top"), F.coalesce("all_rows", "rows").alias("rows"))
     return signed.select("doc_id", "text_hash", "n", "cls"), tops.where("rows > 1").drop("rows")
