@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, licenses, media, mixing, packing, ruleclf, rules, secrets, textstats
+from . import chat, divergence, jaccard, langid, licenses, media, mixing, packing, prefixtrie, ruleclf, rules, secrets, textstats, tokencodes
 from .common import documents, is_held_out, shared_path, written
 
 
@@ -169,6 +169,96 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as directly addressable codes, and each one's span read back from the files."""
+    import public_tokenizers
+
+    path = shared_path(spark, "codes")
+    tokencodes.write_codes(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path)
+    return tokencodes.spans(spark, path)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM texts) LEFT JOIN counts USING (lang, source) GROUP BY lang, source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (g.total + 2 * v) AS p,
+    1 + (1000000000 * (k.n + 2)::HUGEINT) // (s.total + 2 * v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source != b.source
+    LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations."""
+    return prefixtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP13_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS i FROM said
+), convs AS ( -- h is crc32 of the decimal id, bit by bit, modulo 9
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, [ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+  SELECT c.conv_id, t.i, t.said, t.size FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 8 + t.i, t.said, t.size FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, said, size FROM parts
+), prefixes AS (
+  SELECT conv_id, d, size, sha256(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size FROM prefixes GROUP BY node
+), edges AS (
+  SELECT DISTINCT c.node, p.node AS parent FROM prefixes c JOIN prefixes p ON p.conv_id = c.conv_id AND p.d = c.d - 1
+), kids AS (
+  SELECT parent AS node, count(*) AS k FROM edges GROUP BY parent
+), sums AS (
+  SELECT a.node, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (k.k IS NULL) AS leaves
+  FROM nodes n JOIN prefixes a ON a.conv_id = n.conv_id AND a.d <= n.depth LEFT JOIN kids k ON k.node = n.node GROUP BY a.node
+), ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM prefixes JOIN (SELECT conv_id, max(d) AS d FROM prefixes GROUP BY conv_id) USING (conv_id, d) GROUP BY node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)
+  LEFT JOIN edges e ON e.node = n.node LEFT JOIN nodes p ON p.node = e.parent
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_media_columns": op2_media_columns,
@@ -180,9 +270,14 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_token_codes": op11_token_codes,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
     "op3_secret_scan": OP3_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
+    "op12_source_divergence": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
