@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions import geometry as g
 from folioflow.functions import text as t
 
 #: Style fields whose presence means that a balloon was formatted by hand.
@@ -54,3 +55,24 @@ def positive_number(text: Column, kind: str = "int") -> Column:
     n = t.strip(text).try_cast("double")
     n = n.cast("int") if kind == "int" else n
     return F.when(n > 0, n)
+
+
+def needs_attention(suspect: Column, overflow: Column, translated: Column) -> Column:
+    """Balloons that a reviewer should look at: an empty reading that seems to be text, or a cut translation."""
+    said = t.strip(F.coalesce(translated, F.lit(""))) != ""
+    return (F.coalesce(suspect, F.lit(False)) & ~said) | (F.coalesce(overflow, F.lit(False)) & said)
+
+
+def render_params(translated: Column, box: Column, manual_box: Column, manual_style: Column, shape: Column, source: Column) -> Column:
+    """``text, bbox, manual, trusted`` of a balloon to be drawn; null if it has no text or the mark ``-``.
+
+    A recreated ellipse takes its text in the box inscribed in it, as a manual box.
+    """
+    said = t.strip(F.coalesce(translated, F.lit("")))
+    ellipse = F.coalesce(shape == "ellipse", F.lit(False))
+    manual = ellipse | F.coalesce(manual_box, F.lit(False)) | F.coalesce(manual_style, F.lit(False))
+    drawn = F.struct(
+        said.alias("text"), F.when(ellipse, g.inscribed_box(box)).otherwise(box).alias("bbox"), manual.alias("manual"),
+        F.coalesce(source == "yolov8seg", F.lit(False)).alias("trusted"),
+    )
+    return F.when((said != "") & (said != "-"), drawn)

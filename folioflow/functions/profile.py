@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def smooth(widths: Column, window: int = 7) -> Column:
     """Centred moving average, cut at the ends, rounded half to even."""
     half = window // 2
@@ -30,17 +37,26 @@ def _first_cut(widths: Column, ratio: float, descent: float) -> Column:
             (a["i"] + 1).alias("i"), fell.alias("over"),
         )
 
-    found = F.aggregate(widths, start, step)
-    reaching = F.filter(F.sequence(F.lit(0), F.size(widths) - 1), lambda i: (F.get(widths, i) >= found["peak"] * ratio) & (i <= found["at"]))
-    return F.coalesce(F.try_element_at(reaching, F.lit(1)), found["at"])
+    def reaching(found):
+        hits = F.filter(F.sequence(F.lit(0), F.size(widths) - 1), lambda i: (F.get(widths, i) >= found["peak"] * ratio) & (i <= found["at"]))
+        return F.coalesce(F.try_element_at(hits, F.lit(1)), found["at"])
+
+    return let(F.aggregate(widths, start, step), reaching)
 
 
 def trim_taper(widths: Column, ratio: float = 0.5, descent: float = 0.6) -> Column:
     """First and last index of the body, without tapering ends."""
-    n = F.size(widths)
-    first, last = _first_cut(widths, ratio, descent), n - 1 - _first_cut(F.reverse(widths), ratio, descent)
-    whole = first >= last
-    return F.struct(F.when(whole, 0).otherwise(first).alias("first"), F.when(whole, n - 1).otherwise(last).alias("last"))
+    def trimmed(w):
+        n = F.size(w)
+        ends = F.struct(_first_cut(w, ratio, descent).alias("first"), (n - 1 - let(F.reverse(w), lambda back: _first_cut(back, ratio, descent))).alias("last"))
+
+        def held(e):
+            whole = e["first"] >= e["last"]
+            return F.struct(F.when(whole, 0).otherwise(e["first"]).alias("first"), F.when(whole, n - 1).otherwise(e["last"]).alias("last"))
+
+        return let(ends, held)
+
+    return let(widths, trimmed)
 
 
 def _longest_run(widths: Column, least: Column) -> Column:
@@ -55,12 +71,17 @@ def _longest_run(widths: Column, least: Column) -> Column:
 
 def waist(widths: Column, y0: Column, run_ratio: float = 0.08, dip: float = 0.7, lobe: float = 0.3) -> Column:
     """Row of a narrow place between two lobes, or null."""
-    n = F.size(widths)
-    margin = F.floor(n * 0.15).cast("int")
-    inner = F.slice(widths, margin + 1, F.greatest(n - 2 * margin, F.lit(0)))
-    low = F.array_min(inner)
-    at = margin + F.array_position(inner, low).cast("int") - 1
-    left, right = F.slice(widths, 1, at), F.slice(widths, at + 2, F.greatest(n - at - 1, F.lit(0)))
-    peak, run = lobe * F.array_max(widths), F.greatest(F.lit(3), F.floor(n * run_ratio))
-    sides = [(F.array_max(s) >= peak) & (_longest_run(s, low / dip) >= run) for s in (left, right)]
-    return F.when((n >= 20) & (low > 0) & sides[0] & sides[1], y0 + at)
+
+    def found(w):
+        n = F.size(w)
+        margin = F.floor(n * 0.15).cast("int")
+        inner = F.slice(w, margin + 1, F.greatest(n - 2 * margin, F.lit(0)))
+        return let(F.array_min(inner), lambda low: let(margin + F.array_position(inner, low).cast("int") - 1, lambda at: sound(w, n, low, at)))
+
+    def sound(w, n, low, at):
+        left, right = F.slice(w, 1, at), F.slice(w, at + 2, F.greatest(n - at - 1, F.lit(0)))
+        peak, run = lobe * F.array_max(w), F.greatest(F.lit(3), F.floor(n * run_ratio))
+        sides = [(F.array_max(s) >= peak) & (_longest_run(s, low / dip) >= run) for s in (left, right)]
+        return F.when((n >= 20) & (low > 0) & sides[0] & sides[1], y0 + at)
+
+    return let(widths, found)

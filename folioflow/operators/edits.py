@@ -84,3 +84,73 @@ def reading_stats(rows: DataFrame, failed: DataFrame, page: str = "page_id") ->
     return read.withColumn("_k", F.lit(1)).join(lost.withColumn("_k", F.lit(1)), "_k").select(
         (F.col("read_pages") + F.col("failed_pages")).alias("pages"), "failed_pages", "balloons", "blank_balloons"
     )
+
+
+def move_boxes(rows: DataFrame, moves: DataFrame, sizes: DataFrame, page: str = "page_id") -> DataFrame:
+    """Rows with the boxes that a reviewer set (``moves``: ``page, pos, bbox``), cut to their page.
+
+    A moved box is a manual one; it is no longer half of a split, and its text no longer follows a mask.
+    """
+    given = moves.select(page, "pos", F.col("bbox").alias("_moved"))
+    joined = rows.join(given, [page, "pos"], "left").join(sizes.select(page, "width", "height"), page, "left")
+    moved = F.col("_moved").isNotNull()
+    flags = {"manual_text_box": True, "balloon_split": False, "manual_respect_shape": False}
+    held = {f: F.col(f) if f in rows.columns else F.lit(None).cast("boolean") for f in flags}
+    edited = joined.withColumns({f: F.when(moved, F.lit(v)).otherwise(held[f]) for f, v in flags.items()})
+    whole = F.when(moved, g.clamp(F.col("_moved"), F.col("width"), F.col("height"))).otherwise(F.col("bbox"))
+    return edited.withColumn("bbox", whole).select(*rows.columns, *(f for f in flags if f not in rows.columns))
+
+
+def recreate_balloons(rows: DataFrame, chosen: Column) -> DataFrame:
+    """Chosen balloons drawn anew: a white ellipse with a border, and a tail to the south if they have none."""
+    hit = F.coalesce(chosen, F.lit(False))
+    held = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    preset = {
+        "manual_fill_color": F.when(hit, F.lit("#ffffff")).otherwise(held("manual_fill_color", "string")),
+        "manual_border": F.when(hit, F.lit(True)).otherwise(held("manual_border", "boolean")),
+        "manual_balloon_shape": F.when(hit, F.lit("ellipse")).otherwise(held("manual_balloon_shape", "string")),
+        "manual_balloon_tail": F.when(hit, F.coalesce(held("manual_balloon_tail", "string"), F.lit("south"))).otherwise(held("manual_balloon_tail", "string")),
+    }
+    return rows.withColumns(preset)
+
+
+def confirm_rows(rows: DataFrame, answers: DataFrame, page: str = "page_id") -> DataFrame:
+    """Rows with the texts that a reviewer confirmed (``answers``: ``page, pos, said``, stripped here).
+
+    The mark ``-`` empties both texts. A confirmed balloon is no longer suspect.
+    """
+    joined = rows.join(answers.select(page, "pos", t.strip(F.coalesce("said", F.lit(""))).alias("_said"), F.lit(True).alias("_seen")), [page, "pos"], "left")
+    seen = F.coalesce("_seen", F.lit(False))
+    original, translated = confirm_text(F.col("original"), F.col("_said"))
+    edited = {"original": F.when(seen, original).otherwise(F.col("original")), "translated": F.when(seen, translated).otherwise(F.col("translated"))}
+    if "ocr_suspect" in rows.columns:
+        edited["ocr_suspect"] = F.when(seen, F.lit(False)).otherwise(F.col("ocr_suspect"))
+    return joined.withColumns(edited).select(*rows.columns)
+
+
+def save_table(rows: DataFrame, texts: DataFrame, page: str = "page_id") -> DataFrame:
+    """Rows with the translations of an edited table: its n-th line (``line`` from 0, ``said``) is the page's n-th row.
+
+    Lines beyond the rows are left out; the mark ``-`` empties both texts.
+    """
+    line = F.row_number().over(Window.partitionBy(page).orderBy("pos")) - 1
+    joined = rows.withColumn("_line", line).join(texts.select(page, F.col("line").alias("_line"), F.coalesce("said", F.lit("")).alias("_said")), [page, "_line"], "left")
+    given, leave = F.col("_said").isNotNull(), F.col("_said") == "-"
+    return joined.withColumns({
+        "original": F.when(given & leave, F.lit("")).otherwise(F.col("original")),
+        "translated": F.when(given, F.when(leave, F.lit("")).otherwise(F.col("_said"))).otherwise(F.col("translated")),
+    }).select(*rows.columns)
+
+
+def copy_through(rows: DataFrame) -> DataFrame:
+    """Stripped originals as translations, for pages that are already in the wanted language."""
+    return rows.withColumn("translated", t.strip(F.coalesce("original", F.lit(""))))
+
+
+def page_status(rows: DataFrame, page: str = "page_id") -> DataFrame:
+    """What a reviewer sees of each page: balloons, those to transcribe and those with a cut text."""
+    said = t.strip(F.coalesce("translated", F.lit(""))) != ""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return rows.groupBy(page).agg(
+        F.count("*").alias("balloons"), F.count_if(flag("ocr_suspect") & ~said).alias("to_transcribe"), F.count_if(flag("overflow") & said).alias("truncated")
+    )

@@ -3,7 +3,7 @@
 Growing, shrinking, neighbours and bodies are joins, windows and grouping by
 page and row. Connected parts and the subtraction of overlaps depend on earlier
 results within a page: these two run by mask or page on arrays of its runs.
-Beyond the page nothing is set.
+Pages end where their size is given; else nothing is set beyond the runs.
 """
 
 from __future__ import annotations
@@ -22,28 +22,72 @@ from folioflow.operators import runs as r
 PARTIAL, COPY, LEAST_SHARE, LEAST_PART = 0.25, 0.8, 0.15, 300
 
 
-def dilate(masks: DataFrame, by: int, page: str = "page_id") -> DataFrame:
-    """Grown by ``by`` pixels on all sides, corners included. Takes runs or bands, so that a row is written once."""
-    rows = F.explode(F.sequence(F.col("y0") - by, F.col("y1") + by - 1)).alias("y")
-    grown = r.bands(masks, page).select(page, "mask_id", (F.col("x0") - by).alias("x0"), (F.col("x1") + by).alias("x1"), rows)
-    return r.union(grown.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"])
+def _cut_to_pages(rows: DataFrame, sizes: DataFrame | None, page: str) -> DataFrame:
+    """Runs without what lies outside their page; without ``sizes`` (``page, width, height``) pages have no end."""
+    if sizes is None:
+        return rows
+    inside = rows.join(sizes.select(page, "width", "height"), page).where("y >= 0 and y < height")
+    ends = {"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.col("width"))}
+    return inside.withColumns(ends).drop("width", "height").where("x0 < x1")
 
 
-def erode(masks: DataFrame, by: int, page: str = "page_id") -> DataFrame:
-    """Shrunk by ``by`` pixels on all sides: what all of the 2 ``by`` + 1 rows around share, after narrowing each."""
+def round_width(by: Column, row: Column) -> Column:
+    """Half the width, in whole pixels, of a round kernel of radius ``by``, ``row`` rows off its centre."""
+    inside = F.greatest(by * by - row * row, F.lit(0)).cast("double")
+    return F.bround(F.sqrt(inside)).cast("int")
+
+
+def dilate(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, round_kernel: bool = False) -> DataFrame:
+    """Grown by ``by`` pixels on all sides, by a square or a round kernel. Takes runs or bands, so that a row is written once.
+
+    ``by`` may be a column of the page or the mask that ``masks`` has as ``by``. With
+    ``sizes`` nothing grows beyond its page.
+    """
+    extra = ["by"] if isinstance(by, Column) else []
+    reach = by if extra else F.lit(by)
+    given = r.bands(masks.select(page, "mask_id", *(c for c in ("y", "y0", "y1") if c in masks.columns), "x0", "x1"), page)
+    if extra:
+        given = given.join(masks.select(page, "mask_id", "by").distinct(), [page, "mask_id"])
+    rows = given.withColumn("y", F.explode(F.sequence(F.col("y0") - reach, F.col("y1") + reach - 1)))
+    off = F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1") + 1, F.lit(0))
+    wide = round_width(reach, off) if round_kernel else reach
+    grown = rows.select(page, "mask_id", "y", (F.col("x0") - wide).alias("x0"), (F.col("x1") + wide).alias("x1"))
+    return r.union(_cut_to_pages(grown, sizes, page), [page, "mask_id"])
+
+
+def erode(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, border: bool = True) -> DataFrame:
+    """Shrunk by ``by`` pixels on all sides: what all of the 2 ``by`` + 1 rows around share, after narrowing each.
+
+    With ``sizes``, ``border`` says whether what lies outside a page counts as set, so
+    that nothing is lost at its edge. Without, it counts as unset.
+    """
+    extra = ["by"] if isinstance(by, Column) else []
+    reach = F.col("by") if extra else F.lit(by)
     merged = r.union(masks.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"])
-    narrow = merged.select(page, "mask_id", "y", (F.col("x0") + by).alias("x0"), (F.col("x1") - by).alias("x1")).where("x0 < x1")
-    spread = narrow.withColumn("y", F.explode(F.sequence(F.col("y") - by, F.col("y") + by)))
+    if extra:
+        merged = merged.join(masks.select(page, "mask_id", "by").distinct(), [page, "mask_id"])
+    held = sizes is not None and border
+    if held:
+        merged = merged.join(sizes.select(page, "width", "height"), page)
+    left, right, top, bottom = F.col("x0") + reach, F.col("x1") - reach, F.col("y") - reach, F.col("y") + reach
+    if held:  # a row has fewer neighbours at the edge, and a run keeps its end there
+        left, right = F.when(F.col("x0") <= 0, 0).otherwise(left), F.when(F.col("x1") >= F.col("width"), F.col("width")).otherwise(right)
+        top, bottom = F.greatest(top, F.lit(0)), F.least(bottom, F.col("height") - 1)
+    keep = [*extra, *(["height"] if held else [])]
+    spread = merged.withColumns({"x0": left, "x1": right, "y": F.explode(F.sequence(top, bottom))}).where("x0 < x1")
     edge = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step"))))
-    edges = spread.select(page, "mask_id", "y", edge.alias("e")).groupBy(page, "mask_id", "y", F.col("e.x").alias("x0")).agg(F.sum("e.step").alias("step"))
+    edges = spread.select(page, "mask_id", "y", *keep, edge.alias("e")).groupBy(page, "mask_id", "y", *keep, F.col("e.x").alias("x0")).agg(F.sum("e.step").alias("step"))
     along = Window.partitionBy(page, "mask_id", "y").orderBy("x0")
-    covered = edges.withColumns({"n": F.sum("step").over(along), "x1": F.lead("x0").over(along)}).where(F.col("n") == 2 * by + 1)
+    needed = 2 * reach + 1
+    if held:
+        needed = F.least(F.col("y") + reach, F.col("height") - 1) - F.greatest(F.col("y") - reach, F.lit(0)) + 1
+    covered = edges.withColumns({"n": F.sum("step").over(along), "x1": F.lead("x0").over(along)}).where(F.col("n") == needed)
     return r.union(covered.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"])
 
 
-def close(masks: DataFrame, by: int, page: str = "page_id") -> DataFrame:
-    """Gaps of up to 2 ``by`` pixels filled: grown, then shrunk."""
-    return erode(dilate(masks, by, page), by, page)
+def close(masks: DataFrame, by: int, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
+    """Gaps of up to 2 ``by`` pixels filled: grown, then shrunk; with ``sizes``, gaps to the page's edge as well."""
+    return erode(dilate(masks, by, page, sizes), by, page, sizes)
 
 
 def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corners: bool = True) -> np.ndarray:
@@ -163,12 +207,12 @@ def seeds(points: DataFrame, masks: DataFrame, page: str = "page_id") -> DataFra
     return met.groupBy(page, "mask_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cx", "cy"))).alias("seeds"))
 
 
-def neighbour_runs(masks: DataFrame, by: int = 3, page: str = "page_id") -> DataFrame:
-    """For each mask, the pixels that grown other masks of its page cover, as merged runs.
+def neighbour_runs(masks: DataFrame, by: int = 3, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
+    """For each mask, the pixels that other masks of its page cover, grown by a round kernel, as merged runs.
 
     The grown masks are cut into spans once; a span counts for all masks but one if that one alone covers it.
     """
-    grown = dilate(masks, by, page)
+    grown = dilate(masks, by, page, sizes, round_kernel=True)
     edge = F.explode(F.array(
         F.struct(F.col("x0").alias("x"), F.lit(1).alias("step"), F.col("mask_id").alias("m")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step"), F.col("mask_id").alias("m"))
     ))

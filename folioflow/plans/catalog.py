@@ -45,6 +45,11 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _page_sizes(boxes: DataFrame) -> DataFrame:
+    """Pages are 400 by 200 pixels; boxes may lie across their ends."""
+    return boxes.select("page_id").distinct().select("page_id", F.lit(400).alias("width"), F.lit(200).alias("height"))
+
+
 BOXES = """
 boxes AS (
   SELECT l_orderkey AS page_id, l_linenumber AS pos, x1, y1, x1 + 20 + l_quantity::INT * 4 AS x2, y1 + 20 + l_partkey % 60 AS y2,
@@ -524,11 +529,11 @@ def reading_stats(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, coalesce(trunc(c_acctbal)::INT, 0) AS n, CASE WHEN c_acctbal < 128 THEN 'white' ELSE 'black' END AS ink, c_mktsegment != '-' AS valid
-FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE c_mktsegment END AS c_mktsegment FROM customer) WHERE c_acctbal >= 1
+SELECT c_custkey, CASE WHEN trunc(c_acctbal)::INT > 0 THEN trunc(c_acctbal)::INT END AS n, CASE WHEN c_acctbal < 128 THEN 'white' ELSE 'black' END AS ink, c_mktsegment != '-' AS valid
+FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE c_mktsegment END AS c_mktsegment FROM customer)
 """)
 def balloon_predicates(spark, sf_dir):
-    rows = _read(spark, sf_dir, "customer").where("c_acctbal >= 1")
+    rows = _read(spark, sf_dir, "customer")
     said = F.when(F.col("c_custkey") % 4 == 0, F.lit("-")).otherwise(F.col("c_mktsegment"))
     return rows.select(
         "c_custkey", predicates.positive_number(F.col("c_acctbal").cast("string")).alias("n"),
@@ -590,14 +595,19 @@ def shorten_loop(spark, sf_dir):
 
 
 @query(f"""
-WITH {BOXES}
-SELECT DISTINCT page_id, x1 || '-' || y1 || '-' || x2 || '-' || y2 AS mask_id,
-  ((x2 - x1 + 4) * (y2 - y1 + 4))::BIGINT AS grown, ((x2 - x1 - 4) * (y2 - y1 - 4))::BIGINT AS shrunk, ((x2 - x1) * (y2 - y1))::BIGINT AS closed FROM boxes
+WITH {BOXES}, held AS ( -- what pages hold of the boxes, at most up to their ends
+  SELECT DISTINCT page_id, x1 || '-' || y1 || '-' || x2 || '-' || y2 AS mask_id, x1, y1, least(x2, 400) AS x2, least(y2, 200) AS y2 FROM boxes
+)
+SELECT page_id, mask_id, ((least(x2 + 2, 400) - greatest(x1 - 2, 0)) * (least(y2 + 2, 200) - greatest(y1 - 2, 0)))::BIGINT AS grown,
+  ((CASE WHEN x2 = 400 THEN x2 ELSE x2 - 2 END - CASE WHEN x1 = 0 THEN x1 ELSE x1 + 2 END) * (CASE WHEN y2 = 200 THEN y2 ELSE y2 - 2 END - CASE WHEN y1 = 0 THEN y1 ELSE y1 + 2 END))::BIGINT AS shrunk,
+  ((CASE WHEN x2 >= 398 THEN 400 ELSE x2 END - CASE WHEN x1 <= 2 THEN 0 ELSE x1 END) * (CASE WHEN y2 >= 198 THEN 200 ELSE y2 END - CASE WHEN y1 <= 2 THEN 0 ELSE y1 END))::BIGINT AS closed FROM held
 """)
 def mask_morphology(spark, sf_dir):
-    corners = F.concat_ws("-", *(F.col(f"bbox.{c}") for c in ("x1", "y1", "x2", "y2")))  # lines of an order may share a number
-    boxes = runs.from_boxes(_boxes(spark, sf_dir).withColumn("mask_id", corners))
-    kinds = {"grown": masks.dilate(boxes, 2), "shrunk": masks.erode(boxes, 2), "closed": masks.close(boxes, 2)}
+    b = F.col("bbox")
+    corners = F.concat_ws("-", *(b[c] for c in ("x1", "y1", "x2", "y2")))  # lines of an order may share a number
+    placed = _boxes(spark, sf_dir).withColumn("mask_id", corners).withColumn("bbox", g.box(b["x1"], b["y1"], F.least(b["x2"], F.lit(400)), F.least(b["y2"], F.lit(200))))
+    boxes, sizes = runs.from_boxes(placed), _page_sizes(placed)
+    kinds = {"grown": masks.dilate(boxes, 2, sizes=sizes), "shrunk": masks.erode(boxes, 2, sizes=sizes), "closed": masks.close(boxes, 2, sizes=sizes)}
     marked = [m.withColumn("kind", F.lit(k)) for k, m in kinds.items()]
     every = marked[0].unionByName(marked[1]).unionByName(marked[2])
     size = (F.col("x1") - F.col("x0")).cast("long")
@@ -605,8 +615,12 @@ def mask_morphology(spark, sf_dir):
 
 
 @query(f"""
-WITH {BOXES}, cover AS (
-  SELECT DISTINCT a.page_id, a.pos, unnest(range(b.y1 - 3, b.y2 + 3)) AS y, b.x1 - 3 AS x0, b.x2 + 3 AS x1 FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.pos != b.pos
+WITH {BOXES}, kernel(dy, wide) AS (
+  VALUES (-3, 0), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 0) -- half widths of the round kernel
+), near AS (
+  SELECT a.page_id, a.pos, unnest(range(b.y1, b.y2)) AS y, b.x1, b.x2 FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.pos != b.pos
+), cover AS (
+  SELECT DISTINCT page_id, pos, y + dy AS y, greatest(x1 - wide, 0) AS x0, least(x2 + wide, 400) AS x1 FROM near, kernel WHERE y + dy BETWEEN 0 AND 199
 ), marked AS (
   SELECT *, coalesce(x0 > max(x1) OVER (PARTITION BY page_id, pos, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS o FROM cover
 ), numbered AS (
@@ -617,7 +631,8 @@ WITH {BOXES}, cover AS (
 SELECT page_id, pos AS mask_id, sum(w)::BIGINT AS area FROM merged GROUP BY page_id, pos
 """)
 def neighbour_area(spark, sf_dir):
-    near = masks.neighbour_runs(runs.bands_from_boxes(_boxes(spark, sf_dir)))
+    boxes = _boxes(spark, sf_dir)
+    near = masks.neighbour_runs(runs.bands_from_boxes(boxes), sizes=_page_sizes(boxes))
     return near.groupBy("page_id", "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"))
 
 

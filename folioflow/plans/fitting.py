@@ -17,25 +17,29 @@ from folioflow.functions import text as t
 LEAST_AREA, LEAST_RATIO, LEAST_LENGTH = 20000, 0.75, 0.5
 
 
-def natural_size(text: Column, box: Column, table: dict[str, int], inner: float = 0.8, smallest: int = 8, largest: int = 32, spacing: float = 1.15) -> Column:
-    """The largest size of a text in the safe area of its box; null if none fits or the text is blank."""
+def natural_size(text: Column, box: Column, table: dict[str, int], inner: float = 0.75, smallest: int = 8, largest: int = 32, spacing: float = 1.15) -> Column:
+    """The largest size of a text in the safe area of its box, the smallest if none fits; null if the text is blank.
+
+    Runs of full stops count as one ellipsis. Words are not broken.
+    """
     area = g.safe_area(box, inner)
-    widths = layout.units(layout.words(text), table)
-    size = layout.fit_size(widths, table.get(" ", layout.WIDE), area["x2"] - area["x1"], area["y2"] - area["y1"], smallest, largest, spacing)
-    return F.when(F.size(widths) > 0, size)
+    side = lambda low, high: F.greatest(area[high] - area[low], F.lit(1))
+    widths = layout.units(layout.words(t.normalize_ellipsis(text)), table)
+    size = layout.fit_size(widths, table.get(" ", layout.WIDE), side("x1", "x2"), side("y1", "y2"), smallest, largest, spacing)
+    return F.when(F.size(widths) > 0, F.coalesce(size, F.lit(smallest)))
 
 
 def too_long(rows: DataFrame, table: dict[str, int], **sizes) -> DataFrame:
     """Adds ``size_ratio`` (translation to original), ``too_long`` and ``target``, the characters to aim at.
 
-    Small balloons, blank texts and texts that fit at no size are never too long.
+    Small balloons and blank texts are never too long. A text that fits at no size counts with the smallest.
     """
     sized = rows.withColumns({
         "_before": natural_size(F.col("original"), F.col("bbox"), table, **sizes),
         "_after": natural_size(F.col("translated"), F.col("bbox"), table, **sizes),
     }).withColumn("size_ratio", F.col("_after") / F.col("_before"))
     over = (g.area(F.col("bbox")) >= LEAST_AREA) & (F.col("size_ratio") < LEAST_RATIO)
-    target = g.shortening_target(F.col("original"), F.col("translated"), F.col("size_ratio"))
+    target = g.shortening_target(t.strip(F.col("original")), t.strip(F.col("translated")), F.col("size_ratio"))
     found = sized.withColumn("too_long", F.coalesce(over, F.lit(False)))
     return found.withColumn("target", F.when(F.col("too_long"), target)).drop("_before", "_after")
 

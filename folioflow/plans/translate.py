@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from hashlib import sha1
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as t
-from folioflow.operators import merge, order
+from folioflow.operators import merge, order, rounds
+from folioflow.plans import fitting
+from folioflow.sources.pages import glossary_fingerprint  # noqa: F401 - part of this plan
 
 MOST_TERMS = 60
 
@@ -28,13 +28,6 @@ def glossary_section(glossary: Column) -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
 
 
-def glossary_fingerprint(glossary: dict) -> str:
-    """What a glossary adds to cache keys: a mark and eight hex digits of its sorted JSON; empty without one."""
-    if not glossary:
-        return ""
-    return "\0" + sha1(json.dumps(glossary, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:8]
-
-
 def with_glossary(pages: DataFrame, glossaries: DataFrame) -> DataFrame:
     """Adds the ``glossary`` of each page's comic; null where there is none. One row for each comic is a small table."""
     return pages.join(glossaries.select("comic", "glossary"), "comic", "left")
@@ -61,26 +54,85 @@ def prompts(rows: DataFrame, page: str, pos: str, text: str, size: int = 10) ->
     )
 
 
-def translate(rows: DataFrame, cache: DataFrame, client: Callable[[str], str], source: str, target: str, page: str = "page_id") -> tuple[DataFrame, DataFrame]:
+#: What a prompt asks for before the lines of a batch; ``{source}`` and ``{target}`` are languages.
+RULES = (
+    "Translate these {source} comic dialogue lines to {target}.\n"
+    "Keep who does what to whom, the tone, the register and the profanity.\n"
+    "Translate what idioms mean; where no natural equivalent comes to mind, translate literally.\n"
+    "Check spelling and grammar of your own lines.\n"
+    "Give only the translations, one line for each input line, with the same [balloon N] tags:"
+)
+
+
+def prompt_text(lines: Column, glossary: Column, source: str, target: str, rules: str = RULES) -> Column:
+    """A whole prompt: the rules, the glossary of the comic, then the lines."""
+    return F.concat(F.lit(rules.format(source=source, target=target)), glossary_section(glossary), F.lit("\n\n"), lines)
+
+
+NO_GLOSSARY = "struct<terms:map<string,string>,note:string,banned:array<string>>"
+
+
+def translate(
+    rows: DataFrame, cache: DataFrame, client: Callable[[str], str], source: str, target: str, page: str = "page_id", *,
+    glossaries: DataFrame | None = None, force: bool = False, rules: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Translated rows, and what the cache gains.
 
-    Known texts never reach the client; the others go in batches. ``client`` maps a
-    prompt to a tagged reply and runs in tasks.
+    Texts of a page go in batches of ten. Known ones never reach the client, unless
+    ``force``; a batch without others is not sent. ``client`` maps a prompt to a tagged
+    reply and runs in tasks; where it fails, that batch's rows stay untranslated and the
+    others are not touched. With ``glossaries`` (``comic, glossary, fingerprint``), rows
+    carry ``comic``: a glossary goes into its prompts and its mark into the cache keys.
+    ``rules`` (``RULES`` if there are glossaries) stand before the lines. Answers to
+    balloons that were not asked for do not count; of repeated answers the last one does.
     """
-    said = order.batches(rows.where(t.strip(F.coalesce("original", F.lit(""))) != ""), page, "pos")
-    keyed = said.withColumn("key", t.cache_key(F.lit(source), F.lit(target), F.col("original")))
-    looked = merge.cache_lookup(keyed, cache)
+    if glossaries is not None:
+        known = glossaries.select("comic", "glossary", F.col("fingerprint").alias("_mark"))
+        rows_in = rows.join(known, "comic", "left")
+        rules = RULES if rules is None else rules
+    else:
+        rows_in = rows.withColumns({"glossary": F.lit(None).cast(NO_GLOSSARY), "_mark": F.lit("")})
+    said = order.batches(rows_in.where(t.strip(F.coalesce("original", F.lit(""))) != ""), page, "pos")
+    marked = F.concat("original", F.coalesce("_mark", F.lit("")))
+    keyed = said.withColumn("key", t.cache_key(F.lit(source), F.lit(target), marked))
+    looked = merge.cache_lookup(keyed, cache.limit(0) if force else cache)
     asked = looked.where(~F.col("hit"))
     line = F.struct("pos", t.prompt_line(F.col("pos"), F.col("original")).alias("line"))
-    prompt = asked.groupBy(page, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
+    batched = asked.groupBy(page, "batch").agg(lines.alias("lines"), F.first("glossary").alias("glossary"))
+    whole = F.col("lines") if rules is None else prompt_text(F.col("lines"), F.col("glossary"), source, target, rules)
+    prompt = batched.select(page, "batch", whole.alias("prompt"))
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies = []
+            for text in frame["prompt"]:
+                try:
+                    replies.append(client(text))
+                except Exception:  # noqa: BLE001 - any failure of a client costs its batch only
+                    replies.append(None)
+            yield frame[[page, "batch"]].assign(reply=pd.Series(replies, index=frame.index, dtype=object))
+
+    types = dict(prompt.dtypes)
+    replies = rounds.written(prompt.mapInPandas(call, f"{page} {types[page]}, batch {types['batch']}, reply string"), "replies")  # asked once
+    tagged = replies.select(page, "batch", F.posexplode(t.tagged_lines(F.col("reply"))).alias("line", "a"))
+    answers = tagged.groupBy(page, "batch", F.col("a.id").alias("pos")).agg(F.max_by("a.text", "line").alias("answer"))
+    done = looked.join(answers, [page, "batch", "pos"], "left").select(page, "pos", "key", "hit", F.coalesce("translation", "answer").alias("translated"))
+    gained = done.where(~F.col("hit") & F.col("translated").isNotNull()).select("key", F.col("translated").alias("translation"))
+    gained = gained.groupBy("key").agg(F.min("translation").alias("translation"))
+    return merge.attach(rows.drop("translated"), done, [page, "pos"], "translated"), gained
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[page]].assign(reply=[client(p) for p in batch["prompt"]])
 
-    replies = prompt.mapInPandas(call, f"{page} {dict(rows.dtypes)[page]}, reply string")
-    tagged = replies.select(page, F.posexplode(t.tagged_lines(F.col("reply"))).alias("line", "a"))
-    answers = tagged.groupBy(page, F.col("a.id").alias("pos")).agg(F.max_by("a.text", "line").alias("answer"))  # the last of a reply's repeats
-    done = looked.join(answers, [page, "pos"], "left").select(page, "pos", "key", "hit", F.coalesce("translation", "answer").alias("translated"))
-    gained = done.where(~F.col("hit") & F.col("translated").isNotNull()).select("key", F.col("translated").alias("translation")).dropDuplicates(["key"])
-    return merge.attach(rows.drop("translated"), done, [page, "pos"], "translated"), gained
+def translate_pages(
+    rows: DataFrame, cache: DataFrame, client: Callable[[str], str], source: str, target: str, *, glossaries: DataFrame | None = None, force: bool = False,
+    shorter: Callable[[str, int, str], str] | None = None, table: dict[str, int] | None = None, page: str = "page_id",
+) -> tuple[DataFrame, DataFrame]:
+    """The whole step for pages: ``translate``, then shorter texts where they do not fit (``fitting.shorten``).
+
+    The cache gains what the client said, not the shortened text: it depends on the
+    balloon. Without ``shorter`` nothing is shortened. ``shortened`` tells where it was.
+    """
+    done, gained = translate(rows, cache, client, source, target, page, glossaries=glossaries, force=force, rules=RULES)
+    if shorter is None:
+        return done.withColumn("shortened", F.lit(False)), gained
+    return fitting.shorten(done, shorter, table or {}, page), gained

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from hashlib import sha1
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +80,34 @@ def write_detections(rows: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """``comic`` and its glossary; unreadable files count as none."""
-    raw = spark.read.schema(GLOSSARY).option("mode", "PERMISSIVE").json(path, multiLine=True)
+    """``comic``, its glossary and its ``fingerprint`` for cache keys; unreadable files count as none.
+
+    The fingerprint is that of the whole document, keys sorted, so also of fields that are not read here.
+    """
+    raw = spark.read.text(path, wholetext=True)
     comic = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    glossary = F.struct(F.col("termini").alias("terms"), F.col("note"), F.col("vietate").alias("banned"))
-    return raw.select(comic.alias("comic"), glossary.alias("glossary"))
+    held = F.from_json("value", GLOSSARY)
+    glossary = F.struct(held["termini"].alias("terms"), held["note"].alias("note"), held["vietate"].alias("banned"))
+    return raw.select(comic.alias("comic"), glossary.alias("glossary"), F.pandas_udf(_fingerprint, "string")("value").alias("fingerprint"))
+
+
+def glossary_fingerprint(glossary: dict) -> str:
+    """What a glossary adds to cache keys: a mark and eight hex digits of its sorted JSON; empty without one."""
+    if not glossary:
+        return ""
+    return "\0" + sha1(json.dumps(glossary, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:8]
+
+
+def _fingerprint(documents: pd.Series) -> pd.Series:
+    """One short document for each comic."""
+
+    def mark(text: str) -> str:
+        try:
+            return glossary_fingerprint(json.loads(text))
+        except ValueError:
+            return ""
+
+    return documents.map(mark)
 
 
 def export_text(rows: DataFrame, page: str, pos: str, texts: dict[str, str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import merge, runs
+from folioflow.sources.snapshots import Snapshots
 
 CACHE = "key string, translation string"
 MASKS = "page_id string, mask_id long, y int, x0 int, x1 int"
@@ -33,15 +34,22 @@ def runs_of_pixels(pixels: DataFrame, above: int = 0) -> DataFrame:
     return found.drop("run")
 
 
+def mask_table(spark: SparkSession, path: str) -> Snapshots:
+    """The runs of all masks, in versions by page; page ids stay the strings that they are."""
+    return Snapshots(spark, path, MASKS)
+
+
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
     """The runs of all masks."""
-    return _parquet(spark, path, MASKS)
+    return mask_table(spark, path).read()
+
 
+def write_masks(masks: DataFrame, path: str, pages: DataFrame | None = None) -> None:
+    """Runs by page; pages that are written again lose their earlier masks, other pages keep theirs.
 
-def write_masks(masks: DataFrame, path: str) -> None:
-    """Runs by page; pages that are written again lose their earlier masks, other pages keep theirs."""
-    by_page = masks.repartition("page_id").write.partitionBy("page_id")
-    by_page.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    ``pages`` names the pages that are written, so that one without any mask left becomes empty.
+    """
+    mask_table(masks.sparkSession, path).commit(masks, pages)
 
 
 def add_masks(held: DataFrame, news: DataFrame) -> DataFrame:

@@ -113,18 +113,53 @@ def test_subtraction(spark):
     same(as_grids(masks.subtract_overlaps(as_runs(spark, found)), 90), expected)
 
 
+def rounded(grid):
+    """Grown by the round kernel of 7 by 7 pixels."""
+    out = np.zeros_like(grid)
+    for dy, wide in zip(range(-3, 4), (0, 2, 3, 3, 3, 2, 0)):
+        for y, x in np.argwhere(grid):
+            if 0 <= y + dy < len(grid):
+                out[y + dy, max(0, x - wide):x + wide + 1] = True
+    return out
+
+
 def test_neighbours(spark):
     found = grids()
-    near = as_grids(masks.neighbour_runs(as_runs(spark, found), 1))
-    same(near, {(p, m): np.any([around(v, 1, np.any) for (q, n), v in found.items() if q == p and n != m], axis=0) for p, m in found})
+    near = as_grids(masks.neighbour_runs(as_runs(spark, found)))
+    same(near, {(p, m): np.any([rounded(v) for (q, n), v in found.items() if q == p and n != m], axis=0) for p, m in found})
+
+
+def widest(row):
+    """Start and end of the first longest run of set pixels."""
+    edges = np.flatnonzero(np.diff(np.r_[False, row, False].astype(int)))
+    return max(zip(edges[::2], edges[1::2]), key=lambda e: (e[1] - e[0], -e[0]), default=(0, 0))
+
+
+def first_of_body(widths):
+    peak, at = -1, 0
+    for i, w in enumerate(widths):
+        if w < peak * 0.6:
+            break
+        if w >= peak:
+            peak, at = w, i
+    return next((i for i in range(at + 1) if widths[i] >= peak * 0.5), at)
 
 
 def test_bodies_and_shares(spark):
     found = grids()
     given = as_runs(spark, found)
-    for r in masks.bodies(given).collect():
-        grid = found[r["page_id"], r["mask_id"]]
-        assert grid[r["cy"], r["cx"]] and r["top"] <= r["cy"] < r["bottom"]
+    bodies = {(r["page_id"], r["mask_id"]): (r["top"], r["bottom"], r["cx"], r["cy"]) for r in masks.bodies(given).collect()}
+    assert bodies.keys() == found.keys()
+    for key, grid in found.items():
+        rows = np.flatnonzero(grid.any(axis=1))
+        spans = [widest(grid[y]) for y in range(rows[0], rows[-1] + 1)]
+        widths = [int(b - a) for a, b in spans]
+        smooth = [round(float(np.mean(widths[max(0, i - 3):i + 4]))) for i in range(len(widths))]
+        first, last = first_of_body(smooth), len(widths) - 1 - first_of_body(smooth[::-1])
+        if first >= last:
+            first, last = 0, len(widths) - 1
+        at = max(range(first, last + 1), key=lambda i: (widths[i], -i))
+        assert bodies[key] == (rows[0] + first, rows[0] + last + 1, (spans[at][0] + spans[at][1] - 1) // 2, rows[0] + at), key
     columns = {(r["page_id"], r["mask_id"], r["x"]): r["height"] for r in masks.column_profile(given).collect()}
     assert columns == {(*k, x): int(n) for k, v in found.items() for x, n in enumerate(v.sum(axis=0)) if n}
     share = lambda a, cut: spark.range(1).select(masks.lobe_share(F.array(*map(F.lit, a)), F.lit(cut)).alias("s")).first()["s"]
