@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import layout, profile
 from folioflow.functions.profile import let
 from folioflow.operators import masks as m
+from folioflow.operators import rounds
 from folioflow.operators import runs as r
 
 #: Pixels that a line stays narrower than its rows; the margin taken off a mask, as a share of its shorter
@@ -143,7 +144,7 @@ def fit_mask(
     sound = trusted if isinstance(trusted, Column) else F.lit(trusted)
     whole = F.struct(F.lit(0).alias("first"), (F.size("wide") - 1).alias("last"))
     named = rows.withColumn("_trusted", sound).withColumn("_words", layout.words(F.col(text))).withColumn("_units", layout.units(F.col("_words"), table))
-    met = named.join(known, [page, "mask_id"], "left")
+    met = rounds.spread(named.join(known, [page, "mask_id"], "left"), page, "mask_id")
     met = met.withColumn("_body", F.when(F.col("_trusted"), profile.trim_taper(profile.smooth(F.col("wide")))).otherwise(whole))
     first, last = F.col("_body.first"), F.col("_body.last")
     inner = F.slice("wide", first + 1, last - first + 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as g
 from folioflow.functions import profile
+from folioflow.operators import rounds
 from folioflow.operators import runs as r
 
 #: The share of the smaller mask from which an overlap is taken off the larger, the one from which it
@@ -129,7 +130,7 @@ def components(masks: DataFrame, corners: bool = True, page: str = "page_id") ->
         return rows.assign(part=label_runs(rows["y"].to_numpy(), rows["x0"].to_numpy(), rows["x1"].to_numpy(), corners))
 
     schema = ", ".join(f"{name} {kind}" for name, kind in merged.dtypes) + ", part long"
-    return merged.groupBy(page, "mask_id").applyInPandas(label, schema)
+    return rounds.spread(merged, page, "mask_id").groupBy(page, "mask_id").applyInPandas(label, schema)
 
 
 def largest_parts(parts: DataFrame, n: int, page: str = "page_id") -> DataFrame:

@@ -29,6 +29,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by keys to as many tasks as the session shuffles to.
+
+    Spark joins small partitions into few tasks by their bytes; where a small row means
+    long work in its task, a fixed number keeps the tasks apart.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def greedy_matching(pairs: DataFrame, by: list[str], a: str, b: str, cost: str) -> DataFrame:
     """One-to-one matching within each key ``by``: pairs in rising order of (cost, a, b), each taken if both sides are free.
 

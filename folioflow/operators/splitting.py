@@ -178,7 +178,7 @@ def cut_by_concavity(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     done, drawn, failed = [], [], []
     while not open_parts.isEmpty():
         schema = f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, part string, {CUTS}"
-        tried = rounds.written(open_parts.groupBy(*KEY, "part").applyInPandas(lambda rows: _cuts(rows)[[c.split()[0] for c in schema.split(", ")]], schema), "tried")
+        tried = rounds.written(rounds.spread(open_parts, *KEY, "part").groupBy(*KEY, "part").applyInPandas(lambda rows: _cuts(rows)[[c.split()[0] for c in schema.split(", ")]], schema), "tried")
         held = near_label(wanted, tried.where("label >= 0"), [*KEY, "part", "cut"])
         asked = wanted.groupBy(*KEY, "part").agg(F.count("*").alias("asked"))
         sound = held.groupBy(*KEY, "part", "cut").agg(F.count("*").alias("placed"), F.countDistinct("label").alias("sides")).join(asked, [*KEY, "part"])
@@ -334,7 +334,7 @@ def split_by_erosion(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     names = [c.split()[0] for c in schema.split(", ")]
     many = seeds.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
     asked = masks.select(*KEY, *RUN).join(many, KEY)
-    eroded = rounds.written(asked.groupBy(*KEY).applyInPandas(lambda rows: _eroded(rows)[names], schema), "eroded")
+    eroded = rounds.written(rounds.spread(asked, *KEY).groupBy(*KEY).applyInPandas(lambda rows: _eroded(rows)[names], schema), "eroded")
     n = F.col("x1") - F.col("x0")
     centres = eroded.groupBy(*KEY, "label").agg((F.sum(n * (F.col("x0") + F.col("x1") - 1) / 2) / F.sum(n)).alias("px"), (F.sum(n * F.col("y")) / F.sum(n)).alias("py"))
     far = (F.col("px") - F.col("cx")) ** 2 + (F.col("py") - F.col("cy")) ** 2
@@ -346,7 +346,7 @@ def split_by_erosion(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     order = taken.join(whole, KEY, "left_semi").withColumn("number", number).select(*KEY, "label", "number")
     marked = eroded.join(order, [*KEY, "label"]).select(*KEY, F.col("number").alias("label"), *RUN)
     both = marked.unionByName(masks.select(*KEY, *RUN).join(whole, KEY, "left_semi").withColumn("label", F.lit(0).cast("long")).select(*marked.columns))
-    back = rounds.written(both.groupBy(*KEY).applyInPandas(lambda rows: _regrown(rows)[names], schema), "regrown")
+    back = rounds.written(rounds.spread(both, *KEY).groupBy(*KEY).applyInPandas(lambda rows: _regrown(rows)[names], schema), "regrown")
     return back.where("label > 0").withColumn("part", F.col("label").cast("string")).select(*KEY, "part", *RUN), back.where("label < 0").select(*KEY, *RUN)
 
 
@@ -375,7 +375,8 @@ def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
 def width_profiles(masks: DataFrame) -> DataFrame:
     """Pixels of each row and of each column of a mask's box: ``page_id, mask_id, top, left, rows, columns``."""
     merged = r.union(masks.select(*KEY, *RUN), KEY)
-    filled = lambda pairs, first, last: F.transform(F.sequence(first, last), lambda k: F.coalesce(F.try_element_at(F.map_from_entries(pairs), k), F.lit(0)).cast("int"))
+    at = lambda known, k: F.coalesce(F.try_element_at(known, k), F.lit(0)).cast("int")
+    filled = lambda pairs, first, last: profile.let(F.map_from_entries(pairs), lambda known: F.transform(F.sequence(first, last), lambda k: at(known, k)))
     by_row = merged.groupBy(*KEY, "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("w"))
     rows = by_row.groupBy(*KEY).agg(F.min("y").alias("top"), F.max("y").alias("_end"), F.collect_list(F.struct("y", "w")).alias("_rows"))
     rows = rows.select(*KEY, "top", filled(F.col("_rows"), F.col("top"), F.col("_end")).alias("rows"))
@@ -391,18 +392,20 @@ def width_profiles(masks: DataFrame) -> DataFrame:
 
 def _narrow(widths: Column) -> Column:
     """Index and sharpness (width to the largest one) of a waist of smoothed widths; null if there is none."""
-    at = profile.waist(widths, F.lit(0), dip=DIP)
     filled = F.array_sort(F.filter(widths, lambda w: w > 0))
-    n = F.size(filled)
-    median = (F.get(filled, F.floor((n - 1) / 2).cast("int")) + F.get(filled, F.floor(n / 2).cast("int"))) / 2
-    wide = F.get(widths, at)
-    return F.when(wide <= median * BELOW_MEDIAN, F.struct((wide / F.array_max(widths)).alias("ratio"), at.alias("at")))
+    middle = lambda w: (F.get(w, F.floor((F.size(w) - 1) / 2).cast("int")) + F.get(w, F.floor(F.size(w) / 2).cast("int"))) / 2
+
+    def sharp(at):
+        wide = F.get(widths, at)
+        return F.when(wide <= profile.let(filled, middle) * BELOW_MEDIAN, F.struct((wide / F.array_max(widths)).alias("ratio"), at.alias("at")))
+
+    return profile.let(profile.waist(widths, F.lit(0), dip=DIP), sharp)
 
 
 def waists(masks: DataFrame) -> DataFrame:
     """Where each mask with a waist is cut: ``page_id, mask_id, axis`` (``row`` or ``column``), and the pixels left open,
     ``open`` to ``close`` (exclusive). Of two waists the sharper counts, of equally sharp ones the row's."""
-    found = width_profiles(masks).withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
+    found = rounds.spread(width_profiles(masks), *KEY).withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
     found = found.withColumns({"_row": _narrow(F.col("_r")), "_column": _narrow(F.col("_c"))}).where("_row is not null or _column is not null")
     row = F.col("_column").isNull() | F.coalesce(F.col("_row.ratio") <= F.col("_column.ratio"), F.lit(False))
     chosen = found.withColumn("axis", F.when(row, "row").otherwise("column"))
@@ -416,7 +419,7 @@ def waists(masks: DataFrame) -> DataFrame:
 def waist_split(masks: DataFrame) -> DataFrame:
     """The two parts, ``0`` and ``1``, of each mask with a waist that leaves both ``LEAST_PART`` of it."""
     merged = r.union(masks.select(*KEY, *RUN), KEY).drop("run")
-    placed = merged.join(waists(masks), KEY)
+    placed = merged.join(rounds.written(waists(masks), "waists"), KEY)  # read twice below
     by_row = F.col("axis") == "row"
     first = placed.withColumns({"part": F.lit("0"), "x1": F.when(by_row, F.col("x1")).otherwise(F.least("x1", "open"))}).where(~by_row | (F.col("y") < F.col("open")))
     second = placed.withColumns({"part": F.lit("1"), "x0": F.when(by_row, F.col("x0")).otherwise(F.greatest("x0", "close"))}).where(~by_row | (F.col("y") >= F.col("close")))

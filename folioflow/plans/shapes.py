@@ -6,7 +6,7 @@ turns as texts in ovals, and embeddings as grey rows, 16 of them a page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as g
@@ -136,15 +136,17 @@ def greedy_pairs(spark, sf_dir):
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The ellipses of an order's lines as one mask for each return flag, five times as large, and their centres as seeds."""
-    boxes = _corners(_boxes(spark, sf_dir))
-    large = boxes.withColumn("bbox", g.box(*(F.col(f"bbox.{c}") * 2 for c in ("x1", "y1", "x2", "y2"))))
-    number = F.dense_rank().over(Window.partitionBy("page_id").orderBy("l_returnflag"))
-    named = large.withColumn("whole", number)
-    ovals = ellipses(named).join(named.select("page_id", "mask_id", "whole"), ["page_id", "mask_id"])
-    fused = runs.union(ovals.select("page_id", F.col("whole").alias("mask_id"), "y", "x0", "x1"), ["page_id", "mask_id"]).drop("run")
+    """Two or three ellipses for each part, overlapping as one mask, and their centres as seeds, one only of every seventh."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    oval = lambda n, x, y, w, h: F.struct(F.lit(n).alias("seed"), g.box(*(c.cast("int") for c in (x, y, x + w, y + h))).alias("bbox"))
+    ovals = F.array_compact(F.array(
+        oval(0, F.lit(0), F.lit(0), 100 + size, 70 + k % 40), oval(1, k % 50, 60 + k % 60, 90 + k % 45, 80 + size),
+        F.when(k % 5 == 0, oval(2, 80 + k % 20, 100 + size, 110 + size, 60 + k % 30)),
+    ))
+    each = _read(spark, sf_dir, "part").select(F.floor(k / 10).alias("page_id"), k.alias("mask_id"), F.inline(ovals))
+    fused = runs.union(ellipses(each.withColumn("mask_id", F.struct("mask_id", "seed"))).withColumn("mask_id", F.col("mask_id.mask_id")), ["page_id", "mask_id"]).drop("run")
     mid = lambda a, b: (F.col(f"bbox.{a}") + F.col(f"bbox.{b}")) / 2
-    seeds = named.select("page_id", F.col("whole").alias("mask_id"), F.col("mask_id").alias("seed"), mid("x1", "x2").alias("cx"), mid("y1", "y2").alias("cy"))
+    seeds = each.where("mask_id % 7 != 0 or seed = 0").select("page_id", "mask_id", "seed", mid("x1", "x2").alias("cx"), mid("y1", "y2").alias("cy"))
     return fused, seeds
 
 
