@@ -53,11 +53,12 @@ def written(df: DataFrame, label: str, rows: int | None = None, task_rows: int =
 
     This cuts the lineage: a lost executor costs no recomputation of ``df``.
     ``rows``, where it is known, is a number that the rows of ``df`` surely do not
-    exceed: no more tasks than one for each ``task_rows`` of it then write a file.
+    exceed: no more tasks than one for each ``task_rows`` of it then write a file. The
+    few rows are dealt out anew for that, so the work before keeps its own tasks.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(rows // task_rows + 1)
+        df = df.repartition(rows // task_rows + 1)
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
