@@ -40,7 +40,7 @@ from .common import map_batches, shared_path, sized, written
 
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Kept terms of a block, on average; groups of a seat; rounds of a job.
-BLOCK_TERMS, SEAT_GROUPS, ROUNDS_AT_ONCE = 1 << 15, 4, 8
+BLOCK_TERMS, SEAT_GROUPS, ROUNDS_AT_ONCE = 1 << 13, 4, 8
 #: Entries of a task's counts; at that many they are handed on.
 HELD_TERMS = 200_000
 
