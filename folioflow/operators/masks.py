@@ -1,8 +1,8 @@
 """Mask shape operators on runs ``page, mask_id, y, x0, x1`` (half-open).
 
 Growing, shrinking, neighbours and bodies are joins, windows and grouping by
-page and row. Connected parts and the subtraction of overlaps depend on earlier
-results within a page: these two run by mask or page on arrays of its runs.
+page and row, the subtraction of overlaps goes in rounds of these. Connected parts
+are found by mask, on arrays of its runs.
 Pages end where their size is given; else nothing is set beyond the runs.
 """
 
@@ -140,65 +140,51 @@ def largest_parts(parts: DataFrame, n: int, page: str = "page_id") -> DataFrame:
     return sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _pixels(rows: pd.DataFrame, width: int) -> np.ndarray:
-    """Sorted indices of the pixels of runs."""
-    starts, sizes = (rows["y"] * width + rows["x0"]).to_numpy(), (rows["x1"] - rows["x0"]).to_numpy()
-    return np.unique(np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()))
-
-
-def _runs(pixels: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts and ends of sorted pixels."""
-    opens = np.flatnonzero(np.r_[True, (np.diff(pixels) != 1) | (pixels[1:] % width == 0)]) if len(pixels) else np.empty(0, dtype=np.int64)
-    first, last = pixels[opens], pixels[np.r_[opens[1:], len(pixels)] - 1] if len(pixels) else pixels
-    return first // width, first % width, last % width + 1
-
-
-def _large_parts(pixels: np.ndarray, width: int, least: int) -> np.ndarray:
-    """The pixels of those connected parts that have ``least`` of them."""
-    y, x0, x1 = _runs(pixels, width)
-    parts = label_runs(y, x0, x1)
-    sizes = np.bincount(parts, weights=x1 - x0) if len(parts) else np.empty(0)
-    return pixels[np.repeat(sizes[parts] >= least, x1 - x0)]
-
-
 def subtract_overlaps(masks: DataFrame, page: str = "page_id") -> DataFrame:
     """Masks of a page without what a smaller one that overlaps them in part covers.
 
     From the smallest mask on (of equal ones the first), each takes its pixels off every
     larger one that holds ``PARTIAL`` to ``COPY`` of it. Of what is left only parts with
     ``LEAST_SHARE`` of the mask's first area and ``LEAST_PART`` pixels stay; a mask
-    without any goes. Only pages with such an overlap leave the built-in functions.
+    without any goes.
+
+    A round finds, for all pages at once, the first pair in that order that meets the test
+    with the shapes as they are: those before it do not, and nothing changes until its
+    turn. It is cut, and the next round goes on behind it. A page without such a pair is
+    done, so rounds are as many as the most cuts of one page.
     """
-    named = masks.select(page, "mask_id", "y", "x0", "x1")
-    share = F.col("common") / F.least("a_area", "b_area")
-    met = r.overlaps(named, named, page, once=True).where((share >= PARTIAL) & (share < COPY)).select(page).distinct()
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        left, top = rows["x0"].min(), rows["y"].min()
-        width = int(rows["x1"].max() - left) + 1  # an empty column parts the rows
-        placed = rows.assign(x0=rows["x0"] - left, x1=rows["x1"] - left, y=rows["y"] - top)
-        held = {m: _pixels(part, width) for m, part in placed.groupby("mask_id", sort=True)}
-        first = {m: len(p) for m, p in held.items()}
-        order = sorted(held, key=lambda m: first[m])
-        for small in order:
-            for large in order:
-                if small not in held or large not in held or len(held[large]) <= len(held[small]):
-                    continue
-                shared = len(np.intersect1d(held[small], held[large], assume_unique=True)) / len(held[small])
-                if not PARTIAL <= shared < COPY:
-                    continue
-                rest = np.setdiff1d(held[large], held[small], assume_unique=True)
-                held[large] = _large_parts(rest, width, max(int(first[large] * LEAST_SHARE), LEAST_PART))
-                if not len(held[large]):
-                    del held[large]
-        out = []
-        for mask, pixels in held.items():
-            y, x0, x1 = _runs(pixels, width)
-            out.append(pd.DataFrame({page: rows[page].iloc[0], "mask_id": mask, "y": y + top, "x0": x0 + left, "x1": x1 + left}))
-        return pd.concat(out)
-
-    changed = named.join(met, page).groupBy(page).applyInPandas(cut, named.schema)
-    return named.join(met, page, "left_anti").unionByName(changed)
+    merged = r.union(masks.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"]).select(page, "mask_id", "y", "x0", "x1")
+    rank = F.row_number().over(Window.partitionBy(page).orderBy("area", "mask_id"))
+    least = F.greatest(F.floor(F.col("area") * LEAST_SHARE), F.lit(LEAST_PART))
+    ranks = rounds.written(r.measure(merged, page).select(page, "mask_id", rank.alias("rank"), least.alias("least")), "ranks")
+    now, behind, done = rounds.written(merged, "masks"), ranks.select(page).distinct().withColumns({"i": F.lit(0), "j": F.lit(0)}), []
+    turn = lambda side, name: ranks.select(page, F.col("mask_id").alias(f"{side}_mask"), F.col("rank").alias(name))
+    while True:
+        met = r.overlaps(now, now, page, once=True)
+        both = F.explode(F.array(
+            F.struct("a_mask", "b_mask", "a_area", "b_area"),
+            F.struct(F.col("b_mask").alias("a_mask"), F.col("a_mask").alias("b_mask"), F.col("b_area").alias("a_area"), F.col("a_area").alias("b_area")),
+        ))
+        pairs = met.select(page, both.alias("p"), "common").select(page, "p.*", "common").where("b_area > a_area")
+        pairs = pairs.where((F.col("common") >= PARTIAL * F.col("a_area")) & (F.col("common") < COPY * F.col("a_area")))
+        placed = pairs.join(turn("a", "r"), [page, "a_mask"]).join(turn("b", "s"), [page, "b_mask"]).join(behind, page)
+        later = placed.where((F.col("r") > F.col("i")) | (F.col("r") == F.col("i")) & (F.col("s") > F.col("j")))
+        first = rounds.written(later.groupBy(page).agg(F.min(F.struct("r", "s", "a_mask", "b_mask")).alias("p")).select(page, "p.*"), "first")
+        done.append(now.join(first.select(page), page, "left_anti"))
+        if first.isEmpty():
+            break
+        open_pages = now.join(first.select(page, "a_mask", "b_mask"), page)
+        small, large = (open_pages.where(F.col("mask_id") == F.col(side)).select(page, "mask_id", "y", "x0", "x1") for side in ("a_mask", "b_mask"))
+        parts = components(r.difference(large, small, page), page=page)
+        sized = parts.groupBy(page, "mask_id", "part").agg(F.sum(F.col("x1") - F.col("x0")).alias("area")).join(ranks, [page, "mask_id"])
+        kept = parts.join(sized.where("area >= least").select(page, "mask_id", "part"), [page, "mask_id", "part"], "left_semi")
+        others = open_pages.where(F.col("mask_id") != F.col("b_mask")).select(page, "mask_id", "y", "x0", "x1")
+        now = rounds.written(others.unionByName(kept.select(page, "mask_id", "y", "x0", "x1")), "masks")
+        behind = first.select(page, F.col("r").alias("i"), F.col("s").alias("j"))
+    left = done[0]
+    for rows in done[1:]:
+        left = left.unionByName(rows)
+    return left.select(page, "mask_id", "y", "x0", "x1")
 
 
 def seeds(points: DataFrame, masks: DataFrame, page: str = "page_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as g
 from folioflow.operators import masks as m
+from folioflow.operators import rounds
 from folioflow.operators import runs as r
 
 #: Bins of the histograms and of the colour buckets; of text: the share of ink above which it is none, bounds
@@ -222,12 +223,13 @@ def drawn_shapes(image: DataFrame, masks: DataFrame, boxes: DataFrame, sizes: Da
     b = F.col("bbox")
     mid = lambda low, high, side: F.greatest(F.lit(0), F.least(F.col(side) - 1, F.floor((b[low] + b[high]) / 2))).cast("int")
     seeds = boxes.join(sizes, page).select(page, "mask_id", mid("x1", "x2", "width").alias("cx"), mid("y1", "y2", "height").alias("cy"))
+    boxes = boxes.select(page, "mask_id", "bbox")
     own = lambda rows: rows.select(F.to_json(F.struct(page, "mask_id")).alias("_key"), page, "mask_id", "y", "x0", "x1")
     area = own(flood(image, seeds, page=page))
     near = own(m.neighbour_runs(masks, 3, page, sizes))
     free = r.difference(area.select("_key", "mask_id", "y", "x0", "x1"), near.select("_key", "mask_id", "y", "x0", "x1"), "_key")
     names = area.select("_key", page).distinct()
-    found = free.join(names, "_key").select(page, "mask_id", "y", "x0", "x1")
+    found = rounds.written(free.join(names, "_key").select(page, "mask_id", "y", "x0", "x1"), "flat")
     both = r.union(masks.select(page, "mask_id", "y", "x0", "x1").unionByName(found), [page, "mask_id"])
     box = lambda rows, name: r.measure(rows, page).select(page, "mask_id", g.box(F.col("left"), F.col("top"), F.col("right"), F.col("bottom")).alias(name))
     sized = box(masks, "before").join(box(both, "after"), [page, "mask_id"]).join(found.select(page, "mask_id").distinct(), [page, "mask_id"])
@@ -257,15 +259,15 @@ def without_border_ink(image: DataFrame, raw: DataFrame, inner: DataFrame, sizes
     key = F.to_json(F.struct(*by))
     rows = box.select(*by, F.explode(F.sequence("_t", F.col("_b") - 1)).alias("y"), F.col("_l").alias("x0"), F.col("_r").alias("x1"))
     window = covered_runs(image, rows, page).where(F.col("value") < BORDER_DARK)
-    dark = m.components(window.select(*by, "y", "x0", "x1"), page=page).withColumn("_key", key)
+    dark = rounds.written(m.components(window.select(*by, "y", "x0", "x1"), page=page).withColumn("_key", key), "dark")  # read several times
     keyed = lambda found: found.select(key.alias("_key"), "mask_id", "y", "x0", "x1")
-    outside = r.difference(keyed(rows), keyed(raw), "_key")
+    outside = rounds.written(r.difference(keyed(rows), keyed(raw), "_key"), "outside")
 
     def touched(cover: DataFrame) -> DataFrame:
         other = cover.select("_key", "y", F.col("x0").alias("_a"), F.col("x1").alias("_c"))
         return dark.join(other, ["_key", "y"]).where("_a < x1 and x0 < _c").select("_key", "part").distinct()
 
-    border = dark.join(touched(keyed(inner)), ["_key", "part"], "left_semi").join(touched(outside), ["_key", "part"], "left_semi")
+    border = rounds.written(dark.join(touched(keyed(inner)), ["_key", "part"], "left_semi").join(touched(outside), ["_key", "part"], "left_semi"), "border")
     shallow = m.dilate(outside, BORDER_DEPTH, "_key", round_kernel=True)
     deep = r.difference(border.select("_key", "mask_id", "y", "x0", "x1"), shallow, "_key")
     kept = r.difference(border.select("_key", "mask_id", "y", "x0", "x1"), deep, "_key")

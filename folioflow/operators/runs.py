@@ -51,22 +51,40 @@ def union(runs: DataFrame, by: list) -> DataFrame:
     return numbered.groupBy(*by, "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
 
 
-def _placed(masks: DataFrame, side: str, page: str) -> DataFrame:
-    """Bands of one side, by page, with the area of their mask."""
-    rows = bands(masks, page).repartition(page)
-    area = F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).over(Window.partitionBy(page, "mask_id"))
-    return rows.select(page, F.col("mask_id").alias(f"{side}_mask"), *(F.col(c).alias(f"{side}_{c}") for c in ("y0", "y1", "x0", "x1")), area.alias(f"{side}_area"))
+#: Rows of a tile: bands of two masks are compared within tiles.
+TILE = 16
+
+
+def _outlined(placed: DataFrame, side: str, page: str) -> DataFrame:
+    """Each mask's box, area and number of bands."""
+    named = {"top": F.min("y0"), "bottom": F.max("y1"), "left": F.min("x0"), "right": F.max("x1"), "bands": F.count("*"), "area": F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))}
+    return placed.groupBy(page, F.col("mask_id").alias(f"{side}_mask")).agg(*(c.alias(f"{side}_{n}") for n, c in named.items()))
 
 
 def overlaps(a: DataFrame, b: DataFrame, page: str = "page_id", once: bool = False) -> DataFrame:
     """Common area of masks of ``a`` and ``b`` on one page: ``page, a_mask, b_mask, a_area, b_area, common``.
 
-    Masks meet as bands, one shuffle by page in all. ``once``: only pairs in rising order of their ids.
+    Masks meet by their boxes first. Those of one band each, rectangles, are done with
+    that; of the others, the bands of pairs whose boxes meet are compared, tile by tile
+    of ``TILE`` rows. ``once``: only pairs in rising order of their ids.
     """
-    test = "a_y0 < b_y1 and b_y0 < a_y1 and a_x0 < b_x1 and b_x0 < a_x1" + (" and a_mask < b_mask" if once else "")
-    met = _placed(a, "a", page).join(_placed(b, "b", page), page).where(test)
-    side = lambda c: F.least(f"a_{c}1", f"b_{c}1") - F.greatest(f"a_{c}0", f"b_{c}0")
-    return met.groupBy(page, "a_mask", "b_mask", "a_area", "b_area").agg(F.sum(side("y") * side("x")).alias("common"))
+    first, second = (bands(side, page).repartition(page) for side in (a, b))
+    test = "a_top < b_bottom and b_top < a_bottom and a_left < b_right and b_left < a_right" + (" and a_mask < b_mask" if once else "")
+    met = _outlined(first, "a", page).join(_outlined(second, "b", page), page).where(test)
+    plain = (F.col("a_bands") == 1) & (F.col("b_bands") == 1)
+    side = lambda low, high: F.least(f"a_{high}", f"b_{high}") - F.greatest(f"a_{low}", f"b_{low}")
+    found = [page, "a_mask", "b_mask", "a_area", "b_area"]
+    flat = met.where(plain).select(*found, (side("top", "bottom") * side("left", "right")).cast("long").alias("common"))
+
+    def tiled(rows: DataFrame, name: str) -> DataFrame:
+        tile = F.explode(F.sequence(F.floor(F.col("y0") / TILE), F.floor((F.col("y1") - 1) / TILE))).alias("tile")
+        return rows.select(page, F.col("mask_id").alias(f"{name}_mask"), *(F.col(c).alias(f"{name}_{c}") for c in ("y0", "y1", "x0", "x1")), tile)
+
+    pairs = met.where(~plain).select(*found)
+    near = pairs.join(tiled(first, "a"), [page, "a_mask"]).join(tiled(second, "b"), [page, "b_mask", "tile"])
+    near = near.where("a_y0 < b_y1 and b_y0 < a_y1 and a_x0 < b_x1 and b_x0 < a_x1").where(F.floor(F.greatest("a_y0", "b_y0") / TILE) == F.col("tile"))
+    curved = near.groupBy(*found).agg(F.sum(side("y0", "y1") * side("x0", "x1")).cast("long").alias("common"))
+    return flat.unionByName(curved)
 
 
 def difference(a: DataFrame, b: DataFrame, page: str = "page_id") -> DataFrame:

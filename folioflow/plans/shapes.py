@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import geometry as g
 from folioflow.functions import predicates
 from folioflow.operators import edits, maskfit, pixels, rounds, runs, splitting
-from folioflow.plans import catalog, fitting
+from folioflow.plans import catalog, cleaning, fitting
 from folioflow.plans.catalog import ADVANCES, BALLOONS, BOXES, _balloons, _boxes, _read, query
 
 
@@ -273,6 +273,30 @@ def mask_ink(spark, sf_dir):
     return means.withColumn("light", F.col("mean") < 128)
 
 
+def _colored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The grey image in coarse grey colours, boxes on every fifth row, their ovals, and the sizes of pages."""
+    grey = lambda v: F.floor(v / 64).cast("int") * 64
+    image = _image(spark, sf_dir)
+    color = image.select("page_id", "y", F.transform("values", lambda v: F.struct(grey(v).alias("r"), grey(v).alias("g"), grey(v).alias("b"))).alias("values"))
+    boxes = _boxes_on_image(image.where("y % 5 = 2"))
+    return color, boxes, ellipses(boxes), image.select("page_id").distinct().select("page_id", F.lit(64).alias("width"), F.lit(16).alias("height"))
+
+
+@query()
+def flat_fills(spark, sf_dir):
+    """Fills of the ovals, every second one as a balloon's shape: pixels and colour of each."""
+    image, boxes, ovals, sizes = _colored(spark, sf_dir)
+    found = cleaning.fills(image, boxes.withColumn("shaped", F.col("mask_id") % 2 == 0), ovals, sizes)
+    return found.groupBy("page_id", "mask_id", "r", "g", "b").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixels"))
+
+
+@query()
+def drawn_shapes(spark, sf_dir):
+    """Ovals with the flat area around their middle: area of each."""
+    image, boxes, ovals, sizes = _colored(spark, sf_dir)
+    return runs.measure(pixels.drawn_shapes(image, ovals, boxes, sizes)).select("page_id", "mask_id", F.col("area").cast("long").alias("area"))
+
+
 @query()
 def text_like(spark, sf_dir):
     return pixels.text_likeness(_image(spark, sf_dir))
