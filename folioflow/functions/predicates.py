@@ -13,6 +13,9 @@ MANUAL_STYLE = (
     "manual_font_size", "manual_line_spacing", "manual_align", "manual_bold", "manual_italic", "manual_underline", "manual_outline_enable",
 )
 
+#: What a balloon's source says where its mask is the balloon's own shape, and the mark of a text that is left out.
+SHAPE_SOURCE, LEFT_OUT = "yolov8seg", "-"
+
 
 def truthy(column: Column, kind: str) -> Column:
     """A flag that is set, a number other than zero, or a text with characters."""
@@ -73,6 +76,6 @@ def render_params(translated: Column, box: Column, manual_box: Column, manual_st
     manual = ellipse | F.coalesce(manual_box, F.lit(False)) | F.coalesce(manual_style, F.lit(False))
     drawn = F.struct(
         said.alias("text"), F.when(ellipse, g.inscribed_box(box)).otherwise(box).alias("bbox"), manual.alias("manual"),
-        F.coalesce(source == "yolov8seg", F.lit(False)).alias("trusted"),
+        F.coalesce(source == SHAPE_SOURCE, F.lit(False)).alias("trusted"),
     )
-    return F.when((said != "") & (said != "-"), drawn)
+    return F.when((said != "") & (said != LEFT_OUT), drawn)
