@@ -1,15 +1,18 @@
 """Mask shape operators on runs ``page, mask_id, y, x0, x1`` (half-open).
 
 Growing, shrinking, neighbours and bodies are joins, windows and grouping by
-page and row, the subtraction of overlaps goes in rounds of these. Connected parts
-are found by mask, on arrays of its runs.
+page and row. The subtraction of overlaps goes page by page, on the pixels of its
+masks, or in rounds of these. Connected parts are found by mask, on arrays of its runs.
 Pages end where their size is given; else nothing is set beyond the runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +24,19 @@ from folioflow.operators import runs as r
 #: The share of the smaller mask from which an overlap is taken off the larger, the one from which it
 #: counts as a copy, and what a part must keep of its mask, as a share and in pixels.
 PARTIAL, COPY, LEAST_SHARE, LEAST_PART = 0.25, 0.8, 0.15, 300
+#: Pixels in the boxes of a page's masks up to which the page is cut in one task.
+MOST_PIXELS = 1 << 26
 
 
-def _cut_to_pages(rows: DataFrame, sizes: DataFrame | None, page: str) -> DataFrame:
-    """Runs without what lies outside their page; without ``sizes`` (``page, width, height``) pages have no end."""
+def _cut_to_pages(found: DataFrame, sizes: DataFrame | None, page: str) -> DataFrame:
+    """Bands without what lies outside their page; without ``sizes`` (``page, width, height``) pages have no end."""
     if sizes is None:
-        return rows
-    inside = rows.join(sizes.select(page, "width", "height"), page).where("y >= 0 and y < height")
-    ends = {"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.col("width"))}
-    return inside.withColumns(ends).drop("width", "height").where("x0 < x1")
+        return found
+    ends = {
+        "x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.col("width")),
+        "y0": F.greatest("y0", F.lit(0)), "y1": F.least("y1", F.col("height")),
+    }
+    return found.join(sizes.select(page, "width", "height"), page).withColumns(ends).drop("width", "height").where("x0 < x1 and y0 < y1")
 
 
 def round_width(by: Column, row: Column) -> Column:
@@ -38,57 +45,81 @@ def round_width(by: Column, row: Column) -> Column:
     return F.bround(F.sqrt(inside)).cast("int")
 
 
-def dilate(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, round_kernel: bool = False) -> DataFrame:
-    """Grown by ``by`` pixels on all sides, by a square or a round kernel. Takes runs or bands, so that a row is written once.
+def dilated(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, round_kernel: bool = False) -> DataFrame:
+    """Runs or bands grown by ``by`` pixels on all sides, by a square or a round kernel, as merged bands.
 
     ``by`` may be a column of the page or the mask that ``masks`` has as ``by``. With
-    ``sizes`` nothing grows beyond its page.
+    ``sizes`` nothing grows beyond its page. A band grows to one, or for a round kernel
+    to one for each width of it, the wide ones low and the narrow ones high.
     """
     extra = ["by"] if isinstance(by, Column) else []
     reach = by if extra else F.lit(by)
     given = r.bands(masks.select(page, "mask_id", *(c for c in ("y", "y0", "y1") if c in masks.columns), "x0", "x1"), page)
     if extra:
         given = given.join(masks.select(page, "mask_id", "by").distinct(), [page, "mask_id"])
-    rows = given.withColumn("y", F.explode(F.sequence(F.col("y0") - reach, F.col("y1") + reach - 1)))
-    off = F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1") + 1, F.lit(0))
-    wide = round_width(reach, off) if round_kernel else reach
-    grown = rows.select(page, "mask_id", "y", (F.col("x0") - wide).alias("x0"), (F.col("x1") + wide).alias("x1"))
-    return r.union(_cut_to_pages(grown, sizes, page), [page, "mask_id"])
+    high, wide = reach, reach
+    if round_kernel:  # of equal widths the highest covers the others
+        given = given.withColumn("_off", F.explode(F.sequence(F.lit(0), reach)))
+        off = F.col("_off")
+        given = given.where((off == reach) | (round_width(reach, off) != round_width(reach, off + 1)))
+        high, wide = off, round_width(reach, off)
+    grown = given.select(
+        page, "mask_id", (F.col("y0") - high).alias("y0"), (F.col("y1") + high).alias("y1"), (F.col("x0") - wide).alias("x0"), (F.col("x1") + wide).alias("x1")
+    )
+    return r.union_bands(_cut_to_pages(grown, sizes, page), [page, "mask_id"])
 
 
-def erode(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, border: bool = True) -> DataFrame:
-    """Shrunk by ``by`` pixels on all sides: what all of the 2 ``by`` + 1 rows around share, after narrowing each.
+def dilate(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, round_kernel: bool = False) -> DataFrame:
+    """The runs of ``dilated``."""
+    return r.rows(dilated(masks, by, page, sizes, round_kernel))
+
+
+def _turned(found: DataFrame) -> DataFrame:
+    """Bands with rows and columns exchanged."""
+    names = {"y0": "x0", "y1": "x1", "x0": "y0", "x1": "y1"}
+    return found.select(*(F.col(c).alias(names.get(c, c)) for c in found.columns))
+
+
+def eroded(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, border: bool = True) -> DataFrame:
+    """Runs or bands shrunk by ``by`` pixels on all sides, as bands that share no pixel.
 
     With ``sizes``, ``border`` says whether what lies outside a page counts as set, so
-    that nothing is lost at its edge. Without, it counts as unset.
+    that nothing is lost at its edge. Without, it counts as unset. Merged rows are
+    narrowed; what they leave is merged by columns, which are shortened in turn.
     """
     extra = ["by"] if isinstance(by, Column) else []
-    reach = F.col("by") if extra else F.lit(by)
-    merged = r.union(masks.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"])
-    if extra:
-        merged = merged.join(masks.select(page, "mask_id", "by").distinct(), [page, "mask_id"])
     held = sizes is not None and border
-    if held:
-        merged = merged.join(sizes.select(page, "width", "height"), page)
-    left, right, top, bottom = F.col("x0") + reach, F.col("x1") - reach, F.col("y") - reach, F.col("y") + reach
-    if held:  # a row has fewer neighbours at the edge, and a run keeps its end there
-        left, right = F.when(F.col("x0") <= 0, 0).otherwise(left), F.when(F.col("x1") >= F.col("width"), F.col("width")).otherwise(right)
-        top, bottom = F.greatest(top, F.lit(0)), F.least(bottom, F.col("height") - 1)
-    keep = [*extra, *(["height"] if held else [])]
-    spread = merged.withColumns({"x0": left, "x1": right, "y": F.explode(F.sequence(top, bottom))}).where("x0 < x1")
-    edge = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step"))))
-    edges = spread.select(page, "mask_id", "y", *keep, edge.alias("e")).groupBy(page, "mask_id", "y", *keep, F.col("e.x").alias("x0")).agg(F.sum("e.step").alias("step"))
-    along = Window.partitionBy(page, "mask_id", "y").orderBy("x0")
-    needed = 2 * reach + 1
-    if held:
-        needed = F.least(F.col("y") + reach, F.col("height") - 1) - F.greatest(F.col("y") - reach, F.lit(0)) + 1
-    covered = edges.withColumns({"n": F.sum("step").over(along), "x1": F.lead("x0").over(along)}).where(F.col("n") == needed)
-    return r.union(covered.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"])
+    key = [page, "mask_id"]
+    given = r.bands(masks.select(*key, *(c for c in ("y", "y0", "y1") if c in masks.columns), "x0", "x1"), page)
+    reach = masks.select(*key, "by").distinct() if extra else None
+
+    def narrowed(found, low, high, end):
+        by_ = F.col("by") if extra else F.lit(by)
+        left, right = F.col(low) + by_, F.col(high) - by_
+        found = found.join(reach, key) if extra else found
+        if held:  # a run keeps its end at the page's edge
+            found = found.join(sizes.select(page, F.col(end).alias("_end")), page)
+            left = F.when(F.col(low) <= 0, 0).otherwise(left)
+            right = F.when(F.col(high) >= F.col("_end"), F.col("_end")).otherwise(right)
+        return found.withColumns({low: left.cast("int"), high: right.cast("int")}).where(F.col(low) < F.col(high)).select(*key, "y0", "y1", "x0", "x1")
+
+    along = narrowed(r.union_bands(given, key), "x0", "x1", "width")
+    return narrowed(_turned(r.union_bands(_turned(along), key)), "y0", "y1", "height")
+
+
+def erode(masks: DataFrame, by: int | Column, page: str = "page_id", sizes: DataFrame | None = None, border: bool = True) -> DataFrame:
+    """The merged runs of ``eroded``."""
+    return r.union(r.rows(eroded(masks, by, page, sizes, border)), [page, "mask_id"])
+
+
+def closed(masks: DataFrame, by: int, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
+    """Gaps of up to 2 ``by`` pixels filled: grown, then shrunk, as bands; with ``sizes``, gaps to the page's edge as well."""
+    return eroded(dilated(masks, by, page, sizes), by, page, sizes)
 
 
 def close(masks: DataFrame, by: int, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
-    """Gaps of up to 2 ``by`` pixels filled: grown, then shrunk; with ``sizes``, gaps to the page's edge as well."""
-    return erode(dilate(masks, by, page, sizes), by, page, sizes)
+    """The merged runs of ``closed``."""
+    return erode(dilated(masks, by, page, sizes), by, page, sizes)
 
 
 def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corners: bool = True) -> np.ndarray:
@@ -146,7 +177,97 @@ def subtract_overlaps(masks: DataFrame, page: str = "page_id") -> DataFrame:
     From the smallest mask on (of equal ones the first), each takes its pixels off every
     larger one that holds ``PARTIAL`` to ``COPY`` of it. Of what is left only parts with
     ``LEAST_SHARE`` of the mask's first area and ``LEAST_PART`` pixels stay; a mask
-    without any goes.
+    without any goes. Takes runs or bands.
+
+    Pages whose masks' boxes hold up to ``MOST_PIXELS`` are done one after another on
+    the pixels of their masks; larger ones go in rounds.
+    """
+    given = r.as_bands(masks).select(page, "mask_id", "y0", "y1", "x0", "x1")
+    boxes = given.groupBy(page, "mask_id").agg(((F.max("y1") - F.min("y0")).cast("long") * (F.max("x1") - F.min("x0"))).alias("n"))
+    large = boxes.groupBy(page).agg(F.sum("n").alias("n")).where(F.col("n") > MOST_PIXELS).select(page)
+    if large.isEmpty():
+        return _subtracted_by_page(given, page)
+    large = rounds.written(large, "large")
+    small = _subtracted_by_page(given.join(large, page, "left_anti"), page)
+    return small.unionByName(_subtracted_in_rounds(r.rows(given.join(large, page, "left_semi")), page))
+
+
+def _painted(flat: list[int]) -> tuple[np.ndarray, int, int]:
+    """Pixels of bands in their box, and its corner."""
+    band = np.asarray(flat, dtype=np.int64).reshape(-1, 4)
+    top, left = int(band[:, 0].min()), int(band[:, 2].min())
+    grid = np.zeros((int(band[:, 1].max()) - top, int(band[:, 3].max()) - left), bool)
+    for y0, y1, x0, x1 in (band - [top, top, left, left]).tolist():
+        grid[y0:y1, x0:x1] = True
+    return grid, top, left
+
+
+def _runs_of(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    edges = np.diff(np.pad(grid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (y, x0), x1 = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+    return y, x0, x1
+
+
+def _large_parts(grid: np.ndarray, least: int) -> np.ndarray:
+    """The pixels of connected parts of ``least`` pixels, corners joined."""
+    y, x0, x1 = _runs_of(grid)
+    joined = (np.diff(y) == 1) & (x0[1:] <= x1[:-1]) & (x1[1:] >= x0[:-1])
+    label = np.zeros(len(y), np.int64) if joined.all() else label_runs(y, x0, x1)
+    small = np.bincount(label, weights=x1 - x0)[label] < least if len(y) else np.zeros(0, bool)
+    left = grid.copy()
+    for row, a, b in zip(y[small].tolist(), x0[small].tolist(), x1[small].tolist()):
+        left[row, a:b] = False
+    return left
+
+
+def _cut_page(found: list[tuple]) -> list[tuple]:
+    """A page's masks (id, grid, top, left), in order of their ids, after all subtractions."""
+    found = sorted(found, key=lambda m: int(np.count_nonzero(m[1])))
+    grids, area = [m[1] for m in found], [int(np.count_nonzero(m[1])) for m in found]
+    least = [max(int(np.floor(n * LEAST_SHARE)), LEAST_PART) for n in area]
+    ends = [(t, x, t + g_.shape[0], x + g_.shape[1]) for _, g_, t, x in found]
+    for i, (t, x, b, e) in enumerate(ends):
+        for j, (u, v, c, f) in enumerate(ends):
+            y0, x0, y1, x1 = max(t, u), max(x, v), min(b, c), min(e, f)
+            if not area[i] or area[j] <= area[i] or y0 >= y1 or x0 >= x1:
+                continue
+            mine, other = grids[i][y0 - t : y1 - t, x0 - x : x1 - x], grids[j][y0 - u : y1 - u, x0 - v : x1 - v]
+            if PARTIAL * area[i] <= np.count_nonzero(mine & other) < COPY * area[i]:
+                cut = grids[j].copy()
+                cut[y0 - u : y1 - u, x0 - v : x1 - v] &= ~mine
+                grids[j] = _large_parts(cut, least[j])
+                area[j] = int(np.count_nonzero(grids[j]))
+    return [(m[0], grid, m[2], m[3]) for m, grid, n in zip(found, grids, area) if n]
+
+
+def _subtracted_by_page(given: DataFrame, page: str) -> DataFrame:
+    """``subtract_overlaps``, each page at once: its masks lie in one row as arrays of bands."""
+    flat = F.flatten(F.collect_list(F.array("y0", "y1", "x0", "x1"))).alias("flat")
+    lists = rounds.spread(given, page).groupBy(page, "mask_id").agg(flat).groupBy(page).agg(F.array_sort(F.collect_list(F.struct("mask_id", "flat"))).alias("masks"))
+    kinds = dict(given.dtypes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, names, out = [], [], []
+            for n, masks in enumerate(batch.column(1).to_pylist()):
+                for name, grid, top, left in _cut_page([(m["mask_id"], *_painted(m["flat"])) for m in masks]):
+                    starts = np.flatnonzero(np.r_[True, (grid[1:] != grid[:-1]).any(axis=1)])
+                    row, x0, x1 = _runs_of(grid[starts])
+                    ends = np.r_[starts[1:], len(grid)]
+                    out.append(np.stack([starts[row] + top, ends[row] + top, x0 + left, x1 + left]))
+                    where += [n] * len(row)
+                    names += [name] * len(row)
+            band = np.concatenate([*out, np.empty((4, 0), np.int64)], axis=1).astype(np.int32)
+            kind = batch.schema.field(1).type.value_type.field("mask_id").type
+            columns = [batch.column(0).take(pa.array(where, pa.int64())), pa.array(names, kind), *(pa.array(c) for c in band)]
+            yield pa.RecordBatch.from_arrays(columns, names=[page, "mask_id", "y0", "y1", "x0", "x1"])
+
+    schema = f"{page} {kinds[page]}, mask_id {kinds['mask_id']}, y0 int, y1 int, x0 int, x1 int"
+    return r.rows(lists.mapInArrow(cut, schema))
+
+
+def _subtracted_in_rounds(masks: DataFrame, page: str) -> DataFrame:
+    """``subtract_overlaps`` on runs, all pages at once.
 
     A round finds, for all pages at once, the first pair in that order that meets the test
     with the shapes as they are: those before it do not, and nothing changes until its
@@ -188,10 +309,32 @@ def subtract_overlaps(masks: DataFrame, page: str = "page_id") -> DataFrame:
 
 
 def seeds(points: DataFrame, masks: DataFrame, page: str = "page_id") -> DataFrame:
-    """All points (``pos, cx, cy``; cut to whole pixels) inside each mask, in list order."""
-    whole = points.select(page, "pos", F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("y"))
-    met = whole.join(masks.select(page, "mask_id", "y", "x0", "x1"), [page, "y"]).where("cx >= x0 and cx < x1").select(page, "mask_id", "pos", "cx", F.col("y").alias("cy")).distinct()
-    return met.groupBy(page, "mask_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cx", "cy"))).alias("seeds"))
+    """All points (``pos, cx, cy``; cut to whole pixels) inside each mask, given as runs or bands, in list order."""
+    whole = points.select(page, "pos", F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("cy"))
+    met = r.points_in(whole, masks.select(page, "mask_id", *(c for c in ("y", "y0", "y1") if c in masks.columns), "x0", "x1"), page)
+    return met.groupBy(page, "mask_id").agg(F.array_sort(F.collect_set(F.struct("pos", "cx", "cy"))).alias("seeds"))
+
+
+def _cover(masks: DataFrame, by: int, page: str, sizes: DataFrame | None) -> DataFrame:
+    """Spans ``page, y0, y1, x0, x1`` of the masks, grown by a round kernel, with how many cover them and the sum of their numbers.
+
+    ``number`` counts the masks of a page by ``mask_id``; where one mask covers a span, ``who`` is its number.
+    """
+    number = F.dense_rank().over(Window.partitionBy(page).orderBy("mask_id")).cast("long")
+    grown = dilated(masks, by, page, sizes, round_kernel=True).withColumn("number", number)
+    edge = F.explode(F.array(
+        F.struct(F.col("x0").alias("x"), F.lit(1).alias("step"), F.col("number").alias("m")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step"), (-F.col("number")).alias("m"))
+    ))
+    cut = r.cut_bands(grown.select(page, "y0", "y1", "x0", "x1", "number"), [page]).select(page, "y0", "y1", edge.alias("e"))
+    edges = cut.groupBy(page, "y0", "y1", F.col("e.x").alias("x0")).agg(F.sum("e.step").alias("n"), F.sum("e.m").alias("h"))
+    along = Window.partitionBy(page, "y0", "y1").orderBy("x0")
+    return edges.select(page, "y0", "y1", "x0", F.lead("x0").over(along).alias("x1"), F.sum("n").over(along).alias("cover"), F.sum("h").over(along).alias("who")).where("cover > 0")
+
+
+def _numbered(masks: DataFrame, by: int, page: str, sizes: DataFrame | None) -> DataFrame:
+    """The masks with the numbers of ``_cover``: those that have pixels when grown."""
+    number = F.dense_rank().over(Window.partitionBy(page).orderBy("mask_id")).cast("long")
+    return dilated(masks, by, page, sizes, round_kernel=True).select(page, "mask_id", number.alias("number")).distinct()
 
 
 def neighbour_runs(masks: DataFrame, by: int = 3, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
@@ -199,19 +342,21 @@ def neighbour_runs(masks: DataFrame, by: int = 3, page: str = "page_id", sizes:
 
     The grown masks are cut into spans once; a span counts for all masks but one if that one alone covers it.
     """
-    grown = dilate(masks, by, page, sizes, round_kernel=True)
-    edge = F.explode(F.array(
-        F.struct(F.col("x0").alias("x"), F.lit(1).alias("step"), F.col("mask_id").alias("m")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step"), F.col("mask_id").alias("m"))
-    ))
-    ids = masks.select(page, "mask_id").distinct()
-    edges = grown.select(page, "y", edge.alias("e")).groupBy(page, "y", F.col("e.x").alias("x0")).agg(
-        F.sum("e.step").alias("n"), F.sum(F.col("e.step") * F.xxhash64("e.m").cast("decimal(38,0)")).alias("h")
-    )
-    along = Window.partitionBy(page, "y").orderBy("x0")
-    spans = edges.withColumns({"cover": F.sum("n").over(along), "who": F.sum("h").over(along), "x1": F.lead("x0").over(along)}).where("cover > 0")
-    own = (F.col("cover") == 1) & (F.col("who") == F.xxhash64("mask_id").cast("decimal(38,0)"))
-    others = spans.join(ids, page).where(~own)
-    return r.union(others.select(page, "mask_id", "y", "x0", "x1"), [page, "mask_id"])
+    ids = masks.select(page, "mask_id").distinct().join(_numbered(masks, by, page, sizes), [page, "mask_id"], "left")
+    own = (F.col("cover") == 1) & F.coalesce(F.col("who") == F.col("number"), F.lit(False))
+    others = _cover(masks, by, page, sizes).join(ids, page).where(~own)
+    return r.rows(r.union_bands(others.select(page, "mask_id", "y0", "y1", "x0", "x1"), [page, "mask_id"]))
+
+
+def neighbour_areas(masks: DataFrame, by: int = 3, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
+    """The ``area`` of what ``neighbour_runs`` gives for each mask, where there is any: all that is covered less what the mask alone covers."""
+    size = F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")).cast("long"))
+    alone = F.when(F.col("cover") == 1, F.col("who"))
+    parts = _cover(masks, by, page, sizes).groupBy(page, alone.alias("number")).agg(size.alias("part"))
+    every = parts.groupBy(page).agg(F.sum("part").alias("every"))
+    ids = masks.select(page, "mask_id").distinct().join(_numbered(masks, by, page, sizes), [page, "mask_id"], "left")
+    found = ids.join(every, page).join(parts.where("number is not null"), [page, "number"], "left")
+    return found.select(page, "mask_id", (F.col("every") - F.coalesce("part", F.lit(0))).alias("area")).where("area > 0")
 
 
 def swallows(before: Column, after: Column, others: Column, least: float = 0.5, growth: float = 0.3) -> Column:

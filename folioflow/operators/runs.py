@@ -6,8 +6,11 @@ overlap test.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def from_boxes(boxes: DataFrame, page: str = "page_id", mask: str = "mask_id") -> DataFrame:
@@ -51,39 +54,112 @@ def union(runs: DataFrame, by: list) -> DataFrame:
     return numbered.groupBy(*by, "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
 
 
-#: Rows of a tile: bands of two masks are compared within tiles.
-TILE = 16
+#: Rows of a tile: bands are cut at each other's ends, and met by points, within tiles.
+TILE = 64
 
 
-def _outlined(placed: DataFrame, side: str, page: str) -> DataFrame:
-    """Each mask's box, area and number of bands."""
+def rows(found: DataFrame) -> DataFrame:
+    """The runs of bands: one for each of their rows."""
+    names = [c for c in found.columns if c not in ("y0", "y1", "x0", "x1")]
+    return found.select(*names, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
+
+
+def tiled(found: DataFrame) -> DataFrame:
+    """Bands with each ``tile`` of ``TILE`` rows that they reach."""
+    return found.withColumn("tile", F.explode(F.sequence(F.floor(F.col("y0") / TILE), F.floor((F.col("y1") - 1) / TILE))))
+
+
+def cut_bands(found: DataFrame, by: list) -> DataFrame:
+    """Bands cut at the ends of all bands of their key, so that two of them share all rows or none; bounded by tiles.
+
+    A band counts one row for each end inside it, where its runs would count one for each row.
+    """
+    low, high = F.greatest("y0", (F.col("tile") * TILE).cast("int")), F.least("y1", ((F.col("tile") + 1) * TILE).cast("int"))
+    placed = tiled(found).select("*", low.alias("_low"), high.alias("_high"))
+    along = Window.partitionBy(*by, "tile")
+    ends = F.array_sort(F.array_union(F.collect_set("_low").over(along), F.collect_set("_high").over(along)))
+    at = lambda c: F.array_position("_ends", F.col(c)).cast("int")
+    n = at("_high") - at("_low")
+    spans = F.arrays_zip(F.slice("_ends", at("_low"), n).alias("a"), F.slice("_ends", at("_low") + 1, n).alias("b"))
+    kept = [c for c in found.columns if c not in ("y0", "y1")]
+    cut = placed.withColumn("_ends", ends).select(*kept, F.explode(spans).alias("_s"))
+    return cut.select(*kept, F.col("_s.a").alias("y0"), F.col("_s.b").alias("y1"))
+
+
+def union_bands(found: DataFrame, by: list) -> DataFrame:
+    """Merged bands of all masks of a key, ``by, y0, y1, x0, x1``: no two share a pixel, and those side by side do not touch."""
+    cut = cut_bands(found.select(*by, "y0", "y1", "x0", "x1"), by)
+    along = Window.partitionBy(*by, "y0", "y1").orderBy("x0", "x1")
+    reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = cut.withColumn("opens", F.coalesce(F.col("x0") > reach, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "y0", "y1", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
+
+
+def as_bands(masks: DataFrame) -> DataFrame:
+    """Runs as bands of one row; bands pass through."""
+    return masks if "y" not in masks.columns else masks.withColumns({"y0": F.col("y"), "y1": F.col("y") + 1}).drop("y")
+
+
+def points_in(points: DataFrame, masks: DataFrame, page: str = "page_id") -> DataFrame:
+    """Points (``cx, cy``) with each run or band of ``masks`` that holds them: they meet by page and tile."""
+    held = tiled(as_bands(masks))
+    asked = points.withColumn("tile", F.floor(F.col("cy") / TILE))
+    return asked.join(held, [page, "tile"]).where("cy >= y0 and cy < y1 and cx >= x0 and cx < x1").drop("tile", "y0", "y1", "x0", "x1")
+
+
+@F.pandas_udf(T.LongType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Common area of masks as arrays of sorted, disjoint ``y0, y1, x0, x1``, one number after the other."""
+    def rows_of(flat):
+        lengths = np.asarray([len(v) for v in flat], dtype=np.int64) // 4
+        band = np.concatenate([*flat, np.empty(0, np.int64)]).astype(np.int64).reshape(-1, 4)
+        pair, high = np.repeat(np.arange(len(flat)), lengths), band[:, 1] - band[:, 0]
+        step = np.arange(high.sum()) - np.repeat(np.cumsum(high) - high, high)
+        return np.repeat(pair, high), np.repeat(band[:, 0], high) + step, np.repeat(band[:, 2], high), np.repeat(band[:, 3], high)
+
+    (ap, ay, a0, a1), (bp, by, b0, b1) = rows_of(a), rows_of(b)
+    if not len(ay) or not len(by):
+        return pd.Series(np.zeros(len(a), np.int64))
+    low = min(ay.min(), by.min())
+    height = max(ay.max(), by.max()) - low + 1
+    key, asked = bp * height + by - low, ap * height + ay - low
+    order = np.argsort(key, kind="stable")
+    key, b0, b1 = key[order], b0[order], b1[order]
+    first, last = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+    n = last - first
+    met = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    shared = np.minimum(np.repeat(a1, n), b1[met]) - np.maximum(np.repeat(a0, n), b0[met])
+    return pd.Series(np.bincount(np.repeat(ap, n), weights=np.maximum(shared, 0), minlength=len(a)).astype(np.int64))
+
+
+def _outlined(placed: DataFrame, side: str, page: str, whole: bool) -> DataFrame:
+    """Each mask's box, area and number of bands; with ``whole``, all of its bands as one array of numbers."""
     named = {"top": F.min("y0"), "bottom": F.max("y1"), "left": F.min("x0"), "right": F.max("x1"), "bands": F.count("*"), "area": F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))}
+    if whole:
+        named["flat"] = F.flatten(F.collect_list(F.array("y0", "y1", "x0", "x1")))
     return placed.groupBy(page, F.col("mask_id").alias(f"{side}_mask")).agg(*(c.alias(f"{side}_{n}") for n, c in named.items()))
 
 
-def overlaps(a: DataFrame, b: DataFrame, page: str = "page_id", once: bool = False) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, page: str = "page_id", once: bool = False, placed: bool = False) -> DataFrame:
     """Common area of masks of ``a`` and ``b`` on one page: ``page, a_mask, b_mask, a_area, b_area, common``.
 
     Masks meet by their boxes first. Those of one band each, rectangles, are done with
-    that; of the others, the bands of pairs whose boxes meet are compared, tile by tile
-    of ``TILE`` rows. ``once``: only pairs in rising order of their ids.
+    that; of the others, the rows of pairs whose boxes meet are compared, many pairs at
+    once. ``once``: only pairs in rising order of their ids. ``placed``: the rows are
+    dealt out by page already and stay where they are.
     """
-    first, second = (bands(side, page).repartition(page) for side in (a, b))
+    first, second = (bands(side, page) if placed else bands(side, page).repartition(page) for side in (a, b))
     test = "a_top < b_bottom and b_top < a_bottom and a_left < b_right and b_left < a_right" + (" and a_mask < b_mask" if once else "")
-    met = _outlined(first, "a", page).join(_outlined(second, "b", page), page).where(test)
-    plain = (F.col("a_bands") == 1) & (F.col("b_bands") == 1)
     side = lambda low, high: F.least(f"a_{high}", f"b_{high}") - F.greatest(f"a_{low}", f"b_{low}")
     found = [page, "a_mask", "b_mask", "a_area", "b_area"]
-    flat = met.where(plain).select(*found, (side("top", "bottom") * side("left", "right")).cast("long").alias("common"))
 
-    def tiled(rows: DataFrame, name: str) -> DataFrame:
-        tile = F.explode(F.sequence(F.floor(F.col("y0") / TILE), F.floor((F.col("y1") - 1) / TILE))).alias("tile")
-        return rows.select(page, F.col("mask_id").alias(f"{name}_mask"), *(F.col(c).alias(f"{name}_{c}") for c in ("y0", "y1", "x0", "x1")), tile)
+    def met(whole):
+        plain = (F.col("a_bands") == 1) & (F.col("b_bands") == 1)
+        return _outlined(first, "a", page, whole).join(_outlined(second, "b", page, whole), page).where(test).where(~plain if whole else plain)
 
-    pairs = met.where(~plain).select(*found)
-    near = pairs.join(tiled(first, "a"), [page, "a_mask"]).join(tiled(second, "b"), [page, "b_mask", "tile"])
-    near = near.where("a_y0 < b_y1 and b_y0 < a_y1 and a_x0 < b_x1 and b_x0 < a_x1").where(F.floor(F.greatest("a_y0", "b_y0") / TILE) == F.col("tile"))
-    curved = near.groupBy(*found).agg(F.sum(side("y0", "y1") * side("x0", "x1")).cast("long").alias("common"))
+    flat = met(False).select(*found, (side("top", "bottom") * side("left", "right")).cast("long").alias("common"))
+    curved = met(True).select(*found, _common("a_flat", "b_flat").alias("common")).where("common > 0")
     return flat.unionByName(curved)
 
 
@@ -113,11 +189,11 @@ def row_profile(runs: DataFrame, page: str = "page_id") -> DataFrame:
 def assign_points(points: DataFrame, runs: DataFrame, page: str = "page_id") -> DataFrame:
     """The first mask (by ``mask_pos``) that holds each point, and whether the point (by ``pos``) claims it first.
 
-    ``points``: ``page, pos, cx, cy``; ``runs`` with ``mask_pos``.
+    ``points``: ``page, pos, cx, cy``; ``runs``, or bands, with ``mask_pos``.
     """
-    met = points.join(runs.select(page, F.col("y").alias("cy"), "x0", "x1", "mask_id", "mask_pos"), [page, "cy"]).where("cx >= x0 and cx < x1")
+    met = points_in(points, runs.select(page, *(c for c in ("y", "y0", "y1") if c in runs.columns), "x0", "x1", "mask_id", "mask_pos"), page)
     first = Window.partitionBy(page, "pos").orderBy("mask_pos")
-    taken = met.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "x0", "x1")
+    taken = met.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     claim = F.row_number().over(Window.partitionBy(page, "mask_id").orderBy("pos")) == 1
     return taken.withColumn("claims", claim)
 
@@ -129,23 +205,23 @@ def best_overlap(texts: DataFrame, bubbles: DataFrame, least: float = 0.8, page:
     return top.where(F.col("common") >= least * F.col("a_area"))
 
 
-def contained(masks: DataFrame, page: str = "page_id") -> DataFrame:
+def contained(masks: DataFrame, page: str = "page_id", placed: bool = False) -> DataFrame:
     """For each pair of masks of a page that meet, the share of the first that lies in the second."""
     both = F.explode(F.array(
         F.struct("a_mask", "b_mask", "a_area", "b_area"),
         F.struct(F.col("b_mask").alias("a_mask"), F.col("a_mask").alias("b_mask"), F.col("b_area").alias("a_area"), F.col("a_area").alias("b_area")),
     ))
-    pairs = overlaps(masks, masks, page, once=True).select(page, both.alias("p"), "common").select(page, "p.*", "common")
+    pairs = overlaps(masks, masks, page, once=True, placed=placed).select(page, both.alias("p"), "common").select(page, "p.*", "common")
     return pairs.withColumn("share", F.col("common") / F.col("a_area"))
 
 
-def drop_contained(runs: DataFrame, least: float = 0.8, page: str = "page_id") -> DataFrame:
+def drop_contained(runs: DataFrame, least: float = 0.8, page: str = "page_id", placed: bool = False) -> DataFrame:
     """Masks left after dropping, one after another, those that a kept larger one holds.
 
     Pairs are found by joins; those of one page are folded in list order. A dropped
     mask cannot absorb another; of an equal pair the later one stays.
     """
-    pairs = contained(runs, page).where(F.col("share") >= least).where("b_area >= a_area")
+    pairs = contained(runs, page, placed).where(F.col("share") >= least).where("b_area >= a_area")
     none = F.array().cast(f"array<{dict(runs.dtypes)['mask_id']}>")
     kept = lambda gone, p: ~F.array_contains(gone, p["a_mask"]) & ~F.array_contains(gone, p["b_mask"])
     fold = F.aggregate("pairs", none, lambda gone, p: F.when(kept(gone, p), F.array_append(gone, p["a_mask"])).otherwise(gone))
