@@ -38,28 +38,55 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Pairs of a key up to which they are matched in one pass over their sorted list.
+FOLD = 4096
+
+
 def greedy_matching(pairs: DataFrame, by: list[str], a: str, b: str, cost: str) -> DataFrame:
     """One-to-one matching within each key ``by``: pairs in rising order of (cost, a, b), each taken if both sides are free.
 
-    Each round takes the pairs that come first for both of their sides; every such pair
-    would also be taken by going through the list, and what it excludes is left out
-    before the next round. So the result is that of the list, for all keys at once. Costs
-    and sides that are null match nothing.
+    Costs and sides that are null match nothing. Keys of up to ``FOLD`` pairs go through
+    their list; larger ones go in rounds.
+    """
+    given = pairs.select(*by, a, b, cost).dropna(subset=[a, b, cost]).distinct()
+    many = given.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD).select(*by)
+    if many.isEmpty():
+        return _folded(given, by, a, b, cost)
+    many = written(many, "many")
+    same = _every([given[c].eqNullSafe(many[c]) for c in by])
+    few = _folded(given.join(many, same, "left_anti"), by, a, b, cost)
+    return few.unionByName(_matched_in_rounds(given.join(many, same, "left_semi"), by, a, b, cost))
+
+
+def _folded(given: DataFrame, by: list[str], a: str, b: str, cost: str) -> DataFrame:
+    """Each key's pairs as a sorted list, gone through once."""
+    lists = given.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(cost).alias("c"), F.col(a).alias("a"), F.col(b).alias("b")))).alias("_p"))
+    free = lambda taken, p: ~F.exists(taken, lambda t: (t["a"] == p["a"]) | (t["b"] == p["b"]))
+    taken = F.aggregate("_p", F.slice("_p", 1, 0), lambda taken, p: F.when(free(taken, p), F.array_append(taken, p)).otherwise(taken))
+    return lists.select(*by, F.explode(taken).alias("_t")).select(*by, F.col("_t.a").alias(a), F.col("_t.b").alias(b), F.col("_t.c").alias(cost))
+
+
+def _matched_in_rounds(given: DataFrame, by: list[str], a: str, b: str, cost: str) -> DataFrame:
+    """Each round takes the pairs that come first for both of their sides.
+
+    Every such pair would also be taken by going through the list, and what it excludes
+    is left out before the next round. So the result is that of the list, for all keys
+    at once.
     """
     order = (cost, a, b)
-    left = written(pairs.select(*by, a, b, cost).dropna(subset=[a, b, cost]).distinct(), "pairs")
-    taken = None
+    left = written(given, "pairs")
+    taken = left.limit(0)
     while not left.isEmpty():
         rank = lambda side: F.row_number().over(Window.partitionBy(*by, side).orderBy(*order))
         first = written(left.withColumns({"_a": rank(a), "_b": rank(b)}).where("_a = 1 and _b = 1").drop("_a", "_b"), "taken")
-        taken = first if taken is None else taken.unionByName(first)
+        taken = taken.unionByName(first)
         free = left
         for side in (a, b):
             used = first.select(*by, side)
             same = [free[c].eqNullSafe(used[c]) for c in (*by, side)]
             free = free.join(used, _every(same), "left_anti")
         left = written(free, "pairs")
-    return taken if taken is not None else left
+    return taken
 
 
 def _every(tests: list):
