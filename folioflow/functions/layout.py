@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions import text as t
+from folioflow.functions.profile import let
 
 #: Units of a character that the table does not name.
 WIDE = 600
@@ -34,10 +35,19 @@ def words(text: Column) -> Column:
 
 
 def units(found: Column, table: dict[str, int]) -> Column:
-    """The width of each word."""
-    known = F.create_map(*(F.lit(x) for pair in {"": 0, **table}.items() for x in pair))
-    wide = lambda c: F.coalesce(F.try_element_at(known, c), F.lit(WIDE))
-    return F.transform(found, lambda w: F.aggregate(F.split(w, ""), F.lit(0), lambda n, c: n + wide(c)))
+    """The width of each word: all its characters as ``WIDE``, then what those of each other width differ by."""
+    by_width: dict[int, str] = {}
+    for c, wide in table.items():
+        if len(c) == 1 and wide != WIDE:
+            by_width[wide] = by_width.get(wide, "") + c
+
+    def width(w):
+        whole = F.char_length(w) * WIDE
+        for wide, chars in by_width.items():
+            whole = whole + (F.char_length(w) - F.char_length(F.translate(w, chars, ""))) * (wide - WIDE)
+        return whole.cast("int")
+
+    return F.transform(found, width)
 
 
 def room(width: Column, size: Column) -> Column:
@@ -90,16 +100,27 @@ def wrap(text: Column, table: dict[str, int], width: Column, size: Column) -> Co
 def fit_size(widths: Column, space: int, width: Column, height: Column, smallest: int, largest: int, spacing: float) -> Column:
     """The largest size at which a text fits a box without broken words, else null; a text without words fits at any.
 
-    Balanced lines are as many as filled ones, so counting the latter is enough.
+    Balanced lines are as many as filled ones, so counting the latter is enough. What
+    fits at one size fits at every smaller one, so the sizes are halved, not gone through.
     """
     widest = F.coalesce(F.array_max(widths), F.lit(0))
 
     def fits(size):
         limit = room(width, size)
-        return (widest <= limit) & (size.cast("double") * spacing * n_lines(widths, space, limit) <= height)
+        return F.coalesce((widest <= limit) & (size.cast("double") * spacing * n_lines(widths, space, limit) <= height), F.lit(False))
+
+    # ``low`` fits, or is below all sizes; what is above ``high`` does not fit.
+    start = F.struct(F.lit(smallest - 1).alias("low"), F.lit(largest).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(max(largest - smallest + 1, 1).bit_length()))
+
+    def halve(s, _):
+        def tried(size):
+            ok = (s["low"] < s["high"]) & fits(size)
+            return let(ok, lambda ok: F.struct(F.when(ok, size).otherwise(s["low"]).alias("low"), F.when(ok | (s["low"] >= s["high"]), s["high"]).otherwise(size - 1).alias("high")))
+
+        return let(F.ceil((s["low"] + s["high"]) / 2).cast("int"), tried)
 
-    sizes = F.sequence(F.lit(largest), F.lit(smallest), F.lit(-1))
-    return F.aggregate(sizes, F.lit(None).cast("int"), lambda best, size: F.coalesce(best, F.when(fits(size), size)))
+    return F.aggregate(steps, start, halve, lambda s: F.when(s["low"] >= smallest, s["low"]))
 
 
 def balanced_starts(widths: list[int], space: int, limit: float) -> list[int]:
@@ -149,19 +170,20 @@ class Ruler:
         fitting = wide.index(True) if True in wide else len(wide)
         return points[fitting - 1] if fitting else 0
 
-    def broken_lines(self, found: list[str], limit: float) -> list[str]:
-        """Filled lines; a word too wide for a line is broken where it may be."""
-        lines, line = [], ""
-        queue = list(reversed(found))
-        while queue:
+    def broken_lines(self, found: list[str], limit: float, most: float = float("inf")) -> list[str]:
+        """Filled lines; a word too wide for a line is broken where it may be. Ends when there are more than ``most``."""
+        lines, line, used = [], "", 0
+        queue, space = list(reversed(found)), self(" ")
+        while queue and len(lines) <= most:
             word = queue.pop()
-            joined = f"{line} {word}" if line else word
-            if self(joined) <= limit:
-                line = joined
+            wide = self(word)
+            joined = used + space + wide if line else wide
+            if joined <= limit:
+                line, used = f"{line} {word}" if line else word, joined
                 continue
             if line:
                 lines.append(line)
-                line = ""
+                line, used = "", 0
                 queue.append(word)
                 continue
             cut = self.head(word, limit)
@@ -197,11 +219,12 @@ def fit_box(
             return size, [" ".join(found[a:b]) for a, b in zip(starts, [*starts[1:], len(found)])], False
         for tried in range(largest, smallest - 1, -1):
             limit = 1000 * width / tried
-            lines = ruler.broken_lines(found, limit)
+            lines = ruler.broken_lines(found, limit, height / (tried * spacing))
             if tried * spacing * len(lines) <= height and all(ruler(x) <= limit for x in lines):
                 return tried, lines, False
         limit = 1000 * width / smallest
-        lines = ruler.broken_lines(found, limit)[: max(1, int(height / (smallest * spacing)))]
+        most = max(1, int(height / (smallest * spacing)))
+        lines = ruler.broken_lines(found, limit, most)[:most]
         return smallest, [ruler.shortened(x, limit) for x in lines], True
 
     def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,37 @@ def test_shorten(spark):
     assert found[("p", 1)] == ("short one", False)
     assert found[("p", 2)] == (long.upper(), False)  # less than half of the original
     assert found[("p", 3)][1] is False and found[("q", 0)] == (None, False)
+
+
+def test_long_texts_stop_at_their_box():
+    """Lines beyond the box are not set: a text of 100,000 words asks for the widths of few."""
+    asked = []
+
+    class Counting(layout.Ruler):
+        def __call__(self, piece):
+            asked.append(piece)
+            return super().__call__(piece)
+
+    ruler = Counting({" ": 300})
+    whole = layout.Ruler({" ": 300}).broken_lines(["word"] * 1000, 9000)
+    assert ruler.broken_lines(["word"] * 100000, 9000, 5)[:5] == whole[:5] and len(asked) < 100
+
+
+def test_units_and_sizes(spark):
+    """Widths against a sum over characters, sizes against all of them."""
+    table = {" ": 300, "i": 300, "m": 850, "W": 850, "": 0}
+    texts = ["", "mi Wim", "über 😀 mmm", "a " * 40, "W" * 30, "i m " * 12]
+    words = [t.split() for t in texts]
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>").withColumn("u", layout.units(F.col("w"), table))
+    df = df.withColumn("s", layout.fit_size(F.col("u"), 300, F.lit(60), F.lit(90), 5, 31, 1.15))
+    for r in df.collect():
+        assert r["u"] == [sum(table.get(c, layout.WIDE) for c in w) for w in r["w"]]
+        fits = []
+        for size in range(5, 32):
+            room, lines, used = 1000 * 60 // size, 0, None
+            for u in r["u"]:
+                stays = used is not None and used + 300 + u <= room
+                lines, used = lines + (not stays), used + 300 + u if stays else u
+            if max(r["u"], default=0) <= room and size * 1.15 * lines <= 90:
+                fits.append(size)
+        assert r["s"] == max(fits, default=None), r
