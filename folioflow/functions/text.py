@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.functions.profile import let
+
 #: Words that name a sound.
 SOUND_WORDS = (
     "BOOM", "BAM", "POW", "CRASH", "BANG", "WHAM", "ZAP", "ZING", "KABOOM", "KAPOW", "BLAM", "KA-BOOM",
@@ -77,15 +79,17 @@ def is_all_caps(text: Column) -> Column:
 
 def doubled_words(text: Column) -> Column:
     """Pairs of equal neighbours without a pause between them, lower-cased."""
-    found, bare = words(text), lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\w]", ""))
-    rest = F.greatest(F.size(found) - 1, F.lit(0))
-    # Neighbours side by side, so that the words are split once.
-    pairs = F.zip_with(F.slice(found, 1, rest), F.slice(found, 2, rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    doubled = F.filter(
-        pairs,
-        lambda p: (bare(p["a"]) == bare(p["b"])) & (bare(p["a"]) != "") & ~p["a"].rlike(r"[,.;:!?…—-]$") & ~bare(p["a"]).isin(*REPEATABLE_WORDS),
-    )
-    return F.transform(doubled, lambda p: bare(p["a"]))
+    # The letters of all words in one pass: words hold no white space, so line breaks keep them apart.
+    bared = lambda found: F.split(F.lower(F.regexp_replace(F.array_join(found, "\n"), r"(?U)[^\w\n]", "")), "\n")
+
+    def pairs(found, bare):
+        rest = F.greatest(F.size(found) - 1, F.lit(0))
+        beside = F.zip_with(F.slice(bare, 1, rest), F.slice(bare, 2, rest), lambda a, b: F.when(a == b, a))
+        both = F.zip_with(beside, F.slice(found, 1, rest), lambda same, said: F.struct(same.alias("same"), said.alias("said")))
+        return F.filter(both, lambda p: F.coalesce((p["same"] != "") & ~p["same"].isin(*REPEATABLE_WORDS), F.lit(False)) & ~p["said"].rlike(r"[,.;:!?…—-]$"))
+
+    doubled = let(words(text), lambda found: let(bared(found), lambda bare: pairs(found, bare)))
+    return F.transform(doubled, lambda p: p["same"])
 
 
 def is_overlong(text: Column, area: Column | None = None) -> Column:
