@@ -372,9 +372,8 @@ def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
     return left.join(small.unionByName(lost).distinct(), KEY, "left_anti").select(*KEY, "part", *RUN)
 
 
-def width_profiles(masks: DataFrame) -> DataFrame:
-    """Pixels of each row and of each column of a mask's box: ``page_id, mask_id, top, left, rows, columns``."""
-    merged = r.union(masks.select(*KEY, *RUN), KEY)
+def width_profiles(merged: DataFrame) -> DataFrame:
+    """Pixels of each row and of each column of a mask's box: ``page_id, mask_id, top, left, rows, columns``; runs are merged."""
     at = lambda known, k: F.coalesce(F.try_element_at(known, k), F.lit(0)).cast("int")
     filled = lambda pairs, first, last: profile.let(F.map_from_entries(pairs), lambda known: F.transform(F.sequence(first, last), lambda k: at(known, k)))
     by_row = merged.groupBy(*KEY, "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("w"))
@@ -402,10 +401,11 @@ def _narrow(widths: Column) -> Column:
     return profile.let(profile.waist(widths, F.lit(0), dip=DIP), sharp)
 
 
-def waists(masks: DataFrame) -> DataFrame:
+def waists(masks: DataFrame, merged: bool = False) -> DataFrame:
     """Where each mask with a waist is cut: ``page_id, mask_id, axis`` (``row`` or ``column``), and the pixels left open,
-    ``open`` to ``close`` (exclusive). Of two waists the sharper counts, of equally sharp ones the row's."""
-    found = rounds.spread(width_profiles(masks), *KEY).withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
+    ``open`` to ``close`` (exclusive). Of two waists the sharper counts, of equally sharp ones the row's. ``merged``: the
+    runs are merged already."""
+    found = rounds.spread(width_profiles(r.union(masks.select(*KEY, *RUN), KEY) if not merged else masks), *KEY).withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
     found = found.withColumns({"_row": _narrow(F.col("_r")), "_column": _narrow(F.col("_c"))}).where("_row is not null or _column is not null")
     row = F.col("_column").isNull() | F.coalesce(F.col("_row.ratio") <= F.col("_column.ratio"), F.lit(False))
     chosen = found.withColumn("axis", F.when(row, "row").otherwise("column"))
@@ -419,7 +419,7 @@ def waists(masks: DataFrame) -> DataFrame:
 def waist_split(masks: DataFrame) -> DataFrame:
     """The two parts, ``0`` and ``1``, of each mask with a waist that leaves both ``LEAST_PART`` of it."""
     merged = r.union(masks.select(*KEY, *RUN), KEY).drop("run")
-    placed = merged.join(rounds.written(waists(masks), "waists"), KEY)  # read twice below
+    placed = merged.join(rounds.written(waists(merged, True), "waists"), KEY)  # read twice below
     by_row = F.col("axis") == "row"
     first = placed.withColumns({"part": F.lit("0"), "x1": F.when(by_row, F.col("x1")).otherwise(F.least("x1", "open"))}).where(~by_row | (F.col("y") < F.col("open")))
     second = placed.withColumns({"part": F.lit("1"), "x0": F.when(by_row, F.col("x0")).otherwise(F.greatest("x0", "close"))}).where(~by_row | (F.col("y") >= F.col("close")))
