@@ -133,9 +133,10 @@ def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corners: bool = Tr
         return i
 
     reach = int(corners)
-    rows = np.searchsorted(y, np.arange(y[0], y[-1] + 2)) if len(y) else []
+    rows = np.searchsorted(y, np.arange(y[0], y[-1] + 2)).tolist() if len(y) else []
+    x0, x1 = x0.tolist(), x1.tolist()  # plain numbers are read faster one by one
     for row in range(1, len(rows) - 1):
-        above, here, end = int(rows[row - 1]), int(rows[row]), int(rows[row + 1])
+        above, here, end = rows[row - 1], rows[row], rows[row + 1]
         i = above
         for j in range(here, end):
             while i < here and x1[i] + reach <= x0[j]:  # left of this run and of all that follow

@@ -5,15 +5,18 @@ concavities of its outline, again and again until each part has one seed. Where
 that fails, it is eroded until it falls apart, parts and seeds are matched, and the
 parts grow back. A mask without two seeds, or where both fail, is cut at its waist.
 
-Joins, grouping and windows carry the work over pages and masks. What needs the
-outline or the pixels of one mask (hull, components, growing back) runs by mask on
-arrays of its runs.
+Spark deals the masks out and gathers each one's runs and seeds into a row of arrays;
+what needs its outline or pixels (hull, cuts, components, growing back, margins) then
+goes mask by mask in one pass over the Arrow batches of a task, and no table is kept in
+between. Waists are found by built-in functions over width profiles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,33 +39,47 @@ RUN = ["y", "x0", "x1"]
 
 
 def outer_points(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[np.ndarray]:
-    """The outline as four chains of points (x, y): right and left ends of rows, bottom and top ends of columns."""
-    rows, at = np.unique(y, return_inverse=True)
-    right, left = np.full(len(rows), -1), np.full(len(rows), 1 << 30)
-    np.maximum.at(right, at, x1 - 1)
-    np.minimum.at(left, at, x0)
+    """The outline as four chains of points (x, y): right and left ends of rows, bottom and top ends of columns; runs are sorted."""
+    first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+    rows, right, left = y[first], np.maximum.reduceat(x1, first) - 1, np.minimum.reduceat(x0, first)
     low, high = int(x0.min()), int(x1.max())
-    top, bottom = np.full(high - low, 1 << 30), np.full(high - low, -1)
-    for row, a, b in zip(y, x0 - low, x1 - low):
-        top[a:b], bottom[a:b] = np.minimum(top[a:b], row), np.maximum(bottom[a:b], row)
-    columns = np.flatnonzero(bottom >= 0)
+    none = int(y[0]) - 1
+    top, bottom = np.full(high - low, none), np.full(high - low, none)
+    runs = list(zip(y.tolist(), (x0 - low).tolist(), (x1 - low).tolist()))
+    for row, a, b in runs:
+        bottom[a:b] = row
+    for row, a, b in reversed(runs):
+        top[a:b] = row
+    columns = np.flatnonzero(bottom > none)
     return [
         np.stack([right, rows], 1), np.stack([left, rows], 1),
         np.stack([columns + low, bottom[columns]], 1), np.stack([columns + low, top[columns]], 1),
     ]
 
 
-def hull_chain(t: np.ndarray, v: np.ndarray) -> list[int]:
-    """Indices of the upper hull of points that rise in ``t``: a monotone chain."""
+def hull_chain(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Indices of the upper hull of points that rise in ``t``: a monotone chain.
+
+    A point on or below the line between its neighbours is none of the hull's; most go
+    so, all at once, before the others are looked at one by one.
+    """
+    at = np.arange(len(t))
+    for _ in range(2):
+        if len(at) > 2:
+            p, w = t[at], v[at]
+            kept = np.ones(len(at), bool)
+            kept[1:-1] = (p[1:-1] - p[:-2]) * (w[2:] - w[:-2]) < (w[1:-1] - w[:-2]) * (p[2:] - p[:-2])
+            at = at[kept]
+    p, w = t[at].tolist(), v[at].tolist()
     chain: list[int] = []
-    for i in range(len(t)):
+    for i in range(len(p)):
         while len(chain) > 1:
             a, b = chain[-2], chain[-1]
-            if (t[b] - t[a]) * (v[i] - v[a]) < (v[b] - v[a]) * (t[i] - t[a]):
+            if (p[b] - p[a]) * (w[i] - w[a]) < (w[b] - w[a]) * (p[i] - p[a]):
                 break
             chain.pop()
         chain.append(i)
-    return chain
+    return at[chain]
 
 
 def concavities(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[tuple[float, int, int]]:
@@ -76,20 +93,23 @@ def concavities(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[tuple[flo
     least = max(LEAST_DEPTH, LEAST_DEPTH_SHARE * max(y.max() - y.min() + 1, x1.max() - x0.min()))
     found: dict[tuple, tuple] = {}
     for k, points in enumerate(outer_points(y, x0, x1)):
+        if len(points) < 3:
+            continue
         along, out = (1, 0) if k < 2 else (0, 1)  # rows run along y, columns along x
         t, v = points[:, along], points[:, out] * (1 if k % 2 == 0 else -1)
         hull = hull_chain(t, v)
-        for a, b in zip(hull, hull[1:]):
-            if b - a < 2:
-                continue
-            dt, dv = int(t[b] - t[a]), int(v[b] - v[a])
-            depth = (dv * (t[a + 1 : b] - t[a]) - dt * (v[a + 1 : b] - v[a])) / np.hypot(dt, dv)
-            edge = tuple(sorted((tuple(points[a].tolist()), tuple(points[b].tolist()))))
-            for i in np.flatnonzero(depth == depth.max()):
-                x, row = points[a + 1 + i].tolist()
-                rank = (-float(depth[i]), row, x)
-                if depth[i] >= least and rank < found.get(edge, (0.0,)):
-                    found[edge] = rank
+        ends, high = t[hull], v[hull]
+        dt, dv = ends[1:] - ends[:-1], high[1:] - high[:-1]
+        under = np.repeat(np.arange(len(dt)), hull[1:] - hull[:-1])  # the edge over each point but the last
+        start = hull[under]
+        depth = (dv[under] * (t[:-1] - t[start]) - dt[under] * (v[:-1] - v[start])) / np.hypot(dt, dv)[under]
+        peak = np.maximum.reduceat(depth, hull[:-1])
+        for i in np.flatnonzero((depth >= least) & (depth == peak[under])):
+            edge = tuple(sorted(tuple(points[hull[under[i] + n]].tolist()) for n in (0, 1)))
+            x, row = points[i].tolist()
+            rank = (-float(depth[i]), row, x)
+            if rank < found.get(edge, (0.0,)):
+                found[edge] = rank
     return [(-d, x, row) for d, row, x in sorted(set(found.values()))]
 
 
@@ -106,123 +126,116 @@ def segment_runs(p: tuple[int, int], q: tuple[int, int], reach: float) -> tuple[
 
 def without(y, x0, x1, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs without a cut that has one run a row at most."""
-    c0, c1 = np.full(int(y.max()) + 1, 1 << 30), np.full(int(y.max()) + 1, 1 << 30)
-    inside = (cut[0] >= 0) & (cut[0] <= y.max())
-    c0[cut[0][inside]], c1[cut[0][inside]] = cut[1][inside], cut[2][inside]
+    low = int(y.min())
+    c0, c1 = np.full(int(y.max()) - low + 1, 1 << 30), np.full(int(y.max()) - low + 1, 1 << 30)
+    inside = (cut[0] >= low) & (cut[0] <= y.max())
+    c0[cut[0][inside] - low], c1[cut[0][inside] - low] = cut[1][inside], cut[2][inside]
     ys = np.concatenate([y, y])
-    a, b = np.concatenate([x0, np.maximum(x0, c1[y])]), np.concatenate([np.minimum(x1, c0[y]), x1])
+    a, b = np.concatenate([x0, np.maximum(x0, c1[y - low])]), np.concatenate([np.minimum(x1, c0[y - low]), x1])
     order = np.lexsort((a, ys))
     keep = order[a[order] < b[order]]
     return ys[keep], a[keep], b[keep]
 
 
-CUTS = "cut int, depth double, label long, y int, x0 int, x1 int"
+#: Sorted runs of a mask or a part: arrays ``y, x0, x1``. A seed: its number, whole coordinates, exact ones.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+Seed = tuple[int, int, int, float, float]
 
 
-def _cuts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Ways to cut one part in two: the labelled runs of both halves, and the cut itself (label -1)."""
-    y, x0, x1 = (rows.sort_values(["y", "x0"])[c].to_numpy() for c in RUN)
-    least, out, number = rows["least"].iloc[0], [], 0
-    deep = concavities(y, x0, x1)[:DEEPEST]
-    for i in range(len(deep)):
-        for j in range(i + 1, len(deep)):
-            line = segment_runs(deep[i][1:], deep[j][1:], CUT_REACH)
-            cy, c0, c1 = without(y, x0, x1, line)
-            label = m.label_runs(cy, c0, c1, corners=False)
-            size = np.bincount(label, weights=c1 - c0) if len(label) else np.empty(0)
-            big = np.flatnonzero(size >= least)
-            if len(big) == 2:
-                kept = np.isin(label, big)
-                halves = [(label[kept], cy[kept], c0[kept], c1[kept]), (np.full(len(line[0]), -1), *line)]
-                out += [pd.DataFrame({"cut": number, "depth": deep[j][0], "label": a, "y": b, "x0": c, "x1": d}) for a, b, c, d in halves]
-            number += 1
-    named = pd.concat(out) if out else pd.DataFrame(columns=["cut", "depth", "label", *RUN])
-    return named.assign(**{c: rows[c].iloc[0] for c in (*KEY, "part")})
+def size_of(runs: Runs) -> int:
+    return int((runs[2] - runs[1]).sum())
 
 
-def near_label(seeds: DataFrame, labelled: DataFrame, by: list[str]) -> DataFrame:
-    """The label of the region in which, or near which, each seed (``seed, cx, cy``) lies; ``labelled`` are runs with ``label``.
+def near_label(seed: Seed, label: np.ndarray, runs: Runs) -> int | None:
+    """The label of the region in which, or near which, a seed lies.
 
     A window around the seed grows by 2 pixels up to ``SEED_REACH``; the first that
     meets a region gives the label, unless it meets two: that seed has none.
     """
-    on = [c for c in by if c in seeds.columns]
-    points = seeds.withColumns({"_x": F.bround("cx").cast("int"), "_y": F.bround("cy").cast("int")}).select(*on, "seed", "_x", "_y")
-    inside = points.withColumn("y", F.col("_y")).join(labelled, [*on, "y"]).where("x0 <= _x and _x < x1").select(*by, "seed", "label")
-    # The others look around: by row, so that a seed meets the runs near it only.
-    every = points.join(labelled.select(*by).distinct(), on).join(inside.select(*by, "seed"), [*by, "seed"], "left_anti")
-    rows = every.withColumn("y", F.explode(F.sequence(F.col("_y") - SEED_REACH, F.col("_y") + SEED_REACH)))
-    met = rows.join(labelled, [*by, "y"])
-    beside = F.greatest(F.col("x0") - F.col("_x"), F.col("_x") - F.col("x1") + 1, F.abs(F.col("y") - F.col("_y")), F.lit(0))
-    window = (F.ceil(beside / 2) * 2).alias("window")
-    nearest = met.select(*by, "seed", "label", window).where(F.col("window") <= SEED_REACH).groupBy(*by, "seed", "label").agg(F.min("window").alias("window"))
-    first = F.min("window").over(Window.partitionBy(*by, "seed"))
-    found = nearest.withColumn("first", first).where("window = first").groupBy(*by, "seed").agg(F.count("*").alias("n"), F.min("label").alias("label"))
-    return inside.unionByName(found.where("n = 1").drop("n"))
+    (_, x, row, _, _), (y, x0, x1) = seed, runs
+    window = (np.maximum(np.maximum(x0 - x, x - x1 + 1), np.abs(y - row)) + 1) // 2 * 2
+    first = window.min(initial=SEED_REACH + 1)
+    met = set(label[window == first].tolist()) if first <= SEED_REACH else set()
+    return met.pop() if len(met) == 1 else None
 
 
-def cut_by_concavity(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parts and cuts of masks that fall into one part for each seed: ``page_id, mask_id, part, y, x0, x1`` and runs of the cuts.
+def best_cut(runs: Runs, seeds: list[Seed], least: float) -> tuple[Runs, list[tuple[int, Runs, list[Seed]]]] | None:
+    """The best cut of a part and its two halves, each with its label and its seeds, or None.
 
-    ``seeds``: ``page_id, mask_id, seed, cx, cy``. In each round every part with
-    several seeds is cut along the best of its cuts: both sides keep ``LEAST_PART`` of
-    the mask and a seed, the shallower of its two concavities is the deepest. A mask
-    with a part that no cut divides is left out.
+    Both halves keep ``least`` pixels and a seed; the shallower of the cut's two
+    concavities is the deepest, of equal ones the first pair counts.
     """
-    kinds = dict(masks.dtypes)
-    wanted = seeds.select(*KEY, "seed", "cx", "cy").withColumn("n", F.count("*").over(Window.partitionBy(*KEY))).where("n > 1").drop("n")
-    wanted = rounds.written(wanted.withColumn("part", F.lit("")), "seeds")
-    whole = masks.select(*KEY, *RUN).join(wanted.select(*KEY).distinct(), KEY, "left_semi")
-    least = whole.groupBy(*KEY).agg((F.sum(F.col("x1") - F.col("x0")) * LEAST_PART).alias("least"))
-    open_parts = rounds.written(whole.join(least, KEY).withColumn("part", F.lit("")), "parts")
-    done, drawn, failed = [], [], []
-    while not open_parts.isEmpty():
-        schema = f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, part string, {CUTS}"
-        tried = rounds.written(rounds.spread(open_parts, *KEY, "part").groupBy(*KEY, "part").applyInPandas(lambda rows: _cuts(rows)[[c.split()[0] for c in schema.split(", ")]], schema), "tried")
-        held = near_label(wanted, tried.where("label >= 0"), [*KEY, "part", "cut"])
-        asked = wanted.groupBy(*KEY, "part").agg(F.count("*").alias("asked"))
-        sound = held.groupBy(*KEY, "part", "cut").agg(F.count("*").alias("placed"), F.countDistinct("label").alias("sides")).join(asked, [*KEY, "part"])
-        sound = sound.where("placed = asked and sides = 2").join(tried.select(*KEY, "part", "cut", "depth").distinct(), [*KEY, "part", "cut"])
-        best = sound.groupBy(*KEY, "part").agg(F.min_by("cut", F.struct(-F.col("depth"), F.col("cut"))).alias("cut"))
-        best = rounds.written(best, "best")
-        failed.append(open_parts.select(*KEY, "part").distinct().join(best, [*KEY, "part"], "left_anti").select(*KEY))
-        chosen = tried.join(best, [*KEY, "part", "cut"], "left_semi")
-        drawn.append(chosen.where("label < 0").select(*KEY, *RUN))
-        side = F.concat_ws(".", "part", F.col("label").cast("string"))
-        moved = held.join(best, [*KEY, "part", "cut"], "left_semi").withColumn("to", side).select(*KEY, "seed", "to")
-        wanted = rounds.written(wanted.join(moved, [*KEY, "seed"]).drop("part").withColumnRenamed("to", "part"), "seeds")
-        many = wanted.groupBy(*KEY, "part").agg(F.count("*").alias("n"))
-        halves = chosen.where("label >= 0").withColumn("part", side).select(*KEY, "part", *RUN).join(many, [*KEY, "part"])
-        halves = rounds.written(halves, "halves")
-        done.append(halves.where("n = 1").drop("n"))
-        open_parts = rounds.written(halves.where("n > 1").drop("n").join(least, KEY), "parts")
-    empty = masks.select(*KEY, F.lit("").alias("part"), *RUN).limit(0)
-    joined = lambda frames, none: _union([none, *frames])
-    bad = joined(failed, empty.select(*KEY)).distinct()
-    return joined(done, empty).join(bad, KEY, "left_anti"), joined(drawn, empty.drop("part")).join(bad, KEY, "left_anti")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    found = frames[0]
-    for frame in frames[1:]:
-        found = found.unionByName(frame)
-    return found
+    deep = concavities(*runs)[:DEEPEST]
+    pairs = [(i, j) for i in range(len(deep)) for j in range(i + 1, len(deep))]
+    for i, j in sorted(pairs, key=lambda p: -deep[p[1]][0]):  # the sort is stable
+        line = segment_runs(deep[i][1:], deep[j][1:], CUT_REACH)
+        y, x0, x1 = without(*runs, line)
+        if not len(y):
+            continue
+        label = m.label_runs(y, x0, x1, corners=False)
+        big = np.flatnonzero(np.bincount(label, weights=x1 - x0) >= least)
+        if len(big) != 2:
+            continue
+        kept = np.isin(label, big)
+        label, halves = label[kept], (y[kept], x0[kept], x1[kept])
+        held = [near_label(s, label, halves) for s in seeds]
+        if None in held or len(set(held)) != 2:
+            continue
+        own = [(k, label == k) for k in big.tolist()]
+        return line, [(k, tuple(c[at] for c in halves), [s for s, h in zip(seeds, held) if h == k]) for k, at in own]
+    return None
+
+
+Parts = list[tuple[str, Runs]]
+
+
+def cut_mask(runs: Runs, seeds: list[Seed]) -> tuple[Parts, list[Runs]] | None:
+    """A mask's parts, one for each seed, and its cuts; None if a part with several seeds has no cut."""
+    least, left, parts, lines = size_of(runs) * LEAST_PART, [("", runs, seeds)], [], []
+    while left:
+        part, own, held = left.pop()
+        found = best_cut(own, held, least)
+        if found is None:
+            return None
+        lines.append(found[0])
+        for label, half, inside in found[1]:
+            if len(inside) > 1:
+                left.append((f"{part}.{label}", half, inside))
+            else:
+                parts.append((f"{part}.{label}", half))
+    return parts, lines
 
 
 def as_grid(y, x0, x1) -> tuple[np.ndarray, int, int]:
     """Pixels of runs with one unset pixel around, and the place of the grid's corner."""
     top, left = int(y.min()) - 1, int(x0.min()) - 1
     grid = np.zeros((int(y.max()) - top + 2, int(x1.max()) - left + 1), bool)
-    for row, a, b in zip(y - top, x0 - left, x1 - left):
-        grid[row, a:b] = True
+    paint(grid, (y - top, x0 - left, x1 - left), True)
     return grid, top, left
 
 
-def grid_runs(grid: np.ndarray, top: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def paint(grid: np.ndarray, runs: Runs, value) -> None:
+    flat, wide = grid.reshape(-1), grid.shape[1]
+    start = runs[0] * wide
+    for a, b in zip((start + runs[1]).tolist(), (start + runs[2]).tolist()):
+        flat[a:b] = value
+
+
+def grid_runs(grid: np.ndarray, top: int, left: int) -> Runs:
     """Runs of the set pixels of a grid."""
-    edges = np.diff(np.pad(grid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    (y, x0), (_, x1) = np.nonzero(edges == 1), np.nonzero(edges == -1)
-    return y + top, x0 + left, x1 + left
+    return _labelled_runs(grid, top, left)[1]
+
+
+def _labelled_runs(grid: np.ndarray, top: int, left: int) -> tuple[np.ndarray, Runs]:
+    """Runs of equal, set pixels of a grid, each with the value of its pixels."""
+    wide = grid.shape[1] + 2
+    flat = np.zeros(grid.shape[0] * wide + 1, grid.dtype)
+    flat[:-1].reshape(-1, wide)[:, 1:-1] = grid
+    at = np.flatnonzero(flat[1:] != flat[:-1])
+    starts, ends = at[flat[at + 1] != 0] + 1, at[flat[at] != 0] + 1
+    row = starts // wide
+    shift = row * wide + 1 - left
+    return flat[starts], (row + top, starts - shift, ends - shift)
 
 
 def distance(grid: np.ndarray) -> np.ndarray:
@@ -237,11 +250,14 @@ def distance(grid: np.ndarray) -> np.ndarray:
     for rows in (range(1, len(d)), range(len(d) - 2, -1, -1)):
         step = 1 if rows.step == 1 else -1
         for i in rows:
-            beside = np.pad(d[i - step], 1, constant_values=far)
-            d[i] = np.minimum(d[i], np.minimum(np.minimum(beside[:-2], beside[2:]), beside[1:-1]) + 1)
-            left = np.minimum.accumulate(d[i] - place) + place
-            right = np.minimum.accumulate((d[i] + place)[::-1])[::-1] - place
-            d[i] = np.minimum(d[i], np.minimum(left, right))
+            own, near = d[i], d[i - step] + 1
+            np.minimum(own, near, out=own)
+            np.minimum(own[1:], near[:-1], out=own[1:])
+            np.minimum(own[:-1], near[1:], out=own[:-1])
+            left = np.minimum.accumulate(own - place)
+            right = np.minimum.accumulate((own + place)[::-1])[::-1]
+            np.minimum(own, left + place, out=own)
+            np.minimum(own, right - place, out=own)
     return d
 
 
@@ -258,69 +274,234 @@ def falling_parts(d: np.ndarray) -> np.ndarray:
     return (above(corners) - above(across) - above(down) + above(d))[1:]
 
 
-def _eroded(rows: pd.DataFrame) -> pd.DataFrame:
-    """The parts that a mask falls into at the fewest erosions that give one for each seed, the largest if more.
+def eroded_parts(runs: Runs, d: np.ndarray, top: int, left: int, wanted: int) -> list[Runs] | None:
+    """The parts that a mask falls into at the fewest erosions that give as many as wanted, the largest if more.
 
     A mask without holes gets none when eroded, so the Euler number tells how many
     parts there are; only depths with enough are looked at, all depths if it has holes.
     """
-    y, x0, x1 = (rows.sort_values(["y", "x0"])[c].to_numpy() for c in RUN)
-    wanted = int(rows["n"].iloc[0])
-    grid, top, left = as_grid(y, x0, x1)
-    d = distance(grid)
     parts = falling_parts(d)
-    holes = m.label_runs(y, x0, x1).max() + 1 > parts[0]
+    holes = m.label_runs(*runs).max() + 1 > parts[0]
     for depth in range(1, min(MOST_EROSIONS + 1, len(parts))):
         if not holes and parts[depth] < wanted:
             continue
-        ey, e0, e1 = grid_runs(d > depth, top, left)
-        label = m.label_runs(ey, e0, e1)
-        size = np.bincount(label, weights=e1 - e0)
+        found = grid_runs(d > depth, top, left)
+        label = m.label_runs(*found)
+        size = np.bincount(label, weights=found[2] - found[1])
         big = np.flatnonzero(size > LEAST_ERODED)
         if len(big) >= wanted:
             big = big[np.argsort(-size[big], kind="stable")][:wanted]
-            kept = np.isin(label, big)
-            found = pd.DataFrame({"label": label[kept], "y": ey[kept], "x0": e0[kept], "x1": e1[kept]})
-            return found.assign(**{c: rows[c].iloc[0] for c in KEY})
-    return pd.DataFrame(columns=["label", *RUN, *KEY])
+            return [tuple(c[label == k] for c in found) for k in sorted(big.tolist())]
+    return None
+
+
+def matched(parts: list[Runs], seeds: list[Seed]) -> dict[int, int]:
+    """The part of each seed's number, each part once: nearest pairs of centre and seed first."""
+    far = []
+    for k, (y, x0, x1) in enumerate(parts):
+        n = x1 - x0
+        px, py = float((n * (x0 + x1 - 1) / 2).sum() / n.sum()), float((n * y).sum() / n.sum())
+        far += [((px - cx) ** 2 + (py - cy) ** 2, k, number) for number, _, _, cx, cy in seeds]
+    taken: dict[int, int] = {}
+    for _, k, number in sorted(far):
+        if number not in taken and k not in taken.values():
+            taken[number] = k
+    return taken
 
 
 def grown(grid: np.ndarray, labels: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Labels spread over the set pixels: those of the highest level first, then lower ones, a ring at a time.
 
-    A pixel takes the smallest label beside it, corners included.
+    A pixel takes the smallest label beside it, corners included. Only the pixels beside
+    the last ring are looked at; those of a lower level wait for their turn. The grid's
+    edge must be unset.
     """
-    labels, none = labels.copy(), labels.max() + 1
+    flat, wide, none = labels.copy().reshape(-1), grid.shape[1], labels.max() + 1
+    near = np.array([i * wide + j for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    lasting = np.where(grid, level, 0).reshape(-1)
+    met = np.where(flat > 0, True, lasting <= 0)  # labelled, waiting or not to be labelled
+
+    def around(ring):
+        fresh = (ring[:, None] + near).reshape(-1)
+        fresh = np.unique(fresh[~met[fresh]])
+        met[fresh] = True
+        return fresh
+
+    waiting: dict[int, list[np.ndarray]] = {}
+    marked = np.flatnonzero(flat > 0)
+    ring = around(marked[(marked > wide) & (marked < len(flat) - wide - 1)])
     for depth in range(int(level.max()), 0, -1):
-        free = grid & (level >= depth) & (labels == 0)
-        while free.any():
-            wide = np.pad(np.where(labels > 0, labels, none), 1, constant_values=none)
-            beside = np.min([wide[i : i + grid.shape[0], j : j + grid.shape[1]] for i in range(3) for j in range(3)], axis=0)
-            reached = free & (beside < none)
-            if not reached.any():
+        while True:
+            high = lasting[ring]
+            for low in np.unique(high[high < depth]).tolist():
+                waiting.setdefault(low, []).append(ring[high == low])
+            ring = np.concatenate([ring[high >= depth], *waiting.pop(depth, [])])
+            if not len(ring):
                 break
-            labels[reached] = beside[reached]
-            free &= ~reached
-    return labels
+            beside = flat[ring[:, None] + near]
+            flat[ring] = np.where(beside > 0, beside, none).min(axis=1)
+            ring = around(ring)
+    return flat.reshape(grid.shape)
 
 
-def _regrown(rows: pd.DataFrame) -> pd.DataFrame:
-    """A mask's pixels by part, and those of its inner borders (label -1); ``label`` 0 are the mask's own runs."""
-    own = rows[rows["label"] == 0]
-    grid, top, left = as_grid(*(own[c].to_numpy() for c in RUN))
+def wear_mask(runs: Runs, seeds: list[Seed]) -> tuple[Parts, list[Runs]] | None:
+    """A mask's parts, one for each seed, and the inner borders between them; None if it does not fall apart when eroded."""
+    grid, top, left = as_grid(*runs)
+    d = distance(grid)
+    parts = eroded_parts(runs, d, top, left, len(seeds))
+    if parts is None:
+        return None
+    taken = matched(parts, seeds)
+    if len(taken) < len({s[0] for s in seeds}):
+        return None
     labels = np.zeros(grid.shape, np.int64)
-    for label, row, a, b in zip(*(rows[rows["label"] > 0][c] for c in ("label", *RUN))):
-        labels[row - top, a - left : b - left] = label
-    labels = grown(grid, labels, distance(grid))
+    for number, k in taken.items():
+        y, x0, x1 = parts[k]
+        paint(labels, (y - top, x0 - left, x1 - left), number)
+    labels = grown(grid, labels, d)
     wide = np.pad(labels, 1)
     border = np.zeros(grid.shape, bool)
     for i in range(3):
         for j in range(3):
             other = wide[i : i + grid.shape[0], j : j + grid.shape[1]]
             border |= (labels > 0) & (other > 0) & (other != labels)
-    kinds = [(k, labels == k) for k in np.unique(labels[labels > 0]).tolist()] + [(-1, border)]
-    found = [pd.DataFrame(dict(zip(("label", *RUN), (k, *grid_runs(pixels, top, left))))) for k, pixels in kinds]
-    return pd.concat(found).assign(**{c: rows[c].iloc[0] for c in KEY})
+    label, found = _labelled_runs(labels, top, left)
+    return [(str(k), tuple(c[label == k] for c in found)) for k in np.unique(label).tolist()], [grid_runs(border, top, left)]
+
+
+def carved(runs: Runs, parts: Parts, lines: list[Runs]) -> Parts | None:
+    """A mask's parts without a margin beside the cuts: within a round kernel of each of their pixels.
+
+    None if a part is below ``LEAST_PART`` of the mask or the margin takes one whole.
+    """
+    y, x0, x1 = runs
+    least, left, top = size_of(runs) * LEAST_PART, int(x0.min()), int(y.min())
+    if any(size_of(own) < least for _, own in parts):
+        return None
+    high, wide = int(y.max()) - top + 1, int(x1.max()) - left
+    reach = max(MARGIN, int(np.floor(min(high, wide) * MARGIN_SHARE)))
+    off = np.arange(-reach, reach + 1)
+    half = np.rint(np.sqrt(reach * reach - off * off)).astype(np.int64)
+    cy, c0, c1 = (np.concatenate([line[i] for line in lines]) for i in range(3))
+    row = (cy[:, None] - top + off).reshape(-1)
+    a, b = (np.clip(c, 0, wide).reshape(-1) for c in (c0[:, None] - left - half, c1[:, None] - left + half))
+    inside = (row >= 0) & (row < high) & (a < b)
+    at = row[inside] * (wide + 1)
+    count = lambda ends: np.bincount(at + ends[inside], minlength=high * (wide + 1))
+    near = np.cumsum((count(a) - count(b)).reshape(high, wide + 1), axis=1)[:, :-1] > 0
+    labels = np.zeros((high, wide), np.int32)
+    for k, (_, (py, p0, p1)) in enumerate(parts, 1):
+        paint(labels, (py - top, p0 - left, p1 - left), k)
+    labels[near] = 0
+    label, found = _labelled_runs(labels, top, left)
+    final = [(name, tuple(c[label == k] for c in found)) for k, (name, _) in enumerate(parts, 1)]
+    return final if all(len(own[0]) for _, own in final) else None
+
+
+def taken_apart(runs: Runs, seeds: list[Seed]) -> Parts | None:
+    """A mask's parts by seeds: cut at concavities, else by erosion; None if both leave it whole."""
+    for way in (cut_mask, wear_mask):
+        found = way(runs, seeds)
+        final = carved(runs, *found) if found else None
+        if final:
+            return final
+    return None
+
+
+def merged_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Runs:
+    """Sorted runs without empty ones; those of a row that overlap or touch are one."""
+    order = np.lexsort((x0, y))
+    order = order[x0[order] < x1[order]]
+    runs = y[order], x0[order], x1[order]
+    if ((runs[0][1:] == runs[0][:-1]) & (runs[1][1:] <= runs[2][:-1])).any():
+        return grid_runs(*as_grid(*runs))
+    return runs
+
+
+def gathered(masks: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """A row a mask, dealt out: ``page_id, mask_id, runs`` (``y, x0, x1``, one after the other) and ``seeds``, in order."""
+    flat = F.flatten(F.collect_list(F.array("y", "x0", "x1"))).alias("runs")
+    rows = rounds.spread(masks.select(*KEY, *RUN), *KEY).where("x0 < x1 and y is not null").groupBy(*KEY).agg(flat)
+    if seeds is None:
+        return rows
+    point = F.struct("seed", F.bround("cx").cast("int").alias("x"), F.bround("cy").cast("int").alias("y"), F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
+    return rows.join(seeds.groupBy(*KEY).agg(F.array_sort(F.collect_list(point)).alias("seeds")), KEY, "left")
+
+
+def _seeds(found: list[dict] | None) -> list[Seed]:
+    """Seeds with numbers from 1 in place of their names; none if one has no name or place."""
+    found = found or []
+    if any(s[c] is None for s in found for c in ("seed", "cx", "cy")):
+        return []
+    names: list = []
+    for s in found:
+        if not names or names[-1] != s["seed"]:
+            names.append(s["seed"])
+        s["number"] = len(names)
+    return [(s["number"], s["x"], s["y"], s["cx"], s["cy"]) for s in found]
+
+
+def _profiles(runs: Runs) -> dict:
+    """Pixels of each row and of each column of a mask's box, and its corner."""
+    grid, top, left = as_grid(*runs)
+    pixels = grid[1:-1, 1:-1]
+    return {"top": top + 1, "left": left + 1, "rows": pixels.sum(axis=1), "columns": pixels.sum(axis=0)}
+
+
+PARTS = "part string, runs array<struct<y:int,x0:int,x1:int>>"
+#: Of a mask that is one part: its corner and its width profiles, for the waist.
+PROFILES = {"top": pa.int32(), "left": pa.int32(), "rows": pa.list_(pa.int32()), "columns": pa.list_(pa.int32())}
+
+
+def _by_mask(rows: DataFrame, found: Callable[[Runs, dict], list[tuple[str | None, Runs]]]) -> DataFrame:
+    """A row for each part that ``found`` gives for a mask's runs and its other columns: ``page_id, mask_id, part, runs``,
+    and the width profiles of the part ''."""
+    kinds = dict(rows.dtypes)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 3), lists.offsets.to_numpy() // 3
+            others = batch.select([c for c in batch.schema.names if c not in (*KEY, "runs")]).to_pylist()
+            at, names, runs = [], [], []
+            for i in range(batch.num_rows):
+                for name, own in found(merged_runs(*flat[ends[i] : ends[i + 1]].T), others[i] if others else {}):
+                    at.append(i)
+                    names.append(name)
+                    runs.append(own)
+            y, x0, x1 = (np.concatenate([own[c] for own in runs] or [np.empty(0, np.int64)]).astype(np.int32) for c in range(3))
+            offsets = np.concatenate([[0], np.cumsum([len(own[0]) for own in runs])]).astype(np.int32)
+            held = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in (y, x0, x1)], names=RUN))
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in KEY]
+            wholes = [_profiles(own) if name == "" and len(own[0]) else {} for name, own in zip(names, runs)]
+            wide = [pa.array([p.get(c) for p in wholes], kind) for c, kind in PROFILES.items()]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), held, *wide], names=[*KEY, "part", "runs", *PROFILES])
+
+    profiles = "top int, left int, rows array<int>, columns array<int>"
+    return rows.mapInArrow(each, f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, {PARTS}, {profiles}")
+
+
+def _ways(masks: DataFrame, seeds: DataFrame, way: Callable) -> tuple[DataFrame, DataFrame]:
+    """Parts and cuts of the masks with several seeds, by ``way``."""
+    def found(runs, row):
+        points = _seeds(row["seeds"])
+        both = way(runs, points) if len(points) > 1 and len(runs[0]) else None
+        return [*both[0], *((None, line) for line in both[1])] if both else []
+
+    rows = rounds.written(_by_mask(gathered(masks, seeds), found), "apart")
+    parts = rows.where("part is not null").select(*KEY, "part", F.inline("runs"))
+    return parts, rows.where("part is null").select(*KEY, F.inline("runs"))
+
+
+def cut_by_concavity(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts and cuts of masks that fall into one part for each seed: ``page_id, mask_id, part, y, x0, x1`` and runs of the cuts.
+
+    ``seeds``: ``page_id, mask_id, seed, cx, cy``. Every part with several seeds is cut
+    along the best of its cuts: both sides keep ``LEAST_PART`` of the mask and a seed,
+    the shallower of its two concavities is the deepest. A mask with a part that no cut
+    divides is left out.
+    """
+    return _ways(masks, seeds, cut_mask)
 
 
 def split_by_erosion(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -329,25 +510,7 @@ def split_by_erosion(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     Each eroded part goes to one seed, nearest pairs first; a mask where one is left
     over is left out. The parts then grow back over the mask, from its middle outwards.
     """
-    kinds = dict(masks.dtypes)
-    schema = f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, label long, y int, x0 int, x1 int"
-    names = [c.split()[0] for c in schema.split(", ")]
-    many = seeds.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
-    asked = masks.select(*KEY, *RUN).join(many, KEY)
-    eroded = rounds.written(rounds.spread(asked, *KEY).groupBy(*KEY).applyInPandas(lambda rows: _eroded(rows)[names], schema), "eroded")
-    n = F.col("x1") - F.col("x0")
-    centres = eroded.groupBy(*KEY, "label").agg((F.sum(n * (F.col("x0") + F.col("x1") - 1) / 2) / F.sum(n)).alias("px"), (F.sum(n * F.col("y")) / F.sum(n)).alias("py"))
-    far = (F.col("px") - F.col("cx")) ** 2 + (F.col("py") - F.col("cy")) ** 2
-    pairs = centres.join(seeds.select(*KEY, "seed", "cx", "cy"), KEY).withColumn("far", far)
-    taken = rounds.greedy_matching(pairs, KEY, "label", "seed", "far")
-    short = rounds.unmatched(seeds.join(many, KEY, "left_semi"), taken, KEY, "seed").select(*KEY).distinct()
-    whole = eroded.select(*KEY).distinct().join(short, KEY, "left_anti")
-    number = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("seed")).cast("long")
-    order = taken.join(whole, KEY, "left_semi").withColumn("number", number).select(*KEY, "label", "number")
-    marked = eroded.join(order, [*KEY, "label"]).select(*KEY, F.col("number").alias("label"), *RUN)
-    both = marked.unionByName(masks.select(*KEY, *RUN).join(whole, KEY, "left_semi").withColumn("label", F.lit(0).cast("long")).select(*marked.columns))
-    back = rounds.written(rounds.spread(both, *KEY).groupBy(*KEY).applyInPandas(lambda rows: _regrown(rows)[names], schema), "regrown")
-    return back.where("label > 0").withColumn("part", F.col("label").cast("string")).select(*KEY, "part", *RUN), back.where("label < 0").select(*KEY, *RUN)
+    return _ways(masks, seeds, wear_mask)
 
 
 def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -356,20 +519,15 @@ def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
     Of a mask with a part below ``LEAST_PART`` of it, or with one that the margin takes
     whole, nothing comes out.
     """
-    size = lambda rows, by, name: rows.groupBy(*by).agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
-    boxes = r.measure(masks)
-    reach = F.greatest(F.lit(MARGIN), F.floor(F.least(F.col("bottom") - F.col("top"), F.col("right") - F.col("left")) * MARGIN_SHARE)).cast("int")
-    margin = m.dilate(cuts.join(boxes.select(*KEY, reach.alias("by")), KEY), F.col("by"), round_kernel=True)
-    small = size(parts, [*KEY, "part"], "own").join(boxes.select(*KEY, "area"), KEY).where(F.col("own") < F.col("area") * LEAST_PART).select(*KEY)
-    place = F.to_json(F.struct(*KEY))
-    carved = r.difference(
-        parts.withColumns({"_place": place, "mask_id": F.to_json(F.struct(*KEY, "part"))}).select("_place", "mask_id", *RUN),
-        margin.withColumn("_place", place).select("_place", "mask_id", *RUN), "_place",
-    ).withColumnRenamed("mask_id", "_part")
-    names = parts.select(*KEY, "part").distinct().withColumn("_part", F.to_json(F.struct(*KEY, "part")))
-    left = names.join(carved.drop("_place"), "_part").drop("_part")
-    lost = names.drop("_part").join(left.select(*KEY, "part").distinct(), [*KEY, "part"], "left_anti").select(*KEY)
-    return left.join(small.unionByName(lost).distinct(), KEY, "left_anti").select(*KEY, "part", *RUN)
+    flat = F.flatten(F.collect_list(F.array("y", "x0", "x1")))
+    own = parts.groupBy(*KEY, "part").agg(flat.alias("r")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("part", "r"))).alias("parts"))
+    rows = gathered(masks).join(own, KEY).join(cuts.groupBy(*KEY).agg(flat.alias("cuts")), KEY)
+    as_runs = lambda numbers: tuple(np.asarray(numbers, dtype=np.int64).reshape(-1, 3).T)
+
+    def found(runs, row):
+        return carved(runs, [(p["part"], merged_runs(*as_runs(p["r"]))) for p in row["parts"]], [as_runs(row["cuts"])]) or []
+
+    return _by_mask(rows, found).select(*KEY, "part", F.inline("runs"))
 
 
 def width_profiles(merged: DataFrame) -> DataFrame:
@@ -401,19 +559,26 @@ def _narrow(widths: Column) -> Column:
     return profile.let(profile.waist(widths, F.lit(0), dip=DIP), sharp)
 
 
-def waists(masks: DataFrame, merged: bool = False) -> DataFrame:
-    """Where each mask with a waist is cut: ``page_id, mask_id, axis`` (``row`` or ``column``), and the pixels left open,
-    ``open`` to ``close`` (exclusive). Of two waists the sharper counts, of equally sharp ones the row's. ``merged``: the
-    runs are merged already."""
-    found = rounds.spread(width_profiles(r.union(masks.select(*KEY, *RUN), KEY) if not merged else masks), *KEY).withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
-    found = found.withColumns({"_row": _narrow(F.col("_r")), "_column": _narrow(F.col("_c"))}).where("_row is not null or _column is not null")
+def _placed(found: DataFrame) -> DataFrame:
+    """Rows with width profiles (``top, left, rows, columns``) and the waist: ``axis``, ``open`` and ``close``, null without one."""
+    found = found.withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
+    found = found.withColumns({"_row": _narrow(F.col("_r")), "_column": _narrow(F.col("_c"))})
     row = F.col("_column").isNull() | F.coalesce(F.col("_row.ratio") <= F.col("_column.ratio"), F.lit(False))
-    chosen = found.withColumn("axis", F.when(row, "row").otherwise("column"))
+    chosen = found.withColumn("axis", F.when(F.col("_row").isNotNull() | F.col("_column").isNotNull(), F.when(row, "row").otherwise("column")))
     pick = lambda a, b: F.when(F.col("axis") == "row", a).otherwise(b)
     n, at = pick(F.size("rows"), F.size("columns")), pick(F.col("_row.at"), F.col("_column.at"))
     half = F.floor(F.greatest(F.lit(GAP), F.floor(n * MARGIN_SHARE)) / 2)
     first = pick(F.col("top"), F.col("left"))
-    return chosen.select(*KEY, "axis", (first + F.greatest(at - half, F.lit(0))).cast("int").alias("open"), (first + F.least(at + half, n)).cast("int").alias("close"))
+    ends = {"open": (first + F.greatest(at - half, F.lit(0))).cast("int"), "close": (first + F.least(at + half, n)).cast("int")}
+    return chosen.withColumns(ends).drop("_r", "_c", "_row", "_column")
+
+
+def waists(masks: DataFrame, merged: bool = False) -> DataFrame:
+    """Where each mask with a waist is cut: ``page_id, mask_id, axis`` (``row`` or ``column``), and the pixels left open,
+    ``open`` to ``close`` (exclusive). Of two waists the sharper counts, of equally sharp ones the row's. ``merged``: the
+    runs are merged already."""
+    found = rounds.spread(width_profiles(r.union(masks.select(*KEY, *RUN), KEY) if not merged else masks), *KEY)
+    return _placed(found).where("axis is not null").select(*KEY, "axis", "open", "close")
 
 
 def waist_split(masks: DataFrame) -> DataFrame:
@@ -435,17 +600,25 @@ def split_fused(masks: DataFrame, seeds: DataFrame) -> DataFrame:
     """All masks, those of several balloons in parts: ``page_id, mask_id, part, y, x0, x1``; an undivided mask is part ``''``.
 
     Masks with several seeds are cut at concavities, else by erosion; what both leave
-    whole, and masks without several seeds, at a waist.
+    whole, and masks without several seeds, at a waist. Runs come out merged.
     """
-    known = rounds.written(seeds.select(*KEY, "seed", "cx", "cy"), "seeds")
-    plain = rounds.written(masks.select(*KEY, *RUN), "masks")
-    cut = rounds.written(assembled(plain, *cut_by_concavity(plain, known)), "cut")
-    several = known.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
-    rest = rounds.written(plain.join(several, KEY, "left_semi").join(cut.select(*KEY).distinct(), KEY, "left_anti"), "rest")
-    worn = rounds.written(assembled(rest, *split_by_erosion(rest, known.join(rest.select(*KEY).distinct(), KEY, "left_semi"))), "worn")
-    seeded = cut.unionByName(worn)
-    left = rounds.written(plain.join(seeded.select(*KEY).distinct(), KEY, "left_anti"), "left")
-    halved = rounds.written(waist_split(left), "halved")
-    divided = seeded.unionByName(halved)
-    undivided = left.join(halved.select(*KEY).distinct(), KEY, "left_anti").withColumn("part", F.lit(""))
-    return divided.unionByName(undivided.select(*divided.columns))
+    def found(runs, row):
+        points = _seeds(row["seeds"])
+        return (taken_apart(runs, points) if len(points) > 1 and len(runs[0]) else None) or [("", runs)]
+
+    placed = _placed(_by_mask(gathered(masks, seeds.select(*KEY, "seed", "cx", "cy")), found))
+    by_row = F.col("axis") == "row"
+    widths, first = F.when(by_row, F.col("rows")).otherwise(F.col("columns")), F.when(by_row, F.col("top")).otherwise(F.col("left"))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, w: n + w)
+    ahead, behind = F.slice(widths, F.lit(1), F.col("open") - first), F.slice(widths, F.col("close") - first + 1, F.size(widths))
+    both = (F.least(total(ahead), total(behind)) >= total(widths) * LEAST_PART) & F.col("axis").isNotNull()
+    side = F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(None).cast("int")))).alias("side")
+    each = placed.select(*KEY, "part", "runs", "axis", "open", "close", side).select(*KEY, "part", "axis", "open", "close", "side", F.inline("runs"))
+    # An undivided mask's side is null: it keeps all of its rows and columns.
+    here = F.when(F.col("side").isNull(), True).when(by_row, F.when(F.col("side") == 0, F.col("y") < F.col("open")).otherwise(F.col("y") >= F.col("close"))).otherwise(True)
+    across = lambda k: (F.col("side") == k) & ~by_row
+    ends = {
+        "part": F.coalesce(F.col("side").cast("string"), "part"),
+        "x0": F.when(across(1), F.greatest("x0", "close")).otherwise(F.col("x0")), "x1": F.when(across(0), F.least("x1", "open")).otherwise(F.col("x1")),
+    }
+    return each.where(here).withColumns(ends).where("x0 < x1").select(*KEY, "part", *RUN)

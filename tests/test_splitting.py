@@ -208,3 +208,19 @@ def test_split_fused(spark):
     none = given.limit(0)
     assert splitting.split_fused(none, spark.createDataFrame([], SEEDS)).count() == 0
     assert masks.seeds(spark.createDataFrame([("p", 0, 60.0, 60.0)], "page_id string, pos int, cx double, cy double"), given).count() == 4
+
+
+def test_split_fused_in_one_pass(spark, monkeypatch):
+    """No table is kept between the steps; runs may overlap, and lie left of or above the page's corner."""
+    grids = {k: disc(SHAPE, *THREE[:n]) for k, n in ((1, 2), (2, 3), (3, 1))}
+    seeds = [("p", k, i, float(s[0]), float(s[1])) for k, n in ((1, 2), (2, 3), (3, 1)) for i, s in enumerate(THREE[:n])]
+    rows = [r for k, g in grids.items() for r in rows_of("p", k, g)]
+    given, points = spark.createDataFrame(rows, RUNS), spark.createDataFrame(seeds, SEEDS)
+    monkeypatch.setattr(rounds, "written", lambda df, label: pytest.fail(f"{label} is written"))
+    plain = parts_of(splitting.split_fused(given, points), SHAPE)
+    assert {k: sum(key[1] == k for key in plain) for k in grids} == {1: 2, 2: 3, 3: 1}
+    back = {"y": F.col("y") - 400, "x0": F.col("x0") - 300, "x1": F.col("x1") - 300}
+    twice = given.unionByName(given.withColumn("x1", F.floor((F.col("x0") + F.col("x1") + 1) / 2).cast("int"))).withColumns(back)
+    moved = splitting.split_fused(twice, points.withColumns({"cx": F.col("cx") - 300, "cy": F.col("cy") - 400}))
+    found = parts_of(moved.withColumns({"y": F.col("y") + 400, "x0": F.col("x0") + 300, "x1": F.col("x1") + 300}), SHAPE)
+    assert found.keys() == plain.keys() and all((found[k] == v).all() for k, v in plain.items())
