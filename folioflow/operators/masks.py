@@ -375,7 +375,9 @@ def bodies(masks: DataFrame, page: str = "page_id") -> DataFrame:
     row = F.struct("y", (F.col("x1") - F.col("x0")).alias("w"), "x0", "x1")
     by_mask = wide.groupBy(page, "mask_id").agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.collect_list(row).alias("_rows"))
     known = F.map_from_arrays(F.transform("_rows", lambda x: x["y"]), F.transform("_rows", lambda x: x["w"]))
-    filled = by_mask.withColumn("_known", known).withColumn("widths", F.transform(F.sequence("_y0", "_y1"), lambda y: F.coalesce(F.try_element_at("_known", y), F.lit(0))))
+    # The map is built once, not for each row.
+    widths = profile.let(known, lambda known: F.transform(F.sequence("_y0", "_y1"), lambda y: F.coalesce(F.try_element_at(known, y), F.lit(0))))
+    filled = by_mask.withColumn("widths", widths)
     trimmed = filled.withColumn("_body", profile.trim_taper(profile.smooth(F.col("widths"))))
     inside = F.filter("_rows", lambda x: (x["y"] >= F.col("_y0") + F.col("_body.first")) & (x["y"] <= F.col("_y0") + F.col("_body.last")))
     best = F.array_sort(F.transform(inside, lambda x: F.struct((-x["w"]).alias("w"), x["y"].alias("y"), F.floor((x["x0"] + x["x1"] - 1) / 2).alias("cx"))))

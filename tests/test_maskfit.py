@@ -146,3 +146,35 @@ def test_text_area(spark):
     masks = spark.createDataFrame(runs, "page_id string, mask_id int, y int, x0 int, x1 int")
     rows = {r["y"]: (r["x0"], r["x1"]) for r in maskfit.text_area(masks).collect()}
     assert rows == {y: (13, 147) for y in range(23, 87)}
+
+
+def test_long_text_in_two_lobes_is_not_tried_at_every_word(spark, monkeypatch):
+    shape, asked = SHAPES["two"], []
+    wide = [shape[y][1] - shape[y][0] - 1 for y in sorted(shape)]
+    zone = maskfit._Shape.zone
+    monkeypatch.setattr(maskfit._Shape, "zone", lambda *given: asked.append(1) or zone(*given))
+    top, bottom = min(shape), max(shape)
+    for n in (40, 5000):
+        units = [units_ for units_ in (600, 1500, 2400, 900) for _ in range(n // 4)]
+        asked.clear()
+        found = maskfit._fitted(units, wide, (top, top), bottom, 95, 1000, 1200, True, 24, 8, 1.15, 300)
+        assert len(asked) < 120 and (found is None) == (n == 5000)
+    # the ways that are left are those of all that the middles of both lobes hold, in the same order
+    random = Random(5)
+    for _ in range(200):
+        text = maskfit._Text([random.randint(0, 9) * 100 for _ in range(random.randint(2, 12))], 300)
+        n, lines, limit = len(text.units), random.randint(0, 3), random.randint(0, 2500)
+
+        def held(words):
+            count, used = 0, None
+            for w in words:
+                if w > limit:
+                    return False
+                if used is None or used + 300 + w > limit:
+                    count, used = count + 1, w
+                else:
+                    used += 300 + w
+            return count <= lines
+
+        assert text.reach(lines, limit) == max(k for k in range(n + 1) if held(text.units[:k]))
+        assert text.reach_back(lines, limit) == min(k for k in range(n + 1) if held(text.units[k:]))
