@@ -611,7 +611,8 @@ def split_fused(masks: DataFrame, seeds: DataFrame) -> DataFrame:
     widths, first = F.when(by_row, F.col("rows")).otherwise(F.col("columns")), F.when(by_row, F.col("top")).otherwise(F.col("left"))
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, w: n + w)
     ahead, behind = F.slice(widths, F.lit(1), F.col("open") - first), F.slice(widths, F.col("close") - first + 1, F.size(widths))
-    both = (F.least(total(ahead), total(behind)) >= total(widths) * LEAST_PART) & F.col("axis").isNotNull()
+    named = F.col("page_id").isNotNull() & F.col("mask_id").isNotNull()  # a mask without a name stays whole
+    both = (F.least(total(ahead), total(behind)) >= total(widths) * LEAST_PART) & F.col("axis").isNotNull() & named
     side = F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(None).cast("int")))).alias("side")
     each = placed.select(*KEY, "part", "runs", "axis", "open", "close", side).select(*KEY, "part", "axis", "open", "close", "side", F.inline("runs"))
     # An undivided mask's side is null: it keeps all of its rows and columns.

@@ -224,3 +224,12 @@ def test_split_fused_in_one_pass(spark, monkeypatch):
     moved = splitting.split_fused(twice, points.withColumns({"cx": F.col("cx") - 300, "cy": F.col("cy") - 400}))
     found = parts_of(moved.withColumns({"y": F.col("y") + 400, "x0": F.col("x0") + 300, "x1": F.col("x1") + 300}), SHAPE)
     assert found.keys() == plain.keys() and all((found[k] == v).all() for k, v in plain.items())
+
+
+def test_masks_without_a_name_stay_whole(spark):
+    tall = np.zeros(SHAPE, bool)
+    tall[10:60, 20:120], tall[60:70, 50:90], tall[70:130, 25:110] = True, True, True
+    given = spark.createDataFrame(rows_of(None, 1, tall) + rows_of("p", None, tall) + rows_of("p", 1, tall), RUNS)
+    found = parts_of(splitting.split_fused(given, spark.createDataFrame([], SEEDS)), SHAPE)
+    assert found.keys() == {(None, 1, ""), ("p", None, ""), ("p", 1, "0"), ("p", 1, "1")}
+    assert (found[None, 1, ""] == tall).all() and (found["p", None, ""] == tall).all()
