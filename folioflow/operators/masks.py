@@ -20,6 +20,7 @@ from folioflow.functions import geometry as g
 from folioflow.functions import profile
 from folioflow.operators import rounds
 from folioflow.operators import runs as r
+from folioflow.operators.runs import steps
 
 #: The share of the smaller mask from which an overlap is taken off the larger, the one from which it
 #: counts as a copy, and what a part must keep of its mask, as a share and in pixels.
@@ -349,15 +350,97 @@ def neighbour_runs(masks: DataFrame, by: int = 3, page: str = "page_id", sizes:
     return r.rows(r.union_bands(others.select(page, "mask_id", "y0", "y1", "x0", "x1"), [page, "mask_id"]))
 
 
-def neighbour_areas(masks: DataFrame, by: int = 3, page: str = "page_id", sizes: DataFrame | None = None) -> DataFrame:
-    """The ``area`` of what ``neighbour_runs`` gives for each mask, where there is any: all that is covered less what the mask alone covers."""
-    size = F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")).cast("long"))
-    alone = F.when(F.col("cover") == 1, F.col("who"))
-    parts = _cover(masks, by, page, sizes).groupBy(page, alone.alias("number")).agg(size.alias("part"))
-    every = parts.groupBy(page).agg(F.sum("part").alias("every"))
-    ids = masks.select(page, "mask_id").distinct().join(_numbered(masks, by, page, sizes), [page, "mask_id"], "left")
-    found = ids.join(every, page).join(parts.where("number is not null"), [page, "number"], "left")
-    return found.select(page, "mask_id", (F.col("every") - F.coalesce("part", F.lit(0))).alias("area")).where("area > 0")
+#: Runs, of bands cut at each other's ends, that are looked at together.
+MOST_RUNS = 1 << 21
+
+
+def _grown(band: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bands (rows ``y0, y1, x0, x1``) grown by a round kernel as bands that share no pixel, and the number of the band each comes from."""
+    off = np.arange(by + 1)
+    wide = np.rint(np.sqrt(by * by - off * off)).astype(np.int64)
+    y0, y1, x0, x1 = band
+    high = int(np.flatnonzero(wide == wide[0])[-1])  # rows beyond the middle that are as wide
+    parts = [(y0 - high, y1 + high, wide[0])]
+    for d in range(high + 1, by + 1):
+        parts += [(y0 - d, y0 - d + 1, wide[d]), (y1 + d - 1, y1 + d, wide[d])]
+    return np.concatenate([np.stack([a, b, x0 - w, x1 + w]) for a, b, w in parts], axis=1), np.tile(np.arange(len(y0)), len(parts))
+
+
+def covered_areas(pages: np.ndarray, masks: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels that the masks of each page cover, and those that each mask covers alone; pages and masks are counted from 0."""
+    every, alone = np.zeros(int(pages.max(initial=-1)) + 1, np.int64), np.zeros(int(masks.max(initial=-1)) + 1, np.int64)
+    low = int(band[0].min(initial=0))
+    height = int(band[1].max(initial=0)) - low + 1
+    cuts, place = np.unique(np.concatenate([pages * height + band[0] - low, pages * height + band[1] - low]), return_inverse=True)
+    first, last = np.split(place, 2)
+    # Bands cut at the ends of all bands of their page; so many cuts at a time that their runs stay few.
+    held = np.cumsum(np.cumsum(np.bincount(first, minlength=len(cuts)) - np.bincount(last, minlength=len(cuts))))
+    start = 0
+    while start < len(cuts):
+        end = max(int(np.searchsorted(held, (held[start - 1] if start else 0) + MOST_RUNS, "right")), start + 1)
+        here = np.flatnonzero((first < end) & (last > start))
+        own, cut = steps(np.maximum(first[here], start), np.minimum(last[here], end) - np.maximum(first[here], start))
+        own, start = here[own], end
+        if not len(own):
+            continue
+        mask, x0, x1 = masks[own], band[2][own], band[3][own]
+        order = r.sorted_by(cut, mask, x0)  # each mask's runs become disjoint
+        cut, mask, x0, x1 = cut[order], mask[order], x0[order], x1[order]
+        other = np.r_[True, (cut[1:] != cut[:-1]) | (mask[1:] != mask[:-1])]
+        room = int(x1.max() - x0.min()) + 1
+        shift = np.cumsum(other) * room
+        reach = np.maximum.accumulate(x1 + shift) - shift
+        opens = np.flatnonzero(other | np.r_[True, x0[1:] > reach[:-1]])
+        cut, mask, x0, x1 = cut[opens], mask[opens], x0[opens], reach[np.r_[opens[1:], len(reach)] - 1]
+        cut, x, sign, mask = np.tile(cut, 2), np.r_[x0, x1], np.repeat([1, -1], len(x0)), np.tile(mask, 2)
+        order = r.sorted_by(cut, x)
+        cut, x, sign, mask = cut[order], x[order], sign[order], mask[order]
+        cover, who = np.cumsum(sign)[:-1], np.cumsum(sign * mask)[:-1]  # nothing covers the place behind a cut's last run
+        area = np.where(cover > 0, x[1:] - x[:-1], 0) * (cuts[np.minimum(cut[:-1] + 1, len(cuts) - 1)] - cuts[cut[:-1]])
+        every += _summed(cuts[cut[:-1]] // height, area, len(every))
+        alone += _summed(who[cover == 1], area[cover == 1], len(alone))
+    return every, alone
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, weights=values, minlength=n).astype(np.int64)
+
+
+def neighbour_areas(masks: DataFrame, by: int = 3, page: str = "page_id", sizes: DataFrame | tuple[int, int] | None = None) -> DataFrame:
+    """The ``area`` of what ``neighbour_runs`` gives for each mask, where there is any: all that is covered less what the mask alone covers.
+
+    Takes runs or bands; ``sizes`` may be the width and height of all pages. Masks
+    without an id are left out. Pages come in batches, each page whole; the pixels they
+    share are counted on their bands.
+    """
+    given = r.as_bands(masks).select(page, "mask_id", "y0", "y1", "x0", "x1").where("mask_id is not null and y0 < y1 and x0 < x1")
+    if isinstance(sizes, DataFrame):
+        given = given.join(sizes.select(page, "width", "height"), page)
+    elif sizes is not None:
+        given = given.withColumns({"width": F.lit(sizes[0]), "height": F.lit(sizes[1])})
+    ended = sizes is not None
+
+    def areas(batch: pa.RecordBatch) -> pa.RecordBatch:
+        opens = r.changes(batch.column(0))
+        named = opens | r.changes(batch.column(1))
+        pages, names = np.cumsum(opens) - 1, np.cumsum(named) - 1
+        band = np.stack([batch.column(c).to_numpy() for c in ("y0", "y1", "x0", "x1")]).astype(np.int64).reshape(4, -1)
+        grown, own = _grown(band, by)
+        if ended:
+            ends = [batch.column(c).to_numpy()[own] for c in ("height", "width")]
+            for i in (0, 1):
+                grown[2 * i], grown[2 * i + 1] = np.maximum(grown[2 * i], 0), np.minimum(grown[2 * i + 1], ends[i])
+        kept = (grown[0] < grown[1]) & (grown[2] < grown[3])
+        every, alone = (np.zeros(n, np.int64) for n in (opens.sum(), named.sum()))
+        for whole, part in zip((every, alone), covered_areas(pages[own[kept]], names[own[kept]], grown[:, kept])):
+            whole[: len(part)] = part
+        first = np.flatnonzero(named)
+        area = every[pages[first]] - alone
+        rows = pa.array(first[area > 0])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(area[area > 0])], names=[page, "mask_id", "area"])
+
+    kinds = dict(given.dtypes)
+    return r.page_by_page(given, page, ["mask_id"], areas, f"{page} {kinds[page]}, mask_id {kinds['mask_id']}, area long")
 
 
 def swallows(before: Column, after: Column, others: Column, least: float = 0.5, growth: float = 0.3) -> Column:

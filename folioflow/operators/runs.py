@@ -6,12 +6,18 @@ overlap test.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.operators import rounds
+
 
 def from_boxes(boxes: DataFrame, page: str = "page_id", mask: str = "mask_id") -> DataFrame:
     """The runs of filled boxes."""
@@ -101,6 +107,64 @@ def as_bands(masks: DataFrame) -> DataFrame:
     return masks if "y" not in masks.columns else masks.withColumns({"y0": F.col("y"), "y1": F.col("y") + 1}).drop("y")
 
 
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value of a column without nulls differs from the one before; the first one does."""
+    if not len(column):
+        return np.zeros(0, bool)
+    return np.r_[True, pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)]
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew so that no value of it lies in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = changes(batch.column(0))
+        if held and batch.num_rows:
+            starts[0] = held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py()
+        if starts.any():
+            last = int(np.flatnonzero(starts)[-1])
+            whole = [*held, *([batch.slice(0, last)] if last else [])]
+            if whole:
+                yield pa.concat_batches(whole)
+            held = []
+            batch = batch.slice(last)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def page_by_page(found: DataFrame, page: str, order: list, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``each`` gives for batches of whole pages; ``found`` is dealt out and sorted by page, then ``order``.
+
+    Rows without a page are left out.
+    """
+    rows = rounds.spread(found.select(page, *(c for c in found.columns if c != page)).where(F.col(page).isNotNull()), page).sortWithinPartitions(page, *order)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(each, _whole_pages(batches))
+
+    return rows.mapInArrow(pages, schema)
+
+
+def sorted_by(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by whole numbers, the first key counting most; one sort of a packed key where that fits."""
+    packed, room = np.zeros(len(keys[0]), np.int64), 1
+    for key in keys:
+        low = int(key.min(initial=0))
+        size = int(key.max(initial=0)) - low + 1
+        room *= size
+        if room >= 1 << 62:
+            return np.lexsort(keys[::-1])
+        packed = packed * size + (key - low)
+    return np.argsort(packed)
+
+
+def steps(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` numbers from ``first`` on, for each row: the row and the number."""
+    return np.repeat(np.arange(len(n)), n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def points_in(points: DataFrame, masks: DataFrame, page: str = "page_id") -> DataFrame:
     """Points (``cx, cy``) with each run or band of ``masks`` that holds them: they meet by page and tile."""
     held = tiled(as_bands(masks))
