@@ -1,7 +1,7 @@
 """Mask shape operators on runs ``page, mask_id, y, x0, x1`` (half-open).
 
 Growing, shrinking, neighbours and bodies are joins, windows and grouping by
-page and row. The subtraction of overlaps goes page by page, on the pixels of its
+page and row. The subtraction of overlaps goes page by page, on cells or pixels of its
 masks, or in rounds of these. Connected parts are found by mask, on arrays of its runs.
 Pages end where their size is given; else nothing is set beyond the runs.
 """
@@ -27,6 +27,8 @@ from folioflow.operators.runs import steps
 PARTIAL, COPY, LEAST_SHARE, LEAST_PART = 0.25, 0.8, 0.15, 300
 #: Pixels in the boxes of a page's masks up to which the page is cut in one task.
 MOST_PIXELS = 1 << 26
+#: Bands up to which a page is cut on its cells, and cells that are held together.
+MOST_BANDS, MOST_CELLS = 24, 1 << 21
 
 
 def _cut_to_pages(found: DataFrame, sizes: DataFrame | None, page: str) -> DataFrame:
@@ -174,29 +176,40 @@ def largest_parts(parts: DataFrame, n: int, page: str = "page_id") -> DataFrame:
 
 
 def subtract_overlaps(masks: DataFrame, page: str = "page_id") -> DataFrame:
-    """Masks of a page without what a smaller one that overlaps them in part covers.
+    """The runs of ``subtracted``."""
+    return r.rows(subtracted(masks, page)).select(page, "mask_id", "y", "x0", "x1")
+
+
+def subtracted(masks: DataFrame, page: str = "page_id") -> DataFrame:
+    """Masks of a page without what a smaller one that overlaps them in part covers, as bands that share no pixel.
 
     From the smallest mask on (of equal ones the first), each takes its pixels off every
     larger one that holds ``PARTIAL`` to ``COPY`` of it. Of what is left only parts with
     ``LEAST_SHARE`` of the mask's first area and ``LEAST_PART`` pixels stay; a mask
     without any goes. Takes runs or bands.
 
-    Pages whose masks' boxes hold up to ``MOST_PIXELS`` are done one after another on
-    the pixels of their masks; larger ones go in rounds.
+    Pages of up to ``MOST_BANDS`` bands are cut many at a time, on the cells between the
+    ends of their bands; others whose masks' boxes hold up to ``MOST_PIXELS`` one after
+    another on the pixels of their masks; larger ones go in rounds.
     """
-    given = r.as_bands(masks).select(page, "mask_id", "y0", "y1", "x0", "x1")
+    given = r.as_bands(masks).select(page, "mask_id", "y0", "y1", "x0", "x1").where("y0 < y1 and x0 < x1")
+    # A page's bands, each as large as their common box, hold at least the pixels of its masks' boxes: few pages need a closer look.
+    most = F.count("*") * (F.max("y1") - F.min("y0")).cast("long") * (F.max("x1") - F.min("x0"))
+    vast = given.groupBy(page).agg(most.alias("n")).where(F.col("n") > MOST_PIXELS).select(page)
+    if vast.isEmpty():
+        return _subtracted_by_page(given, page)
     boxes = given.groupBy(page, "mask_id").agg(((F.max("y1") - F.min("y0")).cast("long") * (F.max("x1") - F.min("x0"))).alias("n"))
     large = boxes.groupBy(page).agg(F.sum("n").alias("n")).where(F.col("n") > MOST_PIXELS).select(page)
     if large.isEmpty():
         return _subtracted_by_page(given, page)
     large = rounds.written(large, "large")
-    small = _subtracted_by_page(given.join(large, page, "left_anti"), page)
-    return small.unionByName(_subtracted_in_rounds(r.rows(given.join(large, page, "left_semi")), page))
+    same = given[page].eqNullSafe(large[page])
+    small = _subtracted_by_page(given.join(large, same, "left_anti"), page)
+    return small.unionByName(r.as_bands(_subtracted_in_rounds(r.rows(given.join(large, same, "left_semi")), page)))
 
 
-def _painted(flat: list[int]) -> tuple[np.ndarray, int, int]:
-    """Pixels of bands in their box, and its corner."""
-    band = np.asarray(flat, dtype=np.int64).reshape(-1, 4)
+def _painted(band: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Pixels of bands (one a row) in their box, and its corner."""
     top, left = int(band[:, 0].min()), int(band[:, 2].min())
     grid = np.zeros((int(band[:, 1].max()) - top, int(band[:, 3].max()) - left), bool)
     for y0, y1, x0, x1 in (band - [top, top, left, left]).tolist():
@@ -242,30 +255,119 @@ def _cut_page(found: list[tuple]) -> list[tuple]:
     return [(m[0], grid, m[2], m[3]) for m, grid, n in zip(found, grids, area) if n]
 
 
+def _ends(pages: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of bands' ends among all ends of their page, and these as a table: a row a page, filled up with the last."""
+    least = int(low.min())
+    room = int(high.max()) - least + 1
+    cuts, place = np.unique(np.concatenate([pages * room + low - least, pages * room + high - least]), return_inverse=True)
+    page = cuts // room
+    start = np.searchsorted(page, np.arange(n))
+    at = np.arange(len(cuts)) - start[page]
+    table = np.full((n, int(at.max()) + 1), least)
+    table[page, at] = cuts % room + least
+    first, last = np.split(place - start[np.tile(pages, 2)], 2)
+    return first, last, np.maximum.accumulate(table, axis=1)
+
+
+def _large_cells(grid: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Of each grid of cells, the connected parts of ``least`` pixels, corners joined: the largest label spreads until none changes."""
+    n, high, wide = grid.shape
+    label = np.zeros((n, high + 2, wide + 2), np.int32)
+    label[:, 1:-1, 1:-1] = grid * np.arange(1, high * wide + 1, dtype=np.int32).reshape(high, wide)
+    todo = np.arange(n)
+    while len(todo):
+        here = label[todo]
+        near = np.maximum(np.maximum(here[:, :-2], here[:, 1:-1]), here[:, 2:])
+        near = np.maximum(np.maximum(near[:, :, :-2], near[:, :, 1:-1]), near[:, :, 2:]) * grid[todo]
+        spread = (near != here[:, 1:-1, 1:-1]).any(axis=(1, 2))
+        todo = todo[spread]
+        label[todo, 1:-1, 1:-1] = near[spread]
+    own = label[:, 1:-1, 1:-1] + np.arange(n)[:, None, None] * (high * wide + 1)
+    whole = np.bincount(own.ravel(), weights=size.ravel())
+    return grid & (whole[own] >= least[:, None, None])
+
+
+def _cut_pages(pages: np.ndarray, masks: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``subtracted`` on pages with the same number of masks, both counted from 0: the page, mask and bands of what is left.
+
+    A page's bands cut its plane into cells, which each mask holds whole or not at all, before and after each cut.
+    """
+    n, count = int(pages[-1]) + 1, int(masks.max()) + 1
+    (ya, yb, ys), (xa, xb, xs) = _ends(pages, band[0], band[1], n), _ends(pages, band[2], band[3], n)
+    corners = np.zeros((n, count, ys.shape[1], xs.shape[1]), np.int32)
+    for y, x, step in ((ya, xa, 1), (yb, xb, 1), (ya, xb, -1), (yb, xa, -1)):
+        np.add.at(corners, (pages, masks, y, x), step)
+    grid = corners.cumsum(axis=2).cumsum(axis=3)[:, :, :-1, :-1] > 0
+    size = np.diff(ys)[:, :, None] * np.diff(xs)[:, None]
+    area = (grid * size[:, None]).sum(axis=(2, 3))
+    order = np.argsort(area, axis=1, kind="stable")
+    grid, area = np.take_along_axis(grid, order[:, :, None, None], 1), np.take_along_axis(area, order, 1)
+    least = np.maximum(np.floor(area * LEAST_SHARE).astype(np.int64), LEAST_PART)
+    cells = grid.reshape(n, count, -1).astype(np.float64)
+    common = (cells * size.reshape(n, 1, -1)) @ cells.transpose(0, 2, 1)  # of each two masks
+    for i in range(count):
+        for j in range(count):
+            own, shared = area[:, i], common[:, i, j]
+            hit = np.flatnonzero((own > 0) & (area[:, j] > own) & (shared >= PARTIAL * own) & (shared < COPY * own))
+            if len(hit):
+                left = _large_cells(grid[hit, j] & ~grid[hit, i], size[hit], least[hit, j])
+                grid[hit, j] = left
+                area[hit, j] = (left * size[hit]).sum(axis=(1, 2))
+                common[hit, j] = common[hit, :, j] = ((grid[hit] & left[:, None]) * size[hit, None]).sum(axis=(2, 3))
+    # Equal rows of cells that follow each other are one band.
+    opens = np.concatenate([np.ones_like(grid[:, :, :1, 0]), (grid[:, :, 1:] != grid[:, :, :-1]).any(axis=3)], axis=2)
+    page, mask, top = np.nonzero(opens)
+    bottom = np.r_[top[1:], 0]
+    bottom[np.r_[(page[1:] != page[:-1]) | (mask[1:] != mask[:-1]), True]] = grid.shape[2]
+    row, left, right = _runs_of(grid[opens])
+    page, mask, top, bottom = page[row], mask[row], top[row], bottom[row]
+    return page, order[page, mask], np.stack([ys[page, top], ys[page, bottom], xs[page, left], xs[page, right]])
+
+
+def _cut_on_pixels(masks: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``subtracted`` on one page: the mask and bands of what is left."""
+    names, out = [np.empty(0, np.int64)], [np.empty((4, 0), np.int64)]
+    parts = np.split(band.T, np.flatnonzero(np.diff(masks)) + 1)
+    for name, grid, top, left in _cut_page([(k, *_painted(part)) for k, part in enumerate(parts)]):
+        starts = np.flatnonzero(np.r_[True, (grid[1:] != grid[:-1]).any(axis=1)])
+        row, x0, x1 = _runs_of(grid[starts])
+        ends = np.r_[starts[1:], len(grid)]
+        out.append(np.stack([starts[row] + top, ends[row] + top, x0 + left, x1 + left]))
+        names.append(np.full(len(row), name))
+    return np.concatenate(names), np.concatenate(out, axis=1)
+
+
 def _subtracted_by_page(given: DataFrame, page: str) -> DataFrame:
-    """``subtract_overlaps``, each page at once: its masks lie in one row as arrays of bands."""
-    flat = F.flatten(F.collect_list(F.array("y0", "y1", "x0", "x1"))).alias("flat")
-    lists = rounds.spread(given, page).groupBy(page, "mask_id").agg(flat).groupBy(page).agg(F.array_sort(F.collect_list(F.struct("mask_id", "flat"))).alias("masks"))
-    kinds = dict(given.dtypes)
+    """``subtracted``, batches of whole pages at a time."""
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        opens = r.changes(batch.column(0))
+        named = opens | r.changes(batch.column(1))
+        pages, first = np.cumsum(opens) - 1, np.flatnonzero(named)
+        starts = np.cumsum(named)[opens] - 1  # the number of each page's first mask
+        masks = np.cumsum(named) - 1 - starts[pages]
+        band = np.stack([batch.column(c).to_numpy() for c in ("y0", "y1", "x0", "x1")]).astype(np.int64).reshape(4, -1)
+        bands, count = np.bincount(pages), np.bincount(pages[first])
+        kind = np.where(bands > MOST_BANDS, -1 - np.arange(len(bands)), count * MOST_BANDS + bands // 4)  # pages of about the same size
+        names, out = [np.empty(0, np.int64)], [np.empty((4, 0), np.int64)]
+        rank = np.zeros(len(bands), np.int64)
+        for k in np.unique(kind).tolist():
+            alike = np.flatnonzero(kind == k)
+            each = max(MOST_CELLS // int(count[alike[0]] * 4 * bands[alike].max() ** 2), 1)
+            for some in np.split(alike, range(each, len(alike), each)):
+                rows = np.concatenate([np.arange(a, a + n) for a, n in zip(np.flatnonzero(opens)[some].tolist(), bands[some].tolist())])
+                rank[some] = np.arange(len(some))
+                if k < 0:
+                    where, (mask, left) = np.zeros(1, np.int64), _cut_on_pixels(masks[rows], band[:, rows])
+                else:
+                    where, mask, left = _cut_pages(rank[pages[rows]], masks[rows], band[:, rows])
+                names.append(first[starts[some][where] + mask])
+                out.append(left)
+        rows = pa.array(np.concatenate(names))
+        columns = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c) for c in np.concatenate(out, axis=1).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=[page, "mask_id", "y0", "y1", "x0", "x1"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where, names, out = [], [], []
-            for n, masks in enumerate(batch.column(1).to_pylist()):
-                for name, grid, top, left in _cut_page([(m["mask_id"], *_painted(m["flat"])) for m in masks]):
-                    starts = np.flatnonzero(np.r_[True, (grid[1:] != grid[:-1]).any(axis=1)])
-                    row, x0, x1 = _runs_of(grid[starts])
-                    ends = np.r_[starts[1:], len(grid)]
-                    out.append(np.stack([starts[row] + top, ends[row] + top, x0 + left, x1 + left]))
-                    where += [n] * len(row)
-                    names += [name] * len(row)
-            band = np.concatenate([*out, np.empty((4, 0), np.int64)], axis=1).astype(np.int32)
-            kind = batch.schema.field(1).type.value_type.field("mask_id").type
-            columns = [batch.column(0).take(pa.array(where, pa.int64())), pa.array(names, kind), *(pa.array(c) for c in band)]
-            yield pa.RecordBatch.from_arrays(columns, names=[page, "mask_id", "y0", "y1", "x0", "x1"])
-
-    schema = f"{page} {kinds[page]}, mask_id {kinds['mask_id']}, y0 int, y1 int, x0 int, x1 int"
-    return r.rows(lists.mapInArrow(cut, schema))
+    kinds = dict(given.dtypes)
+    return r.page_by_page(given, page, ["mask_id"], cut, f"{page} {kinds[page]}, mask_id {kinds['mask_id']}, y0 int, y1 int, x0 int, x1 int")
 
 
 def _subtracted_in_rounds(masks: DataFrame, page: str) -> DataFrame:
@@ -410,10 +512,10 @@ def neighbour_areas(masks: DataFrame, by: int = 3, page: str = "page_id", sizes:
     """The ``area`` of what ``neighbour_runs`` gives for each mask, where there is any: all that is covered less what the mask alone covers.
 
     Takes runs or bands; ``sizes`` may be the width and height of all pages. Masks
-    without an id are left out. Pages come in batches, each page whole; the pixels they
+    without an id or a page are left out. Pages come in batches, each page whole; the pixels they
     share are counted on their bands.
     """
-    given = r.as_bands(masks).select(page, "mask_id", "y0", "y1", "x0", "x1").where("mask_id is not null and y0 < y1 and x0 < x1")
+    given = r.as_bands(masks).select(page, "mask_id", "y0", "y1", "x0", "x1").where(F.col(page).isNotNull()).where("mask_id is not null and y0 < y1 and x0 < x1")
     if isinstance(sizes, DataFrame):
         given = given.join(sizes.select(page, "width", "height"), page)
     elif sizes is not None:

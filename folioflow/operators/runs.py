@@ -43,10 +43,10 @@ def bands_from_boxes(boxes: DataFrame, page: str = "page_id", mask: str = "mask_
 
 
 def measure(runs: DataFrame, page: str = "page_id", mask: str = "mask_id") -> DataFrame:
-    """Area and bounding box of each mask."""
-    return runs.groupBy(page, mask).agg(
-        F.sum(F.col("x1") - F.col("x0")).alias("area"), F.min("x0").alias("left"), F.min("y").alias("top"),
-        F.max("x1").alias("right"), (F.max("y") + 1).alias("bottom"),
+    """Area and bounding box of each mask, given as runs or as bands that share no pixel."""
+    return as_bands(runs).groupBy(page, mask).agg(
+        F.sum((F.col("y1") - F.col("y0")).cast("long") * (F.col("x1") - F.col("x0"))).alias("area"), F.min("x0").alias("left"), F.min("y0").alias("top"),
+        F.max("x1").alias("right"), F.max("y1").alias("bottom"),
     )
 
 
@@ -108,25 +108,33 @@ def as_bands(masks: DataFrame) -> DataFrame:
 
 
 def changes(column: pa.Array) -> np.ndarray:
-    """Whether each value of a column without nulls differs from the one before; the first one does."""
+    """Whether each value of a column differs from the one before, nulls being equal; the first one does."""
     if not len(column):
         return np.zeros(0, bool)
-    return np.r_[True, pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)]
+    here, before = column.slice(1), column.slice(0, len(column) - 1)
+    differs = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+    gone = column.is_null().to_numpy(zero_copy_only=False)
+    return np.r_[True, differs | (gone[1:] != gone[:-1])]
+
+
+#: Rows from which whole pages go on as a batch.
+BATCH = 1 << 15
 
 
 def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by their first column, cut anew so that no value of it lies in two."""
+    """Batches sorted by their first column, put together or cut so that no value of it lies in two."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         starts = changes(batch.column(0))
         if held and batch.num_rows:
             starts[0] = held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py()
-        if starts.any():
+        if starts.any():  # all before the last start is whole
             last = int(np.flatnonzero(starts)[-1])
-            whole = [*held, *([batch.slice(0, last)] if last else [])]
-            if whole:
-                yield pa.concat_batches(whole)
-            held = []
+            if last:
+                held.append(batch.slice(0, last))
+            if sum(b.num_rows for b in held) >= BATCH:
+                yield pa.concat_batches(held)
+                held = []
             batch = batch.slice(last)
         if batch.num_rows:
             held.append(batch)
@@ -135,11 +143,8 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def page_by_page(found: DataFrame, page: str, order: list, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``each`` gives for batches of whole pages; ``found`` is dealt out and sorted by page, then ``order``.
-
-    Rows without a page are left out.
-    """
-    rows = rounds.spread(found.select(page, *(c for c in found.columns if c != page)).where(F.col(page).isNotNull()), page).sortWithinPartitions(page, *order)
+    """What ``each`` gives for batches of whole pages; ``found`` is dealt out and sorted by page, then ``order``."""
+    rows = rounds.spread(found.select(page, *(c for c in found.columns if c != page)), page).sortWithinPartitions(page, *order)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(each, _whole_pages(batches))

@@ -122,9 +122,37 @@ def test_neighbour_areas_in_one_shuffle(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(masks.covered_areas(pages, names, band), whole))
 
 
-def test_batches_of_whole_pages():
+def test_batches_of_whole_pages(monkeypatch):
+    monkeypatch.setattr(runs, "BATCH", 1)
     rows = [("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5), ("c", 6), ("c", 7), ("d", 8)]
     for size in range(1, 9):
         batches = [pa.RecordBatch.from_pylist([{"p": p, "v": v} for p, v in rows[i : i + size]]) for i in range(0, 8, size)]
         found = [[tuple(r.values()) for r in b.to_pylist()] for b in runs._whole_pages(iter([batches[0].slice(0, 0), *batches]))]
         assert sum(found, []) == rows and all(a[-1][0] != b[0][0] for a, b in zip(found, found[1:]))
+    monkeypatch.setattr(runs, "BATCH", 4)
+    assert [b.num_rows for b in runs._whole_pages(iter(batches * 2))] == [7, 8, 1]
+
+
+def test_subtraction_on_cells(spark, monkeypatch):
+    """Pages of few bands are cut on cells, as on pixels, many at a time, and stay bands however tall."""
+    random, rows = Random(12), []
+    for page in [None, *range(60)]:
+        for mask in range(random.randint(1, 6)):
+            for _ in range(random.randint(1, 3)):
+                y, x = random.randint(-40, 40), random.randint(-40, 40)
+                rows.append((page, mask, y, y + random.randint(5, 70), x, x + random.randint(5, 70)))
+    given = spark.createDataFrame(rows, BANDS.replace("string", "int"))
+    moved = lambda df: painted(df.selectExpr("page_id", "mask_id", "y0 + 40 as y0", "y1 + 40 as y1", "x0 + 40 as x0", "x1 + 40 as x1"))
+    found = masks.subtracted(given)
+    assert shuffles(found) == 1
+    cells = moved(found)
+    monkeypatch.setattr(masks, "MOST_CELLS", 1)
+    few = moved(masks.subtracted(given))
+    monkeypatch.setattr(masks, "MOST_BANDS", 0)
+    pixels = moved(masks.subtracted(given))
+    assert cells.keys() == few.keys() == pixels.keys() and all((v == pixels[k]).all() and (v == few[k]).all() for k, v in cells.items())
+    before = moved(runs.union_bands(given.where("page_id is not null"), ["page_id", "mask_id"]))
+    assert any(k not in cells or (v != cells[k]).any() for k, v in before.items())
+    monkeypatch.undo()
+    tall = spark.createDataFrame([("a", 0, 0, 6400, 0, 20), ("a", 1, 3000, 8000, 10, 90)], BANDS)
+    assert sorted(map(tuple, masks.subtracted(tall).collect())) == [("a", 0, 0, 6400, 0, 20), ("a", 1, 3000, 6400, 20, 90), ("a", 1, 6400, 8000, 10, 90)]
