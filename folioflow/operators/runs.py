@@ -142,9 +142,13 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def page_by_page(found: DataFrame, page: str, order: list, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``each`` gives for batches of whole pages; ``found`` is dealt out and sorted by page, then ``order``."""
-    rows = rounds.spread(found.select(page, *(c for c in found.columns if c != page)), page).sortWithinPartitions(page, *order)
+def page_by_page(found: DataFrame, page: str, order: list, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, placed: bool = False) -> DataFrame:
+    """What ``each`` gives for batches of whole pages; ``found`` is dealt out and sorted by page, then ``order``.
+
+    ``placed``: it is dealt out by page already.
+    """
+    given = found.select(page, *(c for c in found.columns if c != page))
+    rows = (given if placed else rounds.spread(given, page)).sortWithinPartitions(page, *order)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(each, _whole_pages(batches))
@@ -232,6 +236,51 @@ def overlaps(a: DataFrame, b: DataFrame, page: str = "page_id", once: bool = Fal
     return flat.unionByName(curved)
 
 
+#: Rows of pairs of shapes that are compared together.
+MOST_ROWS = 1 << 20
+
+
+def shape_overlaps(boxes: DataFrame, row_of: Callable[..., tuple[np.ndarray, np.ndarray]], page: str = "page_id", placed: bool = False) -> DataFrame:
+    """Common area of each two shapes of a page that meet, in rising order of their ids: ``page, a_mask, b_mask, common``.
+
+    A shape fills its box ``bbox`` with one run a row, which ``row_of`` gives (NumPy:
+    ``x1, y1, x2, y2, y`` to ``x0, x1``); it may be empty. No shape becomes rows of a
+    table: pages come in batches, shapes meet by their boxes, and the rows both have
+    are compared, so many pairs at a time that their rows stay few. Shapes without a
+    page or an id meet none. ``placed``: the boxes are dealt out by page already.
+    """
+    names = ("x1", "y1", "x2", "y2")
+    given = boxes.select(page, "mask_id", *(F.col(f"bbox.{c}").alias(c) for c in names)).where("x2 > x1 and y2 > y1 and mask_id is not null").where(F.col(page).isNotNull())
+
+    def met(batch: pa.RecordBatch) -> pa.RecordBatch:
+        opens = changes(batch.column(0))
+        left, top, right, bottom = (batch.column(c).to_numpy().astype(np.int64) for c in names)
+        end = np.r_[np.flatnonzero(opens)[1:], len(opens)][np.cumsum(opens) - 1]  # of each shape's page
+        pairs = np.cumsum(end - np.arange(len(end)) - 1)  # with the shapes behind it
+        found, start = [(np.empty(0, np.int64),) * 3], 0
+        while start < len(end):
+            stop = max(int(np.searchsorted(pairs, (pairs[start - 1] if start else 0) + MOST_ROWS, "right")), start + 1)
+            some = np.arange(start, stop)
+            i, b = steps(some + 1, end[some] - some - 1)
+            a, start = some[i], stop
+            near = (top[a] < bottom[b]) & (top[b] < bottom[a]) & (left[a] < right[b]) & (left[b] < right[a])
+            a, b = a[near], b[near]
+            low, high = np.maximum(top[a], top[b]), np.minimum(bottom[a], bottom[b])
+            tall = np.cumsum(high - low)
+            for few in np.split(np.arange(len(a)), np.searchsorted(tall, np.arange(MOST_ROWS, tall[-1] if len(tall) else 0, MOST_ROWS))):
+                pair, y = steps(low[few], high[few] - low[few])
+                (a0, a1), (b0, b1) = (row_of(*(c[side[few]][pair] for c in (left, top, right, bottom)), y) for side in (a, b))
+                common = np.bincount(pair, weights=np.maximum(np.minimum(a1, b1) - np.maximum(a0, b0), 0), minlength=len(few)).astype(np.int64)
+                share = common > 0
+                found.append((a[few][share], b[few][share], common[share]))
+        first, second, common = (np.concatenate(c) for c in zip(*found))
+        columns = [batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)), batch.column(1).take(pa.array(second)), pa.array(common)]
+        return pa.RecordBatch.from_arrays(columns, names=[page, "a_mask", "b_mask", "common"])
+
+    kinds = dict(given.dtypes)
+    return page_by_page(given, page, ["mask_id"], met, f"{page} {kinds[page]}, a_mask {kinds['mask_id']}, b_mask {kinds['mask_id']}, common long", placed)
+
+
 def difference(a: DataFrame, b: DataFrame, page: str = "page_id") -> DataFrame:
     """Runs of ``a`` without what ``b`` covers on the page."""
     cover = union(b.select(page, "y", "x0", "x1"), [page]).groupBy(page, "y").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("cut"))

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import geometry as g
 from folioflow.operators import masks, runs
+from folioflow.plans import shapes
 
 BANDS = "page_id string, mask_id int, y0 int, y1 int, x0 int, x1 int"
 
@@ -156,3 +158,24 @@ def test_subtraction_on_cells(spark, monkeypatch):
     monkeypatch.undo()
     tall = spark.createDataFrame([("a", 0, 0, 6400, 0, 20), ("a", 1, 3000, 8000, 10, 90)], BANDS)
     assert sorted(map(tuple, masks.subtracted(tall).collect())) == [("a", 0, 0, 6400, 0, 20), ("a", 1, 3000, 6400, 20, 90), ("a", 1, 6400, 8000, 10, 90)]
+
+
+def test_overlaps_of_shapes(spark, monkeypatch):
+    """Ovals meet without becoming rows of a table: the rows read are their boxes, and the result is that of their runs."""
+    random, rows = Random(21), []
+    for page in range(40):
+        for mask in range(random.randint(1, 9)):
+            y, x = random.randint(-30, 60), random.randint(-30, 60)
+            rows.append((page, f"m{mask}", x, y, x + random.randint(0, 70), y + random.randint(0, 70)))
+    rows += [(None, "m", 0, 0, 50, 50), (None, "n", 0, 0, 50, 50), (1, None, 0, 0, 50, 50), (1, "q", None, 0, 50, 50)]
+    boxes = spark.createDataFrame(rows, "page_id int, mask_id string, a int, b int, c int, d int").select("page_id", "mask_id", g.box(*map(F.col, "abcd")).alias("bbox"))
+    ovals = shapes.ellipses(boxes.where("page_id is not null and mask_id is not null"))
+    same_rows = lambda df: sorted(map(tuple, df.select("page_id", "a_mask", "b_mask", "common").collect()))
+    expected = same_rows(runs.overlaps(ovals, ovals, once=True))
+    found = runs.shape_overlaps(boxes, shapes.ellipse_rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(found) == 1 and "Generate" not in plan and "Join" not in plan
+    assert len(expected) > 100 and same_rows(found) == expected
+    assert same_rows(runs.shape_overlaps(boxes.repartition("page_id"), shapes.ellipse_rows, placed=True)) == expected
+    monkeypatch.setattr(runs, "MOST_ROWS", 7)
+    assert same_rows(runs.shape_overlaps(boxes, shapes.ellipse_rows)) == expected
