@@ -126,31 +126,41 @@ def close(masks: DataFrame, by: int, page: str = "page_id", sizes: DataFrame | N
 
 
 def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corners: bool = True) -> np.ndarray:
-    """The part of each run, from 0 in order of first appearance by (y, x0); runs are sorted and disjoint."""
-    parent = list(range(len(y)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    reach = int(corners)
-    rows = np.searchsorted(y, np.arange(y[0], y[-1] + 2)).tolist() if len(y) else []
-    x0, x1 = x0.tolist(), x1.tolist()  # plain numbers are read faster one by one
-    for row in range(1, len(rows) - 1):
-        above, here, end = rows[row - 1], rows[row], rows[row + 1]
-        i = above
-        for j in range(here, end):
-            while i < here and x1[i] + reach <= x0[j]:  # left of this run and of all that follow
-                i += 1
-            k = i
-            while k < here and x0[k] < x1[j] + reach:
-                a, b = root(k), root(j)
-                parent[max(a, b)] = min(a, b)
-                k += 1
-    roots = np.asarray([root(i) for i in range(len(y))], dtype=np.int64)
-    return np.unique(roots, return_inverse=True)[1] if len(roots) else roots
+    """The part of each run, from 0 in order of first appearance by (y, x0); runs are sorted and disjoint.
+
+    Each run hangs on the first it touches in the row above; runs that touch several join what hangs on these.
+    """
+    if not len(y):
+        return np.zeros(0, np.int64)
+    reach, low = int(corners), int(x0.min())
+    wide = int(x1.max()) - low + 3  # so that no place beside a row's ends lies in another row
+    row = y.astype(np.int64) * wide + 1 - low
+    first = np.searchsorted(row + x1, row + (x0 - wide - reach), "right")
+    above = np.searchsorted(row + x0, row + (x1 - wide + reach), "left") - first
+    parent = np.where(above > 0, first, np.arange(len(y)))
+    while True:
+        higher = parent[parent]
+        if (higher == parent).all():
+            break
+        parent = higher
+    joins = np.flatnonzero(above > 1)
+    if len(joins):
+        own = {k: k for k in np.flatnonzero(above <= 0).tolist()}
+
+        def root(k):
+            while own[k] != k:
+                own[k] = own[own[k]]
+                k = own[k]
+            return k
+
+        pair, other = r.steps(first[joins] + 1, above[joins] - 1)
+        for a, b in zip(parent[joins[pair]].tolist(), parent[other].tolist()):
+            a, b = root(a), root(b)
+            own[max(a, b)] = min(a, b)
+        final = np.arange(len(y))
+        final[list(own)] = [root(k) for k in own]
+        parent = final[parent]
+    return np.cumsum(parent == np.arange(len(y)))[parent] - 1
 
 
 def components(masks: DataFrame, corners: bool = True, page: str = "page_id") -> DataFrame:

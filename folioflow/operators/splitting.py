@@ -8,7 +8,7 @@ parts grow back. A mask without two seeds, or where both fail, is cut at its wai
 Spark deals the masks out and gathers each one's runs and seeds into a row of arrays;
 what needs its outline or pixels (hull, cuts, components, growing back, margins) then
 goes mask by mask in one pass over the Arrow batches of a task, and no table is kept in
-between. Waists are found by built-in functions over width profiles.
+between. Waists are found on the width profiles of all masks of a batch at once.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions import profile
 from folioflow.operators import masks as m
 from folioflow.operators import rounds
 from folioflow.operators import runs as r
@@ -31,8 +30,10 @@ from folioflow.operators import runs as r
 LEAST_DEPTH, LEAST_DEPTH_SHARE, DEEPEST, CUT_REACH = 8.0, 0.05, 6, 1.5
 LEAST_PART, SEED_REACH, MOST_EROSIONS, LEAST_ERODED = 0.05, 20, 120, 150
 MARGIN, MARGIN_SHARE = 12, 0.03
-#: Fixed values of the waist: how far it falls below the lobes and below the median width, and the gap left open.
+#: Fixed values of the waist: how far it falls below the lobes and below the median width, and the gap left open; the
+#: ends where none is looked for; what a lobe must reach of the largest width, and over what share of the widths.
 DIP, BELOW_MEDIAN, GAP = 0.85, 0.90, 6
+MARGIN_WAIST, LOBE, LOBE_RUN = 0.15, 0.3, 0.08
 
 KEY = ["page_id", "mask_id"]
 RUN = ["y", "x0", "x1"]
@@ -43,17 +44,16 @@ def outer_points(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[np.ndarr
     first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
     rows, right, left = y[first], np.maximum.reduceat(x1, first) - 1, np.minimum.reduceat(x0, first)
     low, high = int(x0.min()), int(x1.max())
-    none = int(y[0]) - 1
-    top, bottom = np.full(high - low, none), np.full(high - low, none)
-    runs = list(zip(y.tolist(), (x0 - low).tolist(), (x1 - low).tolist()))
-    for row, a, b in runs:
-        bottom[a:b] = row
-    for row, a, b in reversed(runs):
-        top[a:b] = row
-    columns = np.flatnonzero(bottom > none)
+    top, high_ = int(y[0]), int(y[-1] - y[0]) + 1
+    steps = np.zeros((high - low + 1, high_), np.int32)  # a row a column of the mask
+    np.add.at(steps, (x0 - low, y - top), 1)
+    np.add.at(steps, (x1 - low, y - top), -1)
+    held = np.cumsum(steps, axis=0)[:-1] > 0
+    columns = np.flatnonzero(held.any(axis=1))
+    upper, lower = held.argmax(axis=1)[columns] + top, top + high_ - 1 - held[:, ::-1].argmax(axis=1)[columns]
     return [
         np.stack([right, rows], 1), np.stack([left, rows], 1),
-        np.stack([columns + low, bottom[columns]], 1), np.stack([columns + low, top[columns]], 1),
+        np.stack([columns + low, lower], 1), np.stack([columns + low, upper], 1),
     ]
 
 
@@ -64,12 +64,13 @@ def hull_chain(t: np.ndarray, v: np.ndarray) -> np.ndarray:
     so, all at once, before the others are looked at one by one.
     """
     at = np.arange(len(t))
-    for _ in range(2):
-        if len(at) > 2:
-            p, w = t[at], v[at]
-            kept = np.ones(len(at), bool)
-            kept[1:-1] = (p[1:-1] - p[:-2]) * (w[2:] - w[:-2]) < (w[1:-1] - w[:-2]) * (p[2:] - p[:-2])
-            at = at[kept]
+    while len(at) > 2:
+        p, w = t[at], v[at]
+        kept = np.ones(len(at), bool)
+        kept[1:-1] = (p[1:-1] - p[:-2]) * (w[2:] - w[:-2]) < (w[1:-1] - w[:-2]) * (p[2:] - p[:-2])
+        at = at[kept]
+        if len(at) * 8 > len(p) * 7:  # few go: the rest one by one
+            break
     p, w = t[at].tolist(), v[at].tolist()
     chain: list[int] = []
     for i in range(len(p)):
@@ -238,12 +239,27 @@ def _labelled_runs(grid: np.ndarray, top: int, left: int) -> tuple[np.ndarray, R
     return flat[starts], (row + top, starts - shift, ends - shift)
 
 
+#: The shorter side of a grid up to which distances are counted by erosions.
+EROSIONS = 512
+
+
 def distance(grid: np.ndarray) -> np.ndarray:
-    """Steps, diagonal ones included, from each set pixel to the nearest unset one: two passes over the rows.
+    """Steps, diagonal ones included, from each set pixel to the nearest unset one; the grid's edge must be unset.
 
-    The grid's edge must be unset. In a row the smallest of d[k] + |x - k| is a running
-    minimum of d[k] - k from the left and of d[k] + k from the right.
+    A pixel is as far as the number of times that the pixels beside unset ones can go
+    before it goes. Very large grids, where that takes many times, go in two passes over
+    their rows: in a row the smallest of d[k] + |x - k| is a running minimum of d[k] - k
+    from the left and of d[k] + k from the right.
     """
+    if min(grid.shape) <= EROSIONS:
+        d = grid.astype(np.int64)
+        left, i = grid, 0
+        while left.any():
+            i += 1
+            left = left[:-2] & left[1:-1] & left[2:]
+            left = left[:, :-2] & left[:, 1:-1] & left[:, 2:]
+            d[i : len(d) - i, i : d.shape[1] - i] += left
+        return d
     far = sum(grid.shape)
     d = np.where(grid, far, 0)
     place = np.arange(grid.shape[1])
@@ -410,12 +426,21 @@ def taken_apart(runs: Runs, seeds: list[Seed]) -> Parts | None:
 
 def merged_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Runs:
     """Sorted runs without empty ones; those of a row that overlap or touch are one."""
-    order = np.lexsort((x0, y))
+    return merged_by(np.zeros(len(y), np.int64), y, x0, x1)[1]
+
+
+def merged_by(at: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, Runs]:
+    """``merged_runs`` of many masks: each run's mask, and the runs."""
+    order = r.sorted_by(at, y, x0)
     order = order[x0[order] < x1[order]]
-    runs = y[order], x0[order], x1[order]
-    if ((runs[0][1:] == runs[0][:-1]) & (runs[1][1:] <= runs[2][:-1])).any():
-        return grid_runs(*as_grid(*runs))
-    return runs
+    at, y, x0, x1 = at[order], y[order], x0[order], x1[order]
+    if not len(y):
+        return at, (y, x0, x1)
+    other = np.r_[True, (at[1:] != at[:-1]) | (y[1:] != y[:-1])]
+    shift = np.cumsum(other) * (int(x1.max() - x0.min()) + 1)
+    reach = np.maximum.accumulate(x1 + shift) - shift  # of the runs of a row up to each
+    opens = np.flatnonzero(other | np.r_[True, x0[1:] > reach[:-1]])
+    return at[opens], (y[opens], x0[opens], reach[np.r_[opens[1:], len(reach)] - 1])
 
 
 def gathered(masks: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -441,44 +466,129 @@ def _seeds(found: list[dict] | None) -> list[Seed]:
     return [(s["number"], s["x"], s["y"], s["cx"], s["cy"]) for s in found]
 
 
-def _profiles(runs: Runs) -> dict:
-    """Pixels of each row and of each column of a mask's box, and its corner."""
-    grid, top, left = as_grid(*runs)
-    pixels = grid[1:-1, 1:-1]
-    return {"top": top + 1, "left": left + 1, "rows": pixels.sum(axis=1), "columns": pixels.sum(axis=0)}
+#: First row or column of each mask, where its widths begin, how many there are, and the widths of all.
+Profile = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def width_profiles(at: np.ndarray, runs: Runs) -> tuple[Profile, Profile]:
+    """Pixels of each row and of each column of masks' boxes; ``at`` counts the masks from 0, each has runs."""
+    (y, x0, x1), edge = runs, np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    top, left = y[edge], np.minimum.reduceat(x0, edge)
+    high, wide = y[np.r_[edge[1:], len(y)] - 1] + 1 - top, np.maximum.reduceat(x1, edge) - left
+    start = np.cumsum(high) - high
+    rows = np.bincount(start[at] + y - top[at], weights=x1 - x0, minlength=int(high.sum())).astype(np.int64)
+    place = np.cumsum(wide + 1) - wide - 1  # one place more, behind the last column
+    count = lambda x: np.bincount(place[at] + x - left[at], minlength=int((wide + 1).sum()))
+    columns = np.delete(np.cumsum(count(x0) - count(x1)), place + wide)
+    return (top, start, high, rows), (left, place - np.arange(len(place)), wide, columns)
+
+
+def waists(start: np.ndarray, n: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sharpness (width to the largest one) and index of the waist of each mask's widths, smoothed; infinity if there is none.
+
+    ``profile.waist`` on many masks at once, with a waist below the median width.
+    """
+    own = np.repeat(np.arange(len(n)), n)
+    i, sums = np.arange(len(widths)) - start[own], np.r_[0, np.cumsum(widths)]
+    low, high = np.maximum(i - 3, 0), np.minimum(i + 3, n[own] - 1)
+    w = np.rint((sums[start[own] + high + 1] - sums[start[own] + low]) / (high - low + 1)).astype(np.int64)
+    margin, far = np.floor(n * MARGIN_WAIST).astype(np.int64), int(w.max()) + len(w)
+    inner = (i >= margin[own]) & (i < (n - margin)[own])
+    least = np.minimum.reduceat(np.where(inner, w, far), start)
+    place = np.minimum.reduceat(np.where(inner & (w == least[own]), i, far), start)
+    most, wide = np.maximum.reduceat(w, start), w >= least[own] / DIP
+    count = np.cumsum(wide)
+    run = count - np.maximum.accumulate(np.where(wide, np.where(i == 0, count - 1, 0), count))
+    sound = (n >= 20) & (least > 0)
+    for side in (i < place[own], i > place[own]):
+        peak, longest = (np.maximum.reduceat(np.where(side, v, -1), start) for v in (w, run))
+        sound &= (peak >= LOBE * most) & (longest >= np.maximum(3, np.floor(n * LOBE_RUN)))
+    rising, filled = w[r.sorted_by(own, w)], np.add.reduceat((w > 0).astype(np.int64), start)
+    middle = [rising[start + n - filled + np.maximum(filled - k, 0) // 2 - (filled == 0)] for k in (1, 0)]
+    sound &= least <= (middle[0] + middle[1]) / 2 * BELOW_MEDIAN
+    return np.where(sound, least / np.maximum(most, 1), np.inf), place
+
+
+def halved(at: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, Runs]:
+    """Masks cut at their waist: which are, and the mask, side (0 or 1) and runs of their halves.
+
+    ``at`` counts the masks from 0, each has runs, merged. Of two waists the sharper
+    counts, of equally sharp ones the row's. Both halves keep ``LEAST_PART`` of the mask.
+    """
+    y, x0, x1 = runs
+    (top, *rows), (left, *columns) = width_profiles(at, runs)
+    (row, row_at), (column, column_at) = waists(*rows), waists(*columns)
+    by_row = row <= column
+    n, place, first = np.where(by_row, rows[1], columns[1]), np.where(by_row, row_at, column_at), np.where(by_row, top, left)
+    half = np.maximum(GAP, np.floor(n * MARGIN_SHARE).astype(np.int64)) // 2
+    opens, closes, across = (first + np.maximum(place - half, 0))[at], (first + np.minimum(place + half, n))[at], by_row[at]
+    halves = [
+        (np.where(across, y < opens, True), x0, np.where(across, x1, np.minimum(x1, opens))),
+        (np.where(across, y >= closes, True), np.where(across, x0, np.maximum(x0, closes)), x1),
+    ]
+    size = lambda kept, a, b: np.bincount(at, weights=np.where(kept & (a < b), b - a, 0), minlength=len(n))
+    least = size(True, x0, x1) * LEAST_PART
+    cut = np.isfinite(np.minimum(row, column)) & np.all([size(*half) >= least for half in halves], axis=0)
+    kept = [np.flatnonzero(keep & (a < b) & cut[at]) for keep, a, b in halves]
+    side = np.repeat([0, 1], [len(k) for k in kept])
+    found = tuple(np.concatenate([c[k] for c, k in zip(columns_, kept)]) for columns_ in ((y, y), (halves[0][1], halves[1][1]), (halves[0][2], halves[1][2])))
+    return cut, at[np.concatenate(kept)], side, found
 
 
 PARTS = "part string, runs array<struct<y:int,x0:int,x1:int>>"
-#: Of a mask that is one part: its corner and its width profiles, for the waist.
-PROFILES = {"top": pa.int32(), "left": pa.int32(), "rows": pa.list_(pa.int32()), "columns": pa.list_(pa.int32())}
 
 
-def _by_mask(rows: DataFrame, found: Callable[[Runs, dict], list[tuple[str | None, Runs]]]) -> DataFrame:
-    """A row for each part that ``found`` gives for a mask's runs and its other columns: ``page_id, mask_id, part, runs``,
-    and the width profiles of the part ''."""
+def _by_mask(rows: DataFrame, found: Callable[[Runs, dict], list[tuple[str | None, Runs]]], halve: bool = False) -> DataFrame:
+    """A row for each part that ``found`` gives for a mask's runs and its other columns: ``page_id, mask_id, part, runs``.
+
+    ``halve``: the part '' of a mask with a name is cut at its waist, if it has one.
+    """
     kinds = dict(rows.dtypes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("runs")
             flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 3), lists.offsets.to_numpy() // 3
+            flat, ends = flat[ends[0] : ends[-1]], ends - ends[0]
+            mask, merged = merged_by(np.repeat(np.arange(batch.num_rows), np.diff(ends)), *flat.T)
+            ends = np.searchsorted(mask, np.arange(batch.num_rows + 1))
             others = batch.select([c for c in batch.schema.names if c not in (*KEY, "runs")]).to_pylist()
             at, names, runs = [], [], []
             for i in range(batch.num_rows):
-                for name, own in found(merged_runs(*flat[ends[i] : ends[i + 1]].T), others[i] if others else {}):
+                for name, own in found(tuple(c[ends[i] : ends[i + 1]] for c in merged), others[i] if others else {}):
                     at.append(i)
                     names.append(name)
                     runs.append(own)
+            if halve:
+                at, names, runs = _halve([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in KEY], at, names, runs)
             y, x0, x1 = (np.concatenate([own[c] for own in runs] or [np.empty(0, np.int64)]).astype(np.int32) for c in range(3))
             offsets = np.concatenate([[0], np.cumsum([len(own[0]) for own in runs])]).astype(np.int32)
             held = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in (y, x0, x1)], names=RUN))
             kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in KEY]
-            wholes = [_profiles(own) if name == "" and len(own[0]) else {} for name, own in zip(names, runs)]
-            wide = [pa.array([p.get(c) for p in wholes], kind) for c, kind in PROFILES.items()]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), held, *wide], names=[*KEY, "part", "runs", *PROFILES])
-
-    profiles = "top int, left int, rows array<int>, columns array<int>"
-    return rows.mapInArrow(each, f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, {PARTS}, {profiles}")
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), held], names=[*KEY, "part", "runs"])
+
+    return rows.mapInArrow(each, f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, {PARTS}")
+
+
+def _halve(named: list[np.ndarray], at: list, names: list, runs: list) -> tuple[list, list, list]:
+    """Parts with their row and name; those named '' of masks with a name in halves, if they have a waist."""
+    whole = [k for k, name in enumerate(names) if name == "" and len(runs[k][0]) and all(c[at[k]] for c in named)]
+    if not whole:
+        return at, names, runs
+    lengths = [len(runs[k][0]) for k in whole]
+    cut, mask, side, halves = halved(np.repeat(np.arange(len(whole)), lengths), tuple(np.concatenate([runs[k][c] for k in whole]) for c in range(3)))
+    # Halves come by side, each mask's runs in one piece.
+    edges = [np.searchsorted(mask[side == part], np.arange(len(whole) + 1)) + (part and int((side == 0).sum())) for part in (0, 1)]
+    gone = {whole[k] for k in np.flatnonzero(cut).tolist()}
+    kept = [k for k in range(len(names)) if k not in gone]
+    at, names, runs, before = [at[k] for k in kept], [names[k] for k in kept], [runs[k] for k in kept], at
+    for k in np.flatnonzero(cut).tolist():
+        for part in (0, 1):
+            here = slice(edges[part][k], edges[part][k + 1])
+            at.append(before[whole[k]])
+            names.append(str(part))
+            runs.append(tuple(c[here] for c in halves))
+    return at, names, runs
 
 
 def _ways(masks: DataFrame, seeds: DataFrame, way: Callable) -> tuple[DataFrame, DataFrame]:
@@ -530,96 +640,58 @@ def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
     return _by_mask(rows, found).select(*KEY, "part", F.inline("runs"))
 
 
-def width_profiles(merged: DataFrame) -> DataFrame:
-    """Pixels of each row and of each column of a mask's box: ``page_id, mask_id, top, left, rows, columns``; runs are merged."""
-    at = lambda known, k: F.coalesce(F.try_element_at(known, k), F.lit(0)).cast("int")
-    filled = lambda pairs, first, last: profile.let(F.map_from_entries(pairs), lambda known: F.transform(F.sequence(first, last), lambda k: at(known, k)))
-    by_row = merged.groupBy(*KEY, "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("w"))
-    rows = by_row.groupBy(*KEY).agg(F.min("y").alias("top"), F.max("y").alias("_end"), F.collect_list(F.struct("y", "w")).alias("_rows"))
-    rows = rows.select(*KEY, "top", filled(F.col("_rows"), F.col("top"), F.col("_end")).alias("rows"))
-    # Columns change at the ends of runs only.
-    end = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step"))))
-    steps = merged.select(*KEY, end.alias("e")).groupBy(*KEY, F.col("e.x").alias("x")).agg(F.sum("e.step").alias("step"))
-    along = Window.partitionBy(*KEY).orderBy("x")
-    spans = steps.withColumns({"n": F.sum("step").over(along).cast("int"), "next": F.lead("x").over(along)}).where("next is not null")
-    each = spans.groupBy(*KEY).agg(F.min("x").alias("left"), F.array_sort(F.collect_list(F.struct("x", "next", "n"))).alias("s"))
-    columns = each.select(*KEY, "left", F.flatten(F.transform("s", lambda s: F.array_repeat(s["n"], s["next"] - s["x"]))).alias("columns"))
-    return rows.join(columns, KEY)
-
-
-def _narrow(widths: Column) -> Column:
-    """Index and sharpness (width to the largest one) of a waist of smoothed widths; null if there is none."""
-    filled = F.array_sort(F.filter(widths, lambda w: w > 0))
-    middle = lambda w: (F.get(w, F.floor((F.size(w) - 1) / 2).cast("int")) + F.get(w, F.floor(F.size(w) / 2).cast("int"))) / 2
-
-    def sharp(at):
-        wide = F.get(widths, at)
-        return F.when(wide <= profile.let(filled, middle) * BELOW_MEDIAN, F.struct((wide / F.array_max(widths)).alias("ratio"), at.alias("at")))
-
-    return profile.let(profile.waist(widths, F.lit(0), dip=DIP), sharp)
-
-
-def _placed(found: DataFrame) -> DataFrame:
-    """Rows with width profiles (``top, left, rows, columns``) and the waist: ``axis``, ``open`` and ``close``, null without one."""
-    found = found.withColumns({"_r": profile.smooth(F.col("rows")), "_c": profile.smooth(F.col("columns"))})
-    found = found.withColumns({"_row": _narrow(F.col("_r")), "_column": _narrow(F.col("_c"))})
-    row = F.col("_column").isNull() | F.coalesce(F.col("_row.ratio") <= F.col("_column.ratio"), F.lit(False))
-    chosen = found.withColumn("axis", F.when(F.col("_row").isNotNull() | F.col("_column").isNotNull(), F.when(row, "row").otherwise("column")))
-    pick = lambda a, b: F.when(F.col("axis") == "row", a).otherwise(b)
-    n, at = pick(F.size("rows"), F.size("columns")), pick(F.col("_row.at"), F.col("_column.at"))
-    half = F.floor(F.greatest(F.lit(GAP), F.floor(n * MARGIN_SHARE)) / 2)
-    first = pick(F.col("top"), F.col("left"))
-    ends = {"open": (first + F.greatest(at - half, F.lit(0))).cast("int"), "close": (first + F.least(at + half, n)).cast("int")}
-    return chosen.withColumns(ends).drop("_r", "_c", "_row", "_column")
-
-
-def waists(masks: DataFrame, merged: bool = False) -> DataFrame:
-    """Where each mask with a waist is cut: ``page_id, mask_id, axis`` (``row`` or ``column``), and the pixels left open,
-    ``open`` to ``close`` (exclusive). Of two waists the sharper counts, of equally sharp ones the row's. ``merged``: the
-    runs are merged already."""
-    found = rounds.spread(width_profiles(r.union(masks.select(*KEY, *RUN), KEY) if not merged else masks), *KEY)
-    return _placed(found).where("axis is not null").select(*KEY, "axis", "open", "close")
+#: Rows of masks that are looked at together.
+MOST_ROWS = 1 << 20
+
+
+def waist_bands(masks: DataFrame) -> DataFrame:
+    """The two parts, ``0`` and ``1``, of each mask with a waist that leaves both ``LEAST_PART`` of it, as bands that share no pixel.
+
+    Takes runs or bands; masks without a name are left out. Pages come in batches,
+    whose masks are looked at together.
+    """
+    given = r.as_bands(masks).select(*KEY, "y0", "y1", "x0", "x1").where("page_id is not null and mask_id is not null and y0 < y1 and x0 < x1")
+
+    def parts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = np.flatnonzero(r.changes(batch.column(0)) | r.changes(batch.column(1)))
+        y0, y1, x0, x1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("y0", "y1", "x0", "x1"))
+        found = [(np.empty(0, np.int64),) * 6]
+        high = np.cumsum(np.add.reduceat(y1 - y0, first)) if len(first) else np.zeros(0, np.int64)
+        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(high // MOST_ROWS)) + 1):
+            if not len(some):
+                continue
+            low, end = first[some[0]], first[some[-1] + 1] if some[-1] + 1 < len(first) else len(y0)
+            row, y = r.steps(y0[low:end], (y1 - y0)[low:end])
+            at = np.searchsorted(first[some], np.arange(low, end), "right") - 1
+            _, at, side, (y, a, b) = halved(*merged_by(at[row], y, x0[low:end][row], x1[low:end][row]))
+            order = r.sorted_by(at, side, a, b, y)  # equal runs of successive rows are one band
+            at, side, y, a, b = at[order], side[order], y[order], a[order], b[order]
+            opens = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in (at, side, a, b)], axis=0) | (y[1:] != y[:-1] + 1)][: len(y)])
+            bottom = y[np.r_[opens[1:], len(y)][: len(opens)] - 1] + 1
+            found.append((first[some][at[opens]], side[opens], y[opens], bottom, a[opens], b[opens]))
+        rows, side, *band = (np.concatenate(c) for c in zip(*found))
+        kept = [batch.column(c).take(pa.array(rows)) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(side).cast(pa.string()), *(pa.array(c.astype(np.int32)) for c in band)], names=[*KEY, "part", "y0", "y1", "x0", "x1"])
+
+    kinds = dict(given.dtypes)
+    return r.page_by_page(given, "page_id", ["mask_id"], parts, f"page_id {kinds['page_id']}, mask_id {kinds['mask_id']}, part string, y0 int, y1 int, x0 int, x1 int")
 
 
 def waist_split(masks: DataFrame) -> DataFrame:
-    """The two parts, ``0`` and ``1``, of each mask with a waist that leaves both ``LEAST_PART`` of it."""
-    merged = r.union(masks.select(*KEY, *RUN), KEY).drop("run")
-    placed = merged.join(rounds.written(waists(merged, True), "waists"), KEY)  # read twice below
-    by_row = F.col("axis") == "row"
-    first = placed.withColumns({"part": F.lit("0"), "x1": F.when(by_row, F.col("x1")).otherwise(F.least("x1", "open"))}).where(~by_row | (F.col("y") < F.col("open")))
-    second = placed.withColumns({"part": F.lit("1"), "x0": F.when(by_row, F.col("x0")).otherwise(F.greatest("x0", "close"))}).where(~by_row | (F.col("y") >= F.col("close")))
-    halves = first.unionByName(second).where("x0 < x1").select(*KEY, "part", *RUN)
-    size = F.sum(F.col("x1") - F.col("x0"))
-    whole = merged.groupBy(*KEY).agg((size * LEAST_PART).alias("least"))
-    big = halves.groupBy(*KEY, "part").agg(size.alias("own")).join(whole, KEY).where("own >= least")
-    both = big.groupBy(*KEY).agg(F.count("*").alias("n")).where("n = 2")
-    return halves.join(both.select(*KEY), KEY, "left_semi")
+    """The runs of ``waist_bands``."""
+    return r.rows(waist_bands(masks)).select(*KEY, "part", *RUN)
 
 
 def split_fused(masks: DataFrame, seeds: DataFrame) -> DataFrame:
     """All masks, those of several balloons in parts: ``page_id, mask_id, part, y, x0, x1``; an undivided mask is part ``''``.
 
     Masks with several seeds are cut at concavities, else by erosion; what both leave
-    whole, and masks without several seeds, at a waist. Runs come out merged.
+    whole, and masks without several seeds, at a waist, unless they have no name. Runs
+    come out merged.
     """
     def found(runs, row):
         points = _seeds(row["seeds"])
         return (taken_apart(runs, points) if len(points) > 1 and len(runs[0]) else None) or [("", runs)]
 
-    placed = _placed(_by_mask(gathered(masks, seeds.select(*KEY, "seed", "cx", "cy")), found))
-    by_row = F.col("axis") == "row"
-    widths, first = F.when(by_row, F.col("rows")).otherwise(F.col("columns")), F.when(by_row, F.col("top")).otherwise(F.col("left"))
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, w: n + w)
-    ahead, behind = F.slice(widths, F.lit(1), F.col("open") - first), F.slice(widths, F.col("close") - first + 1, F.size(widths))
-    named = F.col("page_id").isNotNull() & F.col("mask_id").isNotNull()  # a mask without a name stays whole
-    both = (F.least(total(ahead), total(behind)) >= total(widths) * LEAST_PART) & F.col("axis").isNotNull() & named
-    side = F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(None).cast("int")))).alias("side")
-    each = placed.select(*KEY, "part", "runs", "axis", "open", "close", side).select(*KEY, "part", "axis", "open", "close", "side", F.inline("runs"))
-    # An undivided mask's side is null: it keeps all of its rows and columns.
-    here = F.when(F.col("side").isNull(), True).when(by_row, F.when(F.col("side") == 0, F.col("y") < F.col("open")).otherwise(F.col("y") >= F.col("close"))).otherwise(True)
-    across = lambda k: (F.col("side") == k) & ~by_row
-    ends = {
-        "part": F.coalesce(F.col("side").cast("string"), "part"),
-        "x0": F.when(across(1), F.greatest("x0", "close")).otherwise(F.col("x0")), "x1": F.when(across(0), F.least("x1", "open")).otherwise(F.col("x1")),
-    }
-    return each.where(here).withColumns(ends).where("x0 < x1").select(*KEY, "part", *RUN)
+    parts = _by_mask(gathered(masks, seeds.select(*KEY, "seed", "cx", "cy")), found, halve=True)
+    return parts.select(*KEY, "part", F.inline("runs"))

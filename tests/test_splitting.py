@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import profile
 from folioflow.operators import masks, rounds, splitting
 
 RUNS = "page_id string, mask_id int, y int, x0 int, x1 int"
@@ -233,3 +234,36 @@ def test_masks_without_a_name_stay_whole(spark):
     found = parts_of(splitting.split_fused(given, spark.createDataFrame([], SEEDS)), SHAPE)
     assert found.keys() == {(None, 1, ""), ("p", None, ""), ("p", 1, "0"), ("p", 1, "1")}
     assert (found[None, 1, ""] == tall).all() and (found["p", None, ""] == tall).all()
+
+
+def test_waists_of_many_masks(spark):
+    """As the built-in functions find them, mask by mask, but for those no narrower than most of the mask."""
+    random = Random(30)
+    lists = [[random.choice((0, 3, 9, 12, 40, 50)) + random.randint(0, 3) for _ in range(random.randint(1, 60))] for _ in range(150)]
+    lists += [[random.randint(20, 24)] * a + [random.randint(0, 20)] * b + [random.randint(15, 24)] * c for a, b, c in ((random.randint(1, 30), random.randint(1, 14), random.randint(1, 30)) for _ in range(250))]
+    n = np.array([len(w) for w in lists])
+    sharp, place = splitting.waists(np.cumsum(n) - n, n, np.concatenate(lists))
+    smooth = profile.smooth(F.col("w"))
+    at = profile.let(smooth, lambda w: profile.waist(w, F.lit(0), dip=splitting.DIP))
+    found = 0
+    for r in spark.createDataFrame(list(enumerate(lists)), "i int, w array<int>").select("i", smooth.alias("s"), at.alias("at")).collect():
+        low = r["at"] is not None and r["s"][r["at"]] <= np.median([w for w in r["s"] if w > 0]) * splitting.BELOW_MEDIAN
+        assert (np.isfinite(sharp[r["i"]])) == low, r
+        if low:
+            found += 1
+            assert place[r["i"]] == r["at"] and sharp[r["i"]] == r["s"][r["at"]] / max(r["s"])
+    assert 50 < found < 350
+
+
+def test_waists_of_bands(spark, monkeypatch):
+    """Bands stay bands, in one shuffle and without joins; a mask without a name is left out."""
+    bands = [(10, 60, 20, 120), (60, 70, 50, 90), (70, 130, 25, 110), (80, 90, 30, 60)]
+    given = spark.createDataFrame([(p, k, *b) for p, k in (("p", 1), ("p", 2), ("q", 1), (None, 1), ("p", None)) for b in bands], "page_id string, mask_id int, y0 int, y1 int, x0 int, x1 int")
+    found = splitting.waist_bands(given)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted((p, k, *b) for p, k in (("p", 1), ("p", 2), ("q", 1)) for b in (("0", 10, 60, 20, 120), ("1", 66, 70, 50, 90), ("1", 70, 130, 25, 110)))
+    monkeypatch.setattr(splitting, "MOST_ROWS", 100)
+    assert sorted(map(tuple, splitting.waist_bands(given).collect())) == got
+    assert splitting.waist_bands(given.limit(0)).count() == 0
