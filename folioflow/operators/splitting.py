@@ -7,8 +7,8 @@ parts grow back. A mask without two seeds, or where both fail, is cut at its wai
 
 Spark deals the masks out and gathers each one's runs and seeds into a row of arrays;
 what needs its outline or pixels (hull, cuts, components, growing back, margins) then
-goes mask by mask in one pass over the Arrow batches of a task, and no table is kept in
-between. Waists are found on the width profiles of all masks of a batch at once.
+goes in one pass over the Arrow batches of a task, outlines of many masks together, and
+no table is kept in between. Waists are found on the width profiles of all masks of a batch at once.
 """
 
 from __future__ import annotations
@@ -39,79 +39,92 @@ KEY = ["page_id", "mask_id"]
 RUN = ["y", "x0", "x1"]
 
 
-def outer_points(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[np.ndarray]:
-    """The outline as four chains of points (x, y): right and left ends of rows, bottom and top ends of columns; runs are sorted."""
-    first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-    rows, right, left = y[first], np.maximum.reduceat(x1, first) - 1, np.minimum.reduceat(x0, first)
-    low, high = int(x0.min()), int(x1.max())
-    top, high_ = int(y[0]), int(y[-1] - y[0]) + 1
-    steps = np.zeros((high - low + 1, high_), np.int32)  # a row a column of the mask
-    np.add.at(steps, (x0 - low, y - top), 1)
-    np.add.at(steps, (x1 - low, y - top), -1)
-    held = np.cumsum(steps, axis=0)[:-1] > 0
-    columns = np.flatnonzero(held.any(axis=1))
-    upper, lower = held.argmax(axis=1)[columns] + top, top + high_ - 1 - held[:, ::-1].argmax(axis=1)[columns]
-    return [
-        np.stack([right, rows], 1), np.stack([left, rows], 1),
-        np.stack([columns + low, lower], 1), np.stack([columns + low, upper], 1),
-    ]
-
-
-def hull_chain(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Indices of the upper hull of points that rise in ``t``: a monotone chain.
+def outer_points(at: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The outlines of masks as chains of points, four a mask: right and left ends of rows, bottom and top ends of columns.
 
-    A point on or below the line between its neighbours is none of the hull's; most go
-    so, all at once, before the others are looked at one by one.
+    ``at`` counts the masks from 0, each has runs, sorted. Gives each point's chain (four
+    times its mask and the number above), its place along the chain and how far out it lies.
+    """
+    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    low, high = np.minimum.reduceat(x0, edge), np.maximum.reduceat(x1, edge)
+    row = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (y[1:] != y[:-1])])
+    right, left = np.maximum.reduceat(x1, row) - 1, x0[row]
+    # A column begins and ends where the row above or below does not cover a run.
+    start, top = np.cumsum(high - low) - (high - low), y[edge]
+    line = y - top[at] + at * (int((y - top[at]).max()) + 3)  # rows of all masks, two free between them
+    upper, lower = (np.full(int((high - low).sum()), -1) for _ in range(2))
+    for ends, step in ((upper, 1), (lower, -1)):
+        own, (rows, a, b) = outside(at, (line, x0, x1), (line + step, x0, x1))
+        piece, x = r.steps(a - low[own] + start[own], b - a)
+        ends[x[::-step]] = rows[piece][::-step]  # the last to be set counts
+    column = np.flatnonzero(lower >= 0)
+    own = np.searchsorted(start, column, "right") - 1
+    shift = top[own] - own * (int((y - top[at]).max()) + 3)
+    x, upper, lower = column - start[own] + low[own], upper[column] + shift, lower[column] + shift
+    chain = np.r_[4 * at[row], 4 * at[row] + 1, 4 * own + 2, 4 * own + 3]
+    return chain, np.r_[y[row], y[row], x, x], np.r_[right, -left, lower, -upper]
+
+
+def hull_points(chain: np.ndarray, t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Indices of the upper hulls of chains of points that rise in ``t``.
+
+    A point on or below the line between its neighbours is none of the hull's; all such
+    go at once, until there are none.
     """
     at = np.arange(len(t))
-    while len(at) > 2:
-        p, w = t[at], v[at]
-        kept = np.ones(len(at), bool)
-        kept[1:-1] = (p[1:-1] - p[:-2]) * (w[2:] - w[:-2]) < (w[1:-1] - w[:-2]) * (p[2:] - p[:-2])
-        at = at[kept]
-        if len(at) * 8 > len(p) * 7:  # few go: the rest one by one
-            break
-    p, w = t[at].tolist(), v[at].tolist()
-    chain: list[int] = []
-    for i in range(len(p)):
-        while len(chain) > 1:
-            a, b = chain[-2], chain[-1]
-            if (p[b] - p[a]) * (w[i] - w[a]) < (w[b] - w[a]) * (p[i] - p[a]):
-                break
-            chain.pop()
-        chain.append(i)
-    return at[chain]
+    while True:
+        k, p, w = chain[at], t[at], v[at]
+        gone = np.zeros(len(at), bool)
+        gone[1:-1] = (k[2:] == k[:-2]) & ((p[1:-1] - p[:-2]) * (w[2:] - w[:-2]) >= (w[1:-1] - w[:-2]) * (p[2:] - p[:-2]))
+        if not gone.any():
+            return at
+        at = at[~gone]
 
 
-def concavities(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[tuple[float, int, int]]:
+#: Depth and place (x, y) of a concavity.
+Deep = tuple[float, int, int]
+
+
+def concavities(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[Deep]:
     """Depth and place (x, y) of the outline's concavities, the deepest first.
 
     Depth is the distance to the edge of the convex hull that spans the concavity. Of
     the points under one edge the deepest counts, the first by (y, x) if several do.
     """
-    if not len(y):
+    return concavities_of([(y, x0, x1)])[0] if len(y) else []
+
+
+def concavities_of(masks: list[Runs]) -> list[list[Deep]]:
+    """The concavities of each mask; none is empty."""
+    if not masks:
         return []
-    least = max(LEAST_DEPTH, LEAST_DEPTH_SHARE * max(y.max() - y.min() + 1, x1.max() - x0.min()))
-    found: dict[tuple, tuple] = {}
-    for k, points in enumerate(outer_points(y, x0, x1)):
-        if len(points) < 3:
-            continue
-        along, out = (1, 0) if k < 2 else (0, 1)  # rows run along y, columns along x
-        t, v = points[:, along], points[:, out] * (1 if k % 2 == 0 else -1)
-        hull = hull_chain(t, v)
-        ends, high = t[hull], v[hull]
-        dt, dv = ends[1:] - ends[:-1], high[1:] - high[:-1]
-        under = np.repeat(np.arange(len(dt)), hull[1:] - hull[:-1])  # the edge over each point but the last
-        start = hull[under]
-        depth = (dv[under] * (t[:-1] - t[start]) - dt[under] * (v[:-1] - v[start])) / np.hypot(dt, dv)[under]
-        peak = np.maximum.reduceat(depth, hull[:-1])
-        for i in np.flatnonzero((depth >= least) & (depth == peak[under])):
-            edge = tuple(sorted(tuple(points[hull[under[i] + n]].tolist()) for n in (0, 1)))
-            x, row = points[i].tolist()
-            rank = (-float(depth[i]), row, x)
-            if rank < found.get(edge, (0.0,)):
-                found[edge] = rank
-    return [(-d, x, row) for d, row, x in sorted(set(found.values()))]
+    at = np.repeat(np.arange(len(masks)), [len(own[0]) for own in masks])
+    runs = tuple(np.concatenate([own[c] for own in masks]) for c in range(3))
+    chain, t, v = outer_points(at, *runs)
+    order = r.sorted_by(chain, t)
+    chain, t, v = chain[order], t[order], v[order]
+    hull = hull_points(chain, t, v)
+    last = np.r_[chain[1:] != chain[:-1], True]
+    under = np.searchsorted(hull, np.arange(len(t)), "right") - 1  # the edge over each point but a chain's last
+    start, end = hull[under], hull[np.minimum(under + 1, len(hull) - 1)]
+    dt, dv = t[end] - t[start], v[end] - v[start]
+    depth = np.where(last, -1.0, (dv * (t - t[start]) - dt * (v - v[start])) / np.where(last, 1.0, np.hypot(dt, dv)))
+    peak = np.maximum.reduceat(depth, hull)
+    size = [max(int(y[-1] - y[0]) + 1, int(x1.max() - x0.min())) for y, x0, x1 in masks]
+    least = np.maximum(LEAST_DEPTH, LEAST_DEPTH_SHARE * np.asarray(size))
+    found: list[dict[tuple, tuple]] = [{} for _ in masks]
+
+    def place(i):
+        k, along, out = int(chain[i]) % 4, int(t[i]), int(v[i])
+        out = out if k % 2 == 0 else -out
+        return (out, along) if k < 2 else (along, out)
+
+    for i in np.flatnonzero((depth >= least[chain // 4]) & (depth == peak[under])).tolist():
+        edge, (x, row), own = tuple(sorted((place(start[i]), place(end[i])))), place(i), found[int(chain[i]) // 4]
+        rank = (-float(depth[i]), row, x)
+        if rank < own.get(edge, (0.0,)):
+            own[edge] = rank
+    return [[(-d, x, row) for d, row, x in sorted(set(own.values()))] for own in found]
 
 
 def segment_runs(p: tuple[int, int], q: tuple[int, int], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,13 +173,13 @@ def near_label(seed: Seed, label: np.ndarray, runs: Runs) -> int | None:
     return met.pop() if len(met) == 1 else None
 
 
-def best_cut(runs: Runs, seeds: list[Seed], least: float) -> tuple[Runs, list[tuple[int, Runs, list[Seed]]]] | None:
-    """The best cut of a part and its two halves, each with its label and its seeds, or None.
+def best_cut(runs: Runs, seeds: list[Seed], least: float, deep: list[Deep]) -> tuple[Runs, list[tuple[int, Runs, list[Seed]]]] | None:
+    """The best cut of a part between two of its concavities and its two halves, each with its label and its seeds, or None.
 
     Both halves keep ``least`` pixels and a seed; the shallower of the cut's two
     concavities is the deepest, of equal ones the first pair counts.
     """
-    deep = concavities(*runs)[:DEEPEST]
+    deep = deep[:DEEPEST]
     pairs = [(i, j) for i in range(len(deep)) for j in range(i + 1, len(deep))]
     for i, j in sorted(pairs, key=lambda p: -deep[p[1]][0]):  # the sort is stable
         line = segment_runs(deep[i][1:], deep[j][1:], CUT_REACH)
@@ -174,37 +187,48 @@ def best_cut(runs: Runs, seeds: list[Seed], least: float) -> tuple[Runs, list[tu
         if not len(y):
             continue
         label = m.label_runs(y, x0, x1, corners=False)
-        big = np.flatnonzero(np.bincount(label, weights=x1 - x0) >= least)
-        if len(big) != 2:
+        big = np.bincount(label, weights=x1 - x0) >= least
+        if np.count_nonzero(big) != 2:
             continue
-        kept = np.isin(label, big)
+        kept = big[label]
         label, halves = label[kept], (y[kept], x0[kept], x1[kept])
         held = [near_label(s, label, halves) for s in seeds]
         if None in held or len(set(held)) != 2:
             continue
-        own = [(k, label == k) for k in big.tolist()]
+        own = [(k, label == k) for k in np.flatnonzero(big).tolist()]
         return line, [(k, tuple(c[at] for c in halves), [s for s, h in zip(seeds, held) if h == k]) for k, at in own]
     return None
 
 
 Parts = list[tuple[str, Runs]]
+#: A mask's parts, and the cuts or borders between them; None if it stays whole.
+Apart = tuple[Parts, list[Runs]] | None
+
 
+def cut_masks(masks: list[tuple[Runs, list[Seed]]]) -> list[Apart]:
+    """Masks' parts, one for each seed, and their cuts; None if a part with several seeds has no cut.
 
-def cut_mask(runs: Runs, seeds: list[Seed]) -> tuple[Parts, list[Runs]] | None:
-    """A mask's parts, one for each seed, and its cuts; None if a part with several seeds has no cut."""
-    least, left, parts, lines = size_of(runs) * LEAST_PART, [("", runs, seeds)], [], []
+    All parts that are still to be cut are looked at together.
+    """
+    least = [size_of(runs) * LEAST_PART for runs, _ in masks]
+    done: list[Apart] = [([], []) for _ in masks]
+    left = [(k, "", runs, seeds) for k, (runs, seeds) in enumerate(masks)]
     while left:
-        part, own, held = left.pop()
-        found = best_cut(own, held, least)
-        if found is None:
-            return None
-        lines.append(found[0])
-        for label, half, inside in found[1]:
-            if len(inside) > 1:
-                left.append((f"{part}.{label}", half, inside))
-            else:
-                parts.append((f"{part}.{label}", half))
-    return parts, lines
+        deep = concavities_of([own for _, _, own, _ in left])
+        later = []
+        for (k, part, own, held), places in zip(left, deep):
+            found = best_cut(own, held, least[k], places) if done[k] else None
+            if found is None:
+                done[k] = None
+                continue
+            done[k][1].append(found[0])
+            for label, half, inside in found[1]:
+                if len(inside) > 1:
+                    later.append((k, f"{part}.{label}", half, inside))
+                else:
+                    done[k][0].append((f"{part}.{label}", half))
+        left = [open_ for open_ in later if done[open_[0]]]
+    return done
 
 
 def as_grid(y, x0, x1) -> tuple[np.ndarray, int, int]:
@@ -252,7 +276,7 @@ def distance(grid: np.ndarray) -> np.ndarray:
     from the left and of d[k] + k from the right.
     """
     if min(grid.shape) <= EROSIONS:
-        d = grid.astype(np.int64)
+        d = grid.astype(np.int32)
         left, i = grid, 0
         while left.any():
             i += 1
@@ -360,7 +384,7 @@ def grown(grid: np.ndarray, labels: np.ndarray, level: np.ndarray) -> np.ndarray
     return flat.reshape(grid.shape)
 
 
-def wear_mask(runs: Runs, seeds: list[Seed]) -> tuple[Parts, list[Runs]] | None:
+def wear_mask(runs: Runs, seeds: list[Seed]) -> Apart:
     """A mask's parts, one for each seed, and the inner borders between them; None if it does not fall apart when eroded."""
     grid, top, left = as_grid(*runs)
     d = distance(grid)
@@ -385,6 +409,10 @@ def wear_mask(runs: Runs, seeds: list[Seed]) -> tuple[Parts, list[Runs]] | None:
     return [(str(k), tuple(c[label == k] for c in found)) for k in np.unique(label).tolist()], [grid_runs(border, top, left)]
 
 
+def wear_masks(masks: list[tuple[Runs, list[Seed]]]) -> list[Apart]:
+    return [wear_mask(*own) for own in masks]
+
+
 def carved(runs: Runs, parts: Parts, lines: list[Runs]) -> Parts | None:
     """A mask's parts without a margin beside the cuts: within a round kernel of each of their pixels.
 
@@ -399,29 +427,49 @@ def carved(runs: Runs, parts: Parts, lines: list[Runs]) -> Parts | None:
     off = np.arange(-reach, reach + 1)
     half = np.rint(np.sqrt(reach * reach - off * off)).astype(np.int64)
     cy, c0, c1 = (np.concatenate([line[i] for line in lines]) for i in range(3))
+    if not len(cy):  # parts that never met
+        return parts
+    # Only the window around the cuts is looked at.
+    top, left = max(top, int(cy.min()) - reach), max(left, int(c0.min()) - reach)
+    high, wide = max(min(int(y.max()), int(cy.max()) + reach) - top + 1, 0), max(min(int(x1.max()), int(c1.max()) + reach) - left, 0)
     row = (cy[:, None] - top + off).reshape(-1)
     a, b = (np.clip(c, 0, wide).reshape(-1) for c in (c0[:, None] - left - half, c1[:, None] - left + half))
     inside = (row >= 0) & (row < high) & (a < b)
     at = row[inside] * (wide + 1)
     count = lambda ends: np.bincount(at + ends[inside], minlength=high * (wide + 1))
-    near = np.cumsum((count(a) - count(b)).reshape(high, wide + 1), axis=1)[:, :-1] > 0
-    labels = np.zeros((high, wide), np.int32)
-    for k, (_, (py, p0, p1)) in enumerate(parts, 1):
-        paint(labels, (py - top, p0 - left, p1 - left), k)
-    labels[near] = 0
-    label, found = _labelled_runs(labels, top, left)
-    final = [(name, tuple(c[label == k] for c in found)) for k, (name, _) in enumerate(parts, 1)]
+    near = grid_runs(np.cumsum((count(a) - count(b)).reshape(high, wide + 1), axis=1)[:, :-1] > 0, top, left)
+    part = np.repeat(np.arange(len(parts)), [len(own[0]) for _, own in parts])
+    label, found = outside(part, tuple(np.concatenate([own[c] for _, own in parts]) for c in range(3)), near)
+    ends = np.searchsorted(label, np.arange(len(parts) + 1))
+    final = [(name, tuple(c[ends[k] : ends[k + 1]] for c in found)) for k, (name, _) in enumerate(parts)]
     return final if all(len(own[0]) for _, own in final) else None
 
 
-def taken_apart(runs: Runs, seeds: list[Seed]) -> Parts | None:
-    """A mask's parts by seeds: cut at concavities, else by erosion; None if both leave it whole."""
-    for way in (cut_mask, wear_mask):
-        found = way(runs, seeds)
-        final = carved(runs, *found) if found else None
-        if final:
-            return final
-    return None
+def outside(at: np.ndarray, runs: Runs, near: Runs) -> tuple[np.ndarray, Runs]:
+    """What parts have outside ``near``, both sorted and merged: the part and the runs."""
+    (y, x0, x1), (row, a, b) = runs, near
+    if not len(row):
+        return at, runs
+    low = int(min(x0.min(), a.min()))
+    wide = int(max(x1.max(), b.max())) - low + 1
+    here, there = (y - y.min()) * wide - low, (row - y.min()) * wide - low
+    first, last = np.searchsorted(there + b, here + x0, "right"), np.searchsorted(there + a, here + x1, "left")
+    n = np.maximum(last - first, 0)  # so many of ``near`` meet a run: one piece more is left, some of them empty
+    own, k = r.steps(first, n + 1)
+    start = np.where(k == first[own], x0[own], b[np.maximum(k - 1, 0)])
+    end = np.where(k == first[own] + n[own], x1[own], a[np.minimum(k, len(a) - 1)])
+    kept = np.flatnonzero(start < end)
+    return at[own[kept]], (y[own[kept]], start[kept], end[kept])
+
+
+def taken_apart(masks: list[tuple[Runs, list[Seed]]]) -> list[Parts | None]:
+    """Masks' parts by seeds: cut at concavities, else by erosion; None if both leave a mask whole."""
+    final: list[Parts | None] = [None] * len(masks)
+    for way in (cut_masks, wear_masks):
+        left = [k for k, own in enumerate(final) if own is None]
+        for k, apart in zip(left, way([masks[k] for k in left])):
+            final[k] = carved(masks[k][0], *apart) if apart else None
+    return final
 
 
 def merged_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Runs:
@@ -535,11 +583,13 @@ def halved(at: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return cut, at[np.concatenate(kept)], side, found
 
 
+#: Masks whose outlines are looked at together.
+TOGETHER = 64
 PARTS = "part string, runs array<struct<y:int,x0:int,x1:int>>"
 
 
-def _by_mask(rows: DataFrame, found: Callable[[Runs, dict], list[tuple[str | None, Runs]]], halve: bool = False) -> DataFrame:
-    """A row for each part that ``found`` gives for a mask's runs and its other columns: ``page_id, mask_id, part, runs``.
+def _by_mask(rows: DataFrame, found: Callable[[list[tuple[Runs, dict]]], list[list[tuple[str | None, Runs]]]], halve: bool = False) -> DataFrame:
+    """A row for each part that ``found`` gives for masks' runs and other columns: ``page_id, mask_id, part, runs``.
 
     ``halve``: the part '' of a mask with a name is cut at its waist, if it has one.
     """
@@ -553,12 +603,14 @@ def _by_mask(rows: DataFrame, found: Callable[[Runs, dict], list[tuple[str | Non
             mask, merged = merged_by(np.repeat(np.arange(batch.num_rows), np.diff(ends)), *flat.T)
             ends = np.searchsorted(mask, np.arange(batch.num_rows + 1))
             others = batch.select([c for c in batch.schema.names if c not in (*KEY, "runs")]).to_pylist()
+            given = [(tuple(c[ends[i] : ends[i + 1]] for c in merged), others[i] if others else {}) for i in range(batch.num_rows)]
             at, names, runs = [], [], []
-            for i in range(batch.num_rows):
-                for name, own in found(tuple(c[ends[i] : ends[i + 1]] for c in merged), others[i] if others else {}):
-                    at.append(i)
-                    names.append(name)
-                    runs.append(own)
+            for start in range(0, len(given), TOGETHER):
+                for i, parts in enumerate(found(given[start : start + TOGETHER]), start):
+                    for name, own in parts:
+                        at.append(i)
+                        names.append(name)
+                        runs.append(own)
             if halve:
                 at, names, runs = _halve([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in KEY], at, names, runs)
             y, x0, x1 = (np.concatenate([own[c] for own in runs] or [np.empty(0, np.int64)]).astype(np.int32) for c in range(3))
@@ -591,12 +643,20 @@ def _halve(named: list[np.ndarray], at: list, names: list, runs: list) -> tuple[
     return at, names, runs
 
 
+def _with_seeds(rows: list[tuple[Runs, dict]]) -> dict[int, tuple[Runs, list[Seed]]]:
+    """Masks that have several seeds, by their places."""
+    points = [_seeds(row["seeds"]) for _, row in rows]
+    return {k: (runs, held) for k, ((runs, _), held) in enumerate(zip(rows, points)) if len(held) > 1 and len(runs[0])}
+
+
 def _ways(masks: DataFrame, seeds: DataFrame, way: Callable) -> tuple[DataFrame, DataFrame]:
     """Parts and cuts of the masks with several seeds, by ``way``."""
-    def found(runs, row):
-        points = _seeds(row["seeds"])
-        both = way(runs, points) if len(points) > 1 and len(runs[0]) else None
-        return [*both[0], *((None, line) for line in both[1])] if both else []
+    def found(rows):
+        parts = [[] for _ in rows]
+        several = _with_seeds(rows)
+        for k, both in zip(several, way(list(several.values()))):
+            parts[k] = [*both[0], *((None, line) for line in both[1])] if both else []
+        return parts
 
     rows = rounds.written(_by_mask(gathered(masks, seeds), found), "apart")
     parts = rows.where("part is not null").select(*KEY, "part", F.inline("runs"))
@@ -611,7 +671,7 @@ def cut_by_concavity(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     the shallower of its two concavities is the deepest. A mask with a part that no cut
     divides is left out.
     """
-    return _ways(masks, seeds, cut_mask)
+    return _ways(masks, seeds, cut_masks)
 
 
 def split_by_erosion(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -620,7 +680,7 @@ def split_by_erosion(masks: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     Each eroded part goes to one seed, nearest pairs first; a mask where one is left
     over is left out. The parts then grow back over the mask, from its middle outwards.
     """
-    return _ways(masks, seeds, wear_mask)
+    return _ways(masks, seeds, wear_masks)
 
 
 def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -634,8 +694,8 @@ def assembled(masks: DataFrame, parts: DataFrame, cuts: DataFrame) -> DataFrame:
     rows = gathered(masks).join(own, KEY).join(cuts.groupBy(*KEY).agg(flat.alias("cuts")), KEY)
     as_runs = lambda numbers: tuple(np.asarray(numbers, dtype=np.int64).reshape(-1, 3).T)
 
-    def found(runs, row):
-        return carved(runs, [(p["part"], merged_runs(*as_runs(p["r"]))) for p in row["parts"]], [as_runs(row["cuts"])]) or []
+    def found(rows):
+        return [carved(runs, [(p["part"], merged_runs(*as_runs(p["r"]))) for p in row["parts"]], [as_runs(row["cuts"])]) or [] for runs, row in rows]
 
     return _by_mask(rows, found).select(*KEY, "part", F.inline("runs"))
 
@@ -689,9 +749,10 @@ def split_fused(masks: DataFrame, seeds: DataFrame) -> DataFrame:
     whole, and masks without several seeds, at a waist, unless they have no name. Runs
     come out merged.
     """
-    def found(runs, row):
-        points = _seeds(row["seeds"])
-        return (taken_apart(runs, points) if len(points) > 1 and len(runs[0]) else None) or [("", runs)]
+    def found(rows):
+        several = _with_seeds(rows)
+        apart = dict(zip(several, taken_apart(list(several.values()))))
+        return [apart.get(k) or [("", runs)] for k, (runs, _) in enumerate(rows)]
 
     parts = _by_mask(gathered(masks, seeds.select(*KEY, "seed", "cx", "cy")), found, halve=True)
     return parts.select(*KEY, "part", F.inline("runs"))

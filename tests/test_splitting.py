@@ -267,3 +267,42 @@ def test_waists_of_bands(spark, monkeypatch):
     monkeypatch.setattr(splitting, "MOST_ROWS", 100)
     assert sorted(map(tuple, splitting.waist_bands(given).collect())) == got
     assert splitting.waist_bands(given.limit(0)).count() == 0
+
+
+def test_outlines_of_many_masks():
+    """Masks looked at together have the concavities of each alone; no loop over single runs."""
+    rng, given = np.random.default_rng(8), []
+    for _ in range(40):
+        grid = disc((220, 200), *[(*rng.integers(40, 160, 2), *rng.integers(20, 45, 2)) for _ in range(rng.integers(1, 5))])
+        grid[rng.integers(0, 150) :][:3] = False
+        if grid.any():
+            y, x0, x1 = splitting.grid_runs(grid, *rng.integers(-300, 300, 2))
+            given.append((y, x0, x1))
+    each = [splitting.concavities(*own) for own in given]
+    assert splitting.concavities_of(given) == each and sum(map(len, each)) > 50
+    for (y, x0, x1), found in zip(given, each):
+        columns = {x: [row for row, a, b in zip(y, x0, x1) if a <= x < b] for x in range(x0.min(), x1.max())}
+        chain, t, v = splitting.outer_points(np.zeros(len(y), int), y, x0, x1)
+        for k, pick in ((2, max), (3, min)):
+            assert dict(zip(t[chain == k].tolist(), (v if k == 2 else -v)[chain == k].tolist())) == {x: pick(rows) for x, rows in columns.items() if rows}
+        assert all(row in columns[x] for _, x, row in found)
+
+
+def test_pieces_outside():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        parts, near = rng.integers(0, 3, (8, 14)), rng.random((8, 14)) < rng.random()
+        runs = [splitting.grid_runs(parts == k, -3, 5) for k in (1, 2)]
+        at = np.repeat([0, 1], [len(own[0]) for own in runs])
+        if len(at):
+            label, found = splitting.outside(at, tuple(np.concatenate(c) for c in zip(*runs)), splitting.grid_runs(near, -3, 5))
+            for k in (1, 2):
+                assert all((a[label == k - 1] == b).all() for a, b in zip(found, splitting.grid_runs((parts == k) & ~near, -3, 5)))
+
+
+def test_parts_that_never_met(spark):
+    """Two balloons of one mask that lie apart have no border between them and stay as they are."""
+    grids = {1: disc(SHAPE, (60, 60, 45, 45), (190, 60, 45, 45))}
+    seeds = [("p", 1, 0, 60.0, 60.0), ("p", 1, 1, 190.0, 60.0)]
+    found = parts_of(splitting.split_fused(spark.createDataFrame(rows_of("p", 1, grids[1]), RUNS), spark.createDataFrame(seeds, SEEDS)), SHAPE)
+    assert len(found) == 2 and (np.any(list(found.values()), axis=0) == grids[1]).all()
