@@ -276,13 +276,13 @@ def distance(grid: np.ndarray) -> np.ndarray:
     from the left and of d[k] + k from the right.
     """
     if min(grid.shape) <= EROSIONS:
-        d = grid.astype(np.int32)
+        d = grid.astype(np.int16)
         left, i = grid, 0
         while left.any():
             i += 1
             left = left[:-2] & left[1:-1] & left[2:]
             left = left[:, :-2] & left[:, 1:-1] & left[:, 2:]
-            d[i : len(d) - i, i : d.shape[1] - i] += left
+            d[i : len(d) - i, i : d.shape[1] - i] += left.view(np.int8)
         return d
     far = sum(grid.shape)
     d = np.where(grid, far, 0)
@@ -491,10 +491,14 @@ def merged_by(at: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) ->
     return at[opens], (y[opens], x0[opens], reach[np.r_[opens[1:], len(reach)] - 1])
 
 
-def gathered(masks: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """A row a mask, dealt out: ``page_id, mask_id, runs`` (``y, x0, x1``, one after the other) and ``seeds``, in order."""
+def gathered(masks: DataFrame, seeds: DataFrame | None = None, placed: bool = False) -> DataFrame:
+    """A row a mask, dealt out: ``page_id, mask_id, runs`` (``y, x0, x1``, one after the other) and ``seeds``, in order.
+
+    ``placed``: the runs are dealt out by page and mask already and stay where they are.
+    """
     flat = F.flatten(F.collect_list(F.array("y", "x0", "x1"))).alias("runs")
-    rows = rounds.spread(masks.select(*KEY, *RUN), *KEY).where("x0 < x1 and y is not null").groupBy(*KEY).agg(flat)
+    given = masks.select(*KEY, *RUN)
+    rows = (given if placed else rounds.spread(given, *KEY)).where("x0 < x1 and y is not null").groupBy(*KEY).agg(flat)
     if seeds is None:
         return rows
     point = F.struct("seed", F.bround("cx").cast("int").alias("x"), F.bround("cy").cast("int").alias("y"), F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
@@ -742,17 +746,17 @@ def waist_split(masks: DataFrame) -> DataFrame:
     return r.rows(waist_bands(masks)).select(*KEY, "part", *RUN)
 
 
-def split_fused(masks: DataFrame, seeds: DataFrame) -> DataFrame:
+def split_fused(masks: DataFrame, seeds: DataFrame, placed: bool = False) -> DataFrame:
     """All masks, those of several balloons in parts: ``page_id, mask_id, part, y, x0, x1``; an undivided mask is part ``''``.
 
     Masks with several seeds are cut at concavities, else by erosion; what both leave
     whole, and masks without several seeds, at a waist, unless they have no name. Runs
-    come out merged.
+    come out merged. ``placed``: the masks are dealt out by page and mask already.
     """
     def found(rows):
         several = _with_seeds(rows)
         apart = dict(zip(several, taken_apart(list(several.values()))))
         return [apart.get(k) or [("", runs)] for k, (runs, _) in enumerate(rows)]
 
-    parts = _by_mask(gathered(masks, seeds.select(*KEY, "seed", "cx", "cy")), found, halve=True)
+    parts = _by_mask(gathered(masks, seeds.select(*KEY, "seed", "cx", "cy"), placed), found, halve=True)
     return parts.select(*KEY, "part", F.inline("runs"))
