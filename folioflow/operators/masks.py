@@ -8,8 +8,6 @@ Pages end where their size is given; else nothing is set beyond the runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
